@@ -1,12 +1,77 @@
-"""Corpus pipeline: language, toxicity, near-duplicates, mixing, tokens."""
+"""Corpus pipeline over documents: language, toxicity, near-duplicates, mixing, tokens.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from listwright.llm import op4_toxicity, op6_langid, op8_mixing, op9_minhash, op10_bpe
+from listwright.session import shared_table
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: A document goes if its language is unknown or the prediction is less sure than this.
+MIN_LANG_SCORE = 0.3
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the model knows; lang is set to the predicted one where it is null."""
+    model = op6_langid.train(docs)
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.pandas_udf("struct<lang: string, score: double>")
+    def predict(text):
+        import pandas as pd
+
+        return pd.DataFrame(list(map(shared.value.predict, text)), columns=["lang", "score"])
+
+    p = docs.withColumn("_p", predict("text")).where((F.col("_p.lang") != "und") & (F.col("_p.score") >= MIN_LANG_SCORE))
+    return p.withColumn("lang", F.coalesce("lang", "_p.lang")).select(*COLUMNS)
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not predicted toxic."""
+    model = op4_toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def score(text):
+        return text.map(shared.value.score)
+
+    return docs.where(score("text") < op4_toxicity.THRESHOLD).select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group: the one with the smallest doc_id; of rows with one doc_id, one."""
+    found = op9_minhash.near_duplicates(docs)
+    kept = shared_table(found.where("kept").groupBy("doc_id").agg(F.count("*").alias("rows")), "kept")
+    out = docs.select(*COLUMNS).join(kept.withColumnRenamed("doc_id", "id"), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+    again = kept.where("rows > 1 and doc_id is not null")
+    return out if again.isEmpty() else out.where("doc_id is null").unionByName(out.where("doc_id is not null").dropDuplicates(["doc_id"]))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix as documents: each document once for each pass that takes words of it, with these words."""
+    return op8_mixing.mixed_documents(docs).select(*COLUMNS)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Number of tokens, and hashes of the ids and of what they decode to, for each text."""
+    return op10_bpe.digest_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [("language", language), ("toxicity", toxicity), ("near_duplicates", near_duplicates), ("mixing", mixing), ("tokens", tokens)]
+
+#: The learned stages have no SQL form.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    """STAGES applied to documents."""
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STAGES applied to documents, each written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = shared_table(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -26,7 +26,7 @@ from listwright.llm.arrow import map_columns
 #: A vocabulary file is sent to the executors only up to this size.
 MAX_VOCABULARY_BYTES = 64 << 20
 #: Chunks that are remembered by a worker.
-CACHE = 400_000
+CACHE = 200_000
 
 _loaded: dict[tuple[str, str], Bpe] = {}
 
@@ -48,6 +48,7 @@ class Bpe:
         self.split: dict[int, tuple[int, int]] = {}
         self.compatible: dict[tuple[int, int], bool] = {}
         self.chunks: dict[str, tuple[str, bytes]] = {}  # by the text after a leading space
+        self.older: dict[str, tuple[str, bytes]] = {}  # those before the last time that CACHE was reached
         self.merged: dict[tuple[int, int], int] = {}
         for i in sorted(self.text_of):
             if pair := self._last_merge(i):
@@ -97,32 +98,37 @@ class Bpe:
             else:  # at equal ranks the left merge comes first
                 limit, b = b + 1, of_b[0]
 
-    def _matches(self, text: str) -> list[int | None]:
-        """The longest token at each place, from one pass of the automaton."""
-        best: list[int | None] = [None] * len(text)
-        text_of = self.text_of
-        for end, i in self.automaton.iter(text):
-            start = end + 1 - len(text_of[i])
-            best[start] = i  # ends come in order, so the last for a start is the longest
-        return best
-
-    def encode_piece(self, piece: bytes) -> list[int]:
-        text = piece.decode("latin-1")
+    def longest(self, text: str, at: int) -> int:
+        """The longest token that starts at a place; every byte is a token."""
+        return next(self.automaton.iter_long(text, at))[1]
+
+    def encode_piece(self, piece: str) -> list[int]:
+        """Ids of a piece: longest matches from left to right, as long as each fits the one before; then with backtracking."""
+        text = piece if piece.isascii() else piece.encode().decode("latin-1")
         whole = self.id_of.get(text)
         if whole is not None:
             return [whole]
-        best, n = self._matches(text), len(text)
         out: list[int] = []
-        ruled_out: set[int] = set()  # places from which no encoding can go on
-        at, token = 0, best[0]
+        at, last, known, fits, text_of = 0, None, self.compatible.get, self.fits, self.text_of
+        for end, token in self.automaton.iter_long(text):
+            if last is not None and not (fits(last, token) if (ok := known((last, token))) is None else ok):
+                return self._backtrack(text, out, at, token)
+            out.append(token)
+            last, at = token, end + 1
+        return out
+
+    def _backtrack(self, text: str, out: list[int], at: int, token: int | None) -> list[int]:
+        """Go on from fitting tokens `out` up to a place where `token` is next: try its prefixes, else take back the last token."""
+        text_of, n = self.text_of, len(text)
+        ruled_out: set[int] = set()  # places from which no encoding goes on
         while token is not None:
             last = out[-1] if out else None
             while True:
-                end = at + len(self.text_of[token])
+                end = at + len(text_of[token])
                 if end not in ruled_out and (last is None or self.fits(last, token)):
                     out.append(token)
                     at = end
-                    token = best[at] if at < n else None
+                    token = self.longest(text, at) if at < n else None
                     break
                 if (shorter := self.prefix(token)) is not None:
                     token = shorter
@@ -131,24 +137,36 @@ class Bpe:
                     if not out:
                         raise ValueError("the vocabulary cannot encode these bytes")
                     token = out.pop()
-                    at -= len(self.text_of[token])
+                    at -= len(text_of[token])
                     break
         return out
 
     def encode(self, text: str) -> list[int]:
-        return [i for p in self.pieces(text) for i in self.encode_piece(p.encode())]
+        return [i for p in self.pieces(text) for i in self.encode_piece(p)]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
     def chunk(self, text: str) -> tuple[str, bytes]:
-        """Ids joined by spaces, and the bytes they decode to; short chunks are remembered."""
-        ids = self.encode(text)
-        x = " ".join(map(str, ids)), self.decode(ids)
+        """Ids joined by spaces, and the bytes they decode to, of a space and a text without one; short ones are remembered.
+
+        Letters alone are one match of the pattern, and so is a mark after them.
+        """
+        x = self.older.get(text)
+        if x is None:
+            if text.isalpha():
+                ids = self.encode_piece(" " + text)
+                x = " ".join(map(str, ids)), self.decode(ids)
+            elif text[-1] in ",.;:!?" and (stem := text[:-1]).isalpha():
+                a, mark = self.chunks.get(stem) or self.chunk(stem), self.encode_piece(text[-1])
+                x = f"{a[0]} {' '.join(map(str, mark))}", a[1] + self.decode(mark)
+            else:
+                ids = self.encode(" " + text)
+                x = " ".join(map(str, ids)), self.decode(ids)
         if len(text) < 60:
             if len(self.chunks) > CACHE:
-                self.chunks.clear()
-            self.chunks[text[1:]] = x
+                self.chunks, self.older = {}, self.chunks
+            self.chunks[text] = x
         return x
 
     def digest(self, text: str | None) -> tuple[int, str, str]:
@@ -162,9 +180,9 @@ class Bpe:
                 if any(not p or p[0].isspace() or p[-1].isspace() for p in todo):
                     first, *rest = self.cut(text)
                     todo = {p for p in rest if p not in self.chunks}
-                new = {p: self.chunk(" " + p) for p in todo}
+                new = {p: self.chunk(p) for p in todo}
                 known = self.chunks.get
-                found = [new.get(p) or known(p) or self.chunk(" " + p) for p in rest]
+                found = [new.get(p) or known(p) or self.chunk(p) for p in rest]
             if first:
                 ids = self.encode(first)
                 found.insert(0, (" ".join(map(str, ids)), self.decode(ids)))
