@@ -28,6 +28,9 @@ from listwright.session import shared_table
 
 SAMPLE = {1: 4000, 0: 8000}
 FEATURES, BEGINNINGS, MIN_DOCS, THRESHOLD = 1500, (4, 5, 6), 3, 0.7
+RATIO, FALSE = 20, 0.1
+#: The feature that any word of a lexicon gives.
+ANY = " lexicon"
 WORD = re.compile(r"[^\W\d_]+")
 
 #: Common English insults.
@@ -62,27 +65,24 @@ class Model:
         return 1 / (1 + math.exp(-max(-700.0, min(700.0, z))))
 
 
-def mine(sample: DataFrame) -> list[tuple[str, int, int]]:
-    """Words, and "^" + beginnings that cover several words, with the rows of either class that have them: (feature, toxic, clean), FEATURES at most of each class."""
-    sample = shared_table(sample, "words")
+def mine(sample: DataFrame, toxic: int, clean: int) -> list[tuple[str, int, int]]:
+    """Words, and "^" + beginnings that cover several words, that mark toxic rows: (feature, toxic rows, clean rows) with it.
+
+    Kept are those with a rate RATIO times that of clean rows, whose log-likelihood ratio against an even spread lets FALSE
+    such features be expected by chance among all; of beginnings with equal counts the longest; FEATURES at most.
+    """
     word = sample.groupBy("word").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")).select(F.col("word").alias("f"), "t", "c")
     begun = sample.select("doc_id", "toxic", "word", F.explode(F.array(*(F.when(F.length("word") > k, F.concat(F.lit("^"), F.substring("word", 1, k))) for k in BEGINNINGS))).alias("f")).where("f is not null")
     begun = begun.groupBy("f", "doc_id", "toxic").agg(F.min("word").alias("lo"), F.max("word").alias("hi")).groupBy("f").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    both = word.unionByName(begun.where("lo <> hi").select("f", "t", "c")).where(F.col("t") + F.col("c") >= MIN_DOCS)
-    odds = F.log((F.col("t") + 0.5) / (F.col("c") + 0.5)) * F.sqrt(F.col("t") + F.col("c"))
-    top = lambda o: [(r["f"], int(r["t"]), int(r["c"])) for r in both.orderBy(o, "f").limit(FEATURES).collect()]
-    return sorted(set(top(odds.desc()) + top(odds.asc())))
-
-
-def strong(features: list[tuple[str, int, int]], toxic: int, clean: int) -> list[str]:
-    """Features that are toxic rows' own: rate among toxic rows 50 times that among clean ones; of beginnings with equal counts the longest."""
-    good = {f: (t, c) for f, t, c in features if t >= MIN_DOCS and (t / toxic) >= 50 * (c + 0.1) / clean}
-    out = []
-    for f, tc in sorted(good.items(), key=lambda x: (-x[1][0], x[0])):
-        if f[0] == "^" and any(g != f and g[0] == "^" and g.startswith(f) and good[g] == tc for g in good):
-            continue
-        out.append(f)
-    return out
+    both = shared_table(word.unionByName(begun.where("lo <> hi").select("f", "t", "c")).where(F.col("t") + F.col("c") >= MIN_DOCS), "candidates")
+    n, share = both.count(), toxic / (toxic + clean)
+    t, c = F.col("t"), F.col("c")
+    both = both.withColumn("g", t * F.log(t / ((t + c) * share)) + F.when(c > 0, c * F.log(c / ((t + c) * (1 - share)))).otherwise(0.0))
+    top = both.where((t > 0) & (t / toxic >= RATIO * c / clean) & (F.col("g") >= math.log(max(1.0, n / FALSE)))).orderBy(F.desc("g"), "f").limit(FEATURES).collect()
+    good = {r["f"]: (int(r["t"]), int(r["c"])) for r in top}
+    begins = sorted((f for f in good if f[0] == "^"), reverse=True)  # a longer beginning comes just before its own beginnings
+    drop = {f for f in begins if any(g != f and g.startswith(f) and good[g] == good[f] for g in begins)}
+    return sorted((f, *tc) for f, tc in good.items() if f not in drop)
 
 
 def label_model(votes: np.ndarray, prior: float, rates: np.ndarray, rounds: int = 25) -> np.ndarray:
@@ -149,8 +149,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     n = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     if len(n) < 2:
         return lexicon_model()
-    features = mine(rows.select("doc_id", "toxic", F.explode("words").alias("word")))
-    names = [f for f, *_ in features]
+    features = mine(shared_table(rows.select("doc_id", "toxic", F.explode("words").alias("word")), "words"), n[1], n[0])
+    names = [ANY, *(f for f, *_ in features)]
     at = {f: k for k, f in enumerate(names)}
     lexicon = {w: k for k, x in enumerate(LEXICONS.values()) for w in x.split()}
 
@@ -158,34 +158,34 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         got, lex = [], []
         for ws in words:
             begun = {f"^{w[:k]}" for w in ws for k in BEGINNINGS if len(w) > k}
-            got.append(sorted({at[f] for f in {*ws, *begun} if f in at}))
             lex.append(sorted({lexicon[w] for w in ws if w in lexicon}))
+            got.append(sorted({at[f] for f in {*ws, *begun} if f in at} | ({0} if lex[-1] else set())))
         return {"toxic": toxic, "got": got, "lex": lex, "aimed": aimed, "noise": noise}
 
-    # at most as many rows as SAMPLE, each with 2 * FEATURES small numbers at most
+    # at most as many rows as SAMPLE, each with FEATURES small numbers at most
     data = map_columns(rows.select("toxic", "words", "aimed", "noise"), "toxic int, got array<int>, lex array<int>, aimed boolean, noise boolean", present).collect()
     data = sorted(map(tuple, data))
     x = np.zeros((len(data), len(names)), np.float32)
     for i, r in enumerate(data):
         x[i, r[1]] = 1
-    marks = strong(features, n[1], n[0])
-    voters = [x[:, at[f]] for f in marks] + [np.array([k in r[2] for r in data], np.float32) for k in range(len(LEXICONS))]
+    voters = [x[:, k] for k in range(1, len(names))] + [np.array([k in r[2] for r in data], np.float32) for k in range(len(LEXICONS))]
     voters.append(np.array([r[3] for r in data], np.float32))
     voters.append(np.array([r[4] for r in data], np.float32))
-    some = np.max(voters[: len(marks) + len(LEXICONS)], axis=0)
-    voters.append(1 - some)  # plain text: no lexicon has a hit
-    votes = np.stack(voters, axis=1)
-    y = np.array([r[0] for r in data], float)
+    voters.append(1 - x.max(axis=1))  # plain text: no lexicon and no marked word has a hit
+    y = np.array([r[0] for r in data], np.float32)
+    votes = np.stack([y, *voters], axis=1)  # who gave the labels is a voter as well
     guess = np.stack([((1 - y) @ votes + 0.01) / ((1 - y).sum() + 1), (y @ votes + 0.5) / (y.sum() + 1)])
+    guess[:, 0] = 0.02, 0.98
     posterior = label_model(votes, float(y.mean()), guess)
-    w, b = logistic(x, posterior, 1e-4)
-    keep = np.abs(w) > 1e-3
-    return Model(b, {f: float(v) for f, v, k in zip(names, w, keep, strict=True) if k and f[0] != "^"}, {f[1:]: float(v) for f, v, k in zip(names, w, keep, strict=True) if k and f[0] == "^"})
+    w, b = logistic(x, posterior, 1e-5)
+    weight = dict(zip(names, w.tolist(), strict=True))
+    words = {w: weight[ANY] + weight.get(w, 0.0) for w in lexicon} | {f: v for f, v in weight.items() if f[0] not in "^ " and f not in lexicon}
+    return Model(b, words, {f[1:]: v for f, v in weight.items() if f[0] == "^"})
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted of each whole text."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 * FEATURES weights at most
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES weights and the lexicons' at most
 
     def run(doc_id, held, text):
         s = list(map(shared.value.score, text))
