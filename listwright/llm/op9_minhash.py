@@ -9,8 +9,9 @@ sets and by the similarity estimated on the sketch of the union, and each is con
 full sets, computed anew from the whole texts of the candidates.
 
 Long lists (one passage in very many texts, one text in very many variants) are not expanded into all pairs: first each
-list is compared to its hub (its smallest set), and components are formed; then only pairs of different components
-within a list are compared. Pairs within one component cannot change the result. No list is capped.
+list is compared to its hub (its least id), and components are formed; then only lists with several components are
+compared, in windows of WINDOW rows by matrix products over sketches (filter) and full sets, and only the edges of a spanning forest leave a
+window. Pairs within one component cannot change the result. No list is capped: longer ones are covered by windows of pairs of parts.
 
 Edge cases: a null or empty text, or one without words, has an empty set, is linked with nothing and is its own
 component; a text with fewer words than a shingle is one shingle of all its words. Rows with the same doc_id count as
@@ -21,6 +22,7 @@ null. Other columns are not read; an empty table gives an empty table. Very long
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +32,8 @@ from listwright.llm.components import connected_components
 from listwright.session import shared_table
 
 K, MIN_SHARED = 32, 14
+#: Rows of a list that are compared at once, and columns of the 0/1 matrices.
+WINDOW, COLUMNS = 512, 2048
 #: Of the candidates' ids so many hash buckets at most are broadcast to skip other rows before Python: 8 bytes each.
 BUCKETS = 1 << 20
 
@@ -109,13 +113,17 @@ def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) ->
 
 def _alike(percent: int) -> F.Column:
     """Sizes allow the similarity, and its estimate on the union's sketch is not far below it (14 of 32 for 0.85)."""
-    low = percent / 100 * MIN_SHARED / (0.85 * K)
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, K)
-    return (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.size(F.array_intersect(union, F.array_intersect("sa", "sb"))) >= low * F.size(union))
+    return (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.size(F.array_intersect(union, F.array_intersect("sa", "sb"))) >= _low(percent) * F.size(union))
+
+
+def _low(percent: int) -> float:
+    """The least share of common values in a union's sketch."""
+    return percent / 100 * MIN_SHARED / (0.85 * K)
 
 
 def _listed(classes: DataFrame) -> DataFrame:
-    """tok, id, fp, n, sketch: each class under the values that a similar one must share one of."""
+    """tok, id, fp, n, sketch: each class under the values that a similar one must share one of. Of lists with the same members one stays."""
     one = classes.select("id", "fp", F.explode("sketch").alias("tok"))
     often = one.groupBy("tok").agg(F.count("*").alias("df")).where("df > 1")
     m = F.col("m")
@@ -123,7 +131,96 @@ def _listed(classes: DataFrame) -> DataFrame:
     # the values that no other class has come first in the order; they list nothing
     toks = one.join(often, "tok").groupBy("id", "fp").agg(F.array_sort(F.collect_list(F.struct("df", "tok"))).alias("toks"))
     toks = toks.join(classes, ["id", "fp"]).withColumn("m", F.size("sketch")).withColumn("room", keep - (m - F.size("toks")))
-    return toks.where("room > 0").select(F.explode(F.slice("toks", 1, F.col("room"))).alias("t"), "id", "fp", "n", "sketch").select("t.tok", "id", "fp", "n", "sketch")
+    rows = shared_table(toks.where("room > 0").select(F.explode(F.slice("toks", 1, F.col("room"))["tok"]).alias("tok"), "id", "fp"), "lists")
+    member = F.xxhash64("id", "fp").cast("decimal(38,0)")
+    lists = rows.groupBy("tok").agg(F.sum(member).alias("members"), F.count("*").alias("size")).where("size > 1")
+    lists = shared_table(lists.groupBy("members", "size").agg(F.min("tok").alias("tok")).select("tok"), "lists-kept")
+    return rows.join(lists, "tok").join(classes, ["id", "fp"]).select("tok", "id", "fp", "n", "sketch")
+
+
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the pairwise intersections of sets of values, from 0/1 matrices over the values that two sets have at least."""
+    at = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, col, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    some = times > 1
+    number = np.cumsum(some) - 1
+    keep = some[col]
+    at, col = at[keep], number[col[keep]]
+    order = np.argsort(col, kind="stable")
+    at, col = at[order], col[order]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    for start in range(0, int(some.sum()), COLUMNS):
+        lo, hi = np.searchsorted(col, [start, start + COLUMNS])
+        ones = np.zeros((len(sets), COLUMNS), np.float32)
+        ones[at[lo:hi], col[lo:hi] - start] = 1
+        out += ones @ ones.T
+    return out
+
+
+def _tile(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
+    """Links between different components in a window of a list, of which a spanning forest: rows (id, n, component, side, sketch, hashes)."""
+    ids, n, c = [r[0] for r in rows], np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+    ok = (c[:, None] != c[None, :]) & (100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :]))
+    if rows[0][3] is not None:
+        side = np.array([r[3] for r in rows])
+        ok &= side[:, None] != side[None, :]
+    ok = np.triu(ok, 1)
+    if ok.any():  # of the union's sketch at least as many values as the longer sketch has are looked at
+        m = np.minimum(n, K)
+        ok &= shared_counts([np.array(r[4], np.int64) for r in rows]) >= _low(percent) * np.maximum(m[:, None], m[None, :])
+    at = np.flatnonzero(ok.any(axis=0) | ok.any(axis=1))
+    if not len(at):
+        return []
+    common = shared_counts([np.frombuffer(rows[k][5], np.int64) for k in at])
+    total = n[at][:, None] + n[at][None, :] - common
+    a, b = np.nonzero(ok[np.ix_(at, at)] & (100 * common >= percent * total))
+    root: dict[int, int] = {}
+
+    def find(i):
+        while (j := root.get(i, i)) != i:
+            root[i] = i = root.get(j, j)
+        return i
+
+    edges = []
+    for i, j in zip(at[a].tolist(), at[b].tolist(), strict=True):
+        if (x := find(int(c[i]))) != (y := find(int(c[j]))):
+            root[y] = x
+            edges.append((ids[i], ids[j]))
+    return edges
+
+
+def across_components(listed: DataFrame, parts: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links (a, b) between members of a list that lie in different components; exact, on full sets, in windows of WINDOW rows."""
+    placed = listed.join(parts.withColumnRenamed("component", "c"), "id", "left").withColumn("c", F.coalesce("c", "id"))
+    placed = shared_table(placed, "placed")
+    mixed = placed.groupBy("tok").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("tok", "size")
+    placed = shared_table(placed.join(shared_table(mixed, "mixed"), "tok"), "mixed-lists")
+    sets = shared_table(full_sets(docs, shared_table(placed.select("id", "fp").distinct(), "ids"), shingle), "sets")
+    rows = placed.join(sets, ["id", "fp"])
+    # a list longer than a window is dealt over parts; each pair of parts is a window
+    rows = rows.withColumn("parts", F.ceil(F.col("size") * 2 / WINDOW).cast("int")).withColumn("part", F.when(F.col("size") <= WINDOW, 0).otherwise(F.pmod(F.xxhash64("id", "fp"), F.col("parts"))).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.when(F.col("size") <= WINDOW, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))))
+    rows = rows.withColumns({"lo": F.least("part", "other"), "hi": F.greatest("part", "other")})
+    key = ["tok", "lo", "hi"]
+    rows = rows.repartition(*key).sortWithinPartitions(*key).select(*key, "id", "n", "c", "part", "sketch", "hashes")
+
+    def windows(batches):
+        held, last = [], None  # the rows of a window, which may go on in the next batch
+        for b in batches:
+            cols = [b.column(i).to_pylist() for i in range(b.num_columns)]
+            for *k, i, n, c, part, sketch, hashes in zip(*cols, strict=True):
+                if k != last:
+                    yield from done(held)
+                    held, last = [], k
+                held.append((i, n, c, part if k[1] != k[2] else None, sketch, hashes))
+        yield from done(held)
+
+    def done(held):
+        if len(held) > 1 and (edges := _tile(held, percent)):
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*edges, strict=True)], ["a", "b"])
+
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(WINDOW))
+    return rows.mapInArrow(windows, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -135,25 +232,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
 
     left = lambda d: d.select("tok", F.col("id").alias("a"), F.col("fp").alias("fa"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     right = lambda d: d.select("tok", F.col("id").alias("b"), F.col("fp").alias("fb"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    pair = ["a", "fa", "b", "fb"]
-    hubs = shared_table(listed.groupBy("tok").agg(F.min(F.struct("n", "id", "fp", "sketch")).alias("h")).select("tok", "h.*"), "hubs")
-    first = left(hubs).join(right(listed), "tok").where((F.col("fa") != F.col("fb")) & _alike(percent)).select(*pair).distinct()
-    first = shared_table(first, "pairs")
-    links = shared_table(confirmed(first, docs, shingle, percent), "links")
-
-    # what is left: pairs of a list whose components differ
+    hubs = shared_table(listed.groupBy("tok").agg(F.min(F.struct("id", "n", "fp", "sketch")).alias("h")).select("tok", "h.*"), "hubs")
+    first = left(hubs).join(right(listed), "tok").where((F.col("fa") != F.col("fb")) & _alike(percent)).select("a", "fa", "b", "fb").distinct()
+    links = shared_table(confirmed(shared_table(first, "pairs"), docs, shingle, percent), "links")
     parts = shared_table(connected_components(links), "parts")
-    placed = listed.join(parts.withColumnRenamed("component", "c"), "id", "left").withColumn("c", F.coalesce("c", "id"))
-    placed = shared_table(placed, "placed")
-    mixed = shared_table(placed.groupBy("tok").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("tok"), "mixed")
-    placed = shared_table(placed.join(mixed, "tok").withColumn("band", F.floor(F.log("n") / -np.log(percent / 100)).cast("int")), "mixed-lists")
-    l2 = placed.select("tok", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), F.col("id").alias("a"), F.col("fp").alias("fa"), F.col("n").alias("na"), F.col("sketch").alias("sa"), F.col("c").alias("ca"))
-    r2 = placed.select("tok", "band", F.col("id").alias("b"), F.col("fp").alias("fb"), F.col("n").alias("nb"), F.col("sketch").alias("sb"), F.col("c").alias("cb"))
-    rest = l2.join(r2, ["tok", "band"]).where((F.col("ca") < F.col("cb")) & _alike(percent)).select(*pair).distinct()
-    tried = first.unionByName(first.select(F.col("b").alias("a"), F.col("fb").alias("fa"), F.col("a").alias("b"), F.col("fa").alias("fb")))
-    rest = shared_table(rest.join(tried, pair, "left_anti"), "pairs")
-    more = shared_table(confirmed(rest, docs, shingle, percent), "links")
-
+    more = shared_table(across_components(listed, parts, docs, shingle, percent), "links")
     if not more.isEmpty():
         parts = shared_table(connected_components(links.unionByName(more)), "parts")
     named = shared_table(classes.join(parts, "id", "left").select("fp", "n", F.coalesce("component", "id").alias("c")), "named")
