@@ -79,7 +79,8 @@ def slot_counts(sources: DataFrame) -> DataFrame:
 
 def slots(counts: DataFrame) -> DataFrame:
     """shard, rank, slot, pass, block: one row for each slot of the mix."""
-    s = counts.withColumn("slot", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)))
+    # a row of counts holds up to SHARD_SLOTS slots; dealt out first, as few tasks make the counts
+    s = counts.repartition("rank", "shard").withColumn("slot", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)))
     s = s.withColumn("pass", F.floor(F.col("slot") / F.col("blocks"))).withColumn("i", F.col("slot") % F.col("blocks"))
     big = lambda c: c.cast("decimal(19,0)")
     prime = F.element_at(F.array(*(F.lit(p) for p in PRIMES)), (F.pmod(F.xxhash64(F.lit(SEED), "rank", "pass"), F.lit(len(PRIMES))) + 1).cast("int"))
@@ -125,7 +126,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     of = placed.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("first") / BLOCK), F.floor((F.col("first") + F.col("size") - 1) / BLOCK))))
     lo, hi = F.greatest("first", F.col("block") * BLOCK), F.least(F.col("first") + F.col("size"), (F.col("block") + 1) * BLOCK)
     of = of.select("doc_id", "mark", "copy", "rank", "block", (lo - F.col("first")).alias("at"), (hi - lo).alias("words"))
-    pieces = of.join(taken.select("rank", "block", "pass", "shard", "slot"), ["rank", "block"])
+    pieces = of.join(taken.select("rank", "block", "pass", "shard", "slot").hint("merge"), ["rank", "block"])  # both sides grow with the table
     return placed, pieces, taken
 
 
