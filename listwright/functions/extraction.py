@@ -23,12 +23,12 @@ def _open_tag(selector: str) -> str:
         raise ValueError(f"selector {selector!r} is not supported")
     tests = ""
     if m["cls"]:
-        tests += rf'(?=[^>]*\bclass="(?:[^"]*\s)?{re.escape(m["cls"])}(?:\s[^"]*)?")'
+        tests += rf'(?=[^>]*(?<![\w:-])class="(?:[^"]*\s)?{re.escape(m["cls"])}(?:\s[^"]*)?")'
     if m["id"]:
-        tests += rf'(?=[^>]*\bid="{re.escape(m["id"])}")'
+        tests += rf'(?=[^>]*(?<![\w:-])id="{re.escape(m["id"])}")'
     if m["attr"]:
         value = re.escape(m["value"].strip("\"'")) if m["value"] else '[^"]*'
-        tests += rf'(?=[^>]*\b{re.escape(m["attr"])}="{value}")'
+        tests += rf'(?=[^>]*(?<![\w:-]){re.escape(m["attr"])}="{value}")'
     tag = "[a-zA-Z][a-zA-Z0-9]*" if m["tag"] in (None, "*") else re.escape(m["tag"])
     return rf"(?is)<{tag}\b{tests}"
 
@@ -40,7 +40,7 @@ def all_values(html: Column, selector: str, attribute: str = "text") -> Column:
         tag = SELECTOR.match(selector.strip())["tag"] or "[a-zA-Z0-9]+"
         found = F.regexp_extract_all(html, F.lit(rf"{start}[^>]*>(.*?)(?=</{tag}>|\z)"), F.lit(1))
         return F.transform(found, lambda t: F.trim(F.regexp_replace(strip_tags(t), r"\s+", " ")))
-    return F.regexp_extract_all(html, F.lit(rf'{start}[^>]*?\b{re.escape(attribute)}="([^"]*)"'), F.lit(1))
+    return F.regexp_extract_all(html, F.lit(rf'{start}[^>]*?(?<![\w:-]){re.escape(attribute)}="([^"]*)"'), F.lit(1))
 
 
 def field(html: Column, config: dict) -> Column:

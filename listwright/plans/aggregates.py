@@ -51,10 +51,10 @@ def a8(spark, sf):
     return labelled(spark, sf).groupBy("domain", "label").agg(F.count("*").alias("n"))
 
 
-@query("a9_balance_weights", f"WITH {LABELLED}, tr AS (SELECT * FROM lab WHERE id % 4 <> 0), te AS (SELECT * FROM lab WHERE id % 4 = 0), t AS (SELECT domain, label, count(*) AS tl FROM tr GROUP BY ALL), tp AS (SELECT domain, sum(tl) AS tn FROM t GROUP BY 1), a AS (SELECT sum(tn) AS an, count(*) AS o FROM tp), s AS (SELECT domain, label, count(*) AS sl FROM te GROUP BY ALL), sp AS (SELECT domain, sum(sl) AS sn FROM s GROUP BY 1) SELECT t.domain AS organisation, t.label, round(an / o / tn * (sl / sn * tn) / tl, 9) AS weight FROM t JOIN tp USING (domain) JOIN s USING (domain, label) JOIN sp USING (domain) CROSS JOIN a")
+@query("a9_balance_weights", f"WITH {LABELLED}, tr AS (SELECT * FROM lab WHERE id // 20 % 4 <> 0), te AS (SELECT * FROM lab WHERE id // 20 % 4 = 0), t AS (SELECT domain, label, count(*) AS tl FROM tr GROUP BY ALL), tp AS (SELECT domain, sum(tl) AS tn FROM t GROUP BY 1), a AS (SELECT sum(tn) AS an, count(*) AS o FROM tp), s AS (SELECT domain, label, count(*) AS sl FROM te GROUP BY ALL), sp AS (SELECT domain, sum(sl) AS sn FROM s GROUP BY 1) SELECT t.domain AS organisation, t.label, round(an / o / tn * (sl / sn * tn) / tl, 9) AS weight FROM t JOIN tp USING (domain) JOIN s USING (domain, label) JOIN sp USING (domain) CROSS JOIN a")
 def a9(spark, sf):
     l = labelled(spark, sf).withColumnRenamed("domain", "organisation")
-    return S.weights(l.where("id % 4 <> 0"), l.where("id % 4 = 0")).withColumn("weight", F.round("weight", 9))
+    return S.weights(l.where("id div 20 % 4 <> 0"), l.where("id div 20 % 4 = 0")).withColumn("weight", F.round("weight", 9))
 
 
 @query("a10_fill_rates", f"WITH {POSTS} SELECT 'title' AS field, count(CASE WHEN length(title) > 1 THEN 1 END) AS found FROM posts UNION ALL SELECT 'description', count(CASE WHEN length(description) > 1 THEN 1 END) FROM posts UNION ALL SELECT 'domain', count(CASE WHEN length(domain) > 1 THEN 1 END) FROM posts")

@@ -125,14 +125,14 @@ def g16(spark, sf):
     return table(spark, sf, "pages").select(F.col("page_id").alias("id"), F.size(F.array_distinct(both)).alias("images"))
 
 
-@query("g18_outgoing_links", "WITH l AS (SELECT page_id, unnest(list_distinct(regexp_extract_all(html, '<a [^>]*href=\"([^\"]*)\"', 1))) AS u FROM pages), f AS (SELECT u, count(*) AS n FROM l GROUP BY u) SELECT page_id AS id, u AS url, CASE WHEN starts_with(u, '/t') THEN 'POST' ELSE 'SEARCH' END AS kind FROM l JOIN f USING (u) WHERE n = 1")
+@query("g18_outgoing_links", "WITH l AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, '<a [^>]*href=\"([^\"]*)\"', 1)) AS u FROM pages) SELECT page_id AS id, u AS url, CASE WHEN starts_with(u, '/t') THEN 'POST' ELSE 'SEARCH' END AS kind FROM l WHERE u NOT IN (SELECT u FROM l WHERE page_id % 40 = 0) AND page_id % 40 <> 0")
 def g18(spark, sf):
     """Links of a page with their kind; links known from other pages are left out."""
     from listwright.functions.extraction import links
 
     l = table(spark, sf, "pages").select("page_id", F.explode(links(F.col("html"))).alias("url"))
-    once = l.groupBy("url").agg(F.count("*").alias("n")).where("n = 1")
-    return l.join(once, "url", "left_semi").select(F.col("page_id").alias("id"), "url", F.when(F.startswith("url", F.lit("/t")), "POST").otherwise("SEARCH").alias("kind"))
+    known = l.where("page_id % 40 = 0").select("url").distinct()
+    return l.where("page_id % 40 <> 0").join(known, "url", "left_anti").select(F.col("page_id").alias("id"), "url", F.when(F.startswith("url", F.lit("/t")), "POST").otherwise("SEARCH").alias("kind"))
 
 
 @query("g19_fill_missing_fields", "SELECT d.doc_id AS id, coalesce(CASE WHEN d.doc_id % 2 = 0 THEN d.lang END, regexp_extract(p.html, '<html lang=\"([^\"]*)\"', 1)) AS lang, p.url IS NOT NULL AND d.doc_id % 3 = 0 AS moved FROM documents d LEFT JOIN pages p ON p.page_id = d.doc_id")

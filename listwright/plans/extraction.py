@@ -9,6 +9,7 @@ from listwright.plans.registry import query
 from listwright.plans.views import table
 
 LIST = r"list_distinct(regexp_extract_all(html, '<a [^>]*href=\"([^\"]*)\"', 1))".replace('\\"', '"')
+ALL = LIST.removeprefix('list_distinct(').removesuffix(')')
 H1 = "regexp_extract(html, '<h1>(.*?)</h1>', 1, 's')"
 TIDY = "trim(regexp_replace(regexp_replace({}, '<[^\\n]*?>', '', 'g'), '\\s+', ' ', 'g'))".replace("\\\\", "\\")
 
@@ -42,7 +43,7 @@ def e1b(spark, sf):
     )
 
 
-@query("e3_e5_json_templates", rows((1, "Bag: 12.50 EUR", "Bag"), (2, ":  ", None), (3, None, None)) + " t(id, offer, name)")
+@query("e3_e5_json_templates", rows((1, "Bag: 12.50 EUR", "Bag"), (2, ":  ", None), (3, ":  ", None)) + " t(id, offer, name)")
 def e3(spark, sf):
     h = F.col("html")
     return inline(spark).select("id", X.json_template(h, '{jsons[0]["name"]}: {jsons[0]["offers"]["price"]} {jsons[0]["offers"]["currency"]}').alias("offer"), F.get_json_object(F.try_element_at(X.json_scripts(h), F.lit(1)), "$.name").alias("name"))
@@ -96,7 +97,7 @@ def e24b(spark, sf):
     return inline(spark).select("id", X.meta(h, "description").alias("description"), F.array_join(X.alternates(h), " ").alias("urls"))
 
 
-@query("e25_listing_records", f"SELECT page_id AS page, CAST(i AS INT) AS index_on_page, l AS url, count(*) OVER (PARTITION BY page_id) AS loaded FROM (SELECT page_id, unnest({LIST}) AS l, unnest(range(1, len({LIST}) + 1)) AS i FROM pages)")
+@query("e25_listing_records", f"WITH u AS (SELECT page_id, unnest({ALL}) AS l, unnest(range(1, len({ALL}) + 1)) AS i FROM pages), d AS (SELECT page_id, l, min(i) AS i FROM u GROUP BY ALL) SELECT page_id AS page, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) AS INT) AS index_on_page, l AS url, count(*) OVER (PARTITION BY page_id) AS loaded FROM d")
 def e25(spark, sf):
     """A record for each link of a search page, with its place on the page."""
     p = table(spark, sf, "pages").select(F.col("page_id").alias("page"), X.links(F.col("html")).alias("l"))

@@ -26,7 +26,7 @@ def full_posts(spark, sf):
     )
 
 
-@query("feature_catalogue", "SELECT 72 AS features, 20 AS num_post")
+@query("feature_catalogue", "SELECT 72 AS features, 18 AS num_post")
 def feature_catalogue(spark, sf):
     names = [(f.kind, n) for n, f in FS.CATALOGUE.features.items()]
     return spark.createDataFrame([(len(names), sum(k == "Num" and n.startswith("f_num_post__") for k, n in names))], "features int, num_post int")
@@ -38,7 +38,7 @@ def feature_catalogue(spark, sf):
 SELECT id, ['Gucci', 'Louis_Vuitton', 'Chanel_Navee', 'The_And'][CAST(id % 4 AS INT) + 1] AS f_cat_organisation__name, CASE WHEN id % 3 = 0 THEN FALSE ELSE CASE WHEN id % 2 = 0 THEN TRUE END END AS f_num_image__logo_detected, CAST(len(regexp_extract_all(description, '#')) AS INT) AS f_num_post__hashtags_number,
 CAST(len(regexp_extract_all(ot, {q("|".join(INFRINGING_KEYWORDS))})) AS INT) AS f_num_post__infringing_kw, CASE WHEN id % 5 <> 0 THEN 1 ELSE 0 END AS f_num_account__is_poster_known, CAST(len(regexp_extract_all(lower(ot), {q(brand_pattern())})) AS INT) AS f_num_post__organisations_number_in_post_original_text,
 CASE WHEN id % 3 = 0 OR greatest(id % 7, id % 5) = 0 THEN '' WHEN id % 7 >= id % 5 THEN 'bag' ELSE 'shoe' END AS f_cat_image__vit_top1_classification, CASE WHEN id % 3 = 0 OR greatest(id % 7, id % 5) = 0 THEN -1 ELSE greatest(id % 7, id % 5) / 10 END AS f_num_image__vit_top1_prediction, domain AS f_cat_website__domain_name,
-round(CASE WHEN id % 7 > 0 THEN 1.0 ELSE -1 END, 6) AS f_num_account__poster_infringing_percent_for_all_organisations FROM t""",
+CAST(CASE WHEN id % 7 > 0 THEN 1 ELSE -1 END AS DOUBLE) AS f_num_account__poster_infringing_percent_for_all_organisations FROM t""",
 )
 def features_base(spark, sf):
     names = "f_cat_organisation__name f_num_image__logo_detected f_num_post__hashtags_number f_num_post__infringing_kw f_num_account__is_poster_known f_num_post__organisations_number_in_post_original_text f_cat_image__vit_top1_classification f_num_image__vit_top1_prediction f_cat_website__domain_name f_num_account__poster_infringing_percent_for_all_organisations".split()

@@ -176,7 +176,7 @@ def w7(spark, sf):
     return g.select("lang", F.round(F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0))), 9).alias("share"))
 
 
-@query("w8_top_classes", "SELECT l_orderkey AS id, list(l_returnflag ORDER BY l_quantity DESC, l_linenumber)[1] AS top1, coalesce(list(l_returnflag ORDER BY l_quantity DESC, l_linenumber)[3], '') AS top3, coalesce(list(l_quantity ORDER BY l_quantity DESC, l_linenumber)[2], -1) AS p2 FROM lineitem GROUP BY l_orderkey")
+@query("w8_top_classes", "SELECT l_orderkey AS id, list(l_returnflag ORDER BY l_quantity DESC, l_linenumber, l_returnflag)[1] AS top1, coalesce(list(l_returnflag ORDER BY l_quantity DESC, l_linenumber, l_returnflag)[3], '') AS top3, coalesce(list(l_quantity ORDER BY l_quantity DESC, l_linenumber, l_returnflag)[2], -1) AS p2 FROM lineitem GROUP BY l_orderkey")
 def w8(spark, sf):
     """The n-th best (class, probability) over all images of a post; '' or -1 if there are fewer."""
     g = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct((-F.col("l_quantity")).alias("q"), "l_linenumber", "l_returnflag"))).alias("p"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import functions as F
 
 from listwright.functions import text as T
@@ -140,7 +142,7 @@ def x19(spark, sf):
     return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), T.currency(t).alias("currency"), T.price(t).alias("price"), T.currency_visible(t).alias("currency_visible"), F.round(T.digit_ratio(t), 9).alias("digits"), F.round(T.capital_share(t), 9).alias("capitals"))
 
 
-@query("x25_rgba", "SELECT * FROM (VALUES ('rgb(255, 0, 51)', 1.0, 0.2, 1.0), ('rgba(51, 102, 0, 0.5)', 0.2, 0.0, 0.5), ('red', NULL, NULL, NULL)) t(css, r, b, a)")
+@query("x25_rgba", "SELECT css, CAST(r AS DOUBLE) AS r, CAST(b AS DOUBLE) AS b, CAST(a AS DOUBLE) AS a FROM (VALUES ('rgb(255, 0, 51)', 1.0, 0.2, 1.0), ('rgba(51, 102, 0, 0.5)', 0.2, 0.0, 0.5), ('red', NULL, NULL, NULL)) t(css, r, b, a)")
 def x25(spark, sf):
     c = spark.createDataFrame([("rgb(255, 0, 51)",), ("rgba(51, 102, 0, 0.5)",), ("red",)], "css string")
     x = c.select("css", T.rgba(F.col("css")).alias("v"))
@@ -283,10 +285,10 @@ def f9(spark, sf):
     return table(spark, sf, "events").select(F.col("event_id").alias("id"), F.concat(F.lit("k="), F.try_variant_get(v, "$.k", "string")).alias("k"), F.coalesce(F.try_variant_get(v, "$.missing", "string"), F.lit("")).alias("missing"))
 
 
-@query("f11_key_value_maps", "SELECT o_orderkey AS id, count(*) AS n, max(CASE WHEN l_returnflag = 'N' THEN q END) AS n_last FROM (SELECT l_orderkey AS o_orderkey, l_returnflag, max_by(CAST(l_quantity AS BIGINT), l_linenumber) AS q FROM lineitem GROUP BY ALL) GROUP BY 1")
+@query("f11_key_value_maps", "SELECT o_orderkey AS id, count(*) AS n, max(CASE WHEN l_returnflag = 'N' THEN q END) AS n_last FROM (SELECT l_orderkey AS o_orderkey, l_returnflag, max_by(CAST(l_quantity AS BIGINT), (l_linenumber, CAST(l_quantity AS BIGINT))) AS q FROM lineitem GROUP BY ALL) GROUP BY 1")
 def f11(spark, sf):
     """Key/value pairs of an entity as a map; of repeated keys the last one stays."""
-    last = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_returnflag").agg(F.max_by(F.col("l_quantity").cast("long"), "l_linenumber").alias("q"))
+    last = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_returnflag").agg(F.max_by(F.col("l_quantity").cast("long"), F.struct("l_linenumber", F.col("l_quantity").cast("long"))).alias("q"))
     m = last.groupBy(F.col("l_orderkey").alias("id")).agg(F.map_from_entries(F.collect_list(F.struct("l_returnflag", "q"))).alias("m"))
     return m.select("id", F.size("m").cast("long").alias("n"), F.try_element_at("m", F.lit("N")).alias("n_last"))
 
@@ -300,7 +302,7 @@ def f12(spark, sf):
 @query("f13_lock_ids", "SELECT p_partkey AS id, CAST(CASE WHEN h >= 9223372036854775808 THEN h - 18446744073709551616 ELSE h END AS BIGINT) AS lock FROM (SELECT p_partkey, CAST(CAST('0x' || substr(sha256(p_name), 1, 16) AS UBIGINT) AS HUGEINT) AS h FROM part)")
 def f13(spark, sf):
     h = F.conv(F.substring(F.sha2("p_name", 256), 1, 16), 16, 10).cast("decimal(20,0)")
-    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.when(h >= 9223372036854775808, h - 18446744073709551616).otherwise(h).cast("long").alias("lock"))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.when(h >= F.lit(Decimal(1 << 63)), h - F.lit(Decimal(1 << 64))).otherwise(h).cast("long").alias("lock"))
 
 
 @query("f14_j18_hash_distance", "WITH h AS (SELECT vec_id, label, CAST(list_sum(list_transform(range(1, 33), lambda i: CASE WHEN embedding[i] > 0 THEN CAST(1 AS BIGINT) << CAST(i - 1 AS INT) ELSE 0 END)) AS BIGINT) AS h FROM embeddings) SELECT a.vec_id AS a, min(b.vec_id) AS b FROM h a JOIN h b ON a.label = b.label AND a.vec_id < b.vec_id AND bit_count(xor(a.h, b.h)) < 3 GROUP BY a.vec_id")
@@ -323,7 +325,7 @@ def f15(spark, sf):
     return li.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("k"), F.round(box_iou(box, [F.lit(5), F.lit(5), F.lit(10), F.lit(10)]), 9).alias("iou"))
 
 
-@query("f16_f17_distances", "SELECT l_orderkey AS id, l_linenumber AS k, round(CASE WHEN x > 15 THEN 150 ELSE sqrt(power(greatest(0, 5 - x, x - 15), 2) + power(greatest(0, 5 - y, y - 15), 2)) END, 9) AS dist, round(CASE WHEN l_linenumber <= 6 THEN 1 - (l_linenumber - 1) * 0.17 ELSE 0 END, 9) AS heading FROM (SELECT *, l_partkey % 20 AS x, l_suppkey % 20 AS y FROM lineitem)")
+@query("f16_f17_distances", "SELECT l_orderkey AS id, l_linenumber AS k, round(CASE WHEN x > 15 THEN 150::DOUBLE ELSE sqrt(power(greatest(0, 5 - x, x - 15), 2) + power(greatest(0, 5 - y, y - 15), 2)) END, 9) AS dist, round(CASE WHEN l_linenumber <= 6 THEN 1 - (l_linenumber - 1) * 0.17::DOUBLE ELSE 0 END, 9) AS heading FROM (SELECT *, l_partkey % 20 AS x, l_suppkey % 20 AS y FROM lineitem)")
 def f16(spark, sf):
     from listwright.functions.geometry import heading_weight, point_to_box
 
