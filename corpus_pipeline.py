@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from listwright.llm import op4_toxicity, op6_langid, op8_mixing, op9_minhash, op10_bpe
+from listwright.llm.arrow import BATCH
 from listwright.session import shared_table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -21,6 +22,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the model knows; lang is set to the predicted one where it is null."""
     model = op6_langid.train(docs)
     shared = spark.sparkContext.broadcast(model)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
 
     @F.pandas_udf("struct<lang: string, score: double>")
     def predict(text):
@@ -28,7 +30,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
         return pd.DataFrame(list(map(shared.value.predict, text)), columns=["lang", "score"])
 
-    p = docs.withColumn("_p", predict("text")).where((F.col("_p.lang") != "und") & (F.col("_p.score") >= MIN_LANG_SCORE))
+    # not to be evaluated anew for the filter
+    p = docs.withColumn("_p", predict.asNondeterministic()("text")).where((F.col("_p.lang") != "und") & (F.col("_p.score") >= MIN_LANG_SCORE))
     return p.withColumn("lang", F.coalesce("lang", "_p.lang")).select(*COLUMNS)
 
 
@@ -36,6 +39,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not predicted toxic."""
     model = op4_toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     shared = spark.sparkContext.broadcast(model)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
 
     @F.pandas_udf("double")
     def score(text):
@@ -46,10 +50,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: the one with the smallest doc_id; of rows with one doc_id, one."""
-    found = op9_minhash.near_duplicates(docs)
-    kept = shared_table(found.where("kept").groupBy("doc_id").agg(F.count("*").alias("rows")), "kept")
-    out = docs.select(*COLUMNS).join(kept.withColumnRenamed("doc_id", "id"), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-    again = kept.where("rows > 1 and doc_id is not null")
+    found = shared_table(op9_minhash.near_duplicates(docs), "found")
+    out = docs.select(*COLUMNS).join(found.where("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+    again = found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1")
     return out if again.isEmpty() else out.where("doc_id is null").unionByName(out.where("doc_id is not null").dropDuplicates(["doc_id"]))
 
 

@@ -105,13 +105,13 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def oracle_sql() -> str:
-    """DuckDB SQL for the same rows: windows as word lists, covered places by unnesting."""
+    """DuckDB SQL for the same rows: windows as joined words, covered places by unnesting."""
     words = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
     strip = r"regexp_replace({}, '[\x20\x09-\x0D]', '', 'g')"
     grams = "".join(
         f""",
-g{n} AS (SELECT r, doc, i, count(*) OVER (PARTITION BY r, list_slice(ws, i, i + {n - 1})) AS c FROM (SELECT r, doc, ws, unnest(range(1, len(ws) - {n - 2})) AS i FROM t WHERE len(ws) >= {n}{'' if n == REPEAT_WORDS else ' AND r IN (SELECT r FROM c5)'})),
-c{n} AS (SELECT r, count(*) AS n, sum(length(w)) AS ch FROM (SELECT DISTINCT t.r, p, t.ws[p] AS w FROM (SELECT r, unnest(range(i, i + {n})) AS p FROM g{n} WHERE c > 1) x JOIN t USING (r)) GROUP BY r)"""
+g{n} AS (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM (SELECT r, i, string_agg(w, ' ') OVER x AS g, count(*) OVER x AS k FROM w{'' if n == REPEAT_WORDS else ' WHERE r IN (SELECT r FROM c5)'} WINDOW x AS (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND {n - 1} FOLLOWING)) WHERE k = {n}),
+c{n} AS (SELECT r, count(*) AS n, sum(length(w)) AS ch FROM w JOIN (SELECT DISTINCT r, i FROM (SELECT r, unnest(range(i, i + {n})) AS i FROM g{n} WHERE c > 1)) USING (r, i) GROUP BY r)"""
         for n in MAX_SHARE
     )
     share = " AND ".join(f"100 * coalesce(c{n}.ch, 0) <= {m} * wc" for n, m in MAX_SHARE.items())
@@ -119,6 +119,7 @@ c{n} AS (SELECT r, count(*) AS n, sum(length(w)) AS ch FROM (SELECT DISTINCT t.r
     joins = " ".join(f"LEFT JOIN c{n} ON c{n}.r = t.r" for n in MAX_SHARE)
     return f"""
 WITH t AS (SELECT row_number() OVER () AS r, doc_id AS doc, coalesce(text, '') AS tx, {words} AS ws, length({strip.format("coalesce(text, '')")}) AS wc FROM documents),
+w AS (SELECT r, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM t),
 l AS (SELECT r, ln, count(*) AS k FROM (SELECT r, unnest(string_split(tx, chr(10))) AS ln FROM t) WHERE length({strip.format("ln")}) > 0 GROUP BY r, ln),
 d AS (SELECT r, sum(k - 1) AS n, sum((k - 1) * length({strip.format("ln")})) AS ch FROM l GROUP BY r){grams},
 b AS (SELECT t.r, len(ws) < {MIN_WORDS} OR 100 * coalesce(c5.n, 0) > {REPEAT_SHARE} * len(ws) AS bad FROM t LEFT JOIN c5 USING (r))
