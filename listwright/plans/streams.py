@@ -50,10 +50,7 @@ def r1(spark, sf):
 def r2(spark, sf):
     t = F.col("event_type")
     s = jobs.events(spark, sf).select("user_id", F.when(t == "purchase", "sent_to_insertion").when(t == "click", "ended").when(t == "error", "failed").otherwise("started").alias("status"))
-    out = f"{shared_dir(spark)}/status-{__import__('uuid').uuid4().hex}"
-    q = jobs.statuses(s).writeStream.trigger(availableNow=True).outputMode("update").option("checkpointLocation", f"{out}/checkpoint").foreachBatch(lambda df, b: df.write.mode("append").parquet(f"{out}/out")).start()
-    q.awaitTermination()
-    return spark.read.parquet(f"{out}/out").groupBy("user_id").agg(F.max("rank").alias("rank"))
+    return jobs.run(jobs.furthest_status(s), "complete")
 
 
 @query("r2_sessions")
