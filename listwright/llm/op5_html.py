@@ -29,12 +29,14 @@ BLOCKS = frozenset("address article aside blockquote body center dd details dial
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SPACES = frozenset("br td th wbr img input".split()) - {"wbr"}
 RAW = frozenset("script style textarea title noscript iframe template xmp noembed noframes".split())
-FORGET = frozenset("head nav footer aside form button select option svg canvas object audio video menu dialog datalist label fieldset map math search".split())
+FORGET = frozenset("head nav footer aside form button select option svg canvas object audio video menu dialog datalist fieldset search".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog alertdialog menu menubar toolbar tablist".split())
 #: Words of a class or id that mark what is not the article; OUTER only count outside an article.
-MARKS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup signin login sidebar widget widgets related recommended recommendations share sharing social breadcrumb breadcrumbs menu nav navbar navigation navi pagination pager toolbar footer comment comments commentlist disqus respond reply replies hidden skip skiplink paywall toc".split())
-OUTER = frozenset("header masthead topbar search tags meta".split())
+MARKS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup signin login sidebar related recommended recommendations share sharing social breadcrumb breadcrumbs menu nav navbar navigation navi pagination pager toolbar footer comment comments commentlist disqus respond reply replies hidden skip skiplink paywall toc".split())
+OUTER = frozenset("header masthead topbar search tags meta widget widgets".split())
+#: A class that begins so tells what the page has, not what the element is.
+ABOUT = ("has-", "no-", "with-", "without-", "has_", "no_", "with_")
 INNER = frozenset("articlebody".split())
 BODY_CLASS = re.compile(r"(?:^|[\s\"'])(?:article|post|entry|story|main)[-_](?:body|content|text)(?:$|[\s\"'])", re.I)
 
@@ -64,7 +66,8 @@ def _forgotten(name: str, attrs: dict[str, str], in_article: bool) -> bool:
         return False
     if attrs.get("role", "").lower() in ROLES or "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower():
         return True
-    words = set(_WORD.findall(f"{attrs.get('class', '')} {attrs.get('id', '')}".lower()))
+    names = f"{attrs.get('class', '')} {attrs.get('id', '')}".lower().split()
+    words = {w for n in names if not n.startswith(ABOUT) for w in _WORD.findall(n)}
     return bool(words & MARKS) or (not in_article and bool(words & OUTER))
 
 
