@@ -75,20 +75,22 @@ def _article(name: str, attrs: dict[str, str]) -> bool:
     return name in ("article", "main") or attrs.get("role", "").lower() in ("main", "article") or attrs.get("itemprop", "").lower() in INNER or bool(BODY_CLASS.search(attrs.get("class", "")))
 
 
-def _closes(page: str, at: int, name: str) -> int:
-    """The end of the element that opens before `at`; -1 if it is not closed."""
-    depth = 1
-    for m in re.compile(rf"<(/?){re.escape(name)}(?=[\s/>])[^>]*>", re.I).finditer(page, at):
-        depth += -1 if m[1] else 1
-        if not depth:
-            return m.end()
-    return -1
+def _closes(page: str, name: str) -> dict[int, int]:
+    """Where each element of a name ends, by the end of its opening tag; elements that are not closed are left out. One pass."""
+    ends, open_ = {}, []
+    for m in re.compile(rf"<(/?){re.escape(name)}(?=[\s/>])[^>]*>", re.I).finditer(page):
+        if not m[1]:
+            open_.append(m.end())
+        elif open_:
+            ends[open_.pop()] = m.end()
+    return ends
 
 
 def lines(page: str) -> list[Line]:
     """The page's blocks in order, without what is forgotten."""
     out = [Line(False, False)]
     at, link, inside, heading, orphan = 0, 0, [], False, False
+    closes: dict[str, dict[int, int]] = {}
 
     def fresh():
         nonlocal orphan
@@ -133,7 +135,9 @@ def lines(page: str) -> list[Line]:
             continue
         article = _article(name, attrs)
         if name not in VOID and not article and name not in ("html", "body") and _forgotten(name, attrs, bool(inside)):
-            end = _closes(page, at, name)
+            if name not in closes:
+                closes[name] = _closes(page, name)
+            end = closes[name].get(at, -1)
             fresh() if name in BLOCKS else say(" ")
             if end >= 0:
                 at = end
