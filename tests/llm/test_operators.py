@@ -298,7 +298,7 @@ def test_mixing_permutes_blocks(spark):
 
 def test_license_scan(spark, odd):
     rows = [
-        ("a/LICENSE", "Released under the MIT License."), ("a/b/c/x.py", "no words of it"), ("a/b/y.py", "text. Licensed under the Apache License, Version 2.0.\nmore text"),
+        ("a/LICENSE", "Released under the MIT License."), ("a/b/c/x.py", "no words of it"), ("a/b/y.py", "text. Licensed under the Apache License, Version 2.0.\n" + "more text of a program " * 9),
         ("z.py", "plain"), (None, "plain"), ("d/e/COPYING.txt", "This work is licensed under the GNU General Public License, version 3."), ("d/e/f/g", None), ("d/h", "driving license of a man"), ("d/e/f/g", None),
     ]
     df = spark.createDataFrame([(i, *r, "x") for i, r in enumerate(rows)], "id long, path string, text string, name string")
