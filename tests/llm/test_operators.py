@@ -5,6 +5,7 @@ import collections
 import hashlib
 import html
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -310,6 +311,32 @@ def test_license_scan(spark, odd):
     assert op2_license.scan(odd.withColumn("path", F.lit("p/q")), "doc_id", "path", "text").count() == len(ODD)
 
 
+def wrapped(text, mark, width=70):
+    return "\n".join(mark + line for line in textwrap.wrap(text, width)) + "\n"
+
+
+def test_license_of_wrapped_headers_and_whole_files(spark):
+    code = "".join(f"value_{i} = make(value_{i - 1}, {i})\n" for i in range(60))
+    gnu = "This {} is free software; you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/.\n"
+    headers = {
+        "MPL-2.0": [mpl, "".join(f"# {x}\n" for x in mpl.splitlines()), "/* " + mpl.replace("\n", "\n * ", 2)[:-1] + " */\n"],
+        "GPL-2.0": [wrapped(gnu.format("program", "", "2"), m, w) for m, w in (("", 70), ("# ", 60), (" * ", 76))],
+        "GPL-3.0": [wrapped(gnu.format("program", "", "3"), m, w) for m, w in (("// ", 70), ("", 50))],
+        "LGPL-2.1": [wrapped(gnu.format("library", "Lesser ", "2.1"), m, w) for m, w in (("", 70), ("-- ", 60))],
+        "LGPL-3.0": [wrapped(gnu.format("library", "Lesser ", "3"), "; ")],
+        "AGPL-3.0": [wrapped(gnu.format("program", "Affero ", "3"), "# ")],
+    }
+    rows = [(name, f"src{k}/x.py", "Frame, a library of parts.\n\n" + h + "\n" + code) for k, (name, hs) in enumerate(headers.items()) for h in hs]
+    rows = [(name, path.replace("/", f"/{k}/"), text) for k, (name, path, text) in enumerate(rows)]
+    whole = {name: text for name, text in op2_license.templates() if len(text) > 1200}
+    rows += [(name, f"lib{k}/TERMS", "Copyright (c) 2020 Some One\n\n" + wrapped(text, "")) for k, (name, text) in enumerate(whole.items())]
+    df = spark.createDataFrame([(i, *r[1:]) for i, r in enumerate(rows)], "id long, path string, text string")
+    got = {r.key: r for r in op2_license.scan(df, "id", "path", "text").collect()}
+    assert [got[i].own_license for i in range(len(rows))] == [r[0] for r in rows]
+    assert [got[i].is_license_file for i in range(len(rows))] == [r[1].endswith("TERMS") for r in rows]
+
+
 def test_queries_have_contract_columns():
     assert list(queries.queries()) == [f"op{k}_{n}" for k, n in enumerate("quality_rules license_scans sharding_tree toxicity_scores html_extraction language_id embedding_dedup source_mixing minhash_dedup byte_bpe".split(), 1)]
     assert set(queries.oracle_sql()) <= set(queries.queries())
