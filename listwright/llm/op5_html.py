@@ -3,9 +3,11 @@
 Method: markup is stripped in one scan that makes a line of each block element and forgets elements that never hold the
 article (scripts, styles, forms, menus, headers, footers, sidebars, notices, adverts, comments, by element name, role,
 class or id). The text lengths of the lines, links left out, are summed over sliding windows; the text begins where
-the sums surge and ends where they dive to nothing. A page that marks its article (article, main, articleBody) has all
-other lines at length zero, and any length is a surge; on other pages a surge needs SURGE characters or half of the
-page's largest window, and of several stretches those count that have a third of the largest one's text.
+the sums surge (SURGE characters or half of the page's largest window) and ends where they dive to nothing; lines of links
+in between stay. Each outermost element that marks an article (article, main, articleBody) and the lines outside of them
+all are searched as sequences of their own. Marks are a weight: a marked line counts MARKED times, shared among the marked elements
+of a page, since many of them are teasers. Of all stretches those count that have a third of the heaviest one's text. In a
+marked element all lines from the first to the last stretch count, and text that leads up to the first.
 
 Edge cases: a null, empty or textless page gives an empty text. Broken markup: a comment or script that is not closed
 ends with the page; other elements to be forgotten that are not closed end at the next block; a lone "<" is text;
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 from listwright.llm.arrow import map_columns
 
-WINDOW, SURGE = 3, 86
+WINDOW, SURGE, MARKED = 3, 86, 3
 
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody tfoot thead tr ul caption".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -47,12 +49,12 @@ _SPACE = re.compile(r"\s+")
 
 
 class Line:
-    """Text of a block: its parts, the characters of them in links, and where it stands."""
+    """Text of a block: its parts, the characters of them in links, the number of the article it stands in (0: none)."""
 
-    __slots__ = ("heading", "in_article", "linked", "parts")
+    __slots__ = ("article", "heading", "linked", "parts")
 
-    def __init__(self, in_article: bool, heading: bool):
-        self.parts, self.linked, self.in_article, self.heading = [], 0, in_article, heading
+    def __init__(self, article: int, heading: bool):
+        self.parts, self.linked, self.article, self.heading = [], 0, article, heading
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -66,8 +68,11 @@ def _forgotten(name: str, attrs: dict[str, str], in_article: bool) -> bool:
         return False
     if attrs.get("role", "").lower() in ROLES or "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower():
         return True
+    if name == "main" or attrs.get("role", "").lower() == "main":
+        return False  # its classes tell of the page's layout
     names = f"{attrs.get('class', '')} {attrs.get('id', '')}".lower().split()
-    words = {w for n in names if not n.startswith(ABOUT) for w in _WORD.findall(n)}
+    # an article's classes may name its topics after their first word
+    words = {w for n in names if not n.startswith(ABOUT) for w in _WORD.findall(n)[: 1 if _article(name, attrs) else None]}
     return bool(words & MARKS) or (not in_article and bool(words & OUTER))
 
 
@@ -88,17 +93,17 @@ def _closes(page: str, name: str) -> dict[int, int]:
 
 def lines(page: str) -> list[Line]:
     """The page's blocks in order, without what is forgotten."""
-    out = [Line(False, False)]
-    at, link, inside, heading, orphan = 0, 0, [], False, False
+    out = [Line(0, False)]
+    at, link, inside, heading, orphan, articles = 0, 0, [], False, False, 0
     closes: dict[str, dict[int, int]] = {}
 
     def fresh():
         nonlocal orphan
         orphan = False
         if out[-1].parts:
-            out.append(Line(bool(inside), heading))
+            out.append(Line(articles if inside else 0, heading))
         else:
-            out[-1].in_article, out[-1].heading = bool(inside), heading
+            out[-1].article, out[-1].heading = articles if inside else 0, heading
 
     def say(text: str):
         if text and not orphan:
@@ -134,7 +139,7 @@ def lines(page: str) -> list[Line]:
             at = end.end() if end else len(page)
             continue
         article = _article(name, attrs)
-        if name not in VOID and not article and name not in ("html", "body") and _forgotten(name, attrs, bool(inside)):
+        if name not in VOID and name not in ("html", "body") and _forgotten(name, attrs, bool(inside)):
             if name not in closes:
                 closes[name] = _closes(page, name)
             end = closes[name].get(at, -1)
@@ -148,6 +153,7 @@ def lines(page: str) -> list[Line]:
             if inside and inside[-1][0] == name:
                 inside[-1][1] += 1
             if article and not (inside and inside[-1][0] == name):
+                articles += not inside
                 inside.append([name, 1])
             heading = name in HEADINGS
             fresh()
@@ -159,32 +165,44 @@ def lines(page: str) -> list[Line]:
     return out
 
 
-def main_text(page: str | None) -> str:
-    """The blocks of the article, one a line."""
-    found = [(x, t) for x in lines(page or "") if (t := _SPACE.sub(" ", "".join(x.parts)).strip())]
-    marked = any(x.in_article for x, _ in found)
-    if marked:
-        found = [(x, t) for x, t in found if x.in_article]
-    size = [len(t) if marked else 0 if 2 * x.linked > len(t) else len(t) - x.linked for x, t in found]
-    sums = [sum(size[k : k + WINDOW]) for k in range(len(size))]
-    least = 1 if marked else min(SURGE, max(sums, default=0) / 2)
-    stretches, start = [], None
+def _stretches(size: list[int], least: float) -> list[tuple[int, int]]:
+    """From surge to dive."""
+    out, start = [], None
     for k, s in enumerate(size):
-        if start is None and s and sums[k] >= max(1, least):
+        if start is None and s and sum(size[k : k + WINDOW]) >= least:
             start = k  # surge
-        elif start is not None and not s and not any(size[k : k + WINDOW]):
-            stretches.append((start, k))  # dive
+        elif start is not None and not any(size[k : k + WINDOW]):
+            out.append((start, k))  # dive
             start = None
-    if start is not None:
-        stretches.append((start, len(size)))
-    weight = [sum(size[a:b]) for a, b in stretches]
-    keep: list[str] = []
-    for (a, b), w in zip(stretches, weight, strict=True):
-        if marked or 3 * w >= max(weight):
-            while a and found[a - 1][0].heading:  # its heading stands before the surge
+    return out if start is None else [*out, (start, len(size))]
+
+
+def main_text(page: str | None) -> str:
+    """The blocks of the article, one a line."""
+    found = [(x, t) for x in lines(page or "") if (t := _SPACE.sub(" ", "".join(x.parts)).strip())]
+    parts: dict[int, list[int]] = {}
+    for k, (x, _) in enumerate(found):
+        parts.setdefault(x.article, []).append(k)
+    mark = max(1, MARKED / max(1, len(parts.keys() - {0})))
+    sizes = {n: [0 if 2 * x.linked > len(t) else (len(t) - x.linked) * (mark if n else 1) for x, t in (found[k] for k in at)] for n, at in parts.items()}
+    least = max(1, min(SURGE, max((sum(size[k : k + WINDOW]) for size in sizes.values() for k in range(len(size))), default=0) / 2))
+    stretches = []
+    for n, size in sizes.items():
+        own = _stretches(size, least)
+        if n and own:
+            a = own[0][0]
+            while a and size[a - 1]:  # text that leads up to the surge
+                a -= 1
+            own = [(a, own[-1][1])]
+        stretches += [(sum(size[a:b]), n, a, b) for a, b in own]
+    most = max((w for w, *_ in stretches), default=0)
+    keep: set[int] = set()
+    for w, n, a, b in stretches:
+        if 3 * w >= most:
+            while a and found[parts[n][a - 1]][0].heading:  # its heading stands before the surge
                 a -= 1
-            keep += [t for (_, t), s in zip(found[a:b], size[a:b], strict=True) if s or marked or _.heading]
-    return "\n".join(keep)
+            keep.update(parts[n][a:b])
+    return "\n".join(found[k][1] for k in sorted(keep))
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -159,6 +159,23 @@ def test_html_extraction_equals_articles(spark):
         assert op5_html.main_text(r.html) == "\n".join(b for b in blocks if b)
 
 
+def test_html_marks_are_a_weight():
+    story = [f"Paragraph {i} of the story. " + "It has many words of its own. " * 8 for i in range(6)]
+    body = "<h1>Story</h1>" + "".join(f"<p>{p}</p>" for p in story)
+    want = "\n".join(["Story", *(p.strip() for p in story)])
+    card = "<article class='card'><h3>Teaser</h3><p>A few words that tell of another story.</p></article>"
+    for k in (1, 2, 5):
+        assert op5_html.main_text(f"<body><div class='story'>{body}</div>{card * k}</body>") == want
+        assert op5_html.main_text(f"<body>{card * k}<div class='story'>{body}</div></body>") == want
+    assert op5_html.main_text(f"<body><div>{body[: body.index('<p>Paragraph 3')]}{card}{body[body.index('<p>Paragraph 3') :]}<p>Short.</p></div></body>") == want + "\nShort."
+    assert op5_html.main_text(f"<body><p>Some words beside it.</p><article class='post tag-ads category-social'>{body}</article></body>") == want
+    for c in ("comment", "ad", "related-posts"):
+        assert op5_html.main_text(f"<body><article>{body}</article><article class='{c}'>{body.replace('story', 'other')}</article></body>") == want
+    linked = "<p>See <a href=x>the long report on all of this matter</a> too.</p>"
+    assert op5_html.main_text(f"<body><div>{body}{linked}<p>{story[0]}</p></div></body>") == f"{want}\nSee the long report on all of this matter too.\n{story[0].strip()}"
+    assert op5_html.main_text(f"<body><article>{body}<p><a href=x>Next of the stories</a></p></article></body>") == want
+
+
 def test_language_on_held_out_rows(docs, odd):
     model = op6_langid.train(docs)
     got = op6_langid.identify(docs, model).join(docs.select("doc_id", "lang"), "doc_id").where("held_out and lang_pred <> 'und'").collect()
