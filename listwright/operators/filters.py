@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from listwright.functions.constants import DEFAULT_THRESHOLD, ORG_THRESHOLDS, SAMPLE_PERCENT
 from listwright.functions.text import contains_any
+from listwright.session import shared_table
 
 
 def text_of(*columns: str) -> Column:
@@ -74,13 +75,14 @@ MAX_KEYWORDS = 200
 def dispatch_by_join(df: DataFrame, keywords: DataFrame, id_col: str = "id", width: int = 3) -> DataFrame:
     """As dispatch, for many keywords: listings and keywords meet on character trigrams, and containment is checked on what meets.
 
-    Keywords shorter than a trigram are checked by an alternation of them, of which there are few.
+    Keywords shorter than a trigram meet the listings that have them as a shorter gram; the empty one meets all.
     """
     kw = keywords.groupBy(F.lower("keyword").alias("keyword")).agg(F.max_by("organisation", "pos").alias("organisation"))
     text = df.select(id_col, F.lower(F.coalesce("title", F.lit(""))).alias("t"), F.lower(F.coalesce("description", F.lit(""))).alias("d"))
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - (width - 1), F.lit(1))), lambda i: F.substr(c, i, F.lit(width))))
-    gram = text.select("*", F.explode(F.array_union(grams(F.col("t")), grams(F.col("d")))).alias("gram"))
-    key = kw.where(F.length("keyword") >= width).withColumn("gram", F.substring("keyword", 1, width))
+    grams = lambda c, w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - (w - 1), F.lit(1))), lambda i: F.substr(c, i, F.lit(w)))
+    all_grams = F.array_distinct(F.concat(F.array(F.lit("")), *(grams(F.col(c), w) for w in range(1, width + 1) for c in ("t", "d"))))
+    gram = text.select("*", F.explode(all_grams).alias("gram"))
+    key = shared_table(kw.withColumn("gram", F.substring("keyword", 1, width)), "keywords")  # of known size: few are broadcast, and no texts are shuffled
     found = gram.join(key, "gram").where(F.contains("t", F.col("keyword")) | F.contains("d", F.col("keyword"))).select(id_col, "organisation")
     return found.groupBy(id_col).agg(F.array_sort(F.collect_set("organisation")).alias("organisations"))
 

@@ -84,6 +84,18 @@ def test_filter_and_complement(spark):
     assert kept == {2, 3} and {r.id for r in P.with_keywords(df, ["fake"]).collect()} == {1}
 
 
+def test_dispatch_of_short_keywords(spark):
+    posts = spark.createDataFrame([(1, "An LV bag", None), (2, None, "so ck"), (3, "x", "z"), (4, None, None), (5, "lv", ""), (6, "Brand 17 bags", "c k")], "id long, title string, description string")
+    few = [("lv", "A", 1), ("CK", "B", 2), ("x", "C", 3), ("brand 17", "D", 4), ("bags", "E", 5)]
+    for extra in ([], [("", "F", 6)]):
+        words = spark.createDataFrame(few + extra, "keyword string, organisation string, pos int")
+        many = words.unionByName(spark.createDataFrame([(f"none such {i}", "N", 100 + i) for i in range(P.MAX_KEYWORDS)], words.schema))
+        want = sorted(map(tuple, P.dispatch(posts, words).collect()))
+        assert [r[0] for r in want] == ([1, 2, 3, 4, 5, 6] if extra else [1, 2, 3, 5, 6])
+        assert sorted(map(tuple, P.dispatch_by_join(posts, words).collect())) == want
+        assert sorted(map(tuple, P.dispatch(posts, many).collect())) == want
+
+
 def test_thresholds(spark):
     rows = [(None, 0.2, True), (0.0, 0.2, True), (0.2, 0.2, False), (0.3, 0.2, True), (0.1, 0.0, True), (0.1, None, True)]
     df = spark.createDataFrame(rows, "score double, thr double, want boolean")
