@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from listwright.session import shared_table
+
 
 def draw(key: Column, seed: int = 200) -> Column:
     """A repeatable pseudorandom order of rows by an integer key, which SQL can express as well."""
@@ -20,18 +22,16 @@ def frequent(df: DataFrame, keys: list[str], least: int) -> DataFrame:
 def extend(df: DataFrame, least: int = 10) -> DataFrame:
     """Each organisation with its own rows and all positive rows of others, which are irrelevant to it.
 
-    df: id, organisation, domain, label (string), positive (boolean). The organisations are few (one row each).
+    df: id, organisation, domain, label (string), positive (boolean). The distinct organisations are written, so that Spark
+    knows their size and broadcasts them if they are few.
     """
     base = frequent(frequent(df, ["organisation", "domain"], least), ["organisation"], least)
-    orgs = base.select(F.col("organisation").alias("target")).distinct()
+    orgs = shared_table(base.select(F.col("organisation").alias("target")).distinct(), "organisations")
     own = base.withColumn("target", F.col("organisation"))
-    other = base.where("positive").withColumn("target", F.explode(F.lit([r["target"] for r in orgs.limit(MAX_ORGS).collect()]).cast("array<string>"))).where("target <> organisation")
+    other = base.where("positive").join(orgs, F.col("target") != F.col("organisation"))
     return own.unionByName(other.withColumn("label", F.lit("Irrelevant"))).drop("organisation").withColumnRenamed("target", "organisation")
 
 
-MAX_ORGS = 10_000
-
-
 def weights(train: DataFrame, test: DataFrame) -> DataFrame:
     """organisation, label, weight: so that organisations weigh alike and labels as in the test set."""
     t = train.groupBy("organisation", "label").agg(F.count("*").alias("train_label"))
@@ -46,13 +46,19 @@ def weights(train: DataFrame, test: DataFrame) -> DataFrame:
 
 
 def balance(df: DataFrame, label: str, key: Column, seed: int = 200) -> DataFrame:
-    """As many rows of each label as the rarest has, the first in the drawn order."""
-    n = df.groupBy(label).count().agg(F.min("count")).first()[0] or 0
-    kept = None
-    for (v,) in df.select(label).distinct().limit(100).collect():
-        part = df.where(F.col(label) == v).orderBy(draw(key, seed), key).limit(n)
-        kept = part if kept is None else kept.unionByName(part)
-    return kept
+    """As many rows of each label as the rarest has, the first in the drawn order; rows without a label are left out.
+
+    Rows are numbered within labels as by numbered(): dealt by ranges, ranges are counted by label, counts are summed up.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    drawn = df.where(F.col(label).isNotNull()).withColumn("_u", draw(key, seed)).withColumn("_k", key)
+    dealt = shared_table(drawn.repartitionByRange(parts, label, "_u", "_k").withColumn("_p", F.spark_partition_id()), "drawn")
+    sums = shared_table(dealt.groupBy(label, "_p").agg(F.count("*").alias("_n")), "sums")
+    n = sums.groupBy(label).agg(F.sum("_n").alias("n")).agg(F.min("n")).first()[0] or 0
+    before = Window.partitionBy(label).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(label, "_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_s")).where(F.col("_s") < n)
+    place = F.row_number().over(Window.partitionBy("_p", label).orderBy("_u", "_k")) + F.col("_s")
+    return dealt.join(starts, [label, "_p"]).withColumn("_r", place).where(F.col("_r") <= n).select(*df.columns)
 
 
 def split(df: DataFrame, key: Column, share: float = 0.8, stratum: str | None = None, seed: int = 200) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from listwright.functions import text as T
 from listwright.functions import urls as U
+from listwright.operators import datasets as D
 from listwright.operators import feature_set as FS
 from listwright.operators import filters as P
 from listwright.operators import store as K
@@ -126,6 +127,20 @@ def test_config_inheritance():
         files.load_config("c", table.__getitem__)
 
 
+def test_balance_and_extend_reach_every_label_and_organisation(spark, monkeypatch):
+    rows = [(i, f"label {i % 130}", i % 130) for i in range(130 * 3)] + [(1000 + i, "label 7", 7) for i in range(500)] + [(2000, None, None)]
+    df = spark.createDataFrame(rows, "id long, label string, k int")
+    got = D.balance(df, "label", F.col("id")).collect()
+    order = sorted((r for r in rows if r[1]), key=lambda r: ((r[0] * 1103515245 + 200 * 12345) % 2147483647, r[0]))
+    want = [r for name in {r[1] for r in rows if r[1]} for r in [x for x in order if x[1] == name][:3]]
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert D.balance(df.where("id < 0"), "label", F.col("id")).count() == 0
+    monkeypatch.setattr(D, "MAX_ORGS", 2, raising=False)
+    posts = spark.createDataFrame([(o * 10 + i, f"org {o}", "d", "Good", i == 0) for o in range(4) for i in range(2)], "id long, organisation string, domain string, label string, positive boolean")
+    out = D.extend(posts, 2).where("label = 'Irrelevant'").select("id", "organisation").collect()
+    assert sorted(map(tuple, out)) == sorted((o * 10, f"org {p}") for o in range(4) for p in range(4) if o != p)
+
+
 CHECKED = ["x1_text_features", "x7_reconstruct_tokens", "x9_infringing_keywords", "u4_u6_identifiers", "p1_exclude_keywords", "p25_full_text", "j7_a2_latest_per_key", "k3_upsert", "a17_pr_curve", "a18_at_recall", "w4_per_domain_limit", "t6_stratified_split", "e4_joined_texts", "f13_lock_ids", "g12_style_similarity", "j13_keyword_dispatch_by_join", "features_base"]
 
 
