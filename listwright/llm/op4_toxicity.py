@@ -3,8 +3,10 @@
 Method: many voters look at a text: lexicons (lists of insults), words and word beginnings that stand out in toxic rows,
 and patterns (insults aimed at "you", symbol noise, plain prose). A generative label model estimates, by
 expectation-maximisation over the sample, how often each voter fires on toxic and on clean texts, and how voters correlate given the
-label; voters that fire together count only as much as their correlation leaves them. Its posterior labels, not the given
-ones, train a linear classifier on the presence of the words and beginnings, which scores every whole text.
+label; voters that fire together count only as much as their correlation leaves them. The given label is one of the voters, as
+labels have errors of their own and it tells which class is the toxic one: it starts at rates 0.02 (clean) and 0.98 (toxic), and
+the other voters' first rates and the marked words come from it, so the posteriors lean on the given labels. What the other
+voters would give without it is not measured. The posterior labels train a linear classifier on the presence of the words and beginnings, which scores every whole text.
 
 Learning uses a bounded sample of labelled rows: at most SAMPLE[c] rows of class c, those with the least hash of doc_id.
 
