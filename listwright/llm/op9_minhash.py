@@ -13,10 +13,14 @@ list is compared to its hub (its least id), and components are formed; then only
 compared, in windows of WINDOW rows by matrix products over sketches (filter) and full sets, and only the edges of a spanning forest leave a
 window. Pairs within one component cannot change the result. No list is capped: longer ones are covered by windows of pairs of parts.
 
+Sets are collapsed by their size and a 128-bit fingerprint. Full sets of a class are made once: what the hubs needed is used
+again by the windows. Windows are bounded by rows and by the bytes of their sets.
+
 Edge cases: a null or empty text, or one without words, has an empty set, is linked with nothing and is its own
-component; a text with fewer words than a shingle is one shingle of all its words. Rows with the same doc_id count as
-one document for linking; each row is returned. A null doc_id is never a component's name unless all of its class are
-null. Other columns are not read; an empty table gives an empty table. Very long texts are read whole.
+component; a text with fewer words than a shingle is one shingle of all its words. Rows with the same doc_id are documents of
+their own, linked by their texts alone. Rows with a null doc_id are linked like others; a component is named by its least doc_id that
+is not null, and has a null name only if it has none: then the rows of its text with the least hash are kept. Other columns are
+not read; an empty table gives an empty table. Very long texts are read whole.
 """
 
 from __future__ import annotations
@@ -27,29 +31,32 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from listwright.llm.arrow import map_columns
+from listwright.llm.arrow import cache, give_back, map_columns, slices, small_batches
 from listwright.llm.components import connected_components
 from listwright.session import shared_table
 
 K, MIN_SHARED = 32, 14
 #: Rows of a list that are compared at once, and columns of the 0/1 matrices.
 WINDOW, COLUMNS = 512, 2048
+#: Bytes of the full sets of a window, about.
+WINDOW_BYTES = 32 << 20
 #: Of the candidates' ids so many hash buckets at most are broadcast to skip other rows before Python: 8 bytes each.
 BUCKETS = 1 << 20
-
-_words: dict[bytes, int] = {}
+#: Words whose hashes a worker remembers, and the longest of them.
+WORDS, WORD_BYTES = 50_000, 40
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    if len(_words) > 1_000_000:
-        _words.clear()
-    get = _words.get
-    found = list(map(get, words))
+    known = cache("op9")
+    if len(known) > WORDS:
+        known.clear()
+    found = list(map(known.get, words))
     if None in found:
-        for w in words:
-            if w not in _words:
-                _words[w] = xxhash.xxh3_64_intdigest(w)
-        found = list(map(get, words))
+        for k, h in enumerate(found):
+            if h is None:
+                found[k] = h = xxhash.xxh3_64_intdigest(words[k])
+                if len(words[k]) <= WORD_BYTES and len(known) <= WORDS:
+                    known[words[k]] = h
     return np.array(found, np.uint64)
 
 
@@ -67,37 +74,39 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
     return np.unique(x.view(np.int64))
 
 
+def fingerprint(s: np.ndarray) -> bytes | None:
+    """128 bits of a set; None for an empty one."""
+    return xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
+
+
 def sketches(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, n (size of the set), fp (fingerprint of the set; null for an empty one), sketch (K least values)."""
+    """doc_id, mark (hash of the text), n (size of the set), fp (fingerprint of the set; null for an empty one), sketch (K least values)."""
 
-    def run(doc_id, text):
+    def run(doc_id, mark, text):
         sets = [shingle_set(t, shingle) for t in text]
-        return {"doc_id": doc_id, "n": [len(s) for s in sets], "fp": [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None for s in sets], "sketch": [s[:K] for s in sets]}
+        return {"doc_id": doc_id, "mark": mark, "n": [len(s) for s in sets], "fp": list(map(fingerprint, sets)), "sketch": [s[:K] for s in sets]}
 
-    return map_columns(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id long, n long, fp long, sketch array<long>", run)
+    return map_columns(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text"), "doc_id long, mark long, n long, fp binary, sketch array<long>", run)
 
 
-def full_sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
-    """id, fp, hashes: full sets of the documents in ids (id, fp). Rows are skipped by hash bucket first; their buckets are at most BUCKETS."""
+def full_sets(docs: DataFrame, classes: DataFrame, shingle: int) -> DataFrame:
+    """cid, hashes: full sets of classes (cid, id, fp), from the documents that name them. Rows are skipped by hash bucket first; their buckets are at most BUCKETS."""
     bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(BUCKETS))
-    buckets = ids.select(bucket("id").alias("bucket")).distinct()
+    buckets = classes.select(bucket("id").alias("bucket")).distinct()
     near = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("bucket", bucket("doc_id")).join(F.broadcast(buckets), "bucket", "left_semi")
 
     def run(doc_id, text):
         sets = [shingle_set(t, shingle) for t in text]
-        return {"id": doc_id, "fp": [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None for s in sets], "hashes": [s.tobytes() for s in sets]}
+        return {"doc": doc_id, "print": list(map(fingerprint, sets)), "hashes": [s.tobytes() for s in sets]}
 
-    sets = map_columns(near.select("doc_id", "text"), "id long, fp long, hashes binary", run)
-    sets = sets.join(ids, ["id", "fp"], "left_semi")
-    return sets.groupBy("id", "fp").agg(F.first("hashes").alias("hashes"))
+    sets = map_columns(near.select("doc_id", "text"), "doc long, print binary, hashes binary", run)
+    sets = sets.join(classes, F.col("doc").eqNullSafe(F.col("id")) & (F.col("print") == F.col("fp")))
+    return sets.groupBy("cid").agg(F.any_value("hashes").alias("hashes"))
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs (a, fa, b, fb) whose full sets are similar enough: (a, b)."""
-    ids = pairs.select(F.col("a").alias("id"), F.col("fa").alias("fp")).unionByName(pairs.select(F.col("b").alias("id"), F.col("fb").alias("fp"))).distinct()
-    sets = shared_table(full_sets(docs, shared_table(ids, "ids"), shingle), "sets")
-    both = pairs.join(sets.select(F.col("id").alias("b"), F.col("fp").alias("fb"), F.col("hashes").alias("hb")), ["b", "fb"])
-    both = both.join(sets.select(F.col("id").alias("a"), F.col("fp").alias("fa"), F.col("hashes").alias("ha")), ["a", "fa"])
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough."""
+    both = pairs.join(sets.select(F.col("cid").alias("b"), F.col("hashes").alias("hb")), "b").join(sets.select(F.col("cid").alias("a"), F.col("hashes").alias("ha")), "a")
 
     def run(a, b, ha, hb):
         keep = []
@@ -123,19 +132,19 @@ def _low(percent: int) -> float:
 
 
 def _listed(classes: DataFrame) -> DataFrame:
-    """tok, id, fp, n, sketch: each class under the values that a similar one must share one of. Of lists with the same members one stays."""
-    one = classes.select("id", "fp", F.explode("sketch").alias("tok"))
+    """tok, cid, id, n, sketch: each class under the values that a similar one must share one of. Of lists with the same members one stays."""
+    one = classes.select("cid", F.explode("sketch").alias("tok"))
     often = one.groupBy("tok").agg(F.count("*").alias("df")).where("df > 1")
     m = F.col("m")
     keep = (m - F.least(F.lit(MIN_SHARED), F.ceil(m * 0.7)) + 1).cast("int")
     # the values that no other class has come first in the order; they list nothing
-    toks = one.join(often, "tok").groupBy("id", "fp").agg(F.array_sort(F.collect_list(F.struct("df", "tok"))).alias("toks"))
-    toks = toks.join(classes, ["id", "fp"]).withColumn("m", F.size("sketch")).withColumn("room", keep - (m - F.size("toks")))
-    rows = shared_table(toks.where("room > 0").select(F.explode(F.slice("toks", 1, F.col("room"))["tok"]).alias("tok"), "id", "fp"), "lists")
-    member = F.xxhash64("id", "fp").cast("decimal(38,0)")
+    toks = one.join(often, "tok").groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("df", "tok"))).alias("toks"))
+    toks = toks.join(classes.select("cid", F.size("sketch").alias("m")), "cid").withColumn("room", keep - (m - F.size("toks")))
+    rows = shared_table(toks.where("room > 0").select(F.explode(F.slice("toks", 1, F.col("room"))["tok"]).alias("tok"), "cid"), "lists")
+    member = F.xxhash64("cid").cast("decimal(38,0)")
     lists = rows.groupBy("tok").agg(F.sum(member).alias("members"), F.count("*").alias("size")).where("size > 1")
     lists = shared_table(lists.groupBy("members", "size").agg(F.min("tok").alias("tok")).select("tok"), "lists-kept")
-    return rows.join(lists, "tok").join(classes, ["id", "fp"]).select("tok", "id", "fp", "n", "sketch")
+    return rows.join(lists, "tok").join(classes.select("cid", "id", "n", "sketch"), "cid").select("tok", "cid", "id", "n", "sketch")
 
 
 def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
@@ -189,24 +198,28 @@ def _tile(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
     return edges
 
 
-def across_components(listed: DataFrame, parts: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Links (a, b) between members of a list that lie in different components; exact, on full sets, in windows of WINDOW rows."""
-    placed = listed.join(parts.withColumnRenamed("component", "c"), "id", "left").withColumn("c", F.coalesce("c", "id"))
+def across_components(listed: DataFrame, parts: DataFrame, sets_of, percent: int) -> DataFrame:
+    """Links (a, b) between members of a list that lie in different components; exact, on full sets, in windows of WINDOW rows and WINDOW_BYTES at most, about.
+
+    sets_of: gives the full sets of classes (cid).
+    """
+    placed = listed.drop("id").join(parts.withColumnRenamed("id", "cid").withColumnRenamed("component", "c"), "cid", "left").withColumn("c", F.coalesce("c", "cid"))
     placed = shared_table(placed, "placed")
-    mixed = placed.groupBy("tok").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("tok", "size")
+    mixed = placed.groupBy("tok").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size"), F.sum("n").alias("total")).where("lo < hi")
+    # a list longer than a window is dealt over parts of half a window; each pair of parts is a window
+    parts_ = F.greatest(F.ceil(F.col("size") * 2 / WINDOW), F.ceil(F.col("total") * 16 / WINDOW_BYTES)).cast("int")
+    mixed = mixed.select("tok", F.when(parts_ <= 2, 1).otherwise(parts_).alias("parts"))
     placed = shared_table(placed.join(shared_table(mixed, "mixed"), "tok"), "mixed-lists")
-    sets = shared_table(full_sets(docs, shared_table(placed.select("id", "fp").distinct(), "ids"), shingle), "sets")
-    rows = placed.join(sets, ["id", "fp"])
-    # a list longer than a window is dealt over parts; each pair of parts is a window
-    rows = rows.withColumn("parts", F.ceil(F.col("size") * 2 / WINDOW).cast("int")).withColumn("part", F.when(F.col("size") <= WINDOW, 0).otherwise(F.pmod(F.xxhash64("id", "fp"), F.col("parts"))).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.when(F.col("size") <= WINDOW, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))))
+    rows = placed.join(sets_of(placed.select("cid").distinct()), "cid")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.withColumns({"lo": F.least("part", "other"), "hi": F.greatest("part", "other")})
     key = ["tok", "lo", "hi"]
-    rows = rows.repartition(*key).sortWithinPartitions(*key).select(*key, "id", "n", "c", "part", "sketch", "hashes")
+    rows = rows.repartition(*key).sortWithinPartitions(*key).select(*key, "cid", "n", "c", "part", "sketch", "hashes")
+    small_batches(rows)
 
     def windows(batches):
         held, last = [], None  # the rows of a window, which may go on in the next batch
-        for b in batches:
+        for b in slices(batches, WINDOW):
             cols = [b.column(i).to_pylist() for i in range(b.num_columns)]
             for *k, i, n, c, part, sketch, hashes in zip(*cols, strict=True):
                 if k != last:
@@ -214,34 +227,75 @@ def across_components(listed: DataFrame, parts: DataFrame, docs: DataFrame, shin
                     held, last = [], k
                 held.append((i, n, c, part if k[1] != k[2] else None, sketch, hashes))
         yield from done(held)
+        held.clear()
+        give_back()
 
     def done(held):
         if len(held) > 1 and (edges := _tile(held, percent)):
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*edges, strict=True)], ["a", "b"])
 
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(WINDOW))
     return rows.mapInArrow(windows, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of each row, by sets of `shingle` words and a similarity of `percent` or more."""
+def grouped(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, mark, n, component (null for an empty set), name (least doc_id of the component) of each row."""
     rows = shared_table(sketches(docs, shingle), "sketches")
-    classes = rows.where("fp is not null").groupBy("fp", "n").agg(F.min(F.struct("doc_id", "sketch")).alias("x"), F.min("doc_id").alias("id"))
-    classes = shared_table(classes.select("id", "fp", "n", F.col("x.sketch").alias("sketch")), "classes")
-    listed = shared_table(_listed(classes.where("id is not null")), "listed")
-
-    left = lambda d: d.select("tok", F.col("id").alias("a"), F.col("fp").alias("fa"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    right = lambda d: d.select("tok", F.col("id").alias("b"), F.col("fp").alias("fb"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    hubs = shared_table(listed.groupBy("tok").agg(F.min(F.struct("id", "n", "fp", "sketch")).alias("h")).select("tok", "h.*"), "hubs")
-    first = left(hubs).join(right(listed), "tok").where((F.col("fa") != F.col("fb")) & _alike(percent)).select("a", "fa", "b", "fb").distinct()
-    links = shared_table(confirmed(shared_table(first, "pairs"), docs, shingle, percent), "links")
+    classes = rows.where("fp is not null").groupBy("fp", "n").agg(F.min("doc_id").alias("id"), F.any_value("sketch").alias("sketch"))
+    classes = shared_table(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    listed = shared_table(_listed(classes), "listed")
+    named = classes.select("cid", "id", "fp")
+
+    left = lambda d: d.select("tok", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    right = lambda d: d.select("tok", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    hubs = shared_table(listed.groupBy("tok").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "cid", "n", "sketch")).alias("h")).select("tok", "h.*"), "hubs")
+    pairs = shared_table(left(hubs).join(right(listed), "tok").where((F.col("a") != F.col("b")) & _alike(percent)).select("a", "b").distinct(), "pairs")
+    ids = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
+    sets = shared_table(full_sets(docs, shared_table(named.join(ids, "cid"), "ids"), shingle), "sets")
+    links = shared_table(confirmed(pairs, sets, percent), "links")
     parts = shared_table(connected_components(links), "parts")
-    more = shared_table(across_components(listed, parts, docs, shingle, percent), "links")
+
+    def sets_of(cids: DataFrame) -> DataFrame:
+        new = shared_table(named.join(cids, "cid").join(sets.select("cid"), "cid", "left_anti"), "ids")
+        return sets if new.isEmpty() else sets.unionByName(shared_table(full_sets(docs, new, shingle), "sets"))
+
+    more = shared_table(across_components(listed, parts, sets_of, percent), "links")
     if not more.isEmpty():
         parts = shared_table(connected_components(links.unionByName(more)), "parts")
-    named = shared_table(classes.join(parts, "id", "left").select("fp", "n", F.coalesce("component", "id").alias("c")), "named")
-    out = rows.drop("sketch").join(named, ["fp", "n"], "left").withColumn("component_id", F.coalesce("c", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    placed = classes.select("cid", "id", "fp", "n").join(parts.select(F.col("id").alias("cid"), "component"), "cid", "left").select("fp", "n", "id", F.coalesce("component", "cid").alias("component"))
+    placed = shared_table(placed, "placed")
+    names = placed.groupBy("component").agg(F.min("id").alias("name"))
+    placed = shared_table(placed.drop("id").join(names, "component"), "named")
+    return rows.drop("sketch").join(placed, ["fp", "n"], "left").select("doc_id", "mark", "n", "component", "name")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of each row, by sets of `shingle` words and a similarity of `percent` or more."""
+    rows = shared_table(grouped(docs, shingle, percent), "grouped")
+    nameless = rows.where("component is not null and name is null").groupBy("component").agg(F.min("mark").alias("least"))
+    rows = rows.join(nameless, "component", "left")
+    name = F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("name"))
+    kept = F.when(F.col("least").isNotNull(), F.col("mark") == F.col("least")).otherwise(F.col("doc_id").eqNullSafe(name))
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), name.alias("component_id"), kept.alias("kept"))
+
+
+def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """docs without near-duplicates: of each component one row stays, the one with the least doc_id (nulls last), then the least text hash, then the least other columns. Rows without words all stay.
+
+    Columns must have an order. Rows to be dropped leave by an anti join on (doc_id, hash of the text).
+    """
+    rows = shared_table(grouped(docs, shingle, percent).where("component is not null"), "grouped")
+    first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")).alias("first"))
+    rows = rows.groupBy("component", "doc_id", "mark").agg(F.count("*").alias("copies")).join(first, "component")
+    rows = rows.select(F.col("doc_id").alias("id"), F.col("mark").alias("m"), "copies", (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("mark") == F.col("first.mark"))).alias("stays"))
+    rows = shared_table(rows, "decided")
+    marked = docs.withColumn("_mark", F.xxhash64("text"))
+    is_in = marked["doc_id"].cast("long").eqNullSafe(F.col("id")) & (marked["_mark"] == F.col("m"))
+    out = marked.join(rows.where("not stays"), is_in, "left_anti")
+    again = rows.where("stays and copies > 1")
+    if not again.isEmpty():
+        several = out.join(again, is_in, "left_semi").groupBy(F.col("doc_id").alias("_id"), "_mark").agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*")
+        return out.join(again, is_in, "left_anti").select(*docs.columns).unionByName(several)
+    return out.select(*docs.columns)
 
 
 def oracle_sql(shingle: int = 3, percent: int = 85) -> str:
