@@ -4,8 +4,10 @@ Method: character n-grams of 1 to 3 letters (lower case; all else is one blank)
 TF-IDF and scaled to length one; a sparse multinomial logistic regression is trained on them by follow-the-regularised-
 leader (FTRL-proximal) with an elastic-net penalty; a temperature fitted on a held-back part of the sample calibrates it.
 
-The document frequencies are counted over all rows that may be learned from. The regression is fitted on a bounded
-sample of them: at most PER_LANG rows of a language, those with the least hash of doc_id.
+The document frequencies are counted over all rows that may be learned from. The regression is fitted on a bounded sample of them: at most
+PER_LANG rows of a language and SAMPLE rows in all, shared alike by the languages (one row of each at least, so no language is left
+out), those with the least hash of doc_id and text. Equal rows (doc_id, lang and text) count once in the sample. A row
+without doc_id is not learned from.
 
 Edge cases: a text that is null or has no letters is `und` with score 0. Without any rows to learn from, every text is
 `und`. Texts are read whole; memory for a text is a few numbers for each character. Ties between languages go to the
@@ -18,13 +20,12 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from listwright.llm.arrow import map_columns
-from listwright.session import shared_table
+from listwright.llm.arrow import give_back, map_columns, slices, small_batches
 
-DIMS, PER_LANG, MAX_LANGS, EPOCHS = 1 << 15, 1000, 400, 3
+DIMS, PER_LANG, SAMPLE, EPOCHS = 1 << 15, 1000, 20_000, 3
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 1e-3, 1e-4
 
 _LETTER = np.zeros(0x110000, bool)
@@ -102,55 +103,63 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], k: int) -> np.ndarray:
     return np.where(np.abs(z) <= L1, 0.0, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
 
 
+def drawn(rows: DataFrame, sizes: list, quota: int) -> DataFrame:
+    """At most quota rows (doc_id, lang, text) of each language: those with the least hash of doc_id and text. sizes: lang and count of each.
+
+    A share of each language is cut out by the hash first, somewhat over the quota, so that what is made distinct and sorted is bounded too.
+    """
+    share = rows.sparkSession.createDataFrame([(r["lang"], min(1.0, (1.5 * quota + 50) / r["count"])) for r in sizes], "lang string, share double")
+    u = F.xxhash64("doc_id", "text", F.lit("langid"))
+    some = rows.join(F.broadcast(share), "lang").withColumn("u", u).where(F.shiftrightunsigned("u", 11) / float(1 << 53) < F.col("share"))
+    some = some.groupBy("lang", "doc_id", "u").agg(F.any_value("text").alias("text"))
+    least = Window.partitionBy("lang").orderBy("u", "doc_id")
+    return some.withColumn("k", F.row_number().over(least)).where(F.col("k") <= quota).select("doc_id", "lang", "text")
+
+
+def slim(model: Model) -> Model:
+    """The model in single precision, as it is sent to the executors: DIMS x languages numbers."""
+    return Model(model.langs, model.weights.astype(np.float32), model.idf.astype(np.float32), model.temperature)
+
+
 def train(docs: DataFrame) -> Model:
     """A model from the text and non-null lang of the rows that are not held out."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang")).where("doc_id is not null and lang is not null and text is not null").where(~held_out())
+    sizes = rows.groupBy("lang").count().collect()  # a row for each language
     if not sizes:
         return Model([], np.zeros((DIMS, 0)), np.zeros(DIMS), 1.0)
+    small_batches(docs)
 
     def frequencies(batches):
         import pyarrow as pa
 
         df, n = np.zeros(DIMS, np.int64), 0
-        for b in batches:
+        for b in slices(batches):
             for t in b.column(0).to_pylist():
                 if (tf := counts(t)) is not None:
                     df += tf > 0
                     n += 1
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array([-1, *at.tolist()], pa.int32()), pa.array([n, *df[at].tolist()], pa.int64())], ["bucket", "n"])
+        give_back()
 
-    from listwright.llm.arrow import BATCH
-
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
     # a row for each bucket at most comes to the driver
     df = np.zeros(DIMS + 1)
     for r in rows.select("text").mapInArrow(frequencies, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
         df[r["bucket"]] = r["n"]
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
 
-    # a share of each language by hash, somewhat over PER_LANG, then the rows with the least hash
-    share = F.create_map(*(F.lit(x) for r in sizes for x in (r["lang"], min(1.0, 1.5 * PER_LANG / r["count"] + 0.0))))
-    u = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("langid")), 11) / float(1 << 53)
-    ids = rows.select("doc_id", "lang").where(u < share[F.col("lang")]).groupBy("lang", "doc_id").agg(F.lit(1).alias("one"))
-    from pyspark.sql import Window
-
-    ids = ids.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit("langid")), "doc_id"))).where(F.col("k") <= PER_LANG)
-    ids = shared_table(ids.select("lang", "doc_id"), "langid-sample")
-
     def features(lang, text):
-        tf = [counts(t) for t in text]
-        at = [np.flatnonzero(x) if x is not None else np.zeros(0, np.int64) for x in tf]
-        return {"lang": lang, "at": at, "tf": [x[a] if x is not None else a for x, a in zip(tf, at, strict=True)]}
+        tf = [x if (x := counts(t)) is not None else np.zeros(0, np.int64) for t in text]
+        at = list(map(np.flatnonzero, tf))
+        return {"lang": lang, "at": [a.astype(np.int32).tobytes() for a in at], "tf": [x[a].astype(np.float32).tobytes() for x, a in zip(tf, at, strict=True)]}
 
-    # at most PER_LANG ids for each of MAX_LANGS languages
-    sample = map_columns(rows.join(F.broadcast(ids), ["doc_id", "lang"]).select("lang", "text"), "lang string, at array<int>, tf array<int>", features)
-    found = sorted(((r["lang"], r["at"], r["tf"]) for r in sample.collect() if r["at"]))
+    quota = max(1, min(PER_LANG, SAMPLE // len(sizes)))
+    sample = map_columns(drawn(rows, sizes, quota).select("lang", "text"), "lang string, at binary, tf binary", features)
+    found = sorted((r["lang"], bytes(r["at"]), bytes(r["tf"])) for r in sample.collect() if r["at"])  # quota rows a language, two numbers for each bucket that a text has
     langs = sorted({r[0] for r in found})
     data = []
     for lang, at, tf in found:
-        at, x = np.array(at), np.array(tf, float)
+        at, x = np.frombuffer(at, np.int32), np.frombuffer(tf, np.float32).astype(float)
         data.append((at, vector(x, idf[at]), langs.index(lang)))
     order = np.random.default_rng(7).permutation(len(data))
     back = [data[i] for i in order[: len(data) // 5]]
@@ -170,8 +179,7 @@ def temperature(scores: list[np.ndarray], classes: list[int]) -> float:
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred, score of each whole text; the model is trained on docs if none is given."""
     model = model or train(docs)
-    slim = model.weights.astype(np.float32)
-    shared = docs.sparkSession.sparkContext.broadcast(Model(model.langs, slim, model.idf.astype(np.float32), model.temperature))  # DIMS x MAX_LANGS numbers at most
+    shared = docs.sparkSession.sparkContext.broadcast(slim(model))
 
     def run(doc_id, held, text):
         lang, score = zip(*map(shared.value.predict, text), strict=True)
