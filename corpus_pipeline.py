@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from listwright.llm import op4_toxicity, op6_langid, op8_mixing, op9_minhash, op10_bpe
-from listwright.llm.arrow import BATCH
+from listwright.llm.arrow import add_columns
 from listwright.session import shared_table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -19,50 +19,56 @@ MIN_LANG_SCORE = 0.3
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the model knows; lang is set to the predicted one where it is null."""
-    model = op6_langid.train(docs)
-    shared = spark.sparkContext.broadcast(model)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
+    """Documents in a language that the model knows; lang is set to the predicted one where it is null.
 
-    @F.pandas_udf("struct<lang: string, score: double>")
-    def predict(text):
-        import pandas as pd
+    Null and empty texts, and texts without letters, go; long texts are read whole; repeated rows are decided alike. An empty
+    table stays empty; columns beside those of documents are left out.
+    """
+    shared = spark.sparkContext.broadcast(op6_langid.slim(op6_langid.train(docs)))
 
-        return pd.DataFrame(list(map(shared.value.predict, text)), columns=["lang", "score"])
+    def predict(text):
+        lang, score = zip(*map(shared.value.predict, text), strict=True)
+        return {"_lang": lang, "_score": score}
 
-    # not to be evaluated anew for the filter
-    p = docs.withColumn("_p", predict.asNondeterministic()("text")).where((F.col("_p.lang") != "und") & (F.col("_p.score") >= MIN_LANG_SCORE))
-    return p.withColumn("lang", F.coalesce("lang", "_p.lang")).select(*COLUMNS)
+    found = add_columns(docs.select(*COLUMNS), ["text"], "_lang string, _score double", predict)
+    return found.where((F.col("_lang") != "und") & (F.col("_score") >= MIN_LANG_SCORE)).withColumn("lang", F.coalesce("lang", "_lang")).select(*COLUMNS)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not predicted toxic."""
-    model = op4_toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    shared = spark.sparkContext.broadcast(model)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
-
-    @F.pandas_udf("double")
-    def score(text):
-        return text.map(shared.value.score)
+    """Documents that are not predicted toxic.
 
-    return docs.where(score("text") < op4_toxicity.THRESHOLD).select(*COLUMNS)
+    Null and empty texts have the score of a text without words and stay; long texts are read whole; repeated rows are decided
+    alike. An empty table stays empty; columns beside those of documents are left out.
+    """
+    shared = spark.sparkContext.broadcast(op4_toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    found = add_columns(docs.select(*COLUMNS), ["text"], "_score double", lambda text: {"_score": list(map(shared.value.score, text))})
+    return found.where(F.col("_score") < op4_toxicity.THRESHOLD).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the smallest doc_id; of rows with one doc_id, one."""
-    found = shared_table(op9_minhash.near_duplicates(docs), "found")
-    out = docs.select(*COLUMNS).join(found.where("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
-    again = found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    return out if again.isEmpty() else out.where("doc_id is null").unionByName(out.where("doc_id is not null").dropDuplicates(["doc_id"]))
+    """One document of each group: the one with the least doc_id, nulls last; of several with one doc_id the one with the least text hash.
+
+    Decisions are made for rows, not for ids: a row whose text is in no group stays whatever other rows share its doc_id. Null
+    texts and texts without words are in no group and all stay; equal rows are one group; long texts are read whole. An empty
+    table stays empty; columns beside those of documents are left out.
+    """
+    return op9_minhash.one_of_each(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix as documents: each document once for each pass that takes words of it, with these words."""
+    """The mix as documents: each document once for each pass that takes words of it, with these words.
+
+    Null texts and texts without words hold no words, so the mix takes none of them; a null source is a source; repeated rows are
+    documents of their own; a long text spans many blocks. An empty table stays empty; columns beside those of documents are left out.
+    """
     return op8_mixing.mixed_documents(docs).select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Number of tokens, and hashes of the ids and of what they decode to, for each text."""
+    """Number of tokens, and hashes of the ids and of what they decode to, for each text.
+
+    A null text has no tokens; repeated rows are encoded one by one, texts whole. An empty table stays empty.
+    """
     return op10_bpe.digest_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
