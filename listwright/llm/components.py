@@ -1,8 +1,8 @@
 """Connected components of an edge table by alternating large-star and small-star steps.
 
 Nothing is collected but two numbers for each round. Neighbour lists are never built: a step takes the least neighbour
-of each node with a partial aggregate, writes it, and joins it back, so that a node with very many neighbours is a
-skewed sort-merge join, which adaptive execution splits. Each round is written to the shared folder.
+of each node with a partial aggregate and joins it back, so that a node with very many neighbours is a
+skewed sort-merge join, which adaptive execution splits. The edges after each step are written to the shared folder.
 """
 
 from __future__ import annotations
@@ -20,12 +20,13 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     state = _state(e)
     while state[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = shared_table(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
-        large = shared_table(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
-        low2 = shared_table(large.groupBy("u").agg(F.min("v").alias("m")), "least")
-        small = large.join(low2, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low2.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        new = shared_table(small, "edges")
-        for x in (e, low, large, low2):
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = shared_table(large, "large")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.*")
+        new = shared_table(small.where("u <> v").distinct(), "edges")
+        for x in (e, large):
             drop_shared(x)
         e, old, state = new, state, _state(new)
         if state == old:

@@ -4,11 +4,13 @@ import base64
 import collections
 import hashlib
 import html
+import math
 import re
 import textwrap
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import tiktoken
@@ -231,13 +233,65 @@ def test_vectors_by_brute_force(spark):
 
 def test_vectors_in_long_runs(spark, monkeypatch):
     monkeypatch.setattr(op7_embedding, "WINDOW", 16)
+    monkeypatch.setattr(op7_embedding, "SPAN", 3)
     rng = np.random.default_rng(4)
     rows = [(i, (np.ones(8) + 0.02 * rng.standard_normal(8)).tolist(), 0) for i in range(200)]
+    rows += [(200 + i, (rng.standard_normal(8)).tolist(), 1) for i in range(120)]
     x = np.array([r[1] for r in rows])
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    want = ((x @ x.T >= 0.98).sum(axis=1) - 1).tolist()
+    label = np.array([r[2] for r in rows])
+    near = (x @ x.T >= 0.98) & (label[:, None] == label[None, :])
+    want = (near.sum(axis=1) - 1).tolist()
     got = op7_embedding.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).orderBy("vec_id").collect()
-    assert [r.n_links for r in got] == want and {r.component_id for r in got} == {0}
+    assert [r.n_links for r in got] == want and {r.component_id for r in got[:200]} == {0}
+
+
+def test_vectors_at_the_threshold(spark):
+    """Pairs whose cosine is just under or over 0.98, by amounts down to what double precision can tell."""
+    rows, want = [], {}
+    for k, off in enumerate([-1e-9, -1e-11, -1e-12, -4e-13, -1e-14, 1e-14, 4e-13, 1e-12, 1e-11, 1e-9]):
+        c = 0.98 + off
+        x, y = np.array([1.0, 0.0, 0.0]), np.array([c, math.sqrt(1 - c * c), 0.0])
+        rows += [(2 * k, x.tolist(), k), (2 * k + 1, y.tolist(), k)]
+        want[2 * k] = want[2 * k + 1] = int(op7_embedding.exact_cosine(x, y) >= 0.98)
+        if abs(off) >= 1e-14:
+            assert want[2 * k] == (off > 0)
+    got = op7_embedding.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert {r.vec_id: r.n_links for r in got} == want
+
+
+def test_vectors_without_ids(spark):
+    rows = [(None, [1.0, 0.0], 1), (None, [1.0, 0.0], 1), (None, [1.0, 0.01], 1), (4, [0.0, 1.0], 1), (None, [0.01, 1.0], 1), (5, [1.0, 1.0], 2), (5, [1.0, 1.0], 2)]
+    got = op7_embedding.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted(r.n_links for r in got) == [1, 1, 1, 1, 2, 2, 2]
+    assert collections.Counter((r.vec_id, r.component_id) for r in got) == {(None, None): 3, (4, 4): 1, (None, 4): 1, (5, 5): 2}
+    assert 1 <= sum(r.kept for r in got if r.component_id is None) <= 2 and all(r.kept == (r.vec_id == 4) for r in got if r.component_id == 4)
+
+
+def test_vector_recall_by_brute_force_on_many(spark):
+    """100,000 vectors of two labels in one pass of blocks each and many runs: every link is found."""
+    rng = np.random.default_rng(8)
+    n, dim = 100_000, 32
+    base = rng.standard_normal((n // 4, dim))
+    x = (base[rng.integers(0, len(base), n)] + 0.13 * rng.standard_normal((n, dim))).astype(np.float32)
+    label = rng.integers(0, 2, n)
+    df = spark.createDataFrame(pa.table({"vec_id": pa.array(np.arange(n)), "embedding": pa.array(list(x), pa.list_(pa.float32())), "label": pa.array(label, pa.int32())}))
+    got = dict(op7_embedding.near_duplicate_vectors(df).select("vec_id", "n_links").collect())
+    u = x.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    want = np.zeros(n, np.int64)
+    for c in (0, 1):
+        at = np.flatnonzero(label == c)
+        m = u[at].astype(np.float32)
+        for s in range(0, len(at), 2000):
+            sim = m[s : s + 2000] @ m.T
+            i, j = np.nonzero(sim >= 0.98 - 1e-4)
+            same = np.einsum("ij,ij->i", u[at[s + i]], u[at[j]]) >= 0.98
+            np.add.at(want, at[s + i[same]], 1)
+    want -= 1
+    found = np.array([got[i] for i in range(n)])
+    assert want.sum() > 50_000 and (found <= want).all()
+    assert found.sum() >= 0.9999 * want.sum()
 
 
 def shingles(text, n):
