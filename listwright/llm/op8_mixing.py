@@ -1,17 +1,19 @@
 """Mixing sources to target weights.
 
 Method: the words of each source's documents, in a hashed order, are packed into blocks of a fixed length. The mix is a
-number of output shards of SHARD_SLOTS slots; each shard draws how many of its slots each source gets, multinomially
-(the whole parts of the expected counts are given, the rest is drawn slot by slot), from hashes alone. The slots of a source, numbered over all
-shards, are mapped to its blocks by a pseudorandom permutation of block indexes, a new one for each pass over the source,
-and joined to the blocks by index. No document is used more often than the passes, two at most.
+number of output shards of SHARD_SLOTS slots; the source counts of each shard are a multinomial draw: every slot draws its
+source by itself, by weight, from a hash of its number. Draws miss a source's target by about the root of its slots, so what all
+shards together drew too many of a source is left out at its end, and what they drew too few of comes in additional shards. The
+slots of a source, numbered over all shards, are mapped to its blocks by a pseudorandom permutation of block indexes, a new one for each
+pass over the source, and joined to the blocks by index. The permutation is a keyed Feistel network over two digits of a block's
+number, walked on until it comes to a block that exists. No document is used more often than the passes, two at most.
 
 Order within a source needs no task that sees a whole source: documents are dealt into buckets by hash, each bucket is
-summed up by itself, and the buckets' sums are added up.
+summed up by itself, and the buckets' sums are added up in two levels, as are the shards' counts.
 
 Edge cases: a null text, or one without words, has size 0 and is taken 0 times; a null source is a source of its own, the
-last; sources without words have target 0. Ties and repeated rows are separate documents. Very long texts span many
-blocks. Other columns are not read; an empty table gives an empty table.
+last; sources without words have target 0. Ties and repeated rows are separate documents; a row that is there very often is dealt
+out in steps. Very long texts span many blocks. Other columns are not read; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -24,8 +26,10 @@ from listwright.session import shared_table
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS, SHARE, PASSES, BLOCK, SHARD_SLOTS, SEED = (3.0, 1.0, 2.0), 1.5, 2, 128, 4096, "mix-1"
 BUCKET_ROWS = 20_000
-#: Primes over the number of blocks that a source can have; a prime is coprime to every smaller number.
-PRIMES = (2305843009213693951, 2305843009213693921, 2305843009213693907, 2305843009213693723)
+#: Steps of a walk in a permutation: it ends within them if a source has up to WALK^2 blocks, else but for a chance under WALK^(1 - WALK).
+WALK, ROUNDS = 64, 3
+#: Slots that a task makes at least, and rows that a level of running sums takes at once.
+TASK_SLOTS, STEP = 100_000, 4096
 
 
 def unit(*cols: Column | str) -> Column:
@@ -51,42 +55,84 @@ def targets(sizes: DataFrame) -> DataFrame:
     return s.select("source", "source_size", "rank", "weight", F.when(F.col("full"), F.col("cap")).otherwise(F.col("open_level") * F.col("weight")).alias("target"))
 
 
+def running(df: DataFrame, part: str, order: str, value: str, name: str) -> DataFrame:
+    """Add the sum of value over the rows of a part with a smaller order (whole numbers, each once in a part), in two levels: no task sees a whole part."""
+    d = df.withColumn("_g", F.floor(F.col(order) / STEP))
+    upper = d.groupBy(part, "_g").agg(F.sum(value).alias("_s"))
+    over = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    upper = upper.select(part, "_g", F.coalesce(F.sum("_s").over(over(part, "_g")), F.lit(0)).alias("_up"))
+    d = d.withColumn("_in", F.coalesce(F.sum(value).over(over(part, "_g", order)), F.lit(0))).join(upper, [part, "_g"])
+    return d.withColumn(name, (F.col("_up") + F.col("_in")).cast("long")).drop("_g", "_up", "_in")
+
+
+def each_of(df: DataFrame, n: str, name: str) -> DataFrame:
+    """Every row n times, numbered from 0, without an array of n numbers."""
+    d = df.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1, F.lit(STEP).cast("long"))))
+    return d.withColumn(name, F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + STEP, F.col(n)) - 1))).drop("_from")
+
+
 def slot_counts(sources: DataFrame) -> DataFrame:
-    """rank, shard, first, n: the slots that each source gets in each output shard, numbered over the shards of a source.
+    """rank, blocks, shard, first, n: the slots that each source gets in each output shard, numbered over the shards of a source.
 
-    sources: rank, target, blocks. Only sources x shards rows are made; the slots that are drawn singly are at most the number of sources in a shard.
+    sources: rank, target, blocks, source_size. A source is due as many slots as bring its target at its mean words a block.
     """
-    every = Window.partitionBy(F.lit(0))
-    s = sources.where("target > 0 and blocks > 0").withColumn("total", F.sum("target").over(every)).withColumn("slots", F.greatest(F.lit(1), F.round(F.col("total") / BLOCK)).cast("long"))
-    s = s.withColumn("shards", F.ceil(F.col("slots") / SHARD_SLOTS))
-    s = s.withColumn("share", F.col("target") / F.col("total"))
-    grid = s.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)))
-    here = F.least(F.lit(SHARD_SLOTS).cast("long"), F.col("slots") - F.col("shard") * SHARD_SLOTS)
-    grid = grid.withColumn("expected", here * F.col("share")).withColumn("sure", F.floor("expected"))
-    line = Window.partitionBy("shard").orderBy("rank")
-    grid = grid.withColumn("rest", F.col("expected") - F.col("sure"))
-    grid = grid.withColumn("up", F.sum("rest").over(line)).withColumn("open", F.round(F.sum("rest").over(Window.partitionBy("shard"))).cast("int"))
-    # a draw is a number in (0, open); the source whose stretch of the cumulated rests it meets gets one slot more
-    draws = F.transform(F.sequence(F.lit(1), F.col("open")), lambda k: F.col("open") * unit(F.col("shard"), k))
-    hit = F.size(F.filter(draws, lambda d: (d > F.col("up") - F.col("rest")) & (d <= F.col("up"))))
-    grid = grid.withColumn("n", F.col("sure") + F.when(F.col("open") > 0, hit).otherwise(0))
-    upto = Window.partitionBy("rank").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    grid = grid.withColumn("first", F.coalesce(F.sum("n").over(upto), F.lit(0)))
-    # what a draw gives beyond all passes over a source does not exist
-    limit = F.greatest(F.lit(0), F.col("blocks") * PASSES - F.col("first"))
-    return grid.select("rank", "blocks", "shard", "first", F.least("n", limit).alias("n")).where("n > 0")
-
-
-def slots(counts: DataFrame) -> DataFrame:
-    """shard, rank, slot, pass, block: one row for each slot of the mix."""
-    # a row of counts holds up to SHARD_SLOTS slots; dealt out first, as few tasks make the counts
-    s = counts.repartition("rank", "shard").withColumn("slot", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)))
+    spark = sources.sparkSession
+    due = F.round(F.col("target") * F.col("blocks") / F.col("source_size")).cast("long")
+    s = sources.where("target > 0 and blocks > 0").select("rank", "blocks", F.least(due, F.col("blocks") * PASSES).alias("due")).where("due > 0")
+    total, number = s.agg(F.sum("due"), F.count("*")).first()
+    if not total:
+        return spark.createDataFrame([], "rank int, blocks long, shard long, first long, n long")
+    # a source owns a stretch of (0, 1); a draw finds it by the cell that it falls in
+    cells, line = max(4096, 4 * number), Window.orderBy("rank")
+    s = s.withColumn("hi", F.sum("due").over(line) / total).withColumn("lo", F.lag("hi", 1, 0.0).over(line)).withColumn("hi", F.when(F.lead("rank").over(line).isNull(), 2.0).otherwise(F.col("hi")))
+    s = shared_table(s, "shares")
+    guide = s.select("rank", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") * cells), F.least(F.lit(cells - 1).cast("long"), F.floor(F.col("hi") * cells)))).alias("cell"))
+    guide = shared_table(guide, "guide")
+    draws = spark.range(0, total, 1, total // TASK_SLOTS + 1).select(F.floor(F.col("id") / SHARD_SLOTS).alias("shard"), unit(F.lit("draw"), "id").alias("u"))
+    draws = draws.withColumn("cell", F.floor(F.col("u") * cells)).join(guide, "cell").where("u >= lo and u < hi")
+    counts = shared_table(draws.groupBy("rank", "shard").agg(F.count("*").alias("n")), "draws")
+
+    placed = running(counts, "rank", "shard", "n", "first").join(s.select("rank", "blocks", "due"), "rank")
+    drawn = placed.where("first < due").select("rank", "blocks", "shard", "first", F.least("n", F.col("due") - F.col("first")).alias("n"))
+    got = counts.groupBy("rank").agg(F.sum("n").alias("got"))
+    short = s.join(got, "rank", "left").withColumn("got", F.coalesce("got", F.lit(0))).where("got < due")
+    # shards of SHARD_SLOTS slots after the drawn ones
+    short = each_of(short.withColumn("n", F.ceil((F.col("due") - F.col("got")) / SHARD_SLOTS)), "n", "k")
+    short = short.select("rank", "blocks", ((total - 1) // SHARD_SLOTS + 1 + F.col("k")).alias("shard"), (F.col("got") + F.col("k") * SHARD_SLOTS).alias("first"), F.least(F.lit(SHARD_SLOTS), F.col("due") - F.col("got") - F.col("k") * SHARD_SLOTS).alias("n"))
+    return drawn.unionByName(short)
+
+
+def permuted(df: DataFrame, i: str, blocks: str, name: str) -> DataFrame:
+    """Add a pseudorandom permutation of i in 0 .. blocks - 1, keyed by rank and pass.
+
+    A number is two digits, l below a and r below b, where a * b is blocks or up to a - 1 more. A round adds a hash of r to l and of the
+    new l to r. Numbers that are no block are permuted again.
+    """
+    n, a, b = F.col(blocks), F.col("_a"), F.col("_b")
+    key = lambda k, c: F.xxhash64(F.lit(SEED), F.lit(k), "rank", "pass", c)
+    left = lambda k, l, r: (l + F.pmod(key(2 * k, r), a)) % a
+    right = lambda k, l, r: (r + F.pmod(key(2 * k + 1, l), b)) % b
+
+    def again(x: Column) -> Column:
+        l, r = F.floor(x / b), x % b
+        for k in range(ROUNDS):
+            l = left(k, l, r)
+            r = right(k, l, r)
+        return l * b + r
+
+    d = df.withColumn("_a", F.floor(F.sqrt(n)).cast("long") + 1).withColumn("_b", F.floor((n + a - 1) / a)).withColumns({"_l": F.floor(F.col(i) / b), "_r": F.col(i) % b})
+    for k in range(ROUNDS):
+        d = d.withColumn("_l", left(k, F.col("_l"), F.col("_r"))).withColumn("_r", right(k, F.col("_l"), F.col("_r")))
+    d = d.withColumn("_x", F.col("_l") * b + F.col("_r"))
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), F.col("_x"), lambda x, _: F.when(x < n, x).otherwise(again(x)))
+    return d.withColumn(name, F.when(F.col("_x") < n, F.col("_x")).otherwise(walked)).drop("_a", "_b", "_l", "_r", "_x")
+
+
+def slots(counts: DataFrame, tasks: int = 8) -> DataFrame:
+    """shard, rank, slot, pass, block: one row for each slot of the mix, made in so many tasks."""
+    s = counts.repartition(tasks, "rank", "shard").withColumn("slot", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)))
     s = s.withColumn("pass", F.floor(F.col("slot") / F.col("blocks"))).withColumn("i", F.col("slot") % F.col("blocks"))
-    big = lambda c: c.cast("decimal(19,0)")
-    prime = F.element_at(F.array(*(F.lit(p) for p in PRIMES)), (F.pmod(F.xxhash64(F.lit(SEED), "rank", "pass"), F.lit(len(PRIMES))) + 1).cast("int"))
-    shift = F.pmod(F.xxhash64(F.lit(SEED), F.lit("shift"), "rank", "pass"), F.col("blocks"))
-    at = (big(F.col("i")) * big(prime % F.col("blocks")) + big(shift)) % big(F.col("blocks"))
-    return s.select("shard", "rank", "slot", "pass", at.cast("long").alias("block"))
+    return permuted(s, "i", "blocks", "block").select("shard", "rank", "slot", "pass", "block")
 
 
 def packed(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
@@ -107,22 +153,20 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     same = ["source", "mark", "doc_id", "size"]
     counted = rows.groupBy(*same).agg(F.count("*").alias("copies")).withColumn("_b", F.pmod("mark", F.lit(buckets)))
     counted = shared_table(counted, "counted")
-    sums = counted.groupBy("source", "_b").agg(F.sum(F.col("size") * F.col("copies")).alias("_m"))
-    sums = shared_table(sums, "sums")
+    sums = shared_table(counted.groupBy("source", "_b").agg(F.sum(F.col("size") * F.col("copies")).alias("_m")), "sums")
     sources = targets(sums.groupBy("source").agg(F.sum("_m").alias("source_size")))
     sources = shared_table(sources.withColumn("blocks", F.ceil(F.col("source_size") / BLOCK)), "sources")
-    before = Window.partitionBy("source").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select("source", "_b", F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_start"))
-    starts = starts.withColumnRenamed("source", "s").join(sources, F.col("s").eqNullSafe(F.col("source"))).drop("s")
-    starts = shared_table(starts.withColumnsRenamed({"source": "s", "_b": "b"}), "starts")
+    starts = sums.withColumnRenamed("source", "s").join(sources, F.col("s").eqNullSafe(F.col("source"))).drop("source")
+    starts = shared_table(running(starts, "rank", "_b", "_m", "_start").withColumnRenamed("_b", "b"), "starts")
     within = Window.partitionBy("source", "_b").orderBy("mark", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = counted.withColumn("_at", F.coalesce(F.sum(F.col("size") * F.col("copies")).over(within), F.lit(0)))
-    placed = placed.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("_b") == F.col("b")))
-    placed = placed.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    placed = each_of(placed.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("_b") == F.col("b"))), "copies", "copy")
     placed = placed.select("doc_id", "source", "mark", "size", "source_size", "target", "rank", "copy", (F.col("_start") + F.col("_at") + F.col("copy") * F.col("size")).alias("first"))
     placed = shared_table(placed, "placed")
 
-    taken = slots(slot_counts(sources))
+    counts = shared_table(slot_counts(sources), "counts")
+    number = counts.agg(F.sum("n")).first()[0] or 0
+    taken = slots(counts, number // TASK_SLOTS + 8)
     of = placed.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("first") / BLOCK), F.floor((F.col("first") + F.col("size") - 1) / BLOCK))))
     lo, hi = F.greatest("first", F.col("block") * BLOCK), F.least(F.col("first") + F.col("size"), (F.col("block") + 1) * BLOCK)
     of = of.select("doc_id", "mark", "copy", "rank", "block", (lo - F.col("first")).alias("at"), (hi - lo).alias("words"))
