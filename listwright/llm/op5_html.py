@@ -12,11 +12,15 @@ marked element all lines from the first to the last stretch count, and text that
 Edge cases: a null, empty or textless page gives an empty text. Broken markup: a comment or script that is not closed
 ends with the page; other elements to be forgotten that are not closed end at the next block; a lone "<" is text;
 references without a semicolon are decoded as browsers do. Rows are handled one by one, so ties and repeated rows do not
-matter; other columns are not read; an empty table gives an empty table. Very long pages are scanned once.
+matter; other columns are not read; an empty table gives an empty table. Very long pages are scanned once: a tag that is not closed
+nearby is looked up in a table of where tags can end, which is made in one pass over the page's quotes and brackets.
+
+A class or id marks an element if all words of a whole name are MARKS, or LAYOUT words beside a mark: "share-buttons" marks, "share-price" does not.
 """
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
 
@@ -34,6 +38,8 @@ RAW = frozenset("script style textarea title noscript iframe template xmp noembe
 FORGET = frozenset("head nav footer aside form button select option svg canvas object audio video menu dialog datalist fieldset search".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog alertdialog menu menubar toolbar tablist".split())
+#: Words that a class or id may have beside a mark.
+LAYOUT = frozenset("area articles bar block body bottom box btn button buttons card center col column container content count div feed fixed float form global google group head heading holder icon icons image img inner inline item items label large layer leaderboard left link links list lower main max media menu message module mobile mpu my new news news panel page pane posts primary reader readers rectangle region right row secondary section site skyscraper slot small stack sticky stories strip tab tabs text thread title tool tools top unit upper user users view widget widgets wrap wrapper zone".split())
 #: Words of a class or id that mark what is not the article; OUTER only count outside an article.
 MARKS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup signin login sidebar related recommended recommendations share sharing social breadcrumb breadcrumbs menu nav navbar navigation navi pagination pager toolbar footer comment comments commentlist disqus respond reply replies hidden skip skiplink paywall toc".split())
 OUTER = frozenset("header masthead topbar search tags meta widget widgets".split())
@@ -42,7 +48,10 @@ ABOUT = ("has-", "no-", "with-", "without-", "has_", "no_", "with_")
 INNER = frozenset("articlebody".split())
 BODY_CLASS = re.compile(r"(?:^|[\s\"'])(?:article|post|entry|story|main)[-_](?:body|content|text)(?:$|[\s\"'])", re.I)
 
-_TAG = re.compile(r"<(?:!--(?P<comment>.*?)(?:-->|\Z)|(?P<decl>[!?][^>]*(?:>|\Z))|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)>)", re.S)
+_START = re.compile(r"<(?:(?P<comment>!--)|(?P<decl>[!?])|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*))")
+#: Attributes of a tag whose end is near: no bracket before it.
+_NEAR = re.compile(r"((?:[^>\"'<]|\"[^\"<>]*\"|'[^'<>]*')*+)>")
+_MARK = re.compile(r"[>\"']")
 _ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORD = re.compile(r"[a-z0-9]+")
 _SPACE = re.compile(r"\s+")
@@ -72,23 +81,51 @@ def _forgotten(name: str, attrs: dict[str, str], in_article: bool) -> bool:
         return False  # its classes tell of the page's layout
     names = f"{attrs.get('class', '')} {attrs.get('id', '')}".lower().split()
     # an article's classes may name its topics after their first word
-    words = {w for n in names if not n.startswith(ABOUT) for w in _WORD.findall(n)[: 1 if _article(name, attrs) else None]}
-    return bool(words & MARKS) or (not in_article and bool(words & OUTER))
+    own = [_WORD.findall(n)[: 1 if _article(name, attrs) else None] for n in names if not n.startswith(ABOUT)]
+    marks = MARKS if in_article else MARKS | OUTER
+    return any(any(w in marks for w in ws) and all(w in marks or w in LAYOUT or w.isdigit() for w in ws) for ws in own)
 
 
 def _article(name: str, attrs: dict[str, str]) -> bool:
     return name in ("article", "main") or attrs.get("role", "").lower() in ("main", "article") or attrs.get("itemprop", "").lower() in INNER or bool(BODY_CLASS.search(attrs.get("class", "")))
 
 
-def _closes(page: str, name: str) -> dict[int, int]:
-    """Where each element of a name ends, by the end of its opening tag; elements that are not closed are left out. One pass."""
-    ends, open_ = {}, []
-    for m in re.compile(rf"<(/?){re.escape(name)}(?=[\s/>])[^>]*>", re.I).finditer(page):
-        if not m[1]:
-            open_.append(m.end())
-        elif open_:
-            ends[open_.pop()] = m.end()
-    return ends
+class Tags:
+    """Where the tags of a page end."""
+
+    def __init__(self, page: str):
+        self.page, self.marks, self.ends = page, None, None
+
+    def end(self, at: int) -> tuple[int, int]:
+        """End of the attributes and of the tag whose name ends at a place; (-1, -1) if no tag ends any more. Brackets in quotes do not end it, unless the quotes are open."""
+        if m := _NEAR.match(self.page, at):
+            return m.end(1), m.end()
+        if self.marks is None:
+            self._look_up()
+        k = bisect.bisect_left(self.marks, at)
+        stop = self.ends[k] if k < len(self.marks) else -1
+        if stop < 0:
+            stop = self.page.find(">", at)
+        return (stop, stop + 1) if stop >= 0 else (-1, -1)
+
+    def _look_up(self) -> None:
+        """For each quote and bracket: where a tag ends that has it outside of quotes; from the last one to the first."""
+        page, self.marks = self.page, [m.start() for m in _MARK.finditer(self.page)]
+        self.ends, later = [-1] * (len(self.marks) + 1), {}
+        for k in range(len(self.marks) - 1, -1, -1):
+            c = page[self.marks[k]]
+            self.ends[k] = self.marks[k] if c == ">" else self.ends[later[c] + 1] if c in later else -1
+            later[c] = k
+
+    def closes(self, name: str) -> dict[int, int]:
+        """Where each element of a name ends, by the end of its opening tag; elements that are not closed are left out. One pass."""
+        ends, open_, at, find = {}, [], 0, re.compile(rf"<(/?){re.escape(name)}(?=[\s/>])", re.I)
+        while (m := find.search(self.page, at)) and (at := self.end(m.end())[1]) >= 0:
+            if not m[1]:
+                open_.append(at)
+            elif open_:
+                ends[open_.pop()] = at
+        return ends
 
 
 def lines(page: str) -> list[Line]:
@@ -112,14 +149,19 @@ def lines(page: str) -> list[Line]:
             if link:
                 out[-1].linked += len(text.strip())
 
-    while m := _TAG.search(page, at):
-        say(page[at : m.start()])
-        at = m.end()
-        name = (m["name"] or m["name2"] or "").lower()
-        if not name:
+    tags = Tags(page)
+    while m := _START.search(page, at):
+        if m["comment"] or m["decl"]:
+            say(page[at : m.start()])
+            stop = page.find("-->" if m["comment"] else ">", m.end())
+            at = len(page) if stop < 0 else stop + (3 if m["comment"] else 1)
             continue
-        closing = bool(m["end"] or m["end2"])
-        if closing:
+        until, stop = tags.end(m.end())
+        if stop < 0:
+            break  # no tag ends from here on
+        say(page[at : m.start()])
+        at, name = stop, m["name"].lower()
+        if m["end"]:
             if name in BLOCKS:
                 if inside and inside[-1][0] == name:
                     inside[-1][1] -= 1
@@ -133,7 +175,7 @@ def lines(page: str) -> list[Line]:
             elif name in SPACES:
                 say(" ")
             continue
-        attrs = _attributes(m["attrs"] or m["attrs2"] or "") if (m["attrs"] or m["attrs2"]) else {}
+        attrs = _attributes(page[m.end() : until]) if until > m.end() else {}
         if name in RAW:
             end = re.compile(rf"</{name}[^>]*(?:>|\Z)", re.I).search(page, at)
             at = end.end() if end else len(page)
@@ -141,7 +183,7 @@ def lines(page: str) -> list[Line]:
         article = _article(name, attrs)
         if name not in VOID and name not in ("html", "body") and _forgotten(name, attrs, bool(inside)):
             if name not in closes:
-                closes[name] = _closes(page, name)
+                closes[name] = tags.closes(name)
             end = closes[name].get(at, -1)
             fresh() if name in BLOCKS else say(" ")
             if end >= 0:
