@@ -7,6 +7,7 @@ import html
 import math
 import re
 import textwrap
+import time
 import zlib
 
 import numpy as np
@@ -131,10 +132,66 @@ def test_label_model_recovers_accuracies():
     y = rng.random(4000) < 0.2
     votes = np.stack([np.where(y, rng.random(4000) < 0.8, rng.random(4000) < 0.05) for _ in range(6)], axis=1)
     votes = np.concatenate([votes, votes[:, :1]], axis=1)  # a copy of a voter must not count twice
-    p = op4_toxicity.label_model(votes.astype(float), 0.3, np.stack([np.full(7, 0.1), np.full(7, 0.6)]))
+    p = op4_toxicity.label_model(votes.astype(float), 0.3, np.stack([np.full(7, 0.1), np.full(7, 0.6)])).posterior(votes)
     assert ((p > 0.5) == y).mean() > 0.98
 
 
+def test_label_model_estimates_planted_rates_and_correlations():
+    """Voters 0 to 5 are independent given the label, 6 to 9 follow one another whatever the label is; nobody tells the labels."""
+    rng = np.random.default_rng(5)
+    n = 20_000
+    y = rng.random(n) < 0.3
+    toxic, clean = np.array([0.9, 0.7, 0.6, 0.5, 0.8, 0.4]), np.array([0.05, 0.1, 0.02, 0.05, 0.2, 0.01])
+    votes = rng.random((n, 6)) < np.where(y[:, None], toxic, clean)
+    first = rng.random(n) < np.where(y, 0.45, 0.35)
+    copies = [first] + [np.where(rng.random(n) < 0.95, first, rng.random(n) < 0.4) for _ in range(3)]
+    votes = np.concatenate([votes, np.stack(copies, axis=1)], axis=1).astype(float)
+    start = np.stack([np.full(10, 0.2), np.full(10, 0.5)])
+    model = op4_toxicity.label_model(votes, 0.5, start)
+    assert abs(model.prior - 0.3) < 0.02
+    roots = [j for j in range(6) if model.parent[j] < 0]
+    assert len(roots) >= 5  # independent voters have no parents
+    assert all(abs(model.rates[1, j, 0] - toxic[j]) < 0.04 and abs(model.rates[0, j, 0] - clean[j]) < 0.03 for j in roots)
+    tied = {frozenset((j, int(model.parent[j]))) for j in range(10) if model.parent[j] >= 0}
+    assert len([x for x in tied if x <= {6, 7, 8, 9}]) == 3  # a tree over the copies
+    lone = op4_toxicity.label_model(votes, 0.5, start, structure=())
+    right = lambda m: ((m.posterior(votes) > 0.5) == y).mean()
+    assert right(model) > 0.95 and right(model) > right(lone)
+    # the posterior by hand, for some rows
+    for row in votes[:50]:
+        z = [math.log(1 - model.prior), math.log(model.prior)]
+        for label in (0, 1):
+            for j, v in enumerate(row):
+                r = model.rates[label, j, int(row[model.parent[j]]) if model.parent[j] >= 0 else 0]
+                z[label] += math.log(r if v else 1 - r)
+        assert model.posterior(row[None, :])[0] == pytest.approx(1 / (1 + math.exp(max(-30, min(30, z[0] - z[1])))), abs=1e-4)
+
+
+def test_toxicity_posteriors_do_not_see_the_labels(spark):
+    """Of rows with a clear voter some are labelled wrong: their scores follow the voters."""
+    rows, labels = [], []
+    for i in range(600):
+        toxic = i % 3 == 0
+        rows.append((i, f"some plain words number {i} " + ("you idiot, you pathetic loser" if toxic else "and a kind remark")))
+        labels.append((i, int(toxic) if i % 20 else int(not toxic)))
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = {r.doc_id: r.predicted for r in op4_toxicity.score(docs, op4_toxicity.train(docs, marks)).collect()}
+    assert got == {i: int(i % 3 == 0) for i in range(600)}
+
+
+def test_samples_are_bounded_by_rows(spark, monkeypatch):
+    """One id on very many rows does not make a sample larger."""
+    monkeypatch.setattr(op4_toxicity, "SAMPLE", {1: 40, 0: 60})
+    docs = spark.range(3000).select(F.when(F.col("id") < 2000, 8).otherwise(F.col("id")).alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang"))
+    marks = docs.select("doc_id", (F.col("doc_id") == 8).cast("int").alias("toxic")).distinct()
+    n = collections.Counter(r.toxic for r in op4_toxicity.labelled(docs, marks).collect())
+    assert 20 <= n[1] <= 40 and 40 <= n[0] <= 60
+    same = docs.select("doc_id", F.lit("one text").alias("text"), "lang")
+    assert 1 <= len(op4_toxicity.labelled(same, marks).where("toxic = 1").collect()) <= 40
+    rows = docs.where("doc_id is not null")
+    assert 20 <= op6_langid.drawn(rows, rows.groupBy("lang").count().collect(), 40).count() <= 40
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{margin:0}</style><script>var t="</p>";</script></head><body>
 <header><a href="/">Home</a></header><nav><ul><li><a href=/a>A</a></li></ul></nav><div class="cookie-notice">We use cookies.</div>
 <div class="ad">Buy now and save much money on everything you like today only.</div><article><h1>Head &amp; line</h1><p>First   paragraph &eacute;t&#233; of <b>b</b>old
@@ -161,6 +218,27 @@ def test_html_extraction_equals_articles(spark):
         assert op5_html.main_text(r.html) == "\n".join(b for b in blocks if b)
 
 
+def test_html_is_linear_in_broken_markup():
+    for unit in ("<div ", '<a href="', "<a b='", '<a ">"', "<a '>' \"", "<!--", "<div class=ad><", "</p ", "<p x=\"'>", "<div<", "<!", "< ", "&amp"):
+        page = unit * (1_000_000 // len(unit))
+        began = time.process_time()
+        op5_html.main_text(page)
+        assert time.process_time() - began < 6, unit
+    began = time.process_time()
+    op5_html.main_text("<div " * 200_000)
+    assert time.process_time() - began < 2
+
+
+def test_html_class_names_mark_as_a_whole():
+    body = "<p>" + "Some words that the story has. " * 9 + "</p>"
+    text = ("Some words that the story has. " * 9).strip()
+    for c in ("social-history", "share-price", "notice-of-birth", "adverse", "address", "comment-on-politics"):
+        assert op5_html.main_text(f"<body><article>{body}<p class='{c}'>This one stays here as well.</p>{body}</article></body>") == f"{text}\nThis one stays here as well.\n{text}", c
+    for c in ("share-buttons", "ad", "ad-slot-3", "cookie-notice", "reader-comments", "newsletter_box", "related", "big sidebar"):
+        assert op5_html.main_text(f"<body><article>{body}<div class='{c}'>This one goes away.</div>{body}</article></body>") == f"{text}\n{text}", c
+    assert op5_html.main_text(f"<body><article>{body}<p title='a > b' data-x=\"1 > 0\">Kept.</p></article></body>") == f"{text}\nKept."
+
+
 def test_html_marks_are_a_weight():
     story = [f"Paragraph {i} of the story. " + "It has many words of its own. " * 8 for i in range(6)]
     body = "<h1>Story</h1>" + "".join(f"<p>{p}</p>" for p in story)
@@ -363,9 +441,66 @@ def test_mixed_documents_hold_the_words_taken(docs):
 
 
 def test_mixing_permutes_blocks(spark):
-    counts = spark.createDataFrame([(1, 37, 0, 0, 50), (1, 37, 1, 50, 24), (2, 1, 0, 0, 2)], "rank int, blocks long, shard long, first long, n long")
+    counts = spark.createDataFrame([(1, 37, 0, 0, 50), (1, 37, 1, 50, 24), (2, 1, 0, 0, 2), (3, 4099, 5, 0, 8198), (4, 2, 0, 0, 3), (5, 36, 0, 0, 72)], "rank int, blocks long, shard long, first long, n long")
     rows = op8_mixing.slots(counts).collect()
-    assert collections.Counter((r.rank, r.block) for r in rows) == {**{(1, b): 2 for b in range(37)}, (2, 0): 2}
+    want = {(1, b): 2 for b in range(37)} | {(2, 0): 2} | {(3, b): 2 for b in range(4099)} | {(5, b): 2 for b in range(36)}
+    got = collections.Counter((r.rank, r.block) for r in rows)
+    assert {k: v for k, v in got.items() if k[0] != 4} == want and sorted(v for k, v in got.items() if k[0] == 4) == [1, 2]
+    orders = [[r.block for r in sorted(rows, key=lambda r: r.slot) if (r.rank, r["pass"]) == (3, p)] for p in (0, 1)]
+    for order in orders:  # no progression: steps between neighbours hardly repeat, and no place is kept
+        steps = collections.Counter((y - x) % 4099 for x, y in zip(order, order[1:], strict=False))
+        assert max(steps.values()) < 12 and sum(i == x for i, x in enumerate(order)) < 12
+    assert sum(x == y for x, y in zip(*orders, strict=True)) < 12
+
+
+def test_mixing_draws_are_multinomial(spark):
+    blocks = [40_000, 8_000, 30_000, 60_000]
+    targets_ = [4_000_000.0, 1_300_000.0, 2_600_000.0, 38_400.0]
+    sources = spark.createDataFrame([(k + 1, t, b, b * 128) for k, (t, b) in enumerate(zip(targets_, blocks, strict=True))], "rank int, target double, blocks long, source_size long")
+    rows = op8_mixing.slot_counts(sources).collect()
+    due = [math.floor(t / 128 + 0.5) for t in targets_]
+    by = collections.defaultdict(list)
+    for r in rows:
+        by[r.rank].append(r)
+    full = sum(due) // op8_mixing.SHARD_SLOTS
+    for k, d in enumerate(due):
+        mine = sorted(by[k + 1], key=lambda r: r.shard)
+        assert sum(r.n for r in mine) == d and all(r.first == sum(x.n for x in mine[:i]) for i, r in enumerate(mine))
+        n = np.array([sum(r.n for r in mine if r.shard == j) for j in range(full - 1)])
+        p = d / sum(due)
+        mean, var = op8_mixing.SHARD_SLOTS * p, op8_mixing.SHARD_SLOTS * p * (1 - p)
+        assert abs(n.mean() - mean) < 4 * (var / len(n)) ** 0.5 and 0.3 * var < n.var() < 2.5 * var
+    sizes = collections.Counter()
+    for r in rows:
+        sizes[r.shard] += r.n
+    assert all(sizes[j] == op8_mixing.SHARD_SLOTS for j in range(full - 1)) and max(sizes.values()) <= 4 * op8_mixing.SHARD_SLOTS
+
+
+def test_mixing_by_brute_force(spark, docs):
+    """Words taken, recomputed from the stream's places and the slots."""
+    placed, _, taken = op8_mixing.mix(docs)
+    want = collections.Counter()
+    streams = collections.defaultdict(list)
+    for r in placed.collect():
+        streams[r.rank].append((r.first, r.size, r.doc_id))
+    uses = collections.Counter((r.rank, r.block) for r in taken.collect())
+    for rank, rows in streams.items():
+        words = [d for first, size, d in sorted(rows) if size for _ in range(size)]
+        assert [first for first, size, _ in sorted(r for r in rows if r[1])] == list(np.cumsum([0] + [size for _, size, _ in sorted(r for r in rows if r[1])])[:-1])
+        for (k, block), n in uses.items():
+            if k == rank:
+                assert n <= 2
+                for d in words[block * op8_mixing.BLOCK : (block + 1) * op8_mixing.BLOCK]:
+                    want[d] += n
+    got = {r.doc_id: r.taken for r in op8_mixing.mixed_sizes(docs).collect()}
+    assert got == {d: want[d] for d in got}
+
+
+def test_mixing_a_row_that_is_there_very_often(spark):
+    df = spark.range(20_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("a b c").alias("text"), F.lit("s").alias("source")).unionByName(spark.createDataFrame([(8, "x y", "t")], "doc_id long, text string, source string"))
+    rows = op8_mixing.mixed_sizes(df).collect()
+    assert len(rows) == 20_001 and all(r.taken <= 2 * r["size"] for r in rows)
+    assert sum(r.taken for r in rows if r.doc_id == 7) == pytest.approx(next(r.target for r in rows if r.doc_id == 7), abs=130)
 
 
 def test_license_scan(spark, odd):
