@@ -13,7 +13,8 @@ Broadcast are the templates' terms alone (under 20,000 rows). Skew: directories
 listed, and the table of directories' licenses is written before it is joined to the files, so a directory with very many files is a skewed
 sort-merge join that adaptive execution splits.
 
-Edge cases: a null or empty text has no units; a null path has no directory and inherits nothing. Of equally good licenses the first by
+Edge cases: a null or empty text has no units; a null path has no directory and inherits nothing. Keys may be null or repeated: a file is
+its key, path and text, and has its own units. Of equally good licenses the first by
 name wins; of several license files of a directory the best. Repeated rows are returned each. Texts are read whole;
 only those that name a license are taken apart. AGPL-3.0 has no whole text here; its file is known by title and header. Other columns are not read; an empty table gives an empty table.
 """
@@ -100,23 +101,26 @@ def terms(c: Column) -> Column:
 
 
 def units(files: DataFrame) -> DataFrame:
-    """key, level, unit (number in the text), terms: the license units of each text."""
+    """key, rid, level, unit (number in the text), terms: the license units of each text (key, rid, text)."""
     named = lambda parts: F.filter(parts, lambda p: p.rlike(TRIGGER))
     bare = F.regexp_replace("text", MARK, "")
     paragraphs = named(F.split("bare", r"\n\s*\n"))
     sentences = F.flatten(F.transform("paragraphs", lambda p: named(F.split(p, r"(?<=[.!?])\s+"))))
     levels = [named(F.split("text", r"\n|(?<=[.!?])\s+")), sentences, F.col("paragraphs"), named(F.regexp_extract_all("text", F.lit(BLOCK), F.lit(0))), F.array("bare")]
     found = files.where(F.col("text").rlike(TRIGGER)).withColumn("bare", bare).withColumn("paragraphs", paragraphs)
-    found = found.select("key", F.posexplode(F.array(*levels)).alias("level", "parts")).select("key", "level", F.posexplode("parts").alias("unit", "line"))
-    return found.select("key", "level", "unit", terms(F.col("line")).alias("terms"))
+    found = found.select("key", "rid", F.posexplode(F.array(*levels)).alias("level", "parts")).select("key", "rid", "level", F.posexplode("parts").alias("unit", "line"))
+    return found.select("key", "rid", "level", "unit", terms(F.col("line")).alias("terms"))
 
 
 def scan(files: DataFrame, key: str, path: str, text: str) -> DataFrame:
     """key, path, own_license, own_score, n_units, is_license_file, inherited_license, license_dir, license of each file."""
     spark = files.sparkSession
     base = files.select(F.col(key).alias("key"), F.col(path).alias("path"), F.col(text).alias("text"))
-    unit = shared_table(units(base).withColumn("id", F.xxhash64("key", "level", "unit", "terms")).dropDuplicates(["key", "level", "unit", "id"]), "units")
-    one = unit.select("key", "level", "unit", "id", F.explode("terms").alias("term")).groupBy("key", "level", "unit", "id", "term").agg(F.count("*").alias("tf"))
+    # a file is its key, path and text: keys may be null or repeated
+    base = base.withColumn("rid", F.when(F.col("text").rlike(TRIGGER), F.xxhash64("key", "path", "text")))
+    same = lambda a, b: a["key"].eqNullSafe(b["_key"]) & (a["rid"] == b["_rid"])
+    unit = shared_table(units(base).withColumn("id", F.xxhash64("key", "rid", "level", "unit", "terms")).dropDuplicates(["key", "rid", "level", "unit", "id"]), "units")
+    one = unit.select("key", "rid", "level", "unit", "id", F.explode("terms").alias("term")).groupBy("key", "rid", "level", "unit", "id", "term").agg(F.count("*").alias("tf"))
     one = shared_table(one, "terms")
     n = unit.count()
 
@@ -131,17 +135,17 @@ def scan(files: DataFrame, key: str, path: str, text: str) -> DataFrame:
     model = shared_table(model.select("template", "name", "term", "df", (F.col("tw") / F.col("tnorm")).alias("tw")), "templates")
     idf = F.broadcast(model.select("term", "df").distinct())
     weighed = one.join(idf, "term", "left").withColumn("w", F.col("tf") * weight(F.col("df")))
-    norm = weighed.groupBy("key", "level", "unit", "id").agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("norm"), F.collect_list(F.when(F.col("df").isNotNull(), F.struct("term", "w"))).alias("known"))
-    cosine = norm.select("key", "level", "unit", "id", "norm", F.explode("known").alias("k")).join(F.broadcast(model), F.col("k.term") == F.col("term"))
-    cosine = cosine.groupBy("key", "level", "unit", "id", "template", "name").agg(F.round(F.sum(F.col("k.w") * F.col("tw")) / F.first("norm"), 6).alias("cos"))
-    best = cosine.where(F.col("cos") >= MIN_COSINE).groupBy("key").agg(F.min(F.struct((-F.col("cos")).alias("c"), "name")).alias("best"), F.max(F.col("level") == WHOLE).alias("whole"))
-    best = best.select("key", F.col("best.name").alias("own_license"), (-F.col("best.c")).alias("own_score"), "whole")
-    sizes = unit.where("level = 0").groupBy("key").agg(F.count("*").alias("n_units"), F.sum(F.size("terms")).alias("unit_terms"))
-    found = shared_table(sizes.join(best, "key", "left"), "found")
+    norm = weighed.groupBy("key", "rid", "level", "unit", "id").agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("norm"), F.collect_list(F.when(F.col("df").isNotNull(), F.struct("term", "w"))).alias("known"))
+    cosine = norm.select("key", "rid", "level", "unit", "id", "norm", F.explode("known").alias("k")).join(F.broadcast(model), F.col("k.term") == F.col("term"))
+    cosine = cosine.groupBy("key", "rid", "level", "unit", "id", "template", "name").agg(F.round(F.sum(F.col("k.w") * F.col("tw")) / F.first("norm"), 6).alias("cos"))
+    best = cosine.where(F.col("cos") >= MIN_COSINE).groupBy("key", "rid").agg(F.min(F.struct((-F.col("cos")).alias("c"), "name")).alias("best"), F.max(F.col("level") == WHOLE).alias("whole"))
+    best = best.select(F.col("key").alias("_key"), F.col("rid").alias("_rid"), F.col("best.name").alias("own_license"), (-F.col("best.c")).alias("own_score"), "whole")
+    sizes = unit.where("level = 0").groupBy("key", "rid").agg(F.count("*").alias("n_units"), F.sum(F.size("terms")).alias("unit_terms"))
+    found = shared_table(sizes.join(best, same(sizes, best), "left").drop("_key", "_rid").withColumnsRenamed({"key": "_key", "rid": "_rid"}), "found")
 
     files_ = base.withColumn("n_terms", F.when(F.col("text").rlike(TRIGGER), F.size(terms(F.col("text")))).otherwise(0)).drop("text")
     files_ = files_.withColumn("dir", F.when(F.col("path").contains("/"), F.regexp_replace("path", "/[^/]*$", "")).otherwise(F.when(F.col("path").isNotNull(), F.lit(""))))
-    files_ = files_.join(found, "key", "left")
+    files_ = files_.join(found, same(files_, found), "left").drop("rid", "_key", "_rid")
     named = F.col("path").rlike(FILE_NAME) | F.col("whole") | (F.col("unit_terms") >= FILE_SHARE * F.col("n_terms"))
     files_ = shared_table(files_.withColumn("is_license_file", F.coalesce(named & F.col("own_license").isNotNull(), F.lit(False))), "files")
 
