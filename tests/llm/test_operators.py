@@ -266,6 +266,55 @@ def test_language_on_held_out_rows(docs, odd):
     assert op6_langid.identify(empty(odd), model).count() == 0
 
 
+def test_language_model_by_hand(spark, monkeypatch):
+    """Document frequencies, TF-IDF vectors, FTRL steps and the temperature, each recomputed number by number."""
+    texts = [("aa", "abc abd, ABE! abc"), ("bb", "xyz xyw"), ("aa", "abcd"), ("bb", "wxyz wx"), ("aa", "ab ba"), ("bb", "zyx"), ("aa", "1 2 3"), ("cc", "k")] * 3
+    grams = lambda t: [x[i : i + n] for x in [" " * (not t[0].isalpha()) + re.sub(r"[^a-z]+", " ", t.lower()).strip() + " " * (not t[-1].isalpha())] for n in (1, 2, 3) for i in range(len(x) - n + 1)] if re.search("[a-z]", t.lower()) else []
+    for _, t in texts:
+        got = op6_langid.counts(t)
+        assert (got is None) == (not grams(t)) and (got is None or got.sum() == len(grams(t)) and (got > 0).sum() == len(set(grams(t))))
+    rows = [(i, t, lang) for i, (lang, t) in enumerate(texts)]
+    learn = [(t, lang) for i, t, lang in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    made = {}
+    monkeypatch.setattr(op6_langid, "ftrl", lambda data, k, f=op6_langid.ftrl: made.setdefault("w", (data, f(data, k)))[1])
+    monkeypatch.setattr(op6_langid, "temperature", lambda z, y, f=op6_langid.temperature: made.setdefault("t", (z, y, f(z, y)))[2])
+    model = op6_langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    counted = [(op6_langid.counts(t), lang) for t, lang in learn if grams(t)]
+    df = sum((c > 0).astype(int) for c, _ in counted)
+    assert np.allclose(model.idf, np.log((1 + len(counted)) / (1 + df)) + 1)
+    data, weights = made["w"]
+    back_z, back_y, temperature = made["t"]
+    assert len(data) + len(back_y) == len(counted) and model.langs == sorted({x for _, x in counted})
+    want = sorted((x, round(float(np.linalg.norm(c * model.idf)), 6)) for c, x in counted)
+    assert len(want) == len(counted) and all(abs(float(x @ x) - 1) < 1e-9 for _, x, _ in data)
+    k, a, b, l1, l2 = len(model.langs), op6_langid.ALPHA, op6_langid.BETA, op6_langid.L1, op6_langid.L2
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(f, c):
+        return 0.0 if abs(z[f, c]) <= l1 else -(z[f, c] - math.copysign(l1, z[f, c])) / ((b + math.sqrt(n[f, c])) / a + l2)
+
+    for _ in range(op6_langid.EPOCHS):
+        for at, x, y in data:
+            w = {(f, c): weight(f, c) for f in at.tolist() for c in range(k)}
+            e = [math.exp(sum(v * w[f, c] for f, v in zip(at.tolist(), x.tolist(), strict=True))) for c in range(k)]
+            for f, v in zip(at.tolist(), x.tolist(), strict=True):
+                for c in range(k):
+                    g = v * (e[c] / sum(e) - (c == y))
+                    z[f, c] += g - (math.sqrt(n[f, c] + g * g) - math.sqrt(n[f, c])) / a * w[f, c]
+                    n[f, c] += g * g
+    for f, c in list(z):
+        assert weights[f, c] == pytest.approx(weight(f, c), abs=1e-9)
+    loss = lambda t: -sum(math.log(math.exp(s[y] / t) / sum(math.exp(v / t) for v in s)) for s, y in zip(np.array(back_z).tolist(), back_y, strict=True))
+    assert temperature == pytest.approx(min((math.exp(i / 10) for i in range(-30, 31)), key=loss))
+
+
+def test_language_keeps_rare_languages(spark, monkeypatch):
+    monkeypatch.setattr(op6_langid, "SAMPLE", 40)
+    words = {f"l{k:02d}": chr(97 + k % 26) * 3 + chr(97 + k // 26) * 2 for k in range(30)}
+    df = spark.createDataFrame([(i, f"{w} {w} {w}", lang) for i, (lang, w) in enumerate([*words.items()] * 6)], "doc_id long, text string, lang string")
+    assert op6_langid.train(df).langs == sorted(words)
+
+
 def reach(n, links):
     root = list(range(n))
 
@@ -517,6 +566,42 @@ def test_license_scan(spark, odd):
     assert op2_license.scan(odd.withColumn("path", F.lit("p/q")), "doc_id", "path", "text").count() == len(ODD)
 
 
+def test_license_of_null_and_repeated_keys(spark):
+    rows = [(None, "a/x", "Released under the MIT License."), (None, "a/y", "no word of it"), (5, "b/x", "Licensed under CC BY 4.0."), (5, "c/x", "plain text"), (5, "d/x", "This work is licensed under the GNU General Public License, version 3."), (None, "a/x", "Released under the MIT License.")]
+    got = op2_license.scan(spark.createDataFrame(rows, "id long, path string, text string"), "id", "path", "text").collect()
+    assert sorted((r.path, r.own_license, r.n_units) for r in got) == sorted([("a/x", "MIT", 1), ("a/x", "MIT", 1), ("a/y", None, 0), ("b/x", "CC-BY-4.0", 1), ("c/x", None, 0), ("d/x", "GPL-3.0", 1)], key=str)
+
+
+def test_license_by_dense_cosine(spark, docs):
+    """Best template of every file by dense TF-IDF vectors over all units."""
+    texts = [t for _, t in op2_license.TEMPLATES[::3]] + ["# " + t.replace(". ", ".\n# ") for _, t in op2_license.TEMPLATES[1::4]] + ["Some licence of ours, to be read by lawyers.", "Public domain dance music. License plates.\n\nText."]
+    files = spark.createDataFrame(list(enumerate(texts)), "key long, text string").unionByName(docs.select(F.col("doc_id").alias("key") + 1000, "text").toDF("key", "text"))
+    units = op2_license.units(files.withColumn("rid", F.lit(0))).collect()
+    model = spark.createDataFrame(op2_license.templates(), "name string, text string").select("name", op2_license.terms(F.col("text")).alias("terms")).collect()
+    vocabulary = {t: k for k, t in enumerate(sorted({t for r in [*units, *model] for t in r.terms}))}
+    known = {t for r in model for t in r.terms}
+    df = collections.Counter(t for r in units for t in set(r.terms) if t in known)
+    n = len(units)
+
+    def vector(terms):
+        x = np.zeros(len(vocabulary))
+        for t, k in collections.Counter(terms).items():
+            x[vocabulary[t]] = k * (math.log((1 + n) / (1 + df[t])) + 1)
+        return x / (np.linalg.norm(x) or 1)
+
+    templates = np.stack([vector(r.terms) for r in model])
+    best = {}
+    for r in units:
+        for c, name in zip(np.round(templates @ vector(r.terms), 6), (m.name for m in model), strict=True):
+            if c >= op2_license.MIN_COSINE:
+                best[r.key] = min(best.get(r.key, (0, "")), (-c, name))
+    got = {r.key: (r.own_license, r.own_score) for r in op2_license.scan(files.withColumn("path", F.lit(None).cast("string")), "key", "path", "text").where("own_license is not null").collect()}
+    assert got.keys() == best.keys() and len(got) > 30
+    for k, (score, name) in best.items():
+        assert got[k][1] == pytest.approx(-score, abs=2e-6)
+        assert got[k][0] == name or any(m.name == got[k][0] and abs(-score - c) < 3e-6 for r in units if r.key == k for m, c in zip(model, templates @ vector(r.terms), strict=True))
+
+
 def wrapped(text, mark, width=70):
     return "\n".join(mark + line for line in textwrap.wrap(text, width)) + "\n"
 
