@@ -1,6 +1,6 @@
 """Quality rules: how much of a text is repetition.
 
-Method: words are numbered, windows of several lengths get a polynomial rolling hash over the numbers in numpy, equal
+Method: words are numbered, windows of several lengths get a polynomial rolling hash over the numbers in numpy, which rolls on from one length to the next; equal
 hashes are confirmed on the numbers, and the words covered by windows found twice or more are counted in words and in
 characters; repeated lines are counted alike. A text is kept if the base rules hold and, for each length, repeated
 windows (first included) hold at most `max_share` per cent of the words' characters and repeated lines at most
@@ -33,22 +33,28 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, dup_line_chars long, " + ", ".join(f"dup_{n}gram_chars long" for n in MAX_SHARE)
 
 
-def rolling(ids: np.ndarray, n: int) -> np.ndarray:
-    """Hash of each window of n numbers: a polynomial over the integers modulo 2**64, by differences of prefix sums."""
-    x = (ids.astype(np.uint64) + np.uint64(1)) * _BASE
-    x ^= x >> np.uint64(29)
-    h = np.zeros(len(ids) - n + 1, np.uint64)
-    for k in range(n):  # Horner: n steps over whole arrays
-        h = h * np.uint64(0xD6E8FEB86659FD93) + x[k : k + len(h)]
-    return h
+class Rolling:
+    """Hashes of all windows of n numbers: polynomials over the integers modulo 2**64. From one length to the next they roll on by one number."""
 
+    def __init__(self, ids: np.ndarray):
+        self.ids, self.n = ids, 1
+        x = (ids.astype(np.uint64) + np.uint64(1)) * _BASE
+        self.x = self.h = x ^ (x >> np.uint64(29))
 
-def repeated(ids: np.ndarray, n: int) -> np.ndarray:
-    """Whether each number lies in a window of n that occurs twice or more; first occurrences count."""
+    def to(self, n: int) -> np.ndarray:
+        while self.n < n:
+            self.h = self.h[:-1] * np.uint64(0xD6E8FEB86659FD93) + self.x[self.n :]
+            self.n += 1
+        return self.h
+
+
+def repeated(rolling: Rolling, n: int) -> np.ndarray:
+    """Whether each number lies in a window of n that occurs twice or more; first occurrences count. Lengths are asked for in ascending order."""
+    ids = rolling.ids
     covered = np.zeros(len(ids), bool)
     if len(ids) <= n:
         return covered
-    h = rolling(ids, n)
+    h = rolling.to(n)
     order = np.argsort(h, kind="stable")
     s = h[order]
     same = np.flatnonzero(s[1:] == s[:-1])
@@ -81,12 +87,13 @@ def measure(text: str | None) -> tuple:
     number = defaultdict(count().__next__)
     ids = np.fromiter(map(number.__getitem__, words), np.int64, n)
     shares, n_repeat = dict.fromkeys(MAX_SHARE, 0), 0
-    cover = repeated(ids, REPEAT_WORDS)
+    rolling = Rolling(ids)
+    cover = repeated(rolling, REPEAT_WORDS)
     if cover.any():
         n_repeat = int(cover.sum())
         size = np.fromiter((len(w.decode()) for w in words), np.int64, n)
         for k in MAX_SHARE:  # a longer repeated window holds repeated windows of REPEAT_WORDS
-            shares[k] = int(size[cover if k == REPEAT_WORDS else repeated(ids, k)].sum())
+            shares[k] = int(size[cover if k == REPEAT_WORDS else repeated(rolling, k)].sum())
             if not shares[k]:
                 break
     failed = n < MIN_WORDS or 100 * n_repeat > REPEAT_SHARE * n
