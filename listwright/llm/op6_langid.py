@@ -149,9 +149,12 @@ def train(docs: DataFrame) -> Model:
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
 
     def features(lang, text):
-        tf = [x if (x := counts(t)) is not None else np.zeros(0, np.int64) for t in text]
-        at = list(map(np.flatnonzero, tf))
-        return {"lang": lang, "at": [a.astype(np.int32).tobytes() for a in at], "tf": [x[a].astype(np.float32).tobytes() for x, a in zip(tf, at, strict=True)]}
+        found = []  # DIMS numbers for one text at a time
+        for t in text:
+            tf = counts(t)
+            at = np.flatnonzero(tf) if tf is not None else np.zeros(0, np.int64)
+            found.append((at.astype(np.int32).tobytes(), tf[at].astype(np.float32).tobytes() if len(at) else b""))
+        return {"lang": lang, "at": [a for a, _ in found], "tf": [x for _, x in found]}
 
     quota = max(1, min(PER_LANG, SAMPLE // len(sizes)))
     sample = map_columns(drawn(rows, sizes, quota).select("lang", "text"), "lang string, at binary, tf binary", features)
