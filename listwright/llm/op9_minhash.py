@@ -284,10 +284,11 @@ def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFra
     Columns must have an order. Rows to be dropped leave by an anti join on (doc_id, hash of the text).
     """
     rows = shared_table(grouped(docs, shingle, percent).where("component is not null"), "grouped")
-    first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")).alias("first"))
-    rows = rows.groupBy("component", "doc_id", "mark").agg(F.count("*").alias("copies")).join(first, "component")
-    rows = rows.select(F.col("doc_id").alias("id"), F.col("mark").alias("m"), "copies", (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("mark") == F.col("first.mark"))).alias("stays"))
-    rows = shared_table(rows, "decided")
+    first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")).alias("first")).select(F.col("component").alias("c"), "first.doc_id", F.col("first.mark").alias("mark_"), F.lit(True).alias("stays"))
+    rows = rows.groupBy("component", F.col("doc_id").alias("id"), F.col("mark").alias("m")).agg(F.count("*").alias("copies"))
+    # by the whole key, as one component may hold a third of all rows
+    rows = rows.join(first, (F.col("component") == F.col("c")) & F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("m") == F.col("mark_")), "left")
+    rows = shared_table(rows.select("id", "m", "copies", F.coalesce("stays", F.lit(False)).alias("stays")), "decided")
     marked = docs.withColumn("_mark", F.xxhash64("text"))
     is_in = marked["doc_id"].cast("long").eqNullSafe(F.col("id")) & (marked["_mark"] == F.col("m"))
     out = marked.join(rows.where("not stays"), is_in, "left_anti")
