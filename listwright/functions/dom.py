@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import difflib
-import re
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -114,18 +113,10 @@ def difference_hash(pixels: list[list[int]]) -> int:
     return sum(1 << (i * (len(r) - 1) + j) for i, r in enumerate(pixels) for j in range(len(r) - 1) if r[j] < r[j + 1])
 
 
-def merge_chains(nodes: list[list]) -> list[tuple[int, list[int]]]:
-    """Nodes after chains of single children are merged: (first node, nodes of the chain). Nodes with text of their own end a chain."""
-    children: dict[int, list[int]] = {}
-    for k, n in enumerate(nodes):
-        children.setdefault(n[0], []).append(k)
-    merged, taken = [], set()
-    for k in range(len(nodes)):
-        if k in taken:
-            continue
-        chain = [k]
-        while len(c := children.get(chain[-1], [])) == 1 and not re.sub(r"\s", "", "".join(nodes[chain[-1]][4])):
-            chain.append(c[0])
-        taken.update(chain)
-        merged.append((k, chain))
-    return merged
+def difference_hash_of(pixels: Column, width: int, height: int) -> Column:
+    """As difference_hash, of an array of width x height brightnesses, row by row: 63 bits at most."""
+    if (width - 1) * height > 63:
+        raise ValueError("a hash has 63 bits at most")
+    at = lambda r, c: F.element_at(pixels, r * width + c + 1)
+    bits = [F.when(at(r, c) < at(r, c + 1), F.lit(1 << (r * (width - 1) + c))).otherwise(F.lit(0)) for r in range(height) for c in range(width - 1)]
+    return F.aggregate(F.array(*(b.cast("long") for b in bits)), F.lit(0).cast("long"), lambda x, y: x + y)

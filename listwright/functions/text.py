@@ -131,11 +131,19 @@ def price_value(c: Column) -> Column:
     return F.replace(price(c), F.lit(","), F.lit("")).try_cast("decimal(18,2)")
 
 
-CURRENCY = r"\p{Sc}|\b(?:USD|EUR|GBP|JPY|CNY|CHF|SGD|AUD|CAD|HKD|RUB|BRL|INR|KRW)\b"
+# Currency symbols and abbreviations that show a price.
+CURRENCY_SYMBOLS = [
+    "Bds$", "CUC$", "MOP$", "AR$", "AU$", "BN$", "BZ$", "CA$", "CL$", "CO$", "CV$", "HK$", "MX$", "NT$", "NZ$", "TT$", "RD$", "WS$", "US$", "$U", "C$", "J$", "N$", "R$", "S$", "T$", "Z$", "A$", "SY£", "LB£", "CN¥",
+    "GH₵", "$", "€", "£", "zł", "Zł", "Kč", "₽", "¥", "￥", "฿", "դր.", "դր", "₦", "₴", "₱", "৳", "₭", "₪", "﷼", "៛", "₩", "₫", "₡", "টকা", "ƒ", "₲", "؋", "₮", "नेरू", "₨", "₶", "₾", "֏", "ރ", "৲", "૱", "௹", "₠", "₢",
+    "₣", "₤", "₧", "₯", "₰", "₳", "₷", "₸", "₹", "₺", "₼", "₾", "₿", "ℳ", "ر.ق.\u200f", "د.ك.\u200f", "د.ع.\u200f", "ر.ع.\u200f", "ر.ي.\u200f", "ر.س.\u200f", "د.ج.\u200f", "د.م.\u200f", "د.إ.\u200f",
+    "د.ت.\u200f", "د.ل.\u200f", "ل.س.\u200f", "د.ب.\u200f", "د.أ.\u200f", "ج.م.\u200f", "ل.ل.\u200f", " تومان", "تومان", "EUR", "euro", "eur", "CHF", "DKK", "Rp", "lei", "руб.", "руб", "грн.", "грн", "дин.",
+    "Dinara", "динар", "лв.", "лв", "р.", "тңг", "тңг.", "ман.",
+]
 
 
 def currency_visible(c: Column) -> Column:
-    return c.rlike(CURRENCY)
+    """Whether a text shows a currency: one of the fixed symbols, or one of the Unicode class."""
+    return c.rlike("\\p{Sc}|" + "|".join(rf"\Q{s}\E" for s in CURRENCY_SYMBOLS))
 
 
 def digit_ratio(c: Column) -> Column:

@@ -81,3 +81,26 @@ def fill_rates(df: DataFrame, columns: list[str]) -> DataFrame:
 
     row = df.agg(*[F.count_if(good(c)).alias(c) for c in columns])
     return row.unpivot([], columns, "field", "found")
+
+
+def fill_fields(rows: DataFrame, found: DataFrame, key: str, columns: dict[str, str], moved_to: Column) -> tuple[DataFrame, DataFrame]:
+    """(rows that stay, rows that are split off because they belong to another address): what is null is filled from found.
+
+    columns: of rows, by the column of found that fills each. moved_to: the address of found, null where the row stays.
+    """
+    both = rows.join(found, key, "left").withColumn("_to", moved_to)
+    both = both.withColumns({c: F.coalesce(c, f) for c, f in columns.items()})
+    return both.where("_to is null").select(*rows.columns), both.where("_to is not null").select(*rows.columns, F.col("_to").alias("address"))
+
+
+def reattach(images: DataFrame, posts: DataFrame, image: str, post: str, link: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(image and the post it goes to, links of posts that are created, posts that are left without images).
+
+    An image goes to the post with its link, or to a new one named "new:" and the link. A link has one post, or the least of several.
+    """
+    known = posts.groupBy(*link).agg(F.min(post).alias("_post"))
+    both = images.join(known, link, "left")
+    name = F.concat(F.lit("new:"), F.concat_ws(":", *link))
+    moved = both.select(image, F.coalesce(F.col("_post").cast("string"), name).alias("post"))
+    created = both.where("_post is null").select(*link).distinct()
+    return moved, created, posts.select(post).join(both.select(F.col("_post").alias(post)), post, "left_anti")

@@ -264,12 +264,6 @@ def p19(spark, sf):
     return due(active(tasks(spark, sf)), NOW).select("id", "domain")
 
 
-@query("p23_p24_visible_nodes", "SELECT l_orderkey AS id, l_linenumber AS k FROM lineitem WHERE l_quantity >= 4 AND l_partkey % 50 >= 4 AND length(l_returnflag) < 50")
-def p23(spark, sf):
-    return table(spark, sf, "lineitem").where("l_quantity >= 4 and l_partkey % 50 >= 4").where(F.length("l_returnflag") < 50).select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("k"))
-
-
-
 _w = "string_split(trim(regexp_replace(lower(concat_ws(' ', title, description)), '[^\\p{L}\\p{N}_]+', ' ', 'g')), ' ')".replace("\\\\", "\\")
 
 

@@ -134,8 +134,8 @@ def x17(spark, sf):
 
 @query(
     "x19_x22_price_and_ratios",
-    r"""SELECT doc_id AS id, nullif(regexp_extract(text, '[A-Za-z]{3}'), '') AS currency, nullif(regexp_extract(text, '[\d,\.]+'), '') AS price, regexp_matches(text, '\p{Sc}|\b(?:USD|EUR|GBP|JPY|CNY|CHF|SGD|AUD|CAD|HKD|RUB|BRL|INR|KRW)\b') AS currency_visible,
-round(CASE WHEN length(regexp_replace(text, '\s', '', 'g')) > 0 THEN len(regexp_extract_all(text, '\d')) / length(regexp_replace(text, '\s', '', 'g')) ELSE 0 END, 9) AS digits, round(CASE WHEN len(regexp_extract_all(text, '\p{L}')) > 0 THEN len(regexp_extract_all(text, '\p{Lu}')) / len(regexp_extract_all(text, '\p{L}')) ELSE 0 END, 9) AS capitals FROM documents""",
+    r"""SELECT doc_id AS id, nullif(regexp_extract(text, '[A-Za-z]{3}'), '') AS currency, nullif(regexp_extract(text, '[\d,\.]+'), '') AS price, regexp_matches(text, '\p{Sc}|@CURRENCY@') AS currency_visible,
+round(CASE WHEN length(regexp_replace(text, '\s', '', 'g')) > 0 THEN len(regexp_extract_all(text, '\d')) / length(regexp_replace(text, '\s', '', 'g')) ELSE 0 END, 9) AS digits, round(CASE WHEN len(regexp_extract_all(text, '\p{L}')) > 0 THEN len(regexp_extract_all(text, '\p{Lu}')) / len(regexp_extract_all(text, '\p{L}')) ELSE 0 END, 9) AS capitals FROM documents""".replace("@CURRENCY@", "|".join(rf"\Q{x}\E" for x in T.CURRENCY_SYMBOLS)),
 )
 def x19(spark, sf):
     t = F.col("text")
