@@ -53,9 +53,10 @@ class Registry:
         return {n: f for n, f in self.features.items() if f.selected(include, exclude)}
 
 
-def columns_description(names: list[str]) -> str:
-    """Index, kind and name of each column, a line each."""
-    return "\n".join(f"{i}\t{KINDS[NAME.match(n)[1]]}\t{n}" for i, n in enumerate(names))
+def columns_description(names: list[str], label: str = "f_label") -> str:
+    """Index, kind and name of the label column and of each feature's column, a line each."""
+    kinds = ["Label", *(KINDS[NAME.match(n)[1]] for n in names)]
+    return "".join(f"{i}\t{k}\t{n}\n" for i, (k, n) in enumerate(zip(kinds, [label, *names], strict=True)))
 
 
 def materialise(posts: DataFrame, features: dict[str, Feature], *keep: str) -> DataFrame:

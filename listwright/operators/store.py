@@ -44,6 +44,19 @@ def changed(store: DataFrame, new: DataFrame, keys: list[str], columns: list[str
     return n.join(s, [F.col(f"s.{k}") == F.col(f"n.{k}") for k in keys], "left").where(differs).select("n.*")
 
 
+def bulk_write(store: DataFrame, new: DataFrame, keys: list[str], columns: list[str], fine: Column) -> tuple[DataFrame, DataFrame]:
+    """(the store after the write with `result`: kept, updated or inserted; rows that are not fine, put aside).
+
+    One row of each key is written. A bad row does not hold up the others.
+    """
+    good = new.where(F.coalesce(fine, F.lit(False))).dropDuplicates(keys)
+    s, n = store.select(*keys, *columns).withColumn("_s", F.lit(True)), good.select(*keys, *(F.col(c).alias(f"_{c}") for c in columns)).withColumn("_n", F.lit(True))
+    both = s.join(n, keys, "full")
+    result = F.when(F.col("_n").isNull(), "kept").when(F.col("_s").isNull(), "inserted").otherwise("updated")
+    written = both.select(result.alias("result"), *keys, *(F.when(F.col("_n"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in columns))
+    return written, new.where(~F.coalesce(fine, F.lit(False)))
+
+
 STATUSES = ["SEARCHED", "FILTERED_IN", "FILTERED_OUT", "SCRAPED", "SENT"]
 
 

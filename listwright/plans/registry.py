@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
-MODULES = ("text", "store", "joins", "aggregates", "extraction", "features", "dom", "streams")
+MODULES = ("text", "store", "sinks", "checks", "joins", "aggregates", "extraction", "features", "dom", "streams")
 
 
 def query(name: str, sql: str | None = None):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from listwright.operators import filters as P
@@ -17,7 +19,7 @@ D = "coalesce(title, '') AS t, coalesce(description, '') AS d"
 @query("s1_snapshot_roundtrip", "SELECT c_custkey AS id, c_name AS name FROM customer")
 def s1(spark, sf):
     c = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
-    path = f"{shared_dir(spark)}/snapshots"
+    path = f"{shared_dir(spark)}/snapshots-{uuid.uuid4().hex}"
     files.write_snapshot(c, path, "2024-01-02", {"organisation": "A"})
     return files.read_snapshot(spark, path, "2024-01-02", {"organisation": "A"})
 
@@ -25,7 +27,7 @@ def s1(spark, sf):
 @query("s2_s3_latest_snapshot", "SELECT 'A:' || c_custkey AS id, c_name AS name, 'A' AS organisation, DATE '2024-03-05' AS date FROM customer")
 def s2(spark, sf):
     c = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
-    path = f"{shared_dir(spark)}/snapshots-all"
+    path = f"{shared_dir(spark)}/snapshots-{uuid.uuid4().hex}"
     files.write_snapshot(c.limit(5), path, "2024-01-02", {"organisation": "A"})
     files.write_snapshot(c, path, "2024-03-05", {"organisation": "A"})
     return files.latest_snapshot(spark, path, organisation="A").select(F.concat_ws(":", "organisation", F.col("id").cast("string")).alias("id"), "name", "organisation", "date")
@@ -41,7 +43,7 @@ def s4(spark, sf):
 
 @query("s5_delimited_files", "SELECT p_partkey AS id, p_name AS name, p_size AS size FROM part")
 def s5(spark, sf):
-    path = f"{shared_dir(spark)}/part.tsv"
+    path = f"{shared_dir(spark)}/part-{uuid.uuid4().hex}.tsv"
     p = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_size").alias("size"), F.lit(1).alias("Unnamed: 0"))
     files.write_delimited(p, path)
     return files.read_delimited(spark, path, "id long, name string, size int, `Unnamed: 0` int")
@@ -116,52 +118,18 @@ def k4(spark, sf):
     return K.changed(s, n, ["k"], ["status", "title"]).select("k", "status")
 
 
-@query("k5_k6_bulk_writes", f"WITH {STORE} SELECT 'insert' AS op, count(*) AS n FROM nw WHERE k NOT IN (SELECT k FROM st) UNION ALL SELECT 'update', count(*) FROM nw WHERE k IN (SELECT k FROM st)")
-def k5(spark, sf):
-    s, n = _stores(spark, sf)
-    known = s.select("k")
-    return n.join(known, "k", "left_anti").agg(F.lit("insert").alias("op"), F.count("*").alias("n")).unionByName(n.join(known, "k", "left_semi").agg(F.lit("update").alias("op"), F.count("*").alias("n")))
-
-
-@query("k7_event_log", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
-def k7(spark, sf):
-    return shared_table(table(spark, sf, "events"), "event-log").groupBy("event_type").agg(F.count("*").alias("n"))
-
-
-@query("k8_insertion_payload", f"WITH {POSTS} SELECT id, title, domain, CASE WHEN description IS NULL THEN '' ELSE 'yes' END AS has_description FROM posts")
-def k8(spark, sf):
-    p = posts(spark, sf)
-    j = F.to_json(F.struct("id", F.struct("title", "description").alias("post"), F.struct(F.col("domain").alias("domain_name")).alias("website")))
-    back = F.from_json(j, "id long, post struct<title: string, description: string>, website struct<domain_name: string>")
-    return p.select(back.alias("b")).select("b.id", "b.post.title", F.col("b.website.domain_name").alias("domain"), F.when(F.col("b.post.description").isNull(), "").otherwise("yes").alias("has_description"))
-
-
-@query("k9_profile_payload", "SELECT c_custkey AS id, c_name AS name, n_name AS country FROM customer JOIN nation ON n_nationkey = c_nationkey")
-def k9(spark, sf):
-    c = table(spark, sf, "customer").join(F.broadcast(table(spark, sf, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
-    j = F.to_json(F.struct(F.struct("c_custkey", "c_name").alias("profile"), "n_name"))
-    return c.select(F.get_json_object(j, "$.profile.c_custkey").cast("long").alias("id"), F.get_json_object(j, "$.profile.c_name").alias("name"), F.get_json_object(j, "$.n_name").alias("country"))
-
-
-@query("k10_fan_out", "SELECT n_name AS organisation, count(*) AS n FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY 1 UNION ALL SELECT 'FRANCE_Grey_Market', count(*) FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_name = 'FRANCE' HAVING count(*) > 0")
-def k10(spark, sf):
-    c = table(spark, sf, "customer").join(F.broadcast(table(spark, sf, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
-    both = F.when(F.col("n_name") == "FRANCE", F.array(F.lit("FRANCE"), F.lit("FRANCE_Grey_Market"))).otherwise(F.array("n_name"))
-    return c.select(F.explode(both).alias("organisation")).groupBy("organisation").agg(F.count("*").alias("n"))
-
-
-@query("k11_response", "SELECT page_id AS id, url, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) AS language FROM pages")
-def k11(spark, sf):
-    s = F.struct("url", F.struct(F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.regexp_extract("html", '<html lang="([^"]*)"', 1).alias("language")).alias("page"))
-    return table(spark, sf, "pages").select(F.col("page_id").alias("id"), s.alias("r")).select("id", "r.url", "r.page.title", "r.page.language")
+FEATURE_NAMES = ["f_num_post__none", "f_cat_organisation__name", "f_num_post__hashtags_number", "f_text_post__original_text"]
 
 
-@query("k15_columns_description", "SELECT * FROM (VALUES (0, '0\tLabel\tf_label_post__label'), (1, '1\tCateg\tf_cat_organisation__name'), (2, '2\tNum\tf_num_post__hashtags_number'), (3, '3\tText\tf_text_post__original_text')) t(pos, line)")
+@query("k15_columns_description", "SELECT * FROM (VALUES ('0\tLabel\tf_label'), ('1\tNum\tf_num_post__none'), ('2\tCateg\tf_cat_organisation__name'), ('3\tNum\tf_num_post__hashtags_number'), ('4\tText\tf_text_post__original_text')) t(line)")
 def k15(spark, sf):
+    """The description of a training table's columns, written as a text file and read back."""
     from listwright.operators.feature_set import columns_description
 
-    names = ["f_label_post__label", "f_cat_organisation__name", "f_num_post__hashtags_number", "f_text_post__original_text"]
-    return spark.createDataFrame(list(enumerate(columns_description(names).splitlines())), "pos int, line string")
+    path = f"{shared_dir(spark)}/columns-{uuid.uuid4().hex}"
+    text = columns_description(FEATURE_NAMES)
+    spark.createDataFrame([(line,) for line in text.splitlines()], "value string").coalesce(1).write.text(path)
+    return spark.read.text(path).withColumnRenamed("value", "line")
 
 
 # --- filters ------------------------------------------------------------------------------------------------------------
@@ -175,16 +143,6 @@ def p1(spark, sf):
     return P.without_keywords(posts(spark, sf), EXCLUDE).select("id")
 
 
-@query("p2_must_have_keywords", f"WITH {POSTS} SELECT id FROM posts WHERE {HAS(MUST, LOWTEXT)}")
-def p2(spark, sf):
-    return P.with_keywords(posts(spark, sf), MUST, ("title", "description")).select("id")
-
-
-@query("p3_keyword_lists", "SELECT p_partkey AS id, CAST(len(string_split(p_name, ' ')) AS INT) AS n FROM part")
-def p3(spark, sf):
-    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.size(F.split("p_name", " ")).alias("n"))
-
-
 SCORED = "sc AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE (c_custkey % 10) / 10.0::DOUBLE END AS score, ['Zagtoon', 'Fred', 'Gucci', 'Dior'][CAST(c_custkey % 4 AS INT) + 1] AS org, c_custkey % 4 <> 3 AS active, CASE WHEN c_custkey % 10 <> 0 THEN c_name END AS title, CASE WHEN c_custkey % 20 <> 0 THEN 'd' END AS description FROM customer), th AS (SELECT *, CASE WHEN org = 'Zagtoon' THEN 0.7 WHEN org IN ('Brunello_Cucinelli', 'Fred') THEN 0.0 WHEN active THEN 0.2 END AS thr FROM sc)"
 
 
@@ -231,12 +189,6 @@ def p12(spark, sf):
     return d.join(table(spark, sf, "labels").select(F.col("doc_id").alias("id")), "id", "left_anti").join(table(spark, sf, "pages").select(F.col("page_id").alias("id")), "id", "left_anti")
 
 
-@query("p13_p14_required_fields", f"WITH {POSTS} SELECT id FROM posts WHERE (id % 3 <> 0 OR description IS NOT NULL) AND (id % 5 <> 0 OR lang = 'en')")
-def p13(spark, sf):
-    p = posts(spark, sf).withColumns({"url": F.lit("u"), "scraping_time": F.lit("t"), "need_d": F.col("id") % 3 == 0, "need_l": F.col("id") % 5 == 0, "en": F.when(F.col("lang") == "en", F.lit(1))})
-    return p.where(P.required({"description": "need_d", "en": "need_l"})).select("id")
-
-
 @query("p15_w3_quota", "SELECT o_custkey AS organisation, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS r FROM orders) WHERE r <= 5 + o_custkey % 3 GROUP BY 1")
 def p15(spark, sf):
     return K.running_quota(table(spark, sf, "orders"), "o_custkey", F.lit(5) + F.col("o_custkey") % 3, "o_orderdate", "o_orderkey").groupBy(F.col("o_custkey").alias("organisation")).agg(F.count("*").alias("n"))
@@ -248,12 +200,6 @@ def p16(spark, sf):
     return p.where(((F.col("title") != "") | F.col("description").isNotNull()) & (F.size("pictures") > 0) & F.exists("pictures", lambda x: x["s3_url"].isNotNull())).select("id")
 
 
-@query("p18_blacklisted_hashes", "SELECT vec_id AS id FROM embeddings WHERE label NOT IN (3, 7) OR label IS NULL")
-def p18(spark, sf):
-    bad = spark.createDataFrame([(3,), (7,)], "label int")
-    return table(spark, sf, "embeddings").join(F.broadcast(bad), "label", "left_anti").select(F.col("vec_id").alias("id"))
-
-
 NOW = 1704067200000000 + 3 * 3600 * 1000000
 
 
@@ -287,18 +233,6 @@ def p28(spark, sf):
     return query_urls(table(spark, sf, "region").select(F.col("r_name").alias("query")), ["https://a.example.com/search?q={SEARCH_QUERY}&n=MAX_POSTS_TO_BROWSE", "https://b.example.com/search?q={}&n=100"], 100)
 
 
-@query("p29_page_type", r"SELECT page_id AS id, CASE WHEN contains(url, '/en/') THEN 'POST' WHEN contains(url, '/fr/') THEN 'POSTER' WHEN contains(url, '?') THEN 'SEARCH' END AS kind FROM pages")
-def p29(spark, sf):
-    u = F.col("url")
-    return table(spark, sf, "pages").select(F.col("page_id").alias("id"), F.when(F.contains(u, F.lit("/en/")), "POST").when(F.contains(u, F.lit("/fr/")), "POSTER").when(F.contains(u, F.lit("?")), "SEARCH").alias("kind"))
-
-
-@query("p30_p31_worker_routing", "SELECT event_id AS id, CASE WHEN event_type = 'view' THEN 'instagram' WHEN event_type = 'click' THEN 'facebook' WHEN k % 2 = 0 THEN 'api' ELSE 'marketplace' END AS module, coalesce(CASE WHEN event_type = 'error' THEN NULL ELSE event_type END, 'POST') AS page_type FROM (SELECT *, CAST(props->>'$.k' AS BIGINT) AS k FROM events)")
-def p30(spark, sf):
-    t, k = F.col("event_type"), F.get_json_object("props", "$.k").cast("long")
-    return table(spark, sf, "events").select(F.col("event_id").alias("id"), F.when(t == "view", "instagram").when(t == "click", "facebook").when(k % 2 == 0, "api").otherwise("marketplace").alias("module"), F.coalesce(F.when(t != "error", t), F.lit("POST")).alias("page_type"))
-
-
 _first = lambda org: " OR ".join(f"contains(lower(t), '{k}') OR contains(lower(d), '{k}')" for k in org)
 
 
