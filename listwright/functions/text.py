@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from listwright.functions.constants import INFRINGING_KEYWORDS, ORGANISATIONS
 
@@ -50,12 +53,39 @@ def brand_words() -> list[str]:
     return [w for o in ORGANISATIONS for w in o.lower().split("_")]
 
 
+def bound(c: Column, use) -> Column:
+    """use(c), with c evaluated once however often use mentions it."""
+    return F.element_at(F.transform(F.array(c), use), 1)
+
+
+def trie(words: list[str]) -> str:
+    """A pattern of the alternation of words, in their order, grouped by beginnings: of two words that both match the one that comes first wins, as in the plain alternation."""
+    if "" in words:  # what comes after the end of a word is never tried
+        words = words[: words.index("") + 1]
+    groups: dict[str, list[str]] = {}
+    parts: list[str] = []
+    for w in words:
+        groups.setdefault(w[:1], []).append(w[1:])
+    for first, rests in groups.items():
+        parts.append(re.escape(first) + (trie(rests) if rests != [""] else "") if first else "")
+    return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
+
+
 def tokens_rebuilt(c: Column, words: list[str] | None = None) -> Column:
-    """As tokens_borders, with words that were cut into fragments put together again, in the order of the word list."""
-    t = F.concat(F.lit(","), F.array_join(tokens_borders(c), ","), F.lit(","))
-    for w in brand_words() if words is None else words:
-        t = F.regexp_replace(t, "," + ",?".join(w) + ",", f",{w},")
-    return _some(F.split(t, ","))
+    """As tokens_borders, with words that were cut into fragments put together again, in the order of the word list.
+
+    One alternation of all words tells first whether there is anything to put together: without it no replacement of any word can match.
+    """
+    words = brand_words() if words is None else words
+    cut = [",?".join(w) for w in words]
+
+    def rebuilt(t: Column) -> Column:
+        out = t
+        for w, pattern in zip(words, cut, strict=True):
+            out = F.regexp_replace(out, f",{pattern},", f",{w},")
+        return F.when(t.rlike(f",(?:{'|'.join(cut)}),"), out).otherwise(t)
+
+    return _some(F.split(bound(F.concat(F.lit(","), F.array_join(tokens_borders(c), ","), F.lit(",")), rebuilt), ","))
 
 
 TOKENIZERS = {
@@ -69,7 +99,7 @@ TOKENIZERS = {
 
 def infringing_count(c: Column) -> Column:
     """Matches of the keyword alternation, first keyword first, case-sensitive."""
-    return F.regexp_count(c, F.lit("|".join(INFRINGING_KEYWORDS)))
+    return F.regexp_count(c, F.lit(trie(INFRINGING_KEYWORDS)))
 
 
 def brand_pattern() -> str:
@@ -77,18 +107,27 @@ def brand_pattern() -> str:
 
 
 def brand_count(c: Column) -> Column:
-    return F.regexp_count(F.lower(c), F.lit(brand_pattern()))
+    return F.regexp_count(F.lower(c), F.lit(trie(brand_pattern().split("|"))))
 
 
 def brands_in_tokens(tokens: Column, orgs: list[str] | None = None) -> Column:
-    """Number of organisations all of whose name parts are tokens."""
-    hit = [F.size(F.array_except(F.array(*map(F.lit, o.lower().split("_"))), tokens)) == 0 for o in orgs or ORGANISATIONS]
-    return sum((h.cast("int") for h in hit[1:]), hit[0].cast("int"))
+    """Number of organisations all of whose name parts are tokens. The tokens that are parts of any name are found once."""
+    names = [o.lower().split("_") for o in orgs or ORGANISATIONS]
+    every = sorted({w for n in names for w in n})
+
+    def count(found: Column) -> Column:
+        hit = [F.size(F.array_except(F.array(*map(F.lit, n)), found)) == 0 for n in names]
+        return F.when(F.size(found) == 0, 0).otherwise(sum((h.cast("int") for h in hit[1:]), hit[0].cast("int")))
+
+    return bound(F.array_intersect(F.array(*map(F.lit, every)), tokens), count)
 
 
-def own_brand_in_tokens(org: Column, tokens: Column) -> Column:
-    name = F.lower(F.when(org == "Chanel_Navee", "Chanel").otherwise(org))
-    return F.size(F.array_except(F.split(name, "_"), tokens)) == 0
+def own_brand_in_tokens(org: Column, tokens: Column, aliases: dict[str, str] | None = None) -> Column:
+    """Whether all parts of an organisation's name are tokens. aliases: the names to look for instead of some organisations' own."""
+    name = org
+    for own, other in (aliases or {}).items():
+        name = F.when(org == own, other).otherwise(name)
+    return F.size(F.array_except(F.split(F.lower(name), "_"), tokens)) == 0
 
 
 EMAIL, PHONE = r"\w+([\.-]?\w+)?@\w+([\.-]?\w+)?(\.\w{2,3})+", r"[\+]?[(]?[0-9]{3}[)]?[-\s\.]?[0-9]{3}[-\s\.]?[0-9]{4,6}"
@@ -216,3 +255,59 @@ def biography(*parts: Column) -> Column:
 def contains_any(text: Column, words: Column) -> Column:
     """Whether text, in lower case, contains any of the words of an array."""
     return F.exists(words, lambda w: F.contains(text, F.lower(w)))
+
+
+def replace_bytes(c: Column, pattern: str, replacement: str) -> Column:
+    """Replacement by a pattern over the UTF-8 bytes of a text: a character of several bytes is as many characters of Latin-1 to the pattern."""
+    as_bytes = F.decode(F.encode(c, "UTF-8"), "ISO-8859-1")
+    return F.decode(F.encode(F.regexp_replace(as_bytes, pattern.encode().decode("latin-1"), replacement.encode().decode("latin-1")), "ISO-8859-1"), "UTF-8")
+
+
+#: Where a text is cut best: behind the end of a sentence, a bracket or a dash.
+BREAKS = "\n!.*);?]}-_"
+
+
+def break_text(text: str, limit: int = 1000) -> list[str]:
+    """Parts of at most limit characters that make up the text: each is cut in its second half, behind the first mark of BREAKS, else the first blank, unless the
+    last character but one comes first, else in the middle."""
+    todo, out = [text], []
+    while todo:
+        t = todo.pop()
+        if len(t) <= limit:
+            out.append(t)
+            continue
+        half = len(t) // 2
+        rest = t[half:]
+        mark = min((k for m in BREAKS if (k := rest.find(m)) >= 0), default=-1)
+        blank = rest.find(" ")
+        at = next((half + k + 1 for k in (mark, blank) if 0 <= k <= len(rest) - 2), half)
+        todo += [t[at:], t[:at]]
+    return out
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def broken_texts(text: pd.Series) -> pd.Series:
+    """break_text of each text, with the usual limit."""
+    return text.map(lambda t: None if t is None else break_text(t))
+
+
+# Frequent words that tell languages apart.
+STOP_WORDS = {
+    "en": "the of and to in is that for it was on with as are this".split(), "fr": "le la les des et est une que dans pour pas sur avec".split(),
+    "de": "der die und das nicht mit ein auf ist von den zu".split(), "es": "el los las por una con para del como su lo".split(),
+}
+
+
+def foreign_language(c: Column, least: float = 0.5) -> Column:
+    """The language other than English that has at least a share of a text's frequent words; null if there is none. Of equal ones the first by name."""
+    words = F.regexp_extract_all(F.lower(c), F.lit(r"(\p{L}+)"), F.lit(1))
+
+    def best(w: Column) -> Column:
+        among = lambda s: lambda x: x.isin(*s)
+        counts = {k: F.size(F.filter(w, among(s))) for k, s in STOP_WORDS.items()}
+        total = sum(list(counts.values())[1:], counts["en"])
+        some = F.array(*(F.struct((-n).alias("n"), F.lit(k).alias("lang")) for k, n in counts.items() if k != "en"))
+        top = F.array_min(some)
+        return F.when((total > 0) & (-top["n"] >= least * total), top["lang"])
+
+    return bound(words, best)

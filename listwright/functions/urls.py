@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Public suffixes of two labels that registered domains are cut at; names ending otherwise are cut at the last label.
-SUFFIXES = ["sa.com", "com.be", "co.uk", "org.uk", "com.br", "com.au", "co.jp", "co.kr", "com.my", "com.tr", "com.mx", "com.ar", "com.cn", "com.hk", "com.sg", "com.tw", "co.in", "co.id", "co.nz", "co.th", "co.za", "com.ua", "com.vn", "com.ph", "com.co", "com.pe"]
+#: Public suffixes of two labels by rule: a name of these, under a country code.
+SECOND_LEVEL = "com co org net edu gov mil ac or ne go gob gouv nom gen firm ltd plc sch web id in".split()
+# Further suffixes of two labels.
+SUFFIXES = ["sa.com", "com.be"]
 # Hosts that count as domains of their own.
 OWN_HOSTS = [f"{c}.carousell.com" for c in ("au", "nz", "tw", "id", "ca")]
 
@@ -17,12 +19,17 @@ def host(u: Column) -> Column:
     return F.regexp_extract(full, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)
 
 
-def registered_domain(u: Column) -> Column:
-    """The domain under a public suffix, lower case; a few hosts and one path are domains of their own."""
+def suffix_pattern(more: list[str] | None = None) -> str:
+    """A pattern of suffixes of two or more labels: those of the rule, the fixed ones and others, such as a list of public suffixes that a user has read."""
+    named = [s.replace(".", r"\.") for s in sorted({*SUFFIXES, *(more or [])}, key=lambda s: (-s.count("."), s)) if "." in s]
+    return "|".join([*named, rf"(?:{'|'.join(SECOND_LEVEL)})\.[a-z][a-z]"])
+
+
+def registered_domain(u: Column, more: list[str] | None = None) -> Column:
+    """The domain under a public suffix, lower case; a few hosts and one path are domains of their own. more: further suffixes of several labels."""
     h = F.regexp_replace(F.regexp_replace(host(u), "^.*@", ""), r":\d*$", "")
     h_ = F.lower(h)
-    two = "|".join(s.replace(".", r"\.") for s in SUFFIXES)
-    long, short = F.regexp_extract(h_, rf"([^.]+\.(?:{two}))$", 1), F.regexp_extract(h_, r"([^.]+\.[^.]+)$", 1)
+    long, short = F.regexp_extract(h_, rf"([^.]+\.(?:{suffix_pattern(more)}))$", 1), F.regexp_extract(h_, r"([^.]+\.[^.]+)$", 1)
     out = F.when(F.endswith(h, F.lit("facebook.com")) & F.contains(u, F.lit("facebook.com/marketplace")), "facebook.com/marketplace")
     for own in OWN_HOSTS:
         out = out.when(F.endswith(h, F.lit(own)), own)
@@ -111,3 +118,29 @@ def poster_url(name: Column, template: str, append: Column | None = None) -> Col
 
 def shortcode(u: Column) -> Column:
     return F.nullif(F.regexp_extract(u, "/p/([^/?]*)", 1), F.lit(""))
+
+
+def username(u: Column) -> Column:
+    """The user's name in an address of a profile on instagram.com; null for other addresses."""
+    return F.nullif(F.regexp_extract(u, r"instagram\.com/([^/?#]*)", 1), F.lit(""))
+
+
+def clean_by_table(urls: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
+    """urls with `clean`: each address in one form by the rule of its registered domain; an address without a rule, or of a search page, stays.
+
+    rules: domain, post_path (null: any address), search_paths, keep (query parameters that stay, in their order), countries (path parts that go),
+    skip (true: nothing is changed). The rules are joined by domain, so they may be as many as need be.
+    """
+    r = rules.select(F.col("domain").alias("_domain"), "post_path", "search_paths", F.coalesce("keep", F.array().cast("array<string>")).alias("_keep"), F.coalesce("countries", F.array().cast("array<string>")).alias("_countries"), F.coalesce("skip", F.lit(False)).alias("_skip"))
+    j = urls.withColumn("_d", registered_domain(F.col(url))).join(r, F.col("_d") == F.col("_domain"), "left")
+    u = F.col(url)
+    query = F.regexp_extract(u, r"\?([^#]*)", 1)
+    value = lambda k: F.try_url_decode(F.call_function("regexp_extract", query, F.concat(F.lit("(?:^|&)"), k, F.lit("=([^&]+)")), F.lit(1)))
+    kept = F.filter(F.transform("_keep", lambda k: F.struct(k.alias("k"), value(k).alias("v"))), lambda p: F.coalesce(p["v"] != "", F.lit(False)))
+    base = F.split_part(u, F.lit("?"), F.lit(1))
+    base = F.when(F.size(kept) > 0, F.concat(base, F.lit("?"), F.array_join(F.transform(kept, lambda p: F.concat(p["k"], F.lit("="), F.url_encode(p["v"]))), "&"))).otherwise(base)
+    parts = F.split(base, "/")
+    local = F.array_join(F.filter(parts, lambda p: ~F.array_contains("_countries", F.lower(p))), "/")
+    cut = F.when(F.col("post_path").isNull() | F.startswith(u, F.col("post_path")), F.when(F.size("_countries") > 0, local).otherwise(base)).otherwise(u)
+    plain = F.col("_domain").isNull() | F.col("_skip") | F.coalesce(F.exists("search_paths", lambda p: F.startswith(u, p)), F.lit(False))
+    return j.withColumn("clean", F.when(plain, u).otherwise(F.regexp_replace(cut, "/$", ""))).select(*urls.columns, "clean")

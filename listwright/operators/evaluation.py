@@ -47,3 +47,27 @@ def average_precision(df: DataFrame, by: str) -> DataFrame:
     w = Window.partitionBy(by).orderBy(F.desc("threshold"))
     step = (F.col("recall") - F.coalesce(F.lag("recall").over(w), F.lit(0.0))) * F.col("precision")
     return c.withColumn("_s", step).groupBy(by).agg(F.sum("_s").alias("ap"))
+
+
+def node_evaluation(df: DataFrame, by: str, threshold: float = 0.5) -> DataFrame:
+    """One row: acc (share of pages whose first labelled node has the best score), macro_ap, micro_ap, node_prec, node_rec.
+
+    df: by (page), node (its place in the page), label (0 or 1), score. A page without a labelled node counts 0 for acc and macro_ap.
+    """
+    first = lambda score: F.max(F.struct(score, -F.col("node")))
+    best = df.groupBy(by).agg(first(F.col("label")).alias("l"), first(F.col("score")).alias("s"), F.max("label").alias("any"))
+    best = best.select(by, ((F.col("any") > 0) & (F.col("l.col2") == F.col("s.col2"))).cast("double").alias("good"), "any")
+    ap = average_precision(df, by).withColumnRenamed(by, "_by")
+    per = best.join(ap, best[by].eqNullSafe(ap["_by"])).agg(F.avg("good").alias("acc"), F.avg(F.when(F.col("any") > 0, F.col("ap")).otherwise(0.0)).alias("macro_ap"))
+    micro = average_precision(df.withColumn("_all", F.lit(0)), "_all").select(F.col("ap").alias("micro_ap"))
+    hit = (F.col("score") > threshold).cast("int")
+    nodes = df.agg(F.sum(F.col("label") * hit).alias("tp"), F.sum(hit).alias("p"), F.sum("label").alias("l"))
+    rate = lambda n: F.when(F.col(n) > 0, F.col("tp") / F.col(n)).otherwise(0.0)
+    nodes = nodes.select(rate("p").alias("node_prec"), rate("l").alias("node_rec"))
+    return per.crossJoin(F.broadcast(micro)).crossJoin(F.broadcast(nodes))  # one row each
+
+
+def quota_alerts(counts: DataFrame, quotas: DataFrame, key: str, shares: tuple[float, ...] = (0.5, 0.75, 0.9)) -> DataFrame:
+    """key, n, quota, share: organisations whose number of rows is just a share of their quota (whole part). counts: key, n; quotas: key, quota."""
+    s = F.filter(F.array(*map(F.lit, shares)), lambda x: F.floor(x * F.col("quota")) == F.col("n"))
+    return counts.join(quotas, key).withColumn("share", F.explode(s)).select(key, "n", "quota", "share")

@@ -14,6 +14,8 @@ from listwright.functions.constants import NEGATIVE_LABELS, ORGANISATIONS, POSIT
 
 NAME = re.compile(r"^(f_[a-zA-Z]+)_(\w+)__(\w+)$")
 KINDS = {"f_num": "Num", "f_cat": "Categ", "f_text": "Text", "f_id": "Auxiliary", "f_aux": "Auxiliary", "f_label": "Label"}
+#: Names that are looked for instead of some organisations' own; filled by whoever has such organisations.
+ALIASES: dict[str, str] = {"Chanel_Partner": "Chanel"}
 ATTRIBUTES = {"post", "organisation", "post_organisation", "account", "account_organisation", "cluster", "cluster_organisation", "image", "duplicated_group", "website"}
 
 
@@ -153,7 +155,7 @@ def _catalogue() -> Registry:
             tags = ("tg_tokens", f"tg_{name}")
             r.add(f"f_text_post__{side}_text_token_{name}", lambda tok=tok: F.array_join(tok, " "), *tags)
             r.add(f"f_num_post__organisations_number_in_post_{side}_text_token_{name}", lambda tok=tok: T.brands_in_tokens(F.col(tok)), *tags)
-            r.add(f"f_num_post_organisation__organisation_in_post_{side}_text_token_{name}", lambda tok=tok: T.own_brand_in_tokens(F.col("organisation_name"), F.col(tok)), *tags)
+            r.add(f"f_num_post_organisation__organisation_in_post_{side}_text_token_{name}", lambda tok=tok: T.own_brand_in_tokens(F.col("organisation_name"), F.col(tok), ALIASES), *tags)
     return r
 
 

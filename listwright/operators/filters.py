@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from listwright.functions.constants import DEFAULT_THRESHOLD, ORG_THRESHOLDS, SAMPLE_PERCENT
-from listwright.functions.text import contains_any
+from listwright.functions.text import bound, contains_any
 from listwright.session import shared_table
 
 
@@ -72,6 +72,18 @@ def dispatch(df: DataFrame, keywords: DataFrame, id_col: str = "id") -> DataFram
 MAX_KEYWORDS = 200
 
 
+def _grams(width: int):
+    """All grams of up to width characters of an array of characters. (A place in a text is only found by reading the text from its start.)"""
+
+    def of(chars: Column) -> Column:
+        def wide(w: int) -> Column:
+            return F.transform(chars, lambda x, i: F.concat(x, *(F.coalesce(F.get(chars, i + k), F.lit("")) for k in range(1, w))))
+
+        return F.concat(chars, *(wide(w) for w in range(2, width + 1)))
+
+    return of
+
+
 def dispatch_by_join(df: DataFrame, keywords: DataFrame, id_col: str = "id", width: int = 3) -> DataFrame:
     """As dispatch, for many keywords: listings and keywords meet on character trigrams, and containment is checked on what meets.
 
@@ -79,11 +91,12 @@ def dispatch_by_join(df: DataFrame, keywords: DataFrame, id_col: str = "id", wid
     """
     kw = keywords.groupBy(F.lower("keyword").alias("keyword")).agg(F.max_by("organisation", "pos").alias("organisation"))
     text = df.select(id_col, F.lower(F.coalesce("title", F.lit(""))).alias("t"), F.lower(F.coalesce("description", F.lit(""))).alias("d"))
-    grams = lambda c, w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - (w - 1), F.lit(1))), lambda i: F.substr(c, i, F.lit(w)))
-    all_grams = F.array_distinct(F.concat(F.array(F.lit("")), *(grams(F.col(c), w) for w in range(1, width + 1) for c in ("t", "d"))))
-    gram = text.select("*", F.explode(all_grams).alias("gram"))
-    key = shared_table(kw.withColumn("gram", F.substring("keyword", 1, width)), "keywords")  # of known size: few are broadcast, and no texts are shuffled
-    found = gram.join(key, "gram").where(F.contains("t", F.col("keyword")) | F.contains("d", F.col("keyword"))).select(id_col, "organisation")
+
+    all_grams = F.array_distinct(F.concat(F.array(F.lit("")), *(bound(F.split(F.col(c), ""), _grams(width)) for c in ("t", "d"))))
+    gram = text.select(id_col, F.explode(all_grams).alias("gram"))  # without the texts
+    key = shared_table(kw.withColumn("gram", F.substring("keyword", 1, width)), "keywords")
+    met = shared_table(gram.join(key, "gram").select(id_col, "keyword", "organisation"), "met")
+    found = met.join(text, id_col).where(F.contains("t", F.col("keyword")) | F.contains("d", F.col("keyword"))).select(id_col, "organisation")
     return found.groupBy(id_col).agg(F.array_sort(F.collect_set("organisation")).alias("organisations"))
 
 

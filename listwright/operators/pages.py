@@ -196,3 +196,14 @@ def refined_paths(pages: DataFrame) -> DataFrame:
     return over_pages(pages.select("page_id", "html", "path"), "page_id long, path string, refined string", rows)
 
 
+def sibling_similarity(pages: DataFrame) -> DataFrame:
+    """page_id, path, siblings, mean: of each node that has siblings, their number and its mean similarity to the first COMPARED of them."""
+
+    def rows(tree, page_id):
+        for k in range(len(tree)):
+            siblings = [s for s in (tree.children[tree.parent[k]] if tree.parent[k] >= 0 else []) if s != k]
+            if siblings:
+                some = siblings[: T.COMPARED]
+                yield {"page_id": page_id, "path": tree.path[k], "siblings": len(siblings), "mean": sum(T.similarity(tree, k, s) for s in some) / len(some)}
+
+    return over_pages(pages.select("page_id", "html"), "page_id long, path string, siblings int, mean double", rows)

@@ -75,7 +75,7 @@ def worker_params(messages: DataFrame, defaults: dict[str, str]) -> DataFrame:
         .when((kind == POSTER) & insta & user.isNull(), "no username")
         .when((kind == POSTER) & ~insta & _some(F.col("url")).isNull(), "no address")
     )
-    out = messages.withColumns({"domain": domain, "error": error, "scraping_type": F.when(kind == POST, "POST_SCRAPE_FROM_LIST").when(kind == POSTER, "POSTER_SEARCH"), "post_url": F.when(kind == POST, url).otherwise(F.col("url")), "identifier": F.when(kind == POST, code).when(insta, user).otherwise(_some(F.col("url")))})
+    out = messages.withColumns({"domain": domain, "error": error, "scraping_type": F.when(kind == POST, "POST_SCRAPE_FROM_LIST").when(kind == POSTER, "POSTER_SEARCH"), "post_url": F.when(kind == POST, url).otherwise(F.col("url")), "identifier": F.when(kind == POST, code).when((kind == POSTER) & insta, user).when(kind == POSTER, _some(F.col("url")))})
     return out.withColumns({k: F.coalesce(k, F.lit(v)) for k, v in defaults.items()})
 
 

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from listwright.session import shared_table
+
 
 def numbered(df: DataFrame, key: str, name: str) -> DataFrame:
     """Adds 1, 2, ... in the order of a unique key: rows are dealt by ranges of the key, ranges are counted, counts are summed up."""
-    from listwright.session import shared_table
-
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = shared_table(df.repartitionByRange(parts, key).withColumn("_p", F.spark_partition_id()), "ranges")
     sums = dealt.groupBy("_p").agg(F.count("*").alias("_n"))
@@ -17,3 +17,19 @@ def numbered(df: DataFrame, key: str, name: str) -> DataFrame:
     starts = sums.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_s"))  # a row for each range
     n = F.row_number().over(Window.partitionBy("_p").orderBy(key))
     return dealt.join(F.broadcast(starts), "_p").withColumn(name, (n + F.col("_s")).cast("long")).drop("_p", "_s")
+
+
+def numbered_within(df: DataFrame, groups: list[str], order: list[Column], name: str) -> DataFrame:
+    """Adds 1, 2, ... within each group in an order without ties, as numbered() does: no task sees a whole group. Null is a group."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = df.withColumns({f"_g{k}": F.col(g) for k, g in enumerate(groups)})
+    own = [f"_g{k}" for k in range(len(groups))]
+    dealt = shared_table(keyed.repartitionByRange(parts, *own, *order).withColumn("_p", F.spark_partition_id()), "ranges")
+    sums = dealt.groupBy(*own, "_p").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*own).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(*(F.col(g).alias(f"{g}s") for g in own), F.col("_p").alias("_q"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_s"))
+    on = F.col("_p") == F.col("_q")
+    for g in own:
+        on = on & F.col(g).eqNullSafe(F.col(f"{g}s"))
+    n = F.row_number().over(Window.partitionBy("_p", *own).orderBy(*order))
+    return dealt.withColumn(name, n).join(starts, on).withColumn(name, (F.col(name) + F.col("_s")).cast("long")).select(*df.columns, name)

@@ -78,10 +78,12 @@ def month_count(df: DataFrame, at: Column, now: Column, half_open: bool = False)
     return df.where(inside).agg(F.count("*").alias("sent"))
 
 
-def running_quota(df: DataFrame, org: str, limit: Column, *order) -> DataFrame:
-    """Rows whose running number within the organisation is at most its limit; a null limit is none."""
-    n = F.row_number().over(Window.partitionBy(org).orderBy(*order))
-    return df.withColumn("_n", n).where(limit.isNull() | (F.col("_n") <= limit)).drop("_n")
+def running_quota(df: DataFrame, org: str, limit: Column, *order: str) -> DataFrame:
+    """Rows whose running number within the organisation is at most its limit; a null limit is none. No task sees a whole organisation."""
+    from listwright.operators.rows import numbered_within
+
+    n = numbered_within(df, [org], [F.col(o) for o in order], "_n")
+    return n.where(limit.isNull() | (F.col("_n") <= limit)).drop("_n")
 
 
 def fill_rates(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -117,3 +119,9 @@ def reattach(images: DataFrame, posts: DataFrame, image: str, post: str, link: l
     moved = both.select(image, F.coalesce(F.col("_post").cast("string"), name).alias("post"))
     created = both.where("_post is null").select(*link).distinct()
     return moved, created, posts.select(post).join(both.select(F.col("_post").alias(post)), post, "left_anti")
+
+
+def localized_keywords(organisations: DataFrame, countries: DataFrame) -> DataFrame:
+    """country, organisation, keyword: each keyword once that an organisation has (keywords: a map of lists by locale) for one of a country's locales (an array)."""
+    k = organisations.select("organisation", F.explode("keywords").alias("locale", "words")).select("organisation", "locale", F.explode("words").alias("keyword"))
+    return k.join(countries.select("country", F.explode("locales").alias("locale")), "locale").select("country", "organisation", "keyword").distinct()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from listwright.operators import datasets as S
 from listwright.operators import evaluation as E
+from listwright.operators import pages as G
 from listwright.operators import schedule
 from listwright.operators import store as K
 from listwright.plans.registry import query
@@ -111,6 +112,21 @@ def a20(spark, sf):
     return E.average_precision(labelled(spark, sf), "domain").select("domain", F.round("ap", 8).alias("ap"))
 
 
+_NODES = "nd AS (SELECT doc_id % 60 AS page, doc_id AS node, toxic AS label, ((doc_id * 7919 + toxic * 37) % 101) / 100.0::DOUBLE AS score FROM labels WHERE toxic IS NOT NULL)"
+_AP = """SELECT {g} AS g, sum((recall - coalesce(pr, 0)) * precision) AS ap FROM (SELECT {g}, precision, recall, lag(recall) OVER (PARTITION BY {g} ORDER BY t DESC) AS pr FROM (SELECT {g}, t, sum(p) OVER w / sum(n) OVER w AS precision, CASE WHEN sum(p) OVER (PARTITION BY {g}) > 0 THEN sum(p) OVER w / sum(p) OVER (PARTITION BY {g}) ELSE 0 END AS recall FROM (SELECT {g}, score AS t, count(*) AS n, sum(label) AS p FROM {t} GROUP BY ALL) WINDOW w AS (PARTITION BY {g} ORDER BY t DESC))) GROUP BY 1"""
+
+
+@query(
+    "a20_node_evaluation",
+    f"""WITH {_NODES}, one AS (SELECT *, 0 AS z FROM nd), ap AS ({_AP.format(g='page', t='nd')}), mi AS ({_AP.format(g='z', t='one')}), b AS (SELECT page, max(label) AS has, arg_min(node, (-label, node)) AS l, arg_min(node, (-score, node)) AS s FROM nd GROUP BY page)
+SELECT round(avg(CASE WHEN has > 0 AND l = s THEN 1.0::DOUBLE ELSE 0 END), 8) AS acc, round(avg(CASE WHEN has > 0 THEN ap ELSE 0 END), 8) AS macro_ap, (SELECT round(ap, 8) FROM mi) AS micro_ap, (SELECT round(sum(label * (score > 0.5)::INT) / sum((score > 0.5)::INT), 8) FROM nd) AS node_prec, (SELECT round(sum(label * (score > 0.5)::INT) / sum(label), 8) FROM nd) AS node_rec FROM b JOIN ap ON ap.g = b.page""",
+)
+def a20n(spark, sf):
+    """How well scores name the nodes: best node by page, average precision by page and over all nodes, precision and recall of nodes."""
+    l = table(spark, sf, "labels").where("toxic is not null").select((F.col("doc_id") % 60).alias("page"), F.col("doc_id").alias("node"), F.col("toxic").alias("label"), (F.pmod(F.col("doc_id") * 7919 + F.col("toxic") * 37, F.lit(101)) / 100.0).alias("score"))
+    return E.node_evaluation(l, "page").select(*(F.round(c, 8).alias(c) for c in ("acc", "macro_ap", "micro_ap", "node_prec", "node_rec")))
+
+
 @query("a21_medians", "SELECT l_returnflag AS flag, median(l_quantity) AS q, round(median(l_discount), 9) AS d FROM lineitem GROUP BY 1")
 def a21(spark, sf):
     return table(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("flag")).agg(F.median("l_quantity").alias("q"), F.round(F.median("l_discount"), 9).alias("d"))
@@ -143,9 +159,11 @@ def a27(spark, sf):
     return table(spark, sf, "lineitem").agg(F.min("l_orderkey").alias("lo"), F.max("l_orderkey").alias("hi"), F.min("l_linenumber").cast("long").alias("klo"), F.max("l_linenumber").cast("long").alias("khi"))
 
 
-@query("a28_sibling_similarity", "SELECT l_orderkey AS id, round(avg(l_discount * 10), 9) AS mean FROM lineitem WHERE l_linenumber <= 5 GROUP BY 1 HAVING avg(l_discount * 10) > 0.2")
+@query("a28_sibling_similarity", "SELECT page_id, '/html[1]/body[1]/nav[1]/ul[1]/li[1]' AS path, 1.0::DOUBLE AS mean FROM pages WHERE len(regexp_extract_all(html, '<li><a ')) >= 3")
 def a28(spark, sf):
-    return table(spark, sf, "lineitem").where("l_linenumber <= 5").groupBy(F.col("l_orderkey").alias("id")).agg(F.avg(F.col("l_discount") * 10).alias("m")).where("m > 0.2").select("id", F.round("m", 9).alias("mean"))
+    """The first items of lists, whose mean similarity to their siblings, five at most, is over 0.2."""
+    s = G.sibling_similarity(table(spark, sf, "pages").select("page_id", "html")).where("siblings >= 2 and mean > 0.2")
+    return s.where("path like '%/ul[1]/li[1]'").select("page_id", "path", F.round("mean", 9).alias("mean"))
 
 
 @query("a29_funnel", "SELECT user_id % 20 AS task, count(*) AS searched, count(CASE WHEN event_type = 'view' THEN 1 END) AS filtered, count(CASE WHEN event_type = 'purchase' THEN 1 END) AS sent FROM events GROUP BY 1")
@@ -154,7 +172,9 @@ def a29(spark, sf):
     return table(spark, sf, "events").groupBy((F.col("user_id") % 20).alias("task")).agg(F.count("*").alias("searched"), F.count_if(t == "view").alias("filtered"), F.count_if(t == "purchase").alias("sent"))
 
 
-@query("a30_quota_alerts", "SELECT o_custkey AS organisation, n FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) WHERE n IN (CAST(floor(20 * 0.5) AS INT), CAST(floor(20 * 0.75) AS INT), CAST(floor(20 * 0.9) AS INT))")
+@query("a30_quota_alerts", "SELECT o_custkey AS organisation, n, quota, s AS share FROM (SELECT o_custkey, count(*) AS n, o_custkey % 30 + 4 AS quota FROM orders GROUP BY ALL), (VALUES (0.5::DOUBLE), (0.75::DOUBLE), (0.9::DOUBLE)) t(s) WHERE n = CAST(floor(s * quota) AS BIGINT)")
 def a30(spark, sf):
+    """Organisations that have just reached a half, three quarters or nine tenths of their own quota."""
     g = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("organisation")).agg(F.count("*").alias("n"))
-    return g.where(F.col("n").isin(*[int(20 * s) for s in (0.5, 0.75, 0.9)]))
+    quotas = table(spark, sf, "customer").select(F.col("c_custkey").alias("organisation"), (F.col("c_custkey") % 30 + 4).alias("quota"))
+    return E.quota_alerts(g, quotas, "organisation")

@@ -19,7 +19,7 @@ def full_posts(spark, sf):
     images = F.when(i % 3 == 0, F.array().cast(image)).otherwise(F.array(F.struct((i % 2 == 0).alias("logo_detected"), F.create_map(F.lit("bag"), (i % 7) / 10, F.lit("shoe"), (i % 5) / 10).alias("vit_predictions")), F.struct(F.lit(None).cast("boolean").alias("logo_detected"), F.lit(None).cast("map<string, double>").alias("vit_predictions"))))
     return p.withColumns(
         {
-            "organisation_name": F.element_at(F.array(*map(F.lit, ["Gucci", "Louis_Vuitton", "Chanel_Navee", "The_And"])), (i % 4 + 1).cast("int")), "category": F.col("lang"), "translated_title": F.col("title"), "translated_description": F.lit(None).cast("string"),
+            "organisation_name": F.element_at(F.array(*map(F.lit, ["Gucci", "Louis_Vuitton", "Chanel_Partner", "The_And"])), (i % 4 + 1).cast("int")), "category": F.col("lang"), "translated_title": F.col("title"), "translated_description": F.lit(None).cast("string"),
             "poster_name": F.when(i % 5 != 0, F.concat(F.lit("gucci shop "), i.cast("string"))), "website_category": (i % 3).cast("int"), "images": images,
             **{f"{w}_{s}_{n}": F.lit(v) + i % m for w, a in (("poster", 3), ("cluster", 5)) for s, m in (("org", a), ("all", a + 4)) for n, v in (("n", 0), ("pos", 0))},
         }
@@ -35,7 +35,7 @@ def feature_catalogue(spark, sf):
 @query(
     "features_base",
     rf"""WITH {POSTS}, t AS (SELECT *, replace(regexp_replace(coalesce(title, '') || chr(10) || coalesce(description, ''), '{HT}', '', 'g'), chr(9), ' ') AS ot FROM posts)
-SELECT id, ['Gucci', 'Louis_Vuitton', 'Chanel_Navee', 'The_And'][CAST(id % 4 AS INT) + 1] AS f_cat_organisation__name, CASE WHEN id % 3 = 0 THEN FALSE ELSE CASE WHEN id % 2 = 0 THEN TRUE END END AS f_num_image__logo_detected, CAST(len(regexp_extract_all(description, '#')) AS INT) AS f_num_post__hashtags_number,
+SELECT id, ['Gucci', 'Louis_Vuitton', 'Chanel_Partner', 'The_And'][CAST(id % 4 AS INT) + 1] AS f_cat_organisation__name, CASE WHEN id % 3 = 0 THEN FALSE ELSE CASE WHEN id % 2 = 0 THEN TRUE END END AS f_num_image__logo_detected, CAST(len(regexp_extract_all(description, '#')) AS INT) AS f_num_post__hashtags_number,
 CAST(len(regexp_extract_all(ot, {q("|".join(INFRINGING_KEYWORDS))})) AS INT) AS f_num_post__infringing_kw, CASE WHEN id % 5 <> 0 THEN 1 ELSE 0 END AS f_num_account__is_poster_known, CAST(len(regexp_extract_all(lower(ot), {q(brand_pattern())})) AS INT) AS f_num_post__organisations_number_in_post_original_text,
 CASE WHEN id % 3 = 0 OR greatest(id % 7, id % 5) = 0 THEN '' WHEN id % 7 >= id % 5 THEN 'bag' ELSE 'shoe' END AS f_cat_image__vit_top1_classification, CASE WHEN id % 3 = 0 OR greatest(id % 7, id % 5) = 0 THEN -1 ELSE greatest(id % 7, id % 5) / 10 END AS f_num_image__vit_top1_prediction, domain AS f_cat_website__domain_name,
 CAST(CASE WHEN id % 7 > 0 THEN 1 ELSE -1 END AS DOUBLE) AS f_num_account__poster_infringing_percent_for_all_organisations FROM t""",

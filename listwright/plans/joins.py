@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -9,8 +11,10 @@ from listwright.operators import datasets as S
 from listwright.operators import filters as P
 from listwright.operators import schedule
 from listwright.operators import store as K
+from listwright.operators.rows import numbered, numbered_within
 from listwright.plans.registry import query
 from listwright.plans.views import POSTS, TASKS, posts, table, tasks
+from listwright.session import shared_dir
 
 DRAW = "(({k} * 1103515245 + 2469000) % 2147483647)"
 
@@ -28,11 +32,12 @@ def j2(spark, sf):
     return schedule.active(tasks(spark, sf)).join(n, "organisation_id", "left").select("id", "organisation")
 
 
-@query("j4_t3_random_order", f"SELECT c_custkey AS id, row_number() OVER (ORDER BY {DRAW.format(k='c_custkey')}, c_custkey) AS pos FROM customer ORDER BY {DRAW.format(k='c_custkey')}, c_custkey LIMIT 100")
+@query("j4_t3_random_order", f"WITH j AS (SELECT c_custkey AS id, n_name AS website FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey % 3 = 0) SELECT id, website, row_number() OVER (ORDER BY {DRAW.format(k='id')}, id) AS pos FROM j")
 def j4(spark, sf):
-    d = S.draw(F.col("c_custkey"))
-    top = table(spark, sf, "customer").select("c_custkey").orderBy(d, "c_custkey").limit(100)
-    return top.select(F.col("c_custkey").alias("id"), F.row_number().over(Window.orderBy(d, "c_custkey")).cast("long").alias("pos"))
+    """Profiles joined to their websites, in a drawn order; places are given without a task that sees all rows."""
+    c = table(spark, sf, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("id"), "c_nationkey")
+    j = c.join(table(spark, sf, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("website")), "c_nationkey").select("id", "website")
+    return numbered_within(j, [], [S.draw(F.col("id")), F.col("id")], "pos")
 
 
 @query("j5_tag_bridge", "SELECT DISTINCT l_orderkey AS id FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size = 7")
@@ -84,8 +89,6 @@ def j11(spark, sf):
 
 @query("j12_t9_w1_random_rows", "WITH n AS (SELECT c_custkey AS id, row_number() OVER (ORDER BY c_custkey) AS rn FROM customer), r AS (SELECT DISTINCT (i * 7919) % (SELECT count(*) FROM customer) + 1 AS rn FROM range(1100) t(i) ORDER BY rn LIMIT 1000) SELECT id FROM n JOIN r USING (rn)")
 def j12(spark, sf):
-    from listwright.operators.rows import numbered
-
     c = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"))
     n = c.count()
     r = spark.range(1100).select((F.col("id") * 7919 % max(n, 1) + 1).alias("rn")).distinct().orderBy("rn").limit(1000)
@@ -105,13 +108,17 @@ def j15(spark, sf):
     return table(spark, sf, "pages").join(table(spark, sf, "labels"), F.col("page_id") == F.col("doc_id"), "left").select(F.col("page_id").alias("id"), F.col("toxic").alias("request"))
 
 
-@query("j16_localized_keywords", "SELECT DISTINCT keyword FROM (VALUES ('en', 'bag'), ('en', 'watch'), ('fr', 'sac'), ('fr', 'bag'), ('de', 'tasche')) k(locale, keyword) WHERE locale IN ('en', 'fr')")
+_LOCALES = "l AS (SELECT n_name AS country, unnest(CASE n_regionkey WHEN 3 THEN ['fr', 'de', 'en'] WHEN 1 THEN ['es', 'en'] ELSE ['en'] END) AS locale FROM nation)"
+
+
+@query("j16_localized_keywords", f"WITH {_LOCALES}, k AS (SELECT DISTINCT source AS organisation, lang AS locale, split_part(text, ' ', 1) AS keyword FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL) SELECT country, organisation, count(DISTINCT keyword) AS n, min(keyword) AS first FROM k JOIN l USING (locale) GROUP BY country, organisation")
 def j16(spark, sf):
-    """Keywords of an organisation for a country: those of its locales, and the English ones."""
-    org = spark.createDataFrame([({"en": ["bag", "watch"], "fr": ["sac", "bag"], "de": ["tasche"]},)], "keywords map<string, array<string>>")
-    locales = spark.createDataFrame([("BE", "fr"), ("BE", "nl"), ("*", "en")], "country string, locale string").where(F.col("country").isin("BE", "*"))
-    k = org.select(F.explode("keywords").alias("locale", "words")).join(locales, "locale", "left_semi")
-    return k.select(F.explode("words").alias("keyword")).distinct()
+    """Keywords of each organisation for each country: those of the country's locales, each once. Organisations have them as maps of lists by locale."""
+    d = table(spark, sf, "documents").where("text is not null and lang is not null").select(F.col("source").alias("organisation"), F.col("lang").alias("locale"), F.split_part("text", F.lit(" "), F.lit(1)).alias("keyword"))
+    org = d.groupBy("organisation", "locale").agg(F.collect_set("keyword").alias("w")).groupBy("organisation").agg(F.map_from_entries(F.collect_list(F.struct("locale", "w"))).alias("keywords"))
+    r = F.col("n_regionkey")
+    locales = table(spark, sf, "nation").select(F.col("n_name").alias("country"), F.when(r == 3, F.array(*map(F.lit, ["fr", "de", "en"]))).when(r == 1, F.array(F.lit("es"), F.lit("en"))).otherwise(F.array(F.lit("en"))).alias("locales"))
+    return K.localized_keywords(org, locales).groupBy("country", "organisation").agg(F.count("*").alias("n"), F.min("keyword").alias("first"))
 
 
 @query("j17_index_joins", "SELECT p.page_id AS id, d.lang, l.quality FROM pages p JOIN documents d ON d.doc_id = p.page_id LEFT JOIN labels l ON l.doc_id = p.page_id")
@@ -145,8 +152,6 @@ def j20(spark, sf):
 # --- windows ------------------------------------------------------------------------------------------------------------
 @query("w1_row_numbers", "SELECT o_orderkey AS id, row_number() OVER (ORDER BY o_orderkey) AS rn FROM orders")
 def w1(spark, sf):
-    from listwright.operators.rows import numbered
-
     return numbered(table(spark, sf, "orders").select(F.col("o_orderkey").alias("id")), "id", "rn")
 
 
@@ -224,9 +229,15 @@ def t8(spark, sf):
     return S.top_and_rest(o, "o_totalprice", F.col("id")).select("id")
 
 
-@query("t10_early_stop", "SELECT o_orderkey AS id FROM orders ORDER BY o_orderkey LIMIT 300")
+@query("t10_early_stop", f"""WITH e AS (SELECT dense_rank() OVER (ORDER BY l_shipdate) AS batch, l_orderkey * 10 + l_linenumber AS place, l_returnflag = 'R' AS fresh FROM lineitem WHERE l_shipdate >= DATE '1992-01-01'), b AS (SELECT batch, count(*) AS n, count(CASE WHEN fresh THEN 1 END) AS f FROM e GROUP BY batch),
+s AS (SELECT *, sum(CASE WHEN f = 0 THEN 1 ELSE 0 END) OVER (ORDER BY batch ROWS 1 PRECEDING) AS run, sum(CASE WHEN f = 0 THEN 1 ELSE 0 END) OVER (ORDER BY batch) AS idles FROM b), k AS (SELECT coalesce(min(batch), 1000000000) AS stop FROM s WHERE run >= 2 OR idles >= 10),
+r AS (SELECT *, row_number() OVER (ORDER BY batch, place) AS i, sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (ORDER BY batch, place ROWS UNBOUNDED PRECEDING) - CASE WHEN fresh THEN 1 ELSE 0 END AS got FROM e, k WHERE batch <= stop) SELECT batch, place, fresh FROM r WHERE i <= 3000 AND got < 1000""")
 def t10(spark, sf):
-    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("id")).orderBy("id").limit(3 * 100)
+    """What a browsing job finds, shipped lines by day, up to 1000 new results, 3000 in all, or days without new ones."""
+    e = table(spark, sf, "lineitem").where("l_shipdate >= date'1992-01-01'")
+    days = numbered_within(e.select("l_shipdate").distinct(), [], [F.col("l_shipdate")], "batch")
+    e = e.join(days, "l_shipdate").select("batch", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("place"), (F.col("l_returnflag") == "R").alias("fresh"))
+    return S.early_stop(e, 1000)
 
 
 @query("t11_share_split", f"SELECT part, count(*) AS n FROM (SELECT CASE WHEN u < 0.7 THEN 0 WHEN u < 0.9 THEN 1 ELSE 2 END AS part FROM (SELECT {DRAW.format(k='o_orderkey')} / 2147483647.0::DOUBLE AS u FROM orders)) GROUP BY part")
@@ -234,9 +245,16 @@ def t11(spark, sf):
     return S.hash_split(table(spark, sf, "orders").select("o_orderkey"), F.col("o_orderkey"), [0.7, 0.2, 0.1]).groupBy("part").agg(F.count("*").alias("n"))
 
 
-@query("t12_subsample", "SELECT doc_id AS id FROM documents WHERE doc_id IN (SELECT item_id FROM benchmark)")
+@query("t12_subsample", f"SELECT 'fraction' AS kind, doc_id AS id FROM documents WHERE {DRAW.format(k='doc_id')} < CAST(0.25 * 2147483647 AS BIGINT) UNION ALL SELECT 'ids', doc_id FROM documents WHERE doc_id IN (3, 5, 8) UNION ALL SELECT 'file', doc_id FROM documents WHERE doc_id IN (SELECT item_id FROM benchmark)")
 def t12(spark, sf):
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("id")).join(table(spark, sf, "benchmark").select(F.col("item_id").alias("id")), "id", "left_semi").sort("id")
+    """A share of the documents, those of a list of ids, and those of a file of ids."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"))
+    path = f"{shared_dir(spark)}/ids-{uuid.uuid4().hex}"
+    table(spark, sf, "benchmark").select(F.col("item_id").cast("string")).write.text(path)
+    ids = spark.read.text(path).select(F.col("value").cast("long").alias("id"))
+    parts = {"fraction": S.subsample(d, "id", fraction=0.25), "ids": S.subsample(d, "id", ids=[3, 5, 8]), "file": S.subsample(d, "id", ids=ids)}
+    out = [x.select(F.lit(k).alias("kind"), "id") for k, x in parts.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2])
 
 
 @query("t13_argmax", "SELECT l_orderkey AS page, max_by(l_linenumber, (l_extendedprice, -l_linenumber)) AS node FROM lineitem GROUP BY l_orderkey")
@@ -246,8 +264,6 @@ def t13(spark, sf):
 
 @query("t14_batches", "SELECT (row_number() OVER (ORDER BY c_custkey) - 1) // 100 AS batch, c_custkey AS id FROM customer")
 def t14(spark, sf):
-    from listwright.operators.rows import numbered
-
     return numbered(table(spark, sf, "customer").select(F.col("c_custkey").alias("id")), "id", "rn").select(F.floor((F.col("rn") - 1) / 100).alias("batch"), "id")
 
 

@@ -79,12 +79,6 @@ def x1(spark, sf):
     return posts(spark, sf).select("id", F.md5(T.without_hashtags(t).cast("binary")).alias("original_text"), F.array_join(T.hashtags(t), " ").alias("hashtags"), F.regexp_count(t, F.lit("#")).alias("n_hashtags"))
 
 
-@query("x8_adversarial_strings", r"SELECT * FROM (VALUES ('c e l i n e bag', 3), ('cel1ne', 3), ('C.E.L.I.N.E', 6), ('guc ci 2024 new', 4)) t(text, n)".replace("('c e l i n e bag', 3)", "('c e l i n e bag', 2)").replace("('C.E.L.I.N.E', 6)", "('C.E.L.I.N.E', 1)").replace("('guc ci 2024 new', 4)", "('guc ci 2024 new', 3)"))
-def x8(spark, sf):
-    rows = spark.createDataFrame([("c e l i n e bag",), ("cel1ne",), ("C.E.L.I.N.E",), ("guc ci 2024 new",)], "text string")
-    return rows.select("text", F.size(T.tokens_rebuilt(F.lower("text"))).alias("n"))
-
-
 @query("x9_infringing_keywords", f"SELECT source, CAST(sum(len(regexp_extract_all(text, {q('|'.join(INFRINGING_KEYWORDS))}))) AS BIGINT) AS hits FROM documents GROUP BY source")
 def x9(spark, sf):
     return table(spark, sf, "documents").groupBy("source").agg(F.sum(T.infringing_count(F.col("text"))).alias("hits"))
@@ -186,7 +180,7 @@ def x39(spark, sf):
 
 # --- URLs -------------------------------------------------------------------------------------------------------------
 HOST = r"regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1)"
-TWO = "|".join(s.replace(".", r"\.") for s in U.SUFFIXES)
+TWO = U.suffix_pattern()
 
 
 @query(
@@ -235,19 +229,26 @@ def u8(spark, sf):
     return table(spark, sf, "pages").select(F.col("page_id").alias("id"), U.is_url(u).alias("valid"), U.is_image(u).alias("image"), U.prune_domain(u).alias("pruned"), U.strip_www(u).alias("no_www"), U.absolute_url(F.lit("/p/1"), u).alias("absolute"), U.poster_url(U.host(u), "https://poster.example.com/{}", F.lit("/about")).alias("poster"), U.shortcode(u).alias("shortcode"))
 
 
-RULES = [("example.com", "page"), ("example.net", "ref"), ("example.org", "")]
+_REST = "regexp_replace({}, '/$', '')"
+_DOMAIN = rf"coalesce(nullif(regexp_extract(h, '([^.]+\.(?:{TWO}))$', 1), ''), nullif(regexp_extract(h, '([^.]+\.[^.]+)$', 1), ''), h)"
 
 
 @query(
     "u12_clean_by_table",
-    "SELECT page_id AS id, CASE WHEN v <> '' THEN b || '?' || k || '=' || v ELSE b END AS url FROM (SELECT page_id, regexp_replace(split_part(split_part(url, '#', 1), '?', 1), '/$', '') AS b, k, CASE k WHEN 'page' THEN regexp_extract(url, '[?&]page=([^&#]+)', 1) WHEN 'ref' THEN regexp_extract(url, '[?&]ref=([^&#]+)', 1) ELSE '' END AS v FROM (SELECT *, CASE WHEN d LIKE '%example.com' THEN 'page' WHEN d LIKE '%example.net' THEN 'ref' ELSE '' END AS k FROM (SELECT *, " + HOST + " AS d FROM pages)))",
+    rf"""WITH p AS (SELECT page_id, url, {_DOMAIN} AS d FROM (SELECT page_id, url, lower({HOST}) AS h FROM pages)), r AS (SELECT DISTINCT d, CASE WHEN starts_with(d, 't') THEN 'keep' WHEN d LIKE '%.net' THEN 'local' WHEN d LIKE '%.org' THEN 'skip' ELSE 'search' END AS kind FROM p WHERE d NOT LIKE 'a%'),
+c AS (SELECT page_id, url, kind, split_part(url, '?', 1) AS b, nullif(regexp_extract(url, '[?&]page=([^&#]+)', 1), '') AS page, nullif(regexp_extract(url, '[?&]ref=([^&#]+)', 1), '') AS ref FROM p LEFT JOIN r USING (d))
+SELECT page_id AS id, CASE WHEN kind IS NULL OR kind = 'skip' OR (kind = 'search' AND starts_with(url, 'https://m.')) THEN url WHEN kind = 'keep' THEN {_REST.format("b || CASE WHEN ref IS NOT NULL OR page IS NOT NULL THEN '?' || concat_ws('&', 'ref=' || ref, 'page=' || page) ELSE '' END")} WHEN kind = 'local' THEN {_REST.format("regexp_replace(b, '/(?:en|fr)(/|$)', '\\1')")} ELSE {_REST.format("CASE WHEN starts_with(url, 'http://') THEN b ELSE url END")} END AS url FROM c""".replace("\\\\1", "\\1"),
 )
 def u12(spark, sf):
-    """A small table of rules by registered domain, joined to the URLs."""
-    rules = spark.createDataFrame(RULES, "domain string, keep string")
-    p = table(spark, sf, "pages").withColumn("domain", U.registered_domain(F.col("url"))).join(F.broadcast(rules), "domain", "left")
-    u = F.col("url")
-    return p.select(F.col("page_id").alias("id"), F.when(F.col("keep") == "page", U.clean_url(u, keep=("page",))).when(F.col("keep") == "ref", U.clean_url(u, keep=("ref",))).otherwise(U.clean_url(u)).alias("url"))
+    """A table with a rule for each registered domain (some have none), joined to the addresses: parameters to keep, country codes to drop, search pages that stay, listings by their path."""
+    p = table(spark, sf, "pages").select(F.col("page_id").alias("id"), "url")
+    d = F.col("domain")
+    none = F.array().cast("array<string>")
+    kind = F.when(d.startswith("t"), "keep").when(d.endswith(".net"), "local").when(d.endswith(".org"), "skip").otherwise("search")
+    rules = p.select(U.registered_domain(F.col("url")).alias("domain")).distinct().where(~d.startswith("a")).withColumn("kind", kind)
+    search = F.col("kind") == "search"
+    rules = rules.select("domain", F.when(search, "http://").alias("post_path"), F.when(search, F.array(F.lit("https://m."))).otherwise(none).alias("search_paths"), F.when(F.col("kind") == "keep", F.array(F.lit("ref"), F.lit("page"))).otherwise(none).alias("keep"), F.when(F.col("kind") == "local", F.array(F.lit("en"), F.lit("fr"))).otherwise(none).alias("countries"), (F.col("kind") == "skip").alias("skip"))
+    return U.clean_by_table(p, rules).select("id", F.col("clean").alias("url"))
 
 
 @query("u14_domains_of_urls", rf"SELECT domain, count(DISTINCT url) AS urls FROM (SELECT url, coalesce(nullif(regexp_extract(h, '([^.]+\.(?:{TWO}))$', 1), ''), nullif(regexp_extract(h, '([^.]+\.[^.]+)$', 1), ''), h) AS domain FROM (SELECT url, lower({HOST}) AS h FROM pages)) GROUP BY domain")
@@ -338,3 +339,41 @@ def f19(spark, sf):
     j = F.to_json(F.struct(F.col("c_custkey").alias("id"), F.struct(F.col("c_name").alias("name"), F.struct(F.col("c_mktsegment").alias("segment")).alias("deep")).alias("poster")))
     back = F.from_json(j, "id long, poster struct<name: string, deep: struct<segment: string>>")
     return table(spark, sf, "customer").select(back.alias("b")).select("b.id", "b.poster.name", "b.poster.deep.segment")
+
+
+#: Words that are cut up, decorated or run together, to be found or not to be found again.
+ADVERSARIAL = [
+    "nice gucci bag", "#gucci #bag", "newgucci", "new guc ci", "gucci99", "gucci-bag", "nice g-u-cci bag", "nice gu cci bag", "nice g.u.c.c.i bag", "nice g u c c i bag", "dior model7", "dior model 7", "gucci fen di", "Hugo Boss",
+    "H.u.g.o B.o.s.s", "H.u.g.o abc B.o.s.s", "Hermès pochette", "H-ERMES 2021 花 bag", "F-en-di shoes,shoes for men,boots", "FENDI ダイヤ (0.5ct) 9号 100", "名牌 Guc*i 包 免運✨ 100%",
+]
+
+
+@query("x8_adversarial_strings", f"SELECT doc_id AS id, CAST(len(t) AS INT) AS n, array_to_string(t, ' ') AS tokens FROM (SELECT doc_id, {SQL_TOKENS['x7']} AS t FROM (SELECT doc_id, split_part(coalesce(text, ''), ' ', 1) || ' ' || [{', '.join(q(x) for x in ADVERSARIAL)}][CAST(doc_id % {len(ADVERSARIAL)} AS INT) + 1] AS text FROM documents))")
+def x8(spark, sf):
+    """Tokens put together again from each document's first word and one of the strings."""
+    s = F.element_at(F.array(*map(F.lit, ADVERSARIAL)), (F.col("doc_id") % len(ADVERSARIAL) + 1).cast("int"))
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.concat(F.split_part(F.coalesce("text", F.lit("")), F.lit(" "), F.lit(1)), F.lit(" "), s).alias("text"))
+    return d.select("id", _tokens("x7").alias("t")).select("id", F.size("t").alias("n"), F.array_join("t", " ").alias("tokens"))
+
+
+@query("x18_replaced_bytes", "SELECT doc_id AS id, md5(replace(replace(text, 'ä', 'ae'), 'é', '')) AS text, CAST(octet_length(encode(text)) AS BIGINT) AS bytes FROM documents")
+def x18(spark, sf):
+    """Patterns over the bytes of a text; a dot is one byte."""
+    t = F.col("text")
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.md5(T.replace_bytes(T.replace_bytes(t, "ä", "ae"), "é", "").cast("binary")).alias("text"), F.length(T.replace_bytes(t, "(?s).", "x")).cast("long").alias("bytes"))
+
+
+@query("x26_broken_texts", "SELECT doc_id AS id, true AS whole, true AS short, CAST(least(1000, length(text)) > 0 AS BOOLEAN) AS some FROM documents WHERE text IS NOT NULL")
+def x26(spark, sf):
+    """Long texts cut into parts of 1000 characters at most, at marks or blanks: nothing is lost."""
+    p = table(spark, sf, "documents").where("text is not null").select(F.col("doc_id").alias("id"), "text", T.broken_texts("text").alias("p"))
+    return p.select("id", (F.array_join("p", "") == F.col("text")).alias("whole"), F.forall("p", lambda x: F.length(x) <= 1000).alias("short"), F.exists("p", lambda x: F.length(x) > 0).alias("some"))
+
+
+_stop = {k: f"len(list_filter(w, lambda x: list_contains({v}, x)))" for k, v in T.STOP_WORDS.items()}
+
+
+@query("x28_foreign_language", rf"WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '(\p{{L}}+)', 1) AS w FROM documents WHERE text IS NOT NULL), n AS (SELECT doc_id, {', '.join(f'{v} AS {k}' for k, v in _stop.items())} FROM d) SELECT doc_id AS id, CASE WHEN en + fr + de + es > 0 AND greatest(fr, de, es) >= 0.5 * (en + fr + de + es) THEN CASE greatest(fr, de, es) WHEN de THEN 'de' WHEN es THEN 'es' ELSE 'fr' END END AS lang FROM n".replace("\\\\p", "\\p"))
+def x28(spark, sf):
+    """The language of texts that are not English, by their frequent words."""
+    return table(spark, sf, "documents").where("text is not null").select(F.col("doc_id").alias("id"), T.foreign_language(F.col("text")).alias("lang"))
