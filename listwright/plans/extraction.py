@@ -1,4 +1,4 @@
-"""Queries of field extraction over pages and over small inline pages for what the pages lack."""
+"""Queries of field extraction over pages and events."""
 
 from __future__ import annotations
 
@@ -10,75 +10,14 @@ from listwright.plans.views import table
 
 LIST = r"list_distinct(regexp_extract_all(html, '<a [^>]*href=\"([^\"]*)\"', 1))".replace('\\"', '"')
 ALL = LIST.removeprefix('list_distinct(').removesuffix(')')
-H1 = "regexp_extract(html, '<h1>(.*?)</h1>', 1, 's')"
 TIDY = "trim(regexp_replace(regexp_replace({}, '<[^\\n]*?>', '', 'g'), '\\s+', ' ', 'g'))".replace("\\\\", "\\")
 
-INLINE = """<html><head><title>Bag</title><meta name="description" content="A bag"><link rel="canonical" href="https://s.example.com/p/1"><link rel="alternate" hreflang="fr" href="https://s.example.com/fr/p/1">
-<script type="application/ld+json">{"name": "Bag", "offers": {"price": "12.50", "currency": "EUR"}, "image": ["//i.example.com/a.jpg", "https://i.example.com/b.jpg"]}</script></head>
-<body><h1 class="title big"> The  bag </h1><span class="price">EUR 12.50 incl.</span><span id="date">03/02/2024</span><a class="seller" href="https://s.example.com/u/7?ref=x#a">Shop</a>
-<img class="pic" src="https://i.example.com/s_100/a.jpg?w=1"><img class="pic" src="https://i.example.com/s_100/a.jpg?w=1"><img class="pic" data-src="https://i.example.com/s_200/b.jpg" src="https://i.example.com/s_100/c.png">
-<dl><dt>Size</dt><dd>M</dd><dt>Colour</dt><dd>Red</dd><dt>Size</dt><dd>L</dd><dt></dt><dd>none</dd></dl><p class="d">One.</p><p class="d"></p><p class="d">Two.</p></body></html>"""
-
-
-def inline(spark):
-    return spark.createDataFrame([(1, INLINE), (2, "<html></html>"), (3, None)], "id int, html string")
-
-
-@query("e1_attribute_values", f"SELECT page_id AS id, {TIDY.format(H1)} AS title, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) AS lang, nullif(regexp_extract(html, '<div class=\"(ad)\"', 1), '') AS ad FROM pages")
-def e1(spark, sf):
-    h = F.col("html")
-    return table(spark, sf, "pages").select(F.col("page_id").alias("id"), X.field(h, {"css_selector": "h1"}).alias("title"), X.field(h, {"css_selector": "html", "attribute_name": "lang"}).alias("lang"), X.field(h, {"css_selector": "div.ad", "attribute_name": "class"}).alias("ad"))
-
-
-def rows(*values):
-    return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("NULL" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v) for v in r) + ")" for r in values) + ")"
-
-
-@query("e1_e2_configured_fields", rows((1, "The bag", "12.50", "2024-02-03", "https://s.example.com/u/7", "Shop!"), (2, None, None, None, None, None), (3, None, None, None, None, None)) + " t(id, title, price, day, seller, shop)")
-def e1b(spark, sf):
-    h = F.col("html")
-    return inline(spark).select(
-        "id", X.field(h, {"css_selector": "h2.none", "css_selector_2": "h1.title"}).alias("title"), X.field(h, {"css_selector": "span.price", "regex": r"[\d.]+"}).alias("price"),
-        X.field(h, {"css_selector": "span#date", "input_format": "dd/MM/yyyy", "output_format": "yyyy-MM-dd"}).alias("day"), X.url_field(h, {"css_selector": "a.seller"}).alias("seller"), X.field(h, {"css_selector": "a.seller", "append_text": "!"}).alias("shop"),
-    )
-
-
-@query("e3_e5_json_templates", rows((1, "Bag: 12.50 EUR", "Bag"), (2, ":  ", None), (3, ":  ", None)) + " t(id, offer, name)")
-def e3(spark, sf):
-    h = F.col("html")
-    return inline(spark).select("id", X.json_template(h, '{jsons[0]["name"]}: {jsons[0]["offers"]["price"]} {jsons[0]["offers"]["currency"]}').alias("offer"), F.get_json_object(F.try_element_at(X.json_scripts(h), F.lit(1)), "$.name").alias("name"))
-
 
 @query("e4_joined_texts", rf"SELECT page_id AS id, md5(array_to_string(list_filter(list_transform(regexp_extract_all(html, '<li>(.*?)</li>', 1), lambda t: trim(regexp_replace(regexp_replace(t, '<[^\n]*?>', '', 'g'), '\s+', ' ', 'g'))), lambda t: t <> ''), chr(10))) AS text FROM pages")
 def e4(spark, sf):
     return table(spark, sf, "pages").select(F.col("page_id").alias("id"), F.md5(X.joined_text(F.col("html"), {"css_selector": "li"}).cast("binary")).alias("text"))
 
 
-A, B, C = "https://i.example.com/s_100/a.jpg", "https://i.example.com/s_200/b.jpg", "https://i.example.com/s_100/c.png"
-
-
-@query("e6_e20_pictures", rows((1, f"{A}?w=1 {C}", f"{A} {C}", f"{A.replace('100', '900')}?w=1 {C.replace('100', '900')}", "a c", B, f"{A}?w=1", f"{A}?w=1 {A}?w=1 {C}"), (2, "", "", "", "", "", "", ""), (3, "", "", "", "", "", "", "")) + " t(id, plain, tail, replaced, named, first_attr, removed, repeated)")
-def e6(spark, sf):
-    h = F.coalesce("html", F.lit(""))
-    p = lambda **c: F.array_join(X.pictures(h, {"css_selector": "img.pic", **c}), " ")
-    return inline(spark).select(
-        "id", p().alias("plain"), p(replace_tail="?").alias("tail"), p(replace_old_regex="s_100", replace_new="s_900").alias("replaced"), p(regex=r"/([a-z]+)\.(?:jpg|png)").alias("named"),
-        p(attribute_names=["data-src", "src"], first_attribute_wins=True).alias("first_attr"), p(remove_if_match_regex=r"\.png$", http_only=True).alias("removed"), p(distinct=False).alias("repeated"),
-    )
-
-
-@query("e11_e18_json_pictures", rows((1, "https://i.example.com/a.jpg https://i.example.com/b.jpg"), (2, None), (3, None)) + " t(id, pictures)")
-def e11(spark, sf):
-    doc = F.try_element_at(X.json_scripts(F.col("html")), F.lit(1))
-    return inline(spark).select("id", F.array_join(X.json_pictures(doc, "$.image"), " ").alias("pictures")).withColumn("pictures", F.nullif("pictures", F.lit("")))
-
-
-@query("e21_e22_key_values", rows((1, "L", "Red", 2), (2, None, None, 0), (3, None, None, None)) + " t(id, size, colour, n)")
-def e21(spark, sf):
-    m = X.key_values(F.col("html"), {"key_selector": "dt", "value_selector": "dd"})
-    return inline(spark).select("id", F.try_element_at(m, F.lit("Size")).alias("size"), F.try_element_at(m, F.lit("Colour")).alias("colour"), F.map_size(m).alias("n") if hasattr(F, "map_size") else F.when(m.isNotNull(), F.size(F.map_keys(m))).alias("n"))
-
-
 @query("e23_api_values", "SELECT event_id AS id, props->>'$.k' AS k, (props->>'$.k') || ' ' || (props->>'$.k') AS both FROM events")
 def e23(spark, sf):
     p = F.col("props")
@@ -89,47 +28,3 @@ def e23(spark, sf):
 def e24(spark, sf):
     h = F.col("html")
     return table(spark, sf, "pages").select(F.col("page_id").alias("id"), X.page_title(h).alias("title"), F.size(X.links(h)).alias("n_links"))
-
-
-@query("e24_alternates_and_meta", rows((1, "A bag", "https://s.example.com/p/1 https://s.example.com/fr/p/1"), (2, None, ""), (3, None, None)) + " t(id, description, urls)")
-def e24b(spark, sf):
-    h = F.col("html")
-    return inline(spark).select("id", X.meta(h, "description").alias("description"), F.array_join(X.alternates(h), " ").alias("urls"))
-
-
-@query("e25_listing_records", f"WITH u AS (SELECT page_id, unnest({ALL}) AS l, unnest(range(1, len({ALL}) + 1)) AS i FROM pages), d AS (SELECT page_id, l, min(i) AS i FROM u GROUP BY ALL) SELECT page_id AS page, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) AS INT) AS index_on_page, l AS url, count(*) OVER (PARTITION BY page_id) AS loaded FROM d")
-def e25(spark, sf):
-    """A record for each link of a search page, with its place on the page."""
-    p = table(spark, sf, "pages").select(F.col("page_id").alias("page"), X.links(F.col("html")).alias("l"))
-    return p.select("page", F.posexplode("l").alias("i", "url"), F.size("l").cast("long").alias("loaded")).select("page", (F.col("i") + 1).alias("index_on_page"), "url", "loaded")
-
-
-@query("e26_e27_detail_records", f"SELECT page_id AS id, url, {TIDY.format(H1)} AS title, CAST(len({LIST}) AS INT) AS pictures FROM pages WHERE {TIDY.format(H1)} <> ''")
-def e26(spark, sf):
-    h = F.col("html")
-    r = table(spark, sf, "pages").select("page_id", F.struct("url", X.field(h, {"css_selector": "h1"}).alias("title"), X.links(h).alias("pictures")).alias("r"))
-    return r.where(F.col("r.title") != "").select(F.col("page_id").alias("id"), "r.url", "r.title", F.size("r.pictures").alias("pictures"))
-
-
-@query("e28_image_urls", f"SELECT count(DISTINCT u) AS urls FROM (SELECT unnest({LIST}) AS u FROM pages)")
-def e28(spark, sf):
-    return table(spark, sf, "pages").select(F.explode(X.links(F.col("html"))).alias("u")).agg(F.countDistinct("u").alias("urls"))
-
-
-V1 = '{"edges": [{"caption": "a #x"}], "owner": {"name": "n1"}}'
-V2 = '{"caption": {"text": "b"}, "user": {"username": "n2"}}'
-
-
-@query("x38_two_json_shapes", rows((1, "a #x", "n1"), (2, "b", "n2"), (3, None, None)) + " t(id, caption, owner)")
-def x38(spark, sf):
-    """One record of two shapes of an API's answer."""
-    v = F.try_parse_json("doc")
-    get = lambda *p: F.coalesce(*(F.try_variant_get(v, x, "string") for x in p))
-    return spark.createDataFrame([(1, V1), (2, V2), (3, "{}")], "id int, doc string").select("id", get("$.edges[0].caption", "$.caption.text").alias("caption"), get("$.owner.name", "$.user.username").alias("owner"))
-
-
-@query("x37_shortcodes", rows((1, "BWcbsj4hGLE"), (2, None)) + " t(id, code)")
-def x37(spark, sf):
-    from listwright.functions.urls import shortcode
-
-    return spark.createDataFrame([(1, "https://www.example.com/p/BWcbsj4hGLE/?x=1"), (2, "https://www.example.com/u/7")], "id int, url string").select("id", shortcode(F.col("url")).alias("code"))
