@@ -2,24 +2,36 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import IDF, HashingTF, OneHotEncoder, RegexTokenizer, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from listwright.session import shared_table
+
 #: Categories of a column that get a bit of their own; the others share one.
 MAX_CATEGORIES = 100
 
 
-def train(df: DataFrame, numbers: list[str], categories: list[str], label: str, weight: str, valid: str, depth: int = 3, rounds: int = 10) -> PipelineModel:
+#: Hashed words of a text column.
+TEXT_DIMS = 256
+
+
+def train(df: DataFrame, numbers: list[str], categories: list[str], label: str, weight: str, valid: str, depth: int = 3, rounds: int = 10, texts: list[str] | None = None) -> PipelineModel:
+    """Boosted trees on numbers, categories (a bit for each) and texts (hashed words by TF-IDF), with weights and a validation set. Texts may not be null."""
     index = [StringIndexer(inputCol=c, outputCol=f"{c}_i", handleInvalid="keep") for c in categories]
     hot = [OneHotEncoder(inputCols=[f"{c}_i" for c in categories], outputCols=[f"{c}_v" for c in categories])] if categories else []
-    vector = VectorAssembler(inputCols=[*numbers, *(f"{c}_v" for c in categories)], outputCol="features", handleInvalid="keep")
+    words = []
+    for c in texts or []:
+        words += [RegexTokenizer(inputCol=c, outputCol=f"{c}_w", pattern=r"\P{L}+"), HashingTF(inputCol=f"{c}_w", outputCol=f"{c}_t", numFeatures=TEXT_DIMS), IDF(inputCol=f"{c}_t", outputCol=f"{c}_v")]
+    vector = VectorAssembler(inputCols=[*numbers, *(f"{c}_v" for c in [*categories, *(texts or [])])], outputCol="features", handleInvalid="keep")
     trees = GBTRegressor(featuresCol="features", labelCol=label, weightCol=weight, validationIndicatorCol=valid, maxDepth=depth, maxIter=rounds, seed=200)
-    return Pipeline(stages=[*index, *hot, vector, trees]).fit(df)
+    return Pipeline(stages=[*index, *hot, *words, vector, trees]).fit(df)
 
 
 def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
@@ -38,6 +50,11 @@ def importance(model: PipelineModel, spark: SparkSession, names: list[str]) -> D
     return spark.createDataFrame([(n, float(v)) for n, v in zip(names, model.stages[-1].featureImportances.toArray(), strict=True)], "feature string, importance double")
 
 
-def score_by_organisation(df: DataFrame, scores: dict[str, Column]) -> DataFrame:
-    """Adds scores: a map of a score for each organisation (a few), in one projection."""
-    return df.withColumn("scores", F.create_map(*[x for o, s in scores.items() for x in (F.lit(o), s.cast("double"))]))
+def risk_scores(posts: DataFrame, organisations: DataFrame, predict_: Callable[[DataFrame], DataFrame], key: str = "id") -> DataFrame:
+    """key, scores: the score of each post for each organisation, as a map. predict_ adds `prediction` to posts with an organisation column.
+
+    Posts meet all organisations, as each is scored for each; the organisations' table is small and written, so that Spark knows its size.
+    """
+    orgs = shared_table(organisations.select("organisation").distinct(), "organisations")
+    scored = predict_(posts.drop("organisation").join(orgs, F.lit(True)))
+    return scored.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("organisation", F.col("prediction").cast("double").alias("score"))))).alias("scores"))

@@ -125,3 +125,11 @@ def localized_keywords(organisations: DataFrame, countries: DataFrame) -> DataFr
     """country, organisation, keyword: each keyword once that an organisation has (keywords: a map of lists by locale) for one of a country's locales (an array)."""
     k = organisations.select("organisation", F.explode("keywords").alias("locale", "words")).select("organisation", "locale", F.explode("words").alias("keyword"))
     return k.join(countries.select("country", F.explode("locales").alias("locale")), "locale").select("country", "organisation", "keyword").distinct()
+
+
+def unseen(new: DataFrame, store: DataFrame, by: str, key: str, at: str, last: int = 10_000) -> DataFrame:
+    """New rows whose key is not among the last so many keys that their group has in the store. A group's rows are numbered without a task that sees all."""
+    from listwright.operators.rows import numbered_within
+
+    seen = numbered_within(store.select(by, key, at), [by], [F.desc(at), F.desc(key)], "_n").where(F.col("_n") <= last).select(by, key)
+    return new.join(seen, [by, key], "left_anti")

@@ -59,25 +59,6 @@ def s16(spark, sf):
     return table(spark, sf, "pages").select(F.col("page_id").alias("id"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.length("html").cast("long").alias("n"))
 
 
-@query("s18_annotation_sheet", "SELECT doc_id AS post_id, toxic AS annotation FROM labels WHERE quality = 1 AND toxic IS NOT NULL")
-def s18(spark, sf):
-    return table(spark, sf, "labels").where("quality = 1 and toxic is not null").select(F.col("doc_id").alias("post_id"), F.col("toxic").alias("annotation"))
-
-
-@query("s20_s21_config_merge", "SELECT * FROM (VALUES ('search.template', 'https://b.example.com/p/{}'), ('post.regex', '/p/(\\d+)'), ('post.fields', '[\"title\"]'), ('proxy', 'false')) t(key, value)".replace("\\\\", "\\"))
-def s20(spark, sf):
-    base = {"post": {"regex": r"/p/(\d+)", "fields": ["title", "price"]}, "proxy": True}
-    child = {"include": "base", "post": {"fields": ["title"]}, "proxy": False}
-    config = files.with_defaults(files.load_config("child", {"base": base, "child": child}.__getitem__), "https://b.example.com/p/{}")
-    return spark.createDataFrame(files.flat(config), "key string, value string")
-
-
-@query("s22_cached_lookup", "SELECT CAST(count(*) AS BIGINT) AS hits FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY")
-def s22(spark, sf):
-    e = table(spark, sf, "events")
-    return e.crossJoin(F.broadcast(e.agg(F.max("ts").alias("now")))).where(F.col("ts") >= F.col("now") - F.expr("INTERVAL 7 DAY")).agg(F.count("*").alias("hits"))
-
-
 # --- sinks --------------------------------------------------------------------------------------------------------------
 STORE = "st AS (SELECT o_custkey AS k, CAST(max(o_orderkey) AS BIGINT) AS id, max_by(o_orderstatus, o_orderkey) AS status, max_by(o_orderpriority, o_orderkey) AS title FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1), nw AS (SELECT o_custkey AS k, CAST(max(o_orderkey) AS BIGINT) AS id, max_by(o_orderstatus, o_orderkey) AS status, max_by(o_orderpriority, o_orderkey) AS title FROM orders WHERE o_orderkey % 2 = 1 GROUP BY 1)"
 

@@ -12,12 +12,12 @@ from listwright.streaming import jobs
 
 @query("r4_tumbling_counts", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def r4(spark, sf):
-    return jobs.run(jobs.window_counts(jobs.events(spark, sf), "1 hour"), "complete").withColumn("start", F.col("start").cast("timestamp_ntz"))
+    return jobs.run_counts(jobs.window_counts(jobs.events(spark, sf), "1 hour"), ["start", "event_type"]).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query("r4_sliding_counts", "SELECT s AS start, event_type, count(*) AS n FROM (SELECT time_bucket(INTERVAL 30 MINUTE, ts) AS b, event_type FROM events), LATERAL (SELECT unnest([b, b - INTERVAL 30 MINUTE]) AS s) GROUP BY ALL")
 def r4s(spark, sf):
-    return jobs.run(jobs.window_counts(jobs.events(spark, sf), "1 hour", "30 minutes"), "complete").withColumn("start", F.col("start").cast("timestamp_ntz"))
+    return jobs.run_counts(jobs.window_counts(jobs.events(spark, sf), "1 hour", "30 minutes"), ["start", "event_type"]).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query("r10_monthly_usage", "SELECT date_trunc('month', ts) AS month, user_id % 20 AS organisation, count(*) AS n FROM events GROUP BY ALL")
@@ -53,10 +53,20 @@ def r2(spark, sf):
     return jobs.run(jobs.furthest_status(s), "complete")
 
 
-@query("r2_sessions")
+@query("r2_sessions", "SELECT user_id, min(ts) AS start, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM (SELECT user_id, ts, CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, k")
 def sessions(spark, sf):
-    """Sessions of a user that are closed when the input ends."""
-    return jobs.run(jobs.sessions(jobs.events(spark, sf), "30 minutes"))
+    """Sessions of users; the end of the stream closes those that are open."""
+    s = jobs.ended(jobs.events(spark, sf), ["ts", "user_id"])
+    return jobs.run(jobs.sessions(s, "30 minutes")).where(F.col("user_id") != jobs.LAST).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("r5_last_ids", "WITH s AS (SELECT user_id % 10 AS organisation, event_id AS id, ts, row_number() OVER (PARTITION BY user_id % 10 ORDER BY ts DESC, event_id DESC) AS k FROM events WHERE event_id % 2 = 0) SELECT user_id % 10 AS organisation, event_id AS id FROM events WHERE event_id % 3 = 0 AND (user_id % 10, event_id) NOT IN (SELECT organisation, id FROM s WHERE k <= 100)")
+def r5l(spark, sf):
+    """Arrivals without those among the last hundred ids that each organisation has stored."""
+    from listwright.operators import store as K
+
+    e = table(spark, sf, "events").select((F.col("user_id") % 10).alias("organisation"), F.col("event_id").alias("id"), "ts")
+    return K.unseen(e.where("id % 3 = 0"), e.where("id % 2 = 0"), "organisation", "id", "ts", 100).select("organisation", "id")
 
 
 @query("r3_request_fan_out", "SELECT doc_id AS id, kind, u AS url FROM (SELECT doc_id, 'POST' AS kind, unnest(['p' || doc_id, 'q' || doc_id]) AS u FROM documents UNION ALL SELECT doc_id, 'POSTER', 'u' || doc_id FROM documents WHERE doc_id % 2 = 0)")

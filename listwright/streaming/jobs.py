@@ -38,15 +38,49 @@ def run(stream: DataFrame, mode: str = "append", each: Callable | None = None) -
     return spark.read.schema(stream.schema).parquet(f"{place}/out")
 
 
-def window_counts(s: DataFrame, length: str, slide: str | None = None) -> DataFrame:
+def window_counts(s: DataFrame, length: str, slide: str | None = None, late: str = "1 day") -> DataFrame:
+    """start, event_type, n of each window. Windows that ended so long before the newest event are forgotten by the state; later rows of them are dropped."""
     w = F.window("ts", length, slide) if slide else F.window("ts", length)
-    return s.groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
+    return s.withWatermark("ts", late).groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
+
+
+def run_counts(counts: DataFrame, keys: list[str], count: str = "n") -> DataFrame:
+    """Run a stream of growing counts in update mode, with state only for what can still change, and read each key's last count back."""
+    spark = counts.sparkSession
+    place = f"{shared_dir(spark)}/counts-{uuid.uuid4().hex}"
+    each = lambda df, _: df.write.mode("append").parquet(f"{place}/out")
+    counts.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{place}/checkpoint").outputMode("update").foreachBatch(each).start().awaitTermination()
+    return spark.read.schema(counts.schema).parquet(f"{place}/out").groupBy(*keys).agg(F.max(count).alias(count))
 
 
 def sessions(s: DataFrame, gap: str) -> DataFrame:
     return s.withWatermark("ts", gap).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), "n")
 
 
+#: The user of the event that ends a stream.
+LAST = -1
+
+
+def ended(s: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns of a stream (ts and user_id among them) with an event of user LAST in the far future, which closes what would stay open until a later event came."""
+    spark = s.sparkSession
+    path = f"{shared_dir(spark)}/end-{uuid.uuid4().hex}"
+    schema = s.select(*columns).schema
+    kinds = {"ts": F.lit("2999-01-01").cast("timestamp"), "user_id": F.lit(LAST).cast("long")}
+    spark.range(1).select(*(kinds.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schema)).write.parquet(path)
+    return s.select(*columns).unionByName(spark.readStream.schema(schema).parquet(path))
+
+
+def consumed(spark: SparkSession, path: str, schema: str, pattern: str) -> DataFrame:
+    """Rows of a folder's files whose key matches a pattern, read once: files that were read are deleted."""
+    s = spark.readStream.schema(schema).option("cleanSource", "delete").parquet(path).where(F.col("key").rlike(pattern))
+    place = f"{shared_dir(spark)}/consumed-{uuid.uuid4().hex}"
+    each = lambda df, _: df.write.mode("append").parquet(f"{place}/out")
+    for _ in range(2):  # files go once a later batch has been committed
+        s.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{place}/checkpoint").foreachBatch(each).start().awaitTermination()
+    return spark.read.schema(schema).parquet(f"{place}/out")
+
+
 def deduplicated(s: DataFrame, keys: list[str], horizon: str) -> DataFrame:
     """The first row of each key within a horizon."""
     return s.withWatermark("ts", horizon).dropDuplicatesWithinWatermark(keys)
