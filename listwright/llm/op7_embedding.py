@@ -222,7 +222,8 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.98) -> DataF
     links = found.where("b is null").groupBy(F.col("a").alias("row")).agg(F.sum("n").alias("n"))
     named = one.select("key", "row", "id", "mult").join(links, "row", "left").join(joined, "row", "left").withColumn("root", F.coalesce("component", "row"))
     named = shared_table(named.select("key", "id", "root", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n")), "named")
-    names = named.groupBy("root").agg(F.min("id").alias("name"), F.min("key").alias("least"))
+    # written, so that the join deals both sides out anew and adaptive execution may split a root with very many vectors
+    names = shared_table(named.groupBy("root").agg(F.min("id").alias("name"), F.min("key").alias("least")), "names")
     named = named.drop("id").join(names, "root")
     out = v.select("vec_id", "key").join(named, "key", "left")
     name = F.when(F.col("root").isNull(), F.col("vec_id")).otherwise(F.col("name"))
