@@ -263,7 +263,8 @@ def grouped(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
         parts = shared_table(connected_components(links.unionByName(more)), "parts")
     placed = classes.select("cid", "id", "fp", "n").join(parts.select(F.col("id").alias("cid"), "component"), "cid", "left").select("fp", "n", "id", F.coalesce("component", "cid").alias("component"))
     placed = shared_table(placed, "placed")
-    names = placed.groupBy("component").agg(F.min("id").alias("name"))
+    # written, so that the join deals both sides out anew and adaptive execution may split a component with very many classes
+    names = shared_table(placed.groupBy("component").agg(F.min("id").alias("name")), "names")
     placed = shared_table(placed.drop("id").join(names, "component"), "named")
     return rows.drop("sketch").join(placed, ["fp", "n"], "left").select("doc_id", "mark", "n", "component", "name")
 
