@@ -272,7 +272,7 @@ def grouped(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row, by sets of `shingle` words and a similarity of `percent` or more."""
     rows = shared_table(grouped(docs, shingle, percent), "grouped")
-    nameless = rows.where("component is not null and name is null").groupBy("component").agg(F.min("mark").alias("least"))
+    nameless = shared_table(rows.where("component is not null and name is null").groupBy("component").agg(F.min("mark").alias("least")), "nameless")
     rows = rows.join(nameless, "component", "left")
     name = F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("name"))
     kept = F.when(F.col("least").isNotNull(), F.col("mark") == F.col("least")).otherwise(F.col("doc_id").eqNullSafe(name))
