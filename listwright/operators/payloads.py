@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 STAMP = "yyyy-MM-dd-HH:mm:ss"
-#: What a service is asked to do with a new listing.
+# What a service is asked to do with a new listing.
 ACTIONS = ("add_image_to_rise", "search_in_rise", "launch_archiving", "launch_classifying", "launch_logo_detection", "launch_metadata")
 JSON = {"ignoreNullFields": "false"}
+# Fields of a listing that go as they are.
 POST_FIELDS = ("poster_url", "price", "stock_count", "url", "archive_link", "title", "pictures", "videos", "description")
 
 
@@ -115,8 +116,13 @@ def image_kind(data: Column) -> Column:
 
 
 def image_scale(data: Column) -> Column:
-    """By what an image's sides are divided before it is kept: 1 up to 10 MB."""
-    mb = F.floor(F.octet_length(data) / (1024 * 1024))
+    """By what an image's sides are divided before it is kept."""
+    return scale_of_size(F.octet_length(data))
+
+
+def scale_of_size(size: Column) -> Column:
+    """The same by an image's bytes: 1 up to 10 MB, then with the root of its size."""
+    mb = F.floor(size / (1024 * 1024))
     return F.when(mb > 10, F.floor(F.sqrt(F.floor(mb / 10))) + 1).otherwise(1).cast("int")
 
 

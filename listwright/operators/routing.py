@@ -37,6 +37,7 @@ def page_type(pages: DataFrame, config: DataFrame) -> DataFrame:
 
 def scraper(domain: Column, scraping_type: Column, config_file: Column, framework: Column) -> Column:
     """The module and the source name for a task: struct<module, source>."""
+    # Names of modules, sources, frameworks and domains.
     pick = lambda m, s: F.struct(F.lit(m).alias("module"), F.lit(s).alias("source"))
     return (
         F.when(config_file == "smelter.ai", pick("APIScraper", "SMELTER_AI"))

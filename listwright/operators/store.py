@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from listwright.session import shared_table
+
 
 def keep_first(df: DataFrame, keys: list[str], *order: Column | str) -> DataFrame:
     """The first row of each key in the given order. A partial aggregate keeps one row for each key and task, so hot keys are no burden."""
@@ -133,3 +137,55 @@ def unseen(new: DataFrame, store: DataFrame, by: str, key: str, at: str, last: i
 
     seen = numbered_within(store.select(by, key, at), [by], [F.desc(at), F.desc(key)], "_n").where(F.col("_n") <= last).select(by, key)
     return new.join(seen, [by, key], "left_anti")
+
+
+def until_no_progress(keys: DataFrame, key: str, look_up: Callable[[DataFrame, int], DataFrame], rounds: int = 10) -> DataFrame:
+    """key, value of what repeated lookups find: each round asks for the keys that are still missing, until none is or a round finds nothing new.
+
+    look_up(missing, round) gives key, value for some of them; the first answer for a key stays. Rounds are written, so a round asks only once.
+    """
+    missing, found = shared_table(keys.select(key).distinct(), "missing"), None
+    for k in range(rounds):
+        new = shared_table(look_up(missing, k).join(missing, key, "left_semi").groupBy(key).agg(F.min("value").alias("value")), "found")
+        if new.isEmpty():
+            break
+        found = new if found is None else found.unionByName(new)
+        missing = shared_table(missing.join(new.select(key), key, "left_anti"), "missing")
+        if missing.isEmpty():
+            break
+    return keys.select(key).distinct().limit(0).withColumn("value", F.lit(None).cast("string")) if found is None else found
+
+
+def translated(rows: DataFrame, lookup: DataFrame, columns: list[str], language: Column, own: str = "en") -> DataFrame:
+    """rows with translated_<column> for each column: the text itself in the own language, what the lookup (text, translation) has for others, and else an empty text."""
+    out = rows.withColumn("_own", F.coalesce(language == own, F.lit(False)))
+    for c in columns:
+        table = lookup.groupBy(F.col("text").alias(f"_{c}")).agg(F.min("translation").alias(f"_to_{c}"))
+        out = out.join(table, F.col(c) == F.col(f"_{c}"), "left").withColumn(f"translated_{c}", F.when(F.col("_own"), F.col(c)).otherwise(F.coalesce(f"_to_{c}", F.lit("")))).drop(f"_{c}", f"_to_{c}")
+    return out.drop("_own")
+
+
+def resumable(rows: DataFrame, key: str, step: Callable[[DataFrame], DataFrame], path: str, parts: int = 16, at_most: int | None = None) -> DataFrame | None:
+    """step over rows, part by part (by the key's hash), each result kept under path: a run that broke off goes on with the parts that are not there.
+
+    at_most bounds the parts of one run; None is returned while parts are missing, else the whole result.
+    """
+    spark = rows.sparkSession
+    place = lambda k: spark._jvm.org.apache.hadoop.fs.Path(f"{path}/part={k}/_SUCCESS")
+    done = lambda k: place(k).getFileSystem(spark._jsc.hadoopConfiguration()).exists(place(k))
+    todo = [k for k in range(parts) if not done(k)]
+    for k in todo if at_most is None else todo[:at_most]:
+        step(rows.where(F.pmod(F.xxhash64(key), F.lit(parts)) == k)).write.mode("overwrite").parquet(f"{path}/part={k}")
+    return spark.read.parquet(path).drop("part") if all(map(done, range(parts))) else None
+
+
+def key_values(log: DataFrame, pattern: str | None = None) -> DataFrame:
+    """key, field, value that a log of verbs leaves in a key-value store: set and del of keys, hset and hdel of a key's fields (field is null for set).
+
+    log: seq (each once), verb, key, field, value. pattern: only keys that match (scan); a missing key has no row (get).
+    """
+    own = log if pattern is None else log.where(F.col("key").rlike(pattern))
+    gone = own.where("verb = 'del'").groupBy(F.col("key").alias("_key")).agg(F.max("seq").alias("_gone"))
+    last = own.where("verb in ('set', 'hset', 'hdel')").groupBy("key", "field").agg(F.max(F.struct("seq", "verb", "value")).alias("x"))
+    left = last.join(gone, F.col("key") == F.col("_key"), "left").where("x.verb <> 'hdel' and (_gone is null or x.seq > _gone)")
+    return left.select("key", "field", "x.value")

@@ -127,3 +127,36 @@ def p17(spark, sf):
     """Images that came without an error, are images by their first bytes, and are not blacklisted by their perceptual hash."""
     i = images(spark, sf)
     return i.where(M.valid_image(F.col("status"), F.col("data"), F.col("hash"), ["b", "c"])).select("id", M.image_kind(F.col("data")).alias("kind"))
+
+
+@query("f20_image_scale", "SELECT l_orderkey AS id, l_linenumber AS k, CAST(CASE WHEN floor(l_extendedprice / 1000) > 10 THEN floor(sqrt(floor(floor(l_extendedprice / 1000) / 10))) + 1 ELSE 1 END AS INT) AS scale FROM lineitem")
+def f20(spark, sf):
+    """By what an image's sides are divided, by its size: here prices in thousands as megabytes."""
+    return table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("k"), M.scale_of_size(F.floor(F.col("l_extendedprice") / 1000) * 1024 * 1024).alias("scale"))
+
+
+@query("m6_logo_lookup", "SELECT vec_id AS id, 'logo ' || (vec_id % 4) AS value FROM embeddings WHERE vec_id % 4 < 3")
+def m6(spark, sf):
+    """Detections of images, asked for again until a round finds nothing new: each round some more are ready, a quarter never."""
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"))
+    ready = lambda missing, k: missing.where(F.col("id") % 4 == k).where(F.col("id") % 4 < 3).withColumn("value", F.concat(F.lit("logo "), (F.col("id") % 4).cast("string")))
+    return K.until_no_progress(e, "id", ready)
+
+
+@query("x27_translations", f"WITH {POSTS}, l AS (SELECT title AS t, min('t:' || md5(title)) AS tr FROM posts WHERE id % 3 > 0 GROUP BY title) SELECT id, CASE WHEN lang = 'en' THEN title ELSE coalesce(tr, '') END AS translated_title FROM posts LEFT JOIN l ON t = title")
+def x27(spark, sf):
+    """Titles in English: those that are, those whose translation is known, and empty texts."""
+    p = posts(spark, sf)
+    lookup = p.where("id % 3 > 0").select(F.col("title").alias("text"), F.concat(F.lit("t:"), F.md5(F.col("title").cast("binary"))).alias("translation"))
+    return K.translated(p.select("id", "title", "lang"), lookup, ["title"], F.col("lang")).select("id", "translated_title")
+
+
+@query("g20_resumable_map", "SELECT page_id AS id, CAST(length(html) AS INT) AS n FROM pages")
+def g20(spark, sf):
+    """A step over pages that breaks off after some parts and goes on with the others."""
+    path = f"{shared_dir(spark)}/resumable-{uuid.uuid4().hex}"
+    p = table(spark, sf, "pages").select(F.col("page_id").alias("id"), "html")
+    step = lambda x: x.select("id", F.length("html").alias("n"))
+    if K.resumable(p, "id", step, path, 4, at_most=2) is not None:
+        raise RuntimeError("two of four parts are not all")
+    return K.resumable(p, "id", step, path, 4)

@@ -93,3 +93,18 @@ def r7(spark, sf):
 def r9(spark, sf):
     g = table(spark, sf, "events").groupBy((F.col("user_id") % 10).alias("queue")).agg(F.count("*").alias("n"))
     return g.withColumn("scale", F.when(F.col("n") > 500, "up").when(F.col("n") < 200, "down").otherwise("stay"))
+
+
+_VERB = "CASE event_type WHEN 'purchase' THEN 'del' WHEN 'error' THEN 'hdel' WHEN 'view' THEN 'set' ELSE 'hset' END"
+
+
+@query("r11_key_values", f"WITH l AS (SELECT event_id AS seq, {_VERB} AS verb, 'task:' || user_id AS key, CASE WHEN event_type IN ('view', 'purchase') THEN NULL ELSE 'f' || event_id % 3 END AS field, event_type || event_id AS value FROM events), g AS (SELECT key, max(seq) AS gone FROM l WHERE verb = 'del' GROUP BY key), x AS (SELECT key, field, max(seq) AS seq, arg_max(verb, seq) AS verb, arg_max(value, seq) AS value FROM l WHERE verb <> 'del' GROUP BY key, field) SELECT key, field, value FROM x LEFT JOIN g USING (key) WHERE verb <> 'hdel' AND (gone IS NULL OR seq > gone) AND key LIKE 'task:1%'")
+def r11(spark, sf):
+    """What a log of verbs leaves in a key-value store, for the keys that a scan asks for."""
+    from listwright.operators import store as K
+
+    t = F.col("event_type")
+    verb = F.when(t == "purchase", "del").when(t == "error", "hdel").when(t == "view", "set").otherwise("hset")
+    field = F.when(~t.isin("view", "purchase"), F.concat(F.lit("f"), (F.col("event_id") % 3).cast("string")))
+    log = table(spark, sf, "events").select(F.col("event_id").alias("seq"), verb.alias("verb"), F.concat(F.lit("task:"), F.col("user_id").cast("string")).alias("key"), field.alias("field"), F.concat(t, F.col("event_id").cast("string")).alias("value"))
+    return K.key_values(log, "^task:1")

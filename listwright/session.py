@@ -5,11 +5,14 @@ from __future__ import annotations
 import atexit
 import contextlib
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
-_tables: list[tuple[object, str]] = []
+#: Session, folder and thread of each table that was written.
+_tables: list[tuple[object, str, int]] = []
 _own_dir: list[str] = []
 
 
@@ -42,16 +45,33 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _tables.append((spark, path))
+    _tables.append((spark, path, threading.get_ident()))
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_shared(df: DataFrame) -> None:
     """Delete the files of a shared_table that no later plan reads."""
-    for spark, path in list(_tables):
-        if any(path in f for f in df.inputFiles()[:1]):
-            _delete(spark, path)
-            _tables.remove((spark, path))
+    for t in list(_tables):
+        if any(t[1] in f for f in df.inputFiles()[:1]):
+            _delete(*t[:2])
+            _tables.remove(t)
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Within it, tables that this thread writes are scratch: at its end all go but those of frames that were given to the function it yields (which returns them)."""
+    before, kept = set(map(id, _tables)), []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df)
+        return df
+
+    yield keep
+    files = [f for df in kept for f in df.inputFiles()]
+    for t in list(_tables):
+        if id(t) not in before and t[2] == threading.get_ident() and not any(t[1] in f for f in files):
+            _delete(*t[:2])
+            _tables.remove(t)
 
 
 def _delete(spark, path: str) -> None:
@@ -61,6 +81,6 @@ def _delete(spark, path: str) -> None:
 
 @atexit.register
 def _drop_tables() -> None:
-    for spark, path in _tables:
+    for spark, path, _ in _tables:
         with contextlib.suppress(Exception):
             _delete(spark, path)
