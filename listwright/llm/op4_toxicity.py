@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from listwright.llm.arrow import map_columns
-from listwright.session import shared_table
+from listwright.session import scratch, shared_table
 
 SAMPLE = {1: 4000, 0: 8000}
 FEATURES, VOTERS, BEGINNINGS, MIN_DOCS, THRESHOLD = 1500, 400, (4, 5, 6), 3, 0.7
@@ -226,7 +226,11 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """A model from the texts of docs and labels (doc_id, toxic) of the rows that are not held out."""
+    with scratch():
+        return _train(docs, labels)
 
+
+def _train(docs: DataFrame, labels: DataFrame) -> Model:
     def split(toxic, text):
         sets = list(map(words_of, text))
         return {"toxic": toxic, "words": list(map(sorted, sets)), "shown": [patterns_of(t, w) for t, w in zip(text, sets, strict=True)]}

@@ -32,7 +32,7 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, Stru
 
 from listwright.llm.arrow import give_back, slices, small_batches
 from listwright.llm.components import connected_components
-from listwright.session import shared_table
+from listwright.session import scratch, shared_table
 
 #: Vectors of a block, blocks that a task gets in a row, bits of a hash.
 WINDOW, SPAN, CODE = 1024, 16, 60
@@ -131,8 +131,8 @@ def _groups(batches, keys: int, block_at: int):
         yield *last, held
 
 
-def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
-    """vec_id, n_links, component_id, kept of each row of (vec_id, embedding, label)."""
+def _named(vectors: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(rows with the key of their vector, vectors by key: n, root, name, least)."""
     kind = "<f4" if vectors.schema["embedding"].dataType.jsonValue().get("elementType") == "float" else "<f8"
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("x"), F.col("label"))
     fine = F.col("label").isNotNull() & F.col("x").isNotNull() & F.exists("x", lambda c: c != 0) & F.forall("x", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
@@ -224,7 +224,14 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.98) -> DataF
     named = shared_table(named.select("key", "id", "root", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n")), "named")
     # written, so that the join deals both sides out anew and adaptive execution may split a root with very many vectors
     names = shared_table(named.groupBy("root").agg(F.min("id").alias("name"), F.min("key").alias("least")), "names")
-    named = named.drop("id").join(names, "root")
+    return v, shared_table(named.drop("id").join(names, "root"), "named")
+
+
+def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
+    """vec_id, n_links, component_id, kept of each row of (vec_id, embedding, label)."""
+    with scratch() as keep:
+        v, named = _named(vectors, threshold)
+        keep(named)
     out = v.select("vec_id", "key").join(named, "key", "left")
     name = F.when(F.col("root").isNull(), F.col("vec_id")).otherwise(F.col("name"))
     kept = F.when(F.col("root").isNotNull() & F.col("name").isNull(), F.col("key") == F.col("least")).otherwise(F.col("vec_id").eqNullSafe(name))

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from listwright.llm.arrow import cache, give_back, map_columns, slices, small_batches
 from listwright.llm.components import connected_components
-from listwright.session import shared_table
+from listwright.session import scratch, shared_table
 
 K, MIN_SHARED = 32, 14
 #: Rows of a list that are compared at once, and columns of the 0/1 matrices.
@@ -242,7 +242,8 @@ def grouped(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     rows = shared_table(sketches(docs, shingle), "sketches")
     classes = rows.where("fp is not null").groupBy("fp", "n").agg(F.min("doc_id").alias("id"), F.any_value("sketch").alias("sketch"))
     classes = shared_table(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    listed = shared_table(_listed(classes), "listed")
+    with scratch() as keep:
+        listed = keep(shared_table(_listed(classes), "listed"))
     named = classes.select("cid", "id", "fp")
 
     left = lambda d: d.select("tok", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
@@ -258,7 +259,8 @@ def grouped(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
         new = shared_table(named.join(cids, "cid").join(sets.select("cid"), "cid", "left_anti"), "ids")
         return sets if new.isEmpty() else sets.unionByName(shared_table(full_sets(docs, new, shingle), "sets"))
 
-    more = shared_table(across_components(listed, parts, sets_of, percent), "links")
+    with scratch() as keep:
+        more = keep(shared_table(across_components(listed, parts, sets_of, percent), "links"))
     if not more.isEmpty():
         parts = shared_table(connected_components(links.unionByName(more)), "parts")
     placed = classes.select("cid", "id", "fp", "n").join(parts.select(F.col("id").alias("cid"), "component"), "cid", "left").select("fp", "n", "id", F.coalesce("component", "cid").alias("component"))
@@ -271,7 +273,8 @@ def grouped(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row, by sets of `shingle` words and a similarity of `percent` or more."""
-    rows = shared_table(grouped(docs, shingle, percent), "grouped")
+    with scratch() as keep:
+        rows = keep(shared_table(grouped(docs, shingle, percent), "grouped"))
     nameless = shared_table(rows.where("component is not null and name is null").groupBy("component").agg(F.min("mark").alias("least")), "nameless")
     rows = rows.join(nameless, "component", "left")
     name = F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("name"))
@@ -284,7 +287,8 @@ def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFra
 
     Columns must have an order. Rows to be dropped leave by an anti join on (doc_id, hash of the text).
     """
-    rows = shared_table(grouped(docs, shingle, percent).where("component is not null"), "grouped")
+    with scratch() as keep:
+        rows = keep(shared_table(grouped(docs, shingle, percent).where("component is not null"), "grouped"))
     first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")).alias("first")).select(F.col("component").alias("c"), "first.doc_id", F.col("first.mark").alias("mark_"), F.lit(True).alias("stays"))
     rows = rows.groupBy("component", F.col("doc_id").alias("id"), F.col("mark").alias("m")).agg(F.count("*").alias("copies"))
     # by the whole key, as one component may hold a third of all rows
