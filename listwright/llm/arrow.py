@@ -19,7 +19,7 @@ _caches: dict[str, dict] = {}
 
 
 def cache(owner: str) -> dict:
-    """A worker's own store for one operator. Workers are used again by later jobs, so the stores of other operators are emptied first."""
+    """A worker's own store for one module. Workers are used again by later jobs, so the stores of other modules are emptied first."""
     if owner not in _caches:
         for x in _caches.values():
             x.clear()
@@ -70,7 +70,10 @@ def map_columns(df: DataFrame, schema: str, fn: Callable[..., dict], **kw) -> Da
     small_batches(df)
     out = to_arrow_schema(StructType.fromDDL(schema))
 
+    owner = fn.__module__
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache(owner)
         for b in slices(batches):
             cols = fn(**{n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)}, **kw)
             yield pa.RecordBatch.from_arrays([_array(cols[f.name], f.type) for f in out], schema=out)
@@ -89,7 +92,10 @@ def add_columns(df: DataFrame, inputs: list[str], schema: str, fn: Callable[...,
     whole = StructType([*df.schema.fields, *new.fields])
     out, kept = to_arrow_schema(new), len(df.columns)
 
+    owner = fn.__module__
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache(owner)
         for b in slices(batches):
             cols = fn(**{n: b.column(n).to_pylist() for n in inputs})
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(kept)), *(_array(cols[f.name], f.type) for f in out)], [*b.schema.names, *out.names])

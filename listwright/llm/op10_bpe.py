@@ -21,15 +21,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from listwright.llm.arrow import map_columns
+from listwright.llm.arrow import cache, map_columns
 
 #: A vocabulary file is sent to the executors only up to this size.
 MAX_VOCABULARY_BYTES = 64 << 20
 #: Chunks that are remembered by a worker.
 CACHE = 200_000
 
-_loaded: dict[tuple[str, str], Bpe] = {}
-
 
 class Bpe:
     """The tokenizer of a rank file ("base64 rank" lines) and a split pattern."""
@@ -192,10 +190,10 @@ class Bpe:
 
 def _tokenizer(broadcast, pattern: str) -> Bpe:
     rank_file = broadcast.value
-    key = (hashlib.sha256(rank_file).hexdigest(), pattern)
-    if key not in _loaded:
-        _loaded[key] = Bpe(rank_file, pattern)
-    return _loaded[key]
+    key, loaded = (hashlib.sha256(rank_file).hexdigest(), pattern), cache(__name__)
+    if key not in loaded:
+        loaded[key] = Bpe(rank_file, pattern)
+    return loaded[key]
 
 
 def read_ranks(path: str) -> bytes:

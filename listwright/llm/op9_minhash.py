@@ -47,7 +47,7 @@ WORDS, WORD_BYTES = 50_000, 40
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    known = cache("op9")
+    known = cache(__name__)
     if len(known) > WORDS:
         known.clear()
     found = list(map(known.get, words))
