@@ -189,3 +189,23 @@ def key_values(log: DataFrame, pattern: str | None = None) -> DataFrame:
     last = own.where("verb in ('set', 'hset', 'hdel')").groupBy("key", "field").agg(F.max(F.struct("seq", "verb", "value")).alias("x"))
     left = last.join(gone, F.col("key") == F.col("_key"), "left").where("x.verb <> 'hdel' and (_gone is null or x.seq > _gone)")
     return left.select("key", "field", "x.value")
+
+
+def near_hashes(rows: DataFrame, group: str, hash_: str, key: str, bits: int = 32, distance: int = 2) -> DataFrame:
+    """a, b, n_a, n_b: pairs of different hashes of a group at most so many bits apart, each named by its least key and with its number of rows.
+
+    Equal hashes are one class, whose rows need no pairs. Of distance + 2 bands of bits two at least are equal, so classes meet on pairs of
+    bands: with four bands on half of all bits.
+    """
+    bands = distance + 2
+    width = -(-bits // bands)
+    c = shared_table(rows.groupBy(F.col(group).alias("g"), F.col(hash_).alias("h")).agg(F.min(key).alias("id"), F.count("*").alias("n")).where("g is not null"), "hashes")
+    part = lambda k: F.shiftrightunsigned("h", k * width).bitwiseAND((1 << width) - 1)
+    both = [F.struct(F.lit(i * bands + j).alias("which"), part(i).alias("x"), part(j).alias("y")) for i in range(bands) for j in range(i + 1, bands)]
+    e = c.select("*", F.explode(F.array(*both)).alias("m")).select("g", "h", "id", "n", "m.*")
+    a, b = e.alias("a"), e.alias("b")
+    on = F.lit(True)
+    for k in ("g", "which", "x", "y"):
+        on = on & (F.col(f"a.{k}") == F.col(f"b.{k}"))
+    near = a.join(b, on & (F.col("a.id") < F.col("b.id")) & (F.bit_count(F.col("a.h").bitwiseXOR(F.col("b.h"))) <= distance))
+    return near.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("a.n").alias("n_a"), F.col("b.n").alias("n_b")).distinct()

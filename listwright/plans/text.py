@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from listwright.functions import text as T
 from listwright.functions import urls as U
 from listwright.functions.constants import INFRINGING_KEYWORDS, ORGANISATIONS
+from listwright.operators import store as K
 from listwright.plans.registry import query
 from listwright.plans.views import POSTS, posts, table
 
@@ -306,15 +307,12 @@ def f13(spark, sf):
     return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.when(h >= F.lit(Decimal(1 << 63)), h - F.lit(Decimal(1 << 64))).otherwise(h).cast("long").alias("lock"))
 
 
-@query("f14_j18_hash_distance", "WITH h AS (SELECT vec_id, label, CAST(list_sum(list_transform(range(1, 33), lambda i: CASE WHEN embedding[i] > 0 THEN CAST(1 AS BIGINT) << CAST(i - 1 AS INT) ELSE 0 END)) AS BIGINT) AS h FROM embeddings) SELECT a.vec_id AS a, min(b.vec_id) AS b FROM h a JOIN h b ON a.label = b.label AND a.vec_id < b.vec_id AND bit_count(xor(a.h, b.h)) < 3 GROUP BY a.vec_id")
+@query("f14_j18_hash_distance", "WITH h AS (SELECT vec_id, label, CAST(list_sum(list_transform(range(1, 13), lambda i: CASE WHEN embedding[i] > 0 THEN CAST(1 AS BIGINT) << CAST(i - 1 AS INT) ELSE 0 END)) AS BIGINT) AS h FROM embeddings WHERE label IS NOT NULL), c AS (SELECT label, h, min(vec_id) AS id, count(*) AS n FROM h GROUP BY ALL) SELECT a.id AS a, b.id AS b, a.n AS n_a, b.n AS n_b FROM c a JOIN c b ON a.label = b.label AND a.id < b.id AND bit_count(xor(a.h, b.h)) < 3")
 def f14(spark, sf):
-    """Near matches of sign-bit hashes: by pigeonhole one of three bands of bits is equal, so the join is on bands."""
-    bit = [F.when(F.col("embedding")[i] > 0, F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i in range(32)]
-    h = table(spark, sf, "embeddings").where("label is not null").select("vec_id", "label", sum(bit[1:], bit[0]).alias("h"))
-    h = h.select("*", F.posexplode(F.array(F.col("h").bitwiseAND(0x7FF), F.shiftright("h", 11).bitwiseAND(0x7FF), F.shiftright("h", 22))).alias("band", "part"))
-    a, b = h.alias("a"), h.alias("b")
-    on = (F.col("a.label") == F.col("b.label")) & (F.col("a.band") == F.col("b.band")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.vec_id") < F.col("b.vec_id")) & (F.bit_count(F.col("a.h").bitwiseXOR(F.col("b.h"))) < 3)
-    return a.join(b, on).groupBy(F.col("a.vec_id").alias("a")).agg(F.min("b.vec_id").alias("b"))
+    """Near matches of sign-bit hashes of a label: pairs of different hashes at most two bits apart."""
+    bit = [F.when(F.col("embedding")[i] > 0, F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i in range(12)]
+    h = table(spark, sf, "embeddings").select("vec_id", "label", sum(bit[1:], bit[0]).alias("h"))
+    return K.near_hashes(h, "label", "h", "vec_id", 12)
 
 
 @query("f15_box_overlap", "SELECT l_orderkey AS id, l_linenumber AS k, round(iw * ih / (w * h + 100 - iw * ih), 9) AS iou FROM (SELECT *, greatest(0, least(x + w, 15) - greatest(x, 5)) AS iw, greatest(0, least(y + h, 15) - greatest(y, 5)) AS ih FROM (SELECT l_orderkey, l_linenumber, l_partkey % 20 AS x, l_suppkey % 20 AS y, 1 + l_orderkey % 9 AS w, 1 + l_linenumber AS h FROM lineitem))")
