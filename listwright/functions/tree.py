@@ -375,9 +375,9 @@ _SEEN = [*_PLAIN, "visible"]
 _STYLED = [*_SEEN, "capital_percentage", "fontsize", "line_through"]
 #: Named groups of features.
 GROUPS = {
-    "previous": _PLAIN, "previous+visible": _SEEN, "mathieu": _STYLED, "mathieu+color_diffs": [*_STYLED, "color_diff", "bg_color"], "mathieu+all_colors": [*_STYLED, "color_diff", "bg_color", "bg_color_diff"],
-    "mathieu+color_diffs+len_ttext": [*_STYLED, "color_diff", "bg_color", "len_ttext"], "mathieu+bad_color_diffs": [*_STYLED, "color_diff", "bg_color_diff"],
-    "mathieu+bad_color_diffs+len_ttext": [*_STYLED, "color_diff", "bg_color_diff", "len_ttext"],
+    "previous": _PLAIN, "previous+visible": _SEEN, "styled": _STYLED, "styled+color_diffs": [*_STYLED, "color_diff", "bg_color"], "styled+all_colors": [*_STYLED, "color_diff", "bg_color", "bg_color_diff"],
+    "styled+color_diffs+len_ttext": [*_STYLED, "color_diff", "bg_color", "len_ttext"], "styled+bad_color_diffs": [*_STYLED, "color_diff", "bg_color_diff"],
+    "styled+bad_color_diffs+len_ttext": [*_STYLED, "color_diff", "bg_color_diff", "len_ttext"],
 }
 
 _CURRENCY = re.compile("|".join(map(re.escape, CURRENCY_SYMBOLS)))

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 STAMP = "yyyy-MM-dd-HH:mm:ss"
-# What a service is asked to do with a new listing.
-ACTIONS = ("add_image_to_rise", "search_in_rise", "launch_archiving", "launch_classifying", "launch_logo_detection", "launch_metadata")
+#: What a service is asked to do with a new listing; the names are the receiving service's, so they are a parameter.
+ACTIONS = ("add_image_to_index", "search_in_index", "launch_archiving", "launch_classifying", "launch_logo_detection", "launch_metadata")
 JSON = {"ignoreNullFields": "false"}
 # Fields of a listing that go as they are.
 POST_FIELDS = ("poster_url", "price", "stock_count", "url", "archive_link", "title", "pictures", "videos", "description")
@@ -25,7 +25,7 @@ def stamp(df: DataFrame, name: str) -> Column:
     return F.col(name) if dict(df.dtypes)[name] == "string" else F.date_format(name, STAMP)
 
 
-def insertion_payload(posts: DataFrame, environment: str, source: str = "SPECIFIC_SCRAPER") -> DataFrame:
+def insertion_payload(posts: DataFrame, environment: str, source: str = "SPECIFIC_SCRAPER", actions: tuple[str, ...] = ACTIONS) -> DataFrame:
     """posts with `body`: the message that inserts a listing, as JSON with all fields, null or not.
 
     Columns that posts lacks are null. The poster is the vendor, or else the poster column; post tags come before the listing's own;
@@ -40,7 +40,7 @@ def insertion_payload(posts: DataFrame, environment: str, source: str = "SPECIFI
         F.struct(c("platform_id"), stamp(posts, "posting_time").alias("posting_time"), c("poster_link"), c("location"), c("ships_from"), c("ships_to")).alias("payload"),
         c("upload_id", "long"), c("upload_request_id"), c("poster_website_identifier"), c("risk_score", "double"), c("alternate_links", "array<string>"),
     )
-    body = F.struct(F.lit(environment).alias("environment_name"), c("organisation_name"), *(F.lit(True).alias(a) for a in ACTIONS), post.alias("post"))
+    body = F.struct(F.lit(environment).alias("environment_name"), c("organisation_name"), *(F.lit(True).alias(a) for a in actions), post.alias("post"))
     return posts.withColumn("body", F.to_json(body, JSON))
 
 

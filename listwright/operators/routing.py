@@ -35,18 +35,23 @@ def page_type(pages: DataFrame, config: DataFrame) -> DataFrame:
     return pages.join(c, "domain", "left").withColumn("page_type", F.when(F.col("domain") == "instagram.com", own).otherwise(fits)).drop("_s", "_p", "_u")
 
 
-def scraper(domain: Column, scraping_type: Column, config_file: Column, framework: Column) -> Column:
-    """The module and the source name for a task: struct<module, source>."""
-    # Names of modules, sources, frameworks and domains.
+#: Routes of tasks: (what decides: config_file, domain or framework; its value; the scraping type it asks for, if any; module; source). The first that fits counts.
+ROUTES = [
+    ("config_file", "market.api", None, "APIScraper", "MARKET_API"), ("domain", "instagram.com", None, "InstagramScraper", "INSTAGRAM_API"), ("domain", "facebook.com", "POST_SEARCH_COMPLETE", "FacebookScraper", "API_SCRAPER"),
+    ("framework", "API", None, "APIScraper", "API_SCRAPER"), ("framework", "API_SELENIUM", None, "APIMarketplaceScraper", "API_SCRAPER"),
+]
+OTHERS = ("MarketplaceScraper", "SPECIFIC_SCRAPER")
+
+
+def scraper(domain: Column, scraping_type: Column, config_file: Column, framework: Column, routes: list[tuple] | None = None) -> Column:
+    """The module and the source name for a task: struct<module, source>, by a table of routes."""
     pick = lambda m, s: F.struct(F.lit(m).alias("module"), F.lit(s).alias("source"))
-    return (
-        F.when(config_file == "smelter.ai", pick("APIScraper", "SMELTER_AI"))
-        .when(domain == "instagram.com", pick("InstagramScraper", "RUSSIAN_RADARLY"))
-        .when((domain == "facebook.com") & (scraping_type == "POST_SEARCH_COMPLETE"), pick("FacebookScraper", "API_SCRAPER"))
-        .when(framework == "API", pick("APIScraper", "API_SCRAPER"))
-        .when(framework == "API_SELENIUM", pick("APIMarketplaceScraper", "API_SCRAPER"))
-        .otherwise(pick("MarketplaceScraper", "SPECIFIC_SCRAPER"))
-    )
+    by = {"config_file": config_file, "domain": domain, "framework": framework}
+    out = F
+    for what, value, kind, module, source in routes or ROUTES:
+        fits = by[what] == value
+        out = out.when(fits if kind is None else fits & (scraping_type == kind), pick(module, source))
+    return out.otherwise(pick(*OTHERS))
 
 
 def _some(c: Column) -> Column:

@@ -74,12 +74,12 @@ def p29(spark, sf):
     return R.page_type(p, one.unionByName(two)).select("id", F.col("page_type").alias("kind"))
 
 
-@query("p30_scraper_routing", "SELECT event_id AS id, CASE WHEN event_id % 13 = 0 THEN 'APIScraper' WHEN event_type = 'view' THEN 'InstagramScraper' WHEN event_type = 'click' AND event_id % 2 = 0 THEN 'FacebookScraper' WHEN event_id % 3 = 0 THEN 'APIScraper' WHEN event_id % 3 = 1 THEN 'APIMarketplaceScraper' ELSE 'MarketplaceScraper' END AS module, CASE WHEN event_id % 13 = 0 THEN 'SMELTER_AI' WHEN event_type = 'view' THEN 'RUSSIAN_RADARLY' WHEN event_type = 'click' AND event_id % 2 = 0 OR event_id % 3 < 2 THEN 'API_SCRAPER' ELSE 'SPECIFIC_SCRAPER' END AS source FROM events")
+@query("p30_scraper_routing", "SELECT event_id AS id, CASE WHEN event_id % 13 = 0 THEN 'APIScraper' WHEN event_type = 'view' THEN 'InstagramScraper' WHEN event_type = 'click' AND event_id % 2 = 0 THEN 'FacebookScraper' WHEN event_id % 3 = 0 THEN 'APIScraper' WHEN event_id % 3 = 1 THEN 'APIMarketplaceScraper' ELSE 'MarketplaceScraper' END AS module, CASE WHEN event_id % 13 = 0 THEN 'MARKET_API' WHEN event_type = 'view' THEN 'INSTAGRAM_API' WHEN event_type = 'click' AND event_id % 2 = 0 OR event_id % 3 < 2 THEN 'API_SCRAPER' ELSE 'SPECIFIC_SCRAPER' END AS source FROM events")
 def p30(spark, sf):
     """The module and source for each task."""
     n, t = F.col("event_id"), F.col("event_type")
     domain = F.when(t == "view", "instagram.com").when(t == "click", "facebook.com").otherwise("shop.example.com")
-    s = R.scraper(domain, F.when(n % 2 == 0, "POST_SEARCH_COMPLETE").otherwise("POST_SEARCH"), F.when(n % 13 == 0, "smelter.ai"), F.when(n % 3 == 0, "API").when(n % 3 == 1, "API_SELENIUM").otherwise("SELENIUM"))
+    s = R.scraper(domain, F.when(n % 2 == 0, "POST_SEARCH_COMPLETE").otherwise("POST_SEARCH"), F.when(n % 13 == 0, "market.api"), F.when(n % 3 == 0, "API").when(n % 3 == 1, "API_SELENIUM").otherwise("SELENIUM"))
     return table(spark, sf, "events").select(n.alias("id"), s.alias("s")).select("id", "s.module", "s.source")
 
 

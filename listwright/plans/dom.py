@@ -123,7 +123,7 @@ def g7(spark, sf):
     gap = F.col("y_orig") - 400
     return f.select(
         "page_id", "imnode_distance", "depth", "len_text_content", F.round("ratio_digits_characters", 9).alias("ratio_digits_characters"), F.round("capital_percentage", 9).alias("capital_percentage"), "price_in_attributes", "h_title_value", "list_table_form_tag", "flow_tag", "palpable_tag", "visible",
-        gap.cast("int").alias("image_dist_y"), "x", "h", F.size(P.feature_vector("previous")).alias("n_previous"), F.size(P.feature_vector("mathieu+color_diffs")).alias("n_colours"),
+        gap.cast("int").alias("image_dist_y"), "x", "h", F.size(P.feature_vector("previous")).alias("n_previous"), F.size(P.feature_vector("styled+color_diffs")).alias("n_colours"),
     )
 
 

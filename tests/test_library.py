@@ -193,7 +193,7 @@ def test_node_features():
     assert (h["imnode_distance"], h["depth"], h["height"], h["currency_detected"], h["len_text_content"], h["price_in_attributes"], h["line_through"], h["list_table_form_parent_tag"]) == (5, 4, 0, True, 4, True, True, True)
     assert h["ratio_digits_characters"] == pytest.approx(2 / 3) and h["h_title_value"] == pytest.approx(0.83) and h["fontsize"] == 2.0 and h["color"] == [1.0, 0.0, 0.0, 0.0] and h["image_dist"] == 50 and h["x"] == 0.01
     assert p["capital_percentage"] == pytest.approx(5 / 12) and p["visible"] and p["image_dist"] == 150 and p["tags_present"] == [0] * 7 + [1] and f["img[1]"]["imnode_distance"] == 0
-    assert len(TR.GROUPS["previous"]) == 21 and TR.GROUPS["mathieu"][-3:] == ["capital_percentage", "fontsize", "line_through"]
+    assert len(TR.GROUPS["previous"]) == 21 and TR.GROUPS["styled"][-3:] == ["capital_percentage", "fontsize", "line_through"]
 
 
 def test_patterns_of_images():
