@@ -108,3 +108,11 @@ def r11(spark, sf):
     field = F.when(~t.isin("view", "purchase"), F.concat(F.lit("f"), (F.col("event_id") % 3).cast("string")))
     log = table(spark, sf, "events").select(F.col("event_id").alias("seq"), verb.alias("verb"), F.concat(F.lit("task:"), F.col("user_id").cast("string")).alias("key"), field.alias("field"), F.concat(t, F.col("event_id").cast("string")).alias("value"))
     return K.key_values(log, "^task:1")
+
+
+@query("r7_overdue_timers", "WITH e AS (SELECT user_id, ts, event_type FROM events WHERE event_type IN ('view', 'purchase')), p AS (SELECT user_id, max(ts) AS last FROM e WHERE event_type = 'purchase' GROUP BY user_id) SELECT user_id, CAST(epoch_us(min(ts)) // 1000 AS BIGINT) AS started_ms FROM e LEFT JOIN p USING (user_id) WHERE event_type = 'view' AND (last IS NULL OR ts > last) GROUP BY user_id")
+def r7t(spark, sf):
+    """Tasks that were started and never ended, when the day that they may take is over; the end of the stream lets all timers run out."""
+    t = F.col("event_type")
+    s = jobs.events(spark, sf).where(t.isin("view", "purchase")).select("ts", "user_id", F.when(t == "purchase", "ended").otherwise("started").alias("status"))
+    return jobs.run(jobs.overdue(jobs.ended(s, ["ts", "user_id", "status"]))).where(F.col("user_id") != jobs.LAST)

@@ -66,7 +66,7 @@ def ended(s: DataFrame, columns: list[str]) -> DataFrame:
     spark = s.sparkSession
     path = f"{shared_dir(spark)}/end-{uuid.uuid4().hex}"
     schema = s.select(*columns).schema
-    kinds = {"ts": F.lit("2999-01-01").cast("timestamp"), "user_id": F.lit(LAST).cast("long")}
+    kinds = {"ts": F.lit("2200-01-01").cast("timestamp"), "user_id": F.lit(LAST).cast("long")}
     spark.range(1).select(*(kinds.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schema)).write.parquet(path)
     return s.select(*columns).unionByName(spark.readStream.schema(schema).parquet(path))
 
@@ -123,3 +123,41 @@ def statuses(s: DataFrame, ttl_hours: int = 48) -> DataFrame:
     """
     s.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     return s.groupBy("user_id").transformWithStateInPandas(statefulProcessor=Status(ttl_hours * 3_600_000), outputStructType="user_id long, rank int", outputMode="Update", timeMode="ProcessingTime")
+
+
+class Overdue(StatefulProcessor):
+    """Tasks that were started and not ended within an age: a timer for each open task, taken back when it ends."""
+
+    def __init__(self, age_ms: int):
+        self.age_ms = age_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.state = handle, handle.getValueState("started", "ms long")
+
+    def _close(self) -> None:
+        if self.state.exists():
+            self.handle.deleteTimer(self.state.get()[0] + self.age_ms)
+            self.state.clear()
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for ms, status in sorted((int(t.value // 1_000_000), s) for f in rows for t, s in zip(f["ts"], f["status"], strict=True)):
+            if status == "ended":
+                self._close()
+            elif status == "started" and not self.state.exists():
+                self.state.update((ms,))
+                self.handle.registerTimer(ms + self.age_ms)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        started = self.state.get()[0]
+        self.state.clear()
+        yield pd.DataFrame({"user_id": [key[0]], "started_ms": [started]})
+
+    def close(self) -> None:
+        pass
+
+
+def overdue(s: DataFrame, age_hours: int = 24) -> DataFrame:
+    """user_id, started_ms of tasks that are open for longer than an age, by rows (user_id, ts, status); by the stream's own time."""
+    s.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return s.withWatermark("ts", "1 hour").groupBy("user_id").transformWithStateInPandas(statefulProcessor=Overdue(age_hours * 3_600_000), outputStructType="user_id long, started_ms long", outputMode="Append", timeMode="EventTime")
