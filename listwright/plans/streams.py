@@ -53,6 +53,17 @@ def r2(spark, sf):
     return jobs.run(jobs.furthest_status(s), "complete")
 
 
+_RANK = "CASE event_type WHEN 'purchase' THEN 3 WHEN 'click' THEN 2 WHEN 'error' THEN 1 ELSE 0 END"
+
+
+@query("r2_statuses_with_ttl", f"WITH e AS (SELECT user_id, epoch_us(ts) // 1000 AS ms, {_RANK} AS rank FROM events WHERE user_id IS NOT NULL), g AS (SELECT *, CASE WHEN ms - lag(ms) OVER (PARTITION BY user_id ORDER BY ms) > 6 * 3600000 THEN 1 ELSE 0 END AS fresh FROM e), k AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ms ROWS UNBOUNDED PRECEDING) AS life FROM g), l AS (SELECT user_id, max(life) AS life FROM k GROUP BY user_id) SELECT user_id, CAST(max(rank) AS INT) AS rank, CAST(max(ms) AS BIGINT) AS ms FROM k JOIN l USING (user_id, life) GROUP BY user_id")
+def r2t(spark, sf):
+    """The status machine with statuses that are forgotten after six hours without news."""
+    t = F.col("event_type")
+    s = jobs.events(spark, sf).where("user_id is not null").select("ts", "user_id", F.when(t == "purchase", "sent_to_insertion").when(t == "click", "ended").when(t == "error", "failed").otherwise("started").alias("status"))
+    return jobs.latest_statuses(s, 6)
+
+
 @query("r2_sessions", "SELECT user_id, min(ts) AS start, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM (SELECT user_id, ts, CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, k")
 def sessions(spark, sf):
     """Sessions of users; the end of the stream closes those that are open."""

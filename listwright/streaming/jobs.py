@@ -87,7 +87,7 @@ def deduplicated(s: DataFrame, keys: list[str], horizon: str) -> DataFrame:
 
 
 class Status(StatefulProcessor):
-    """The upload status of a key: it only moves forward, and is forgotten after a time to live."""
+    """The upload status of a key: it only moves forward, and is forgotten after a time to live without news, by the stream's own time."""
 
     ORDER = {"started": 0, "failed": 1, "ended": 2, "sent_to_insertion": 3}
 
@@ -95,14 +95,23 @@ class Status(StatefulProcessor):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("status", "rank int", ttlDurationMs=self.ttl_ms)
+        self.handle, self.state = handle, handle.getValueState("status", "rank int, ms long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        rank = self.state.get()[0] if self.state.exists() else -1
-        for f in rows:
-            rank = max([rank, *(self.ORDER[x] for x in f["status"])])
-        self.state.update((rank,))
-        yield pd.DataFrame({"user_id": [key[0]], "rank": [rank]})
+        rank, last = self.state.get() if self.state.exists() else (None, None)
+        if last is not None:
+            self.handle.deleteTimer(last + self.ttl_ms)
+        for ms, status in sorted((int(t.value // 1_000_000), s) for f in rows for t, s in zip(f["ts"], f["status"], strict=True)):
+            new = self.ORDER[status]
+            rank = new if rank is None or ms - last > self.ttl_ms else max(rank, new)
+            last = ms if last is None else max(last, ms)
+        self.state.update((rank, last))
+        self.handle.registerTimer(last + self.ttl_ms)
+        yield pd.DataFrame({"user_id": [key[0]], "rank": [rank], "ms": [last]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        return iter(())
 
     def close(self) -> None:
         pass
@@ -117,12 +126,22 @@ def furthest_status(s: DataFrame) -> DataFrame:
 
 
 def statuses(s: DataFrame, ttl_hours: int = 48) -> DataFrame:
-    """user_id, rank of the furthest status, by (user_id, status) rows; state is kept in RocksDB for ttl_hours.
+    """user_id, rank of the furthest status, ms of the last news, by rows (user_id, ts, status); state is kept in RocksDB for ttl_hours of the stream's time.
 
     A call to Python's state server for each key: much slower than furthest_status, for jobs that need the time to live.
     """
     s.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    return s.groupBy("user_id").transformWithStateInPandas(statefulProcessor=Status(ttl_hours * 3_600_000), outputStructType="user_id long, rank int", outputMode="Update", timeMode="ProcessingTime")
+    return s.withWatermark("ts", "1 hour").groupBy("user_id").transformWithStateInPandas(statefulProcessor=Status(ttl_hours * 3_600_000), outputStructType="user_id long, rank int, ms long", outputMode="Update", timeMode="EventTime")
+
+
+def latest_statuses(s: DataFrame, ttl_hours: int = 48) -> DataFrame:
+    """user_id, rank, ms: the last answer of statuses() for each key, read back from its updates."""
+    spark = s.sparkSession
+    place = f"{shared_dir(spark)}/statuses-{uuid.uuid4().hex}"
+    out = statuses(s, ttl_hours)
+    each = lambda df, _: df.write.mode("append").parquet(f"{place}/out")
+    out.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{place}/checkpoint").outputMode("update").foreachBatch(each).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{place}/out").groupBy("user_id").agg(F.max(F.struct("ms", "rank")).alias("x")).select("user_id", "x.rank", "x.ms")
 
 
 class Overdue(StatefulProcessor):

@@ -233,33 +233,57 @@ def test_steps_fail_open(spark):
     assert R.fail_open(df, lambda x: x.select("nowhere"))[0].count() == 5
 
 
-def test_status_only_moves_forward_within_its_time():
-    class State:
-        value = None
+class State:
+    def __init__(self):
+        self.value = None
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, v):
+        self.value = v
 
-        def exists(self):
-            return self.value is not None
+    def clear(self):
+        self.value = None
 
-        def get(self):
-            return self.value
 
-        def update(self, v):
-            self.value = v
+class Handle:
+    def __init__(self):
+        self.timers = set()
 
-    class Handle:
-        asked = []
+    def getValueState(self, name, schema):  # noqa: N802  the interface's names
+        return State()
 
-        def getValueState(self, name, schema, ttlDurationMs):  # noqa: N802  the interface's name
-            self.asked.append(ttlDurationMs)
-            return State()
+    def registerTimer(self, at):  # noqa: N802
+        self.timers.add(at)
 
-    s = jobs.Status(48 * 3_600_000)
-    s.init(Handle())
-    feed = lambda *x: next(s.handleInputRows((7,), iter([pd.DataFrame({"status": list(x)})]), None))["rank"].tolist()
-    assert Handle.asked == [48 * 3_600_000]
-    assert feed("started") == [0] and feed("ended", "failed") == [2] and feed("started") == [2] and feed("sent_to_insertion") == [3]
-    s.state.value = None  # forgotten
-    assert feed("failed") == [1]
+    def deleteTimer(self, at):  # noqa: N802
+        self.timers.discard(at)
+
+
+def test_status_only_moves_forward_within_its_time():
+    s, h = jobs.Status(1000), Handle()
+    s.init(h)
+    feed = lambda *x: next(s.handleInputRows((7,), iter([pd.DataFrame({"ts": pd.to_datetime([t for t, _ in x], unit="ms"), "status": [v for _, v in x]})]), None)).values.tolist()[0]
+    assert feed((0, "started")) == [7, 0, 0] and feed((600, "failed"), (500, "ended")) == [7, 2, 600] and h.timers == {1600}
+    assert feed((1500, "started")) == [7, 2, 1500] and feed((2400, "sent_to_insertion")) == [7, 3, 2400]
+    assert feed((3500, "failed")) == [7, 1, 3500]  # after a second without news
+    list(s.handleExpiredTimer((7,), None, None))
+    assert feed((3600, "started")) == [7, 0, 3600]
+
+
+def test_overdue_tasks_by_timers():
+    s, h = jobs.Overdue(1000), Handle()
+    s.init(h)
+    feed = lambda *x: list(s.handleInputRows((7,), iter([pd.DataFrame({"ts": pd.to_datetime([t for t, _ in x], unit="ms"), "status": [v for _, v in x]})]), None))
+    assert feed((5, "started"), (9, "started")) == [] and h.timers == {1005}
+    feed((20, "ended"))
+    assert h.timers == set() and not s.state.exists()
+    feed((30, "started"))
+    assert next(s.handleExpiredTimer((7,), None, None)).values.tolist() == [[7, 30]] and not s.state.exists()
 
 
 def test_bulk_write_and_unseen(spark):
