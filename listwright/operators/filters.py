@@ -106,14 +106,6 @@ def by_organisation(df: DataFrame, column: str = "organisations") -> DataFrame:
     return df.withColumn("organisation", F.explode(some))
 
 
-def required(flags: dict[str, str]) -> Column:
-    """Rows that have what their website requires: {column: flag column}; url and scraping_time always."""
-    out = F.col("url").isNotNull() & F.col("scraping_time").isNotNull()
-    for c, flag in flags.items():
-        out = out & (~F.coalesce(flag, F.lit(False)) | F.col(c).isNotNull())
-    return out
-
-
 def per_domain_limit(df: DataFrame, limit: Column, total: int, *order) -> DataFrame:
     """Rows in scheduler order with at most `limit` for a domain, and `total` over all; aliases of a domain count together."""
     domain = F.when(F.contains("domain", F.lit("shopee")), "shopee").otherwise(F.col("domain"))
