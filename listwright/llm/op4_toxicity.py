@@ -5,12 +5,13 @@ that stands out in toxic rows, with all words that begin so, is a lexicon of its
 harm, masked words, shouting, symbol noise). A generative label model estimates by expectation-maximisation how often each voter fires on toxic and on
 clean texts, and how voters correlate: each voter's rate depends on the label and on the vote of one other voter, the
 parents being the maximum spanning forest of the voters' mutual information given the label, of which only significant edges count. The
-posterior labels train a linear classifier on the presence of the words and beginnings, which scores every whole text.
+posterior labels train a linear classifier on the presence of the words and beginnings, which scores every whole text; a scale and a shift calibrate its scores.
 
 The given labels are no voters and the posteriors do not see them. They serve to find the words that stand out and to start the rates, which
 tells the model which class is the toxic one. Learning uses a bounded sample of labelled rows: at most SAMPLE[c] different rows of
-class c, those with the least hash, whatever ids are repeated; FEATURES words and beginnings at most, the most significant ones, of which
-VOTERS vote.
+class c, those with the least hash, whatever ids are repeated; FEATURES words and beginnings at most, the most significant ones. Of these
+VOTERS vote at most, which a SUPPORT of the toxic rows have and clean rows hardly (PURE times less often): so copies of a few toxic texts make no voter of
+each of their words. One more voter is silence: that no voter fires which fires on toxic texts mostly.
 
 Edge cases: a null or empty text gets the classifier's score for a text without words. Without labelled rows of both classes only
 the lexicons score. Conflicting labels of one doc_id: toxic wins; null labels are ignored; rows without doc_id are not learned from. Repeated rows are scored alike; other
@@ -33,6 +34,7 @@ from listwright.session import scratch, shared_table
 SAMPLE = {1: 4000, 0: 8000}
 FEATURES, VOTERS, BEGINNINGS, MIN_DOCS, THRESHOLD = 1500, 400, (4, 5, 6), 3, 0.7
 RATIO, FALSE = 20, 0.1
+SUPPORT, PURE = 0.02, 200
 #: The feature that any word of a lexicon gives.
 ANY = " lexicon"
 WORD = re.compile(r"[^\W\d_]+")
@@ -44,7 +46,7 @@ LEXICONS = {
     "contempt": "disgusting clown clowns despicable vile repulsive revolting disgrace pig pigs swine",
     "hate": "hate hated hatred loathe despise detest",
     "abuse": "bastard bastards jerk jerks creep creeps coward liar freak freaks weirdo",
-    "threat": "kill die murder beat punch strangle hang destroy burn",
+    "threat": "kill murder beat punch strangle hang destroy burn",
     "french": "idiote idiots imbécile crétin crétins connard connards abruti abrutis ordure minable dégueulasse salaud débile",
     "german": "idiot idioten dummkopf trottel arschloch arschlöcher abschaum widerlich dreckskerl vollidiot schwachkopf versager",
     "spanish": "idiota idiotas imbécil imbéciles estúpido estúpida estúpidos basura asqueroso cabrón payaso inútil escoria",
@@ -204,6 +206,22 @@ def logistic(x: np.ndarray, y: np.ndarray, l2: float, rounds: int = 300) -> tupl
     return w, float(b)
 
 
+def calibrated(z: np.ndarray, y: np.ndarray, hold: float = 0.01, rounds: int = 100) -> tuple[float, float]:
+    """Scale and shift of scores z for the least mean log loss to soft labels y, classes weighing alike; hold pulls the scale to 1. By damped Newton steps."""
+    share = np.where(y > 0.5, 0.5 / max(1.0, (y > 0.5).sum()), 0.5 / max(1.0, (y <= 0.5).sum()))
+    a, c = 1.0, 0.0
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(a * z + c, -30, 30)))
+        e, h = (p - y) * share, p * (1 - p) * share
+        g = np.array([e @ z + hold * (a - 1), e.sum()])
+        step = np.linalg.solve(np.array([[h @ (z * z) + hold, h @ z], [h @ z, h.sum() + 1e-9]]), g)
+        step *= min(1.0, 1 / max(1e-9, np.abs(step).max()))
+        a, c = a - step[0], c - step[1]
+        if np.abs(step).max() < 1e-9:
+            break
+    return max(0.1, float(a)), float(c)
+
+
 def lexicon_model() -> Model:
     return Model(-3.0, {w: 6.0 for k in PLAIN for w in LEXICONS[k].split()}, {})
 
@@ -261,12 +279,17 @@ def _train(docs: DataFrame, labels: DataFrame) -> Model:
     for i, (_, got, lex, shown) in enumerate(data):
         x[i, got], votes[i, lex], votes[i, [len(lexicon) + k for k in shown]] = 1, 1, 1
     y = np.array([r[0] for r in data], np.float32)
-    strong = sorted(range(1, len(names)), key=lambda k: (-features[k - 1][3], k))[:VOTERS]
+    strong = [k for k, (_, t, c, _) in enumerate(features, 1) if t >= max(MIN_DOCS, SUPPORT * n[1]) and t * n[0] >= PURE * c * n[1]]
+    strong = sorted(strong, key=lambda k: (-features[k - 1][3], k))[:VOTERS]
     votes = np.concatenate([x[:, strong], votes], axis=1)
     votes = votes[:, votes.any(axis=0)]
     start = np.stack([((1 - y) @ votes + 0.01) / ((1 - y).sum() + 1), (y @ votes + 0.5) / (y.sum() + 1)])
-    posterior = label_model(votes, float(y.mean()), start).posterior(votes) if votes.shape[1] else np.zeros(len(y))
+    silence = ~votes[:, start[1] > 5 * start[0]].any(axis=1)
+    votes, start = np.concatenate([votes, silence[:, None].astype(np.float32)], axis=1), np.concatenate([start, [[0.9], [0.02]]], axis=1)
+    posterior = label_model(votes, float(y.mean()), start).posterior(votes)
     w, b = logistic(x, posterior, 1e-5)
+    scale, shift = calibrated(x @ w.astype(np.float32) + b, posterior)
+    w, b = w * scale, b * scale + shift
     weight = dict(zip(names, w.tolist(), strict=True))
     words = {w: weight[ANY] + weight.get(w, 0.0) for w in plain} | {f: v for f, v in weight.items() if f[0] not in "^ " and f not in plain}
     return Model(b, words, {f[1:]: v for f, v in weight.items() if f[0] == "^"})
