@@ -45,8 +45,8 @@ class Bpe:
         self.shorter: dict[int, int | None] = {}
         self.split: dict[int, tuple[int, int]] = {}
         self.compatible: dict[tuple[int, int], bool] = {}
-        self.chunks: dict[str, tuple[str, bytes]] = {}  # by the text after a leading space
-        self.older: dict[str, tuple[str, bytes]] = {}  # those before the last time that CACHE was reached
+        self.chunks: dict[str, str] = {}  # by the text after a leading space
+        self.older: dict[str, str] = {}  # those before the last time that CACHE was reached
         self.merged: dict[tuple[int, int], int] = {}
         for i in sorted(self.text_of):
             if pair := self._last_merge(i):
@@ -145,22 +145,23 @@ class Bpe:
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
-    def chunk(self, text: str) -> tuple[str, bytes]:
-        """Ids joined by spaces, and the bytes they decode to, of a space and a text without one; short ones are remembered.
+    def chunk(self, text: str) -> str:
+        """Ids joined by spaces of a space and a text without one; short ones are remembered.
 
-        Letters alone are one match of the pattern, and so is a mark after them.
+        The ids are decoded here, and must give the chunk's bytes: so what is remembered needs no second copy of them. Letters alone are one match
+        of the pattern, and so is a mark after them.
         """
         x = self.older.get(text)
         if x is None:
             if text.isalpha():
                 ids = self.encode_piece(" " + text)
-                x = " ".join(map(str, ids)), self.decode(ids)
-            elif text[-1] in ",.;:!?" and (stem := text[:-1]).isalpha():
-                a, mark = self.chunks.get(stem) or self.chunk(stem), self.encode_piece(text[-1])
-                x = f"{a[0]} {' '.join(map(str, mark))}", a[1] + self.decode(mark)
+            elif text[-1] in ",.;:!?" and text[:-1].isalpha():
+                ids = self.encode_piece(" " + text[:-1]) + self.encode_piece(text[-1])
             else:
                 ids = self.encode(" " + text)
-                x = " ".join(map(str, ids)), self.decode(ids)
+            if self.decode(ids) != b" " + text.encode():
+                raise ValueError("the vocabulary cannot decode what it encodes")
+            x = " ".join(map(str, ids))
         if len(text) < 60:
             if len(self.chunks) > CACHE:
                 self.chunks, self.older = {}, self.chunks
@@ -169,7 +170,8 @@ class Bpe:
 
     def digest(self, text: str | None) -> tuple[int, str, str]:
         """Number of ids, SHA-256 of the ids as text, SHA-256 of the bytes they decode to."""
-        found: list[tuple[str, bytes]] = []
+        found: list[str] = []
+        decoded = b""
         if text:
             first, *rest = text.split(" ")
             found = list(map(self.chunks.get, rest))
@@ -183,9 +185,12 @@ class Bpe:
                 found = [new.get(p) or known(p) or self.chunk(p) for p in rest]
             if first:
                 ids = self.encode(first)
-                found.insert(0, (" ".join(map(str, ids)), self.decode(ids)))
-        ids_text = " ".join([x[0] for x in found])
-        return ids_text.count(" ") + bool(ids_text), hashlib.sha256(ids_text.encode()).hexdigest(), hashlib.sha256(b"".join([x[1] for x in found])).hexdigest()
+                found.insert(0, " ".join(map(str, ids)))
+                decoded = self.decode(ids)
+            if rest:  # chunk() has decoded each of them
+                decoded += f" {' '.join(rest)}".encode()
+        ids_text = " ".join(found)
+        return ids_text.count(" ") + bool(ids_text), hashlib.sha256(ids_text.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()
 
 
 def _tokenizer(broadcast, pattern: str) -> Bpe:
