@@ -49,10 +49,15 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _name(path: str) -> str:
+    """The table's own folder, which is unique; what stands before it may be written in several ways."""
+    return path.rsplit("/", 1)[1]
+
+
 def drop_shared(df: DataFrame) -> None:
     """Delete the files of a shared_table that no later plan reads."""
     for t in list(_tables):
-        if any(t[1] in f for f in df.inputFiles()[:1]):
+        if any(_name(t[1]) in f for f in df.inputFiles()[:1]):
             _delete(*t[:2])
             _tables.remove(t)
 
@@ -69,7 +74,7 @@ def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
     yield keep
     files = [f for df in kept for f in df.inputFiles()]
     for t in list(_tables):
-        if id(t) not in before and t[2] == threading.get_ident() and not any(t[1] in f for f in files):
+        if id(t) not in before and t[2] == threading.get_ident() and not any(_name(t[1]) in f for f in files):
             _delete(*t[:2])
             _tables.remove(t)
 

@@ -391,3 +391,18 @@ def test_queries_equal_sql(spark, name):
     got = registry.queries()[name](spark, SF)
     assert sorted(got.columns) == sorted(names)
     assert sorted((tuple(tidy(v) for v in r) for r in got.select(*names).collect()), key=repr) == want
+
+
+def test_scratch_tables_go_but_for_what_is_kept(spark):
+    from listwright import session
+
+    before = session.shared_table(spark.range(3), "before")
+    with session.scratch() as keep:
+        gone = session.shared_table(spark.range(5), "gone")
+        kept = keep(session.shared_table(gone.where("id > 1"), "kept"))
+        with session.scratch() as inner:
+            deep = inner(session.shared_table(spark.range(7), "deep"))
+        assert deep.count() == 7
+    assert before.count() == 3 and kept.count() == 3
+    with pytest.raises(Exception, match="(?i)not exist|not found"):
+        gone.count()
