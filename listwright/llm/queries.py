@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listwright.llm import op1_quality, op2_license, op3_sharding, op4_toxicity, op5_html, op6_langid, op7_embedding, op8_mixing, op9_minhash, op10_bpe
+from listwright.llm import op1_quality, op2_license, op3_sharding, op4_toxicity, op5_html, op6_langid, op7_embedding, op8_mixing, op9_minhash, op10_bpe, op11_lm, op12_search, op13_panes
 
 SHARDS = 16
 
@@ -61,10 +61,22 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_bpe.digest_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_lm.score_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), 10)
+
+
+def op13_window_panes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_panes.pane_records(_table(spark, sf_dir, "clicks"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_quality_rules, op2_license_scans, op3_sharding_tree, op4_toxicity_scores, op5_html_extraction, op6_language_id, op7_embedding_dedup, op8_source_mixing, op9_minhash_dedup, op10_byte_bpe)
+    found = (op1_quality_rules, op2_license_scans, op3_sharding_tree, op4_toxicity_scores, op5_html_extraction, op6_language_id, op7_embedding_dedup, op8_source_mixing, op9_minhash_dedup, op10_byte_bpe, op11_lm_scores, op12_ranked_search, op13_window_panes)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": op1_quality.oracle_sql(), "op7_embedding_dedup": op7_embedding.oracle_sql(), "op9_minhash_dedup": op9_minhash.oracle_sql()}
+    return {"op1_quality_rules": op1_quality.oracle_sql(), "op7_embedding_dedup": op7_embedding.oracle_sql(), "op9_minhash_dedup": op9_minhash.oracle_sql(), "op12_ranked_search": op12_search.oracle_sql()}
