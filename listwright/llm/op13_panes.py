@@ -3,8 +3,8 @@
 Method: clicks are cut into BATCHES, which arrive one after another in one folder. For each, the same streaming query is started
 anew on one checkpoint: a native groupBy of kind and event hour keeps counts and sums as state and hands on, in update mode, the
 panes that this batch has changed; a watermark of four days lets the state of closed panes go. foreachBatch joins the changed panes
-to the persisted table of open panes, writes the batch's records and the table's next version. Rows of closed panes never reach
-the aggregation. A batch that is run again overwrites what it wrote, so that nothing is there twice.
+to the persisted table of open panes and writes the table's next version, in which each pane has the records that the batch makes of
+it. Rows of closed panes never reach the aggregation. A batch that is run again overwrites what it wrote, so that nothing is there twice.
 
 What goes to the driver is one time for each batch. The folders go when the result is written, as a table of its own.
 
@@ -31,7 +31,7 @@ DUE, CLOSED = 6 * HOUR, 96 * HOUR
 #: Event times are moved on by so much as the stream's time, as a watermark begins at 1970.
 SHIFT = 800_000 * DAY
 ROWS = "click_id long, event long, hour long, kind string, cents long"
-PANES = "kind string, hour long, n_rows long, cents long, emitted boolean"
+PANES = "kind string, hour long, n_rows long, cents long, emitted boolean, open boolean, batch long, records array<struct<record: string, n_rows: long, cents: long>>"
 RECORDS = "batch long, hour long, click_id long, n_rows long, cents long, record string, kind string"
 
 
@@ -68,20 +68,18 @@ def totals(rows: DataFrame, watermark: int | None) -> DataFrame:
     return w.select("kind", "hour", "n_rows", "cents")
 
 
-def publish(changes: DataFrame, panes: DataFrame, batch: int, watermark: int | None, last: bool) -> tuple[DataFrame, DataFrame]:
-    """Records of a batch, without the late rows, and the open panes after it."""
-    old = panes.select("kind", "hour", F.col("n_rows").alias("old_n"), F.col("cents").alias("old_cents"), "emitted")
+def publish(changes: DataFrame, panes: DataFrame, batch: int, watermark: int | None, last: bool) -> DataFrame:
+    """PANES after a batch: totals, whether the pane has been emitted and is still open, and the batch's records of it."""
+    old = panes.where("open").select("kind", "hour", F.col("n_rows").alias("old_n"), F.col("cents").alias("old_cents"), "emitted")
     x = changes.withColumn("changed", F.lit(True)).join(old, ["kind", "hour"], "full_outer")
     x = x.select("kind", "hour", F.coalesce("n_rows", "old_n").alias("n"), F.coalesce("cents", "old_cents").alias("c"), "old_n", "old_cents", F.coalesce("emitted", F.lit(False)).alias("emitted"), F.coalesce("changed", F.lit(False)).alias("changed"))
     due = _passed(F.col("hour"), DUE, watermark)
     record = lambda name, n, c: F.struct(F.lit(name).alias("record"), F.col(n).alias("n_rows"), F.col(c).alias("cents"))
-    found = F.when(F.col("emitted") & F.col("changed"), F.array(record("retract", "old_n", "old_cents"), record("replace", "n", "c")))
-    found = found.when(~F.col("emitted") & due, F.array(record("emit", "n", "c")))
+    made = F.when(F.col("emitted") & F.col("changed"), F.array(record("retract", "old_n", "old_cents"), record("replace", "n", "c")))
+    made = made.when(~F.col("emitted") & due, F.array(record("emit", "n", "c")))
     if last:
-        found = found.when(~F.col("emitted"), F.array(record("final", "n", "c")))
-    records = x.select("kind", "hour", F.explode(found).alias("r")).select(F.lit(batch).cast("long").alias("batch"), "hour", F.lit(-1).cast("long").alias("click_id"), "r.n_rows", "r.cents", "r.record", "kind")
-    after = x.where(~_passed(F.col("hour"), CLOSED, watermark)).select("kind", "hour", F.col("n").alias("n_rows"), F.col("c").alias("cents"), (F.col("emitted") | due).alias("emitted"))
-    return records, after
+        made = made.when(~F.col("emitted"), F.array(record("final", "n", "c")))
+    return x.select("kind", "hour", F.col("n").alias("n_rows"), F.col("c").alias("cents"), (F.col("emitted") | due).alias("emitted"), (~_passed(F.col("hour"), CLOSED, watermark)).alias("open"), F.lit(batch).cast("long").alias("batch"), made.alias("records"))
 
 
 def late(rows: DataFrame, batch: int, watermark: int | None) -> DataFrame:
@@ -120,18 +118,16 @@ def pane_records(clicks: DataFrame) -> DataFrame:
         stream = totals(own.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{place}/in"), watermark)
 
         def each(changes: DataFrame, _: int, b=b, watermark=watermark) -> None:
-            changes.write.mode("overwrite").parquet(f"{place}/changes-{b}")  # once: what reads the state twice would compute it twice
-            changes = own.read.schema(changes.schema).parquet(f"{place}/changes-{b}")
             panes = own.read.schema(PANES).parquet(f"{place}/panes-{b}")
-            records, after = publish(changes, panes, b, watermark, b == BATCHES - 1)
-            rows = own.read.schema(schema).parquet(f"{place}/in/{b}")
-            records.unionByName(late(rows, b, watermark)).write.mode("overwrite").parquet(f"{place}/records/{b}")
-            after.write.mode("overwrite").parquet(f"{place}/panes-{b + 1}")
+            publish(changes, panes, b, watermark, b == BATCHES - 1).write.mode("overwrite").parquet(f"{place}/panes-{b + 1}")
+            late(own.read.schema(schema).parquet(f"{place}/in/{b}"), b, watermark).write.mode("overwrite").parquet(f"{place}/late/{b}")
 
         stream.writeStream.outputMode("update").option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).foreachBatch(each).start().awaitTermination()
         if b in newest:
             watermark = max(watermark, newest[b]) if watermark is not None else newest[b]
-    found = spark.read.schema(RECORDS).option("recursiveFileLookup", "true").parquet(f"{place}/records")
-    found = shared_table(found, "pane-records")
+    panes = spark.read.schema(PANES).parquet(*(f"{place}/panes-{b + 1}" for b in range(BATCHES)))
+    found = panes.select("batch", "hour", F.lit(-1).cast("long").alias("click_id"), F.explode("records").alias("r"), "kind").select("batch", "hour", "click_id", "r.n_rows", "r.cents", "r.record", "kind")
+    lates = spark.read.schema(RECORDS).option("recursiveFileLookup", "true").parquet(f"{place}/late")
+    found = shared_table(found.unionByName(lates), "pane-records")
     fs.delete(path(place), True)
     return found
