@@ -263,7 +263,7 @@ def replace_bytes(c: Column, pattern: str, replacement: str) -> Column:
     return F.decode(F.encode(F.regexp_replace(as_bytes, pattern.encode().decode("latin-1"), replacement.encode().decode("latin-1")), "ISO-8859-1"), "UTF-8")
 
 
-#: Where a text is cut best: behind the end of a sentence, a bracket or a dash.
+# Fixed value: the marks behind which a text is cut best.
 BREAKS = "\n!.*);?]}-_"
 
 

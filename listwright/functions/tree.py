@@ -7,6 +7,7 @@ a stretch of the page's text. All steps take time in proportion to the page, but
 from __future__ import annotations
 
 import difflib
+import math
 import re
 import statistics
 from collections.abc import Callable, Iterable
@@ -390,13 +391,16 @@ def has_currency(text: str) -> bool:
     return bool(_CURRENCY.search(text)) or any(unicodedata.category(c) == "Sc" for c in set(text))
 
 
+def overlap_depth(start: float, length: float, other: float, other_length: float) -> float:
+    """By how much one of two intervals has to move to lie beside the other; 0 for those that do not meet."""
+    return max(0.0, min(start + length - other, other + other_length - start))
+
+
 def box_distance(image: list[float], box: list[float], width: float, height: float) -> int:
-    """Distance of two boxes (x, y, w, h) where they overlap along an axis; 150 if a corner lies outside of the page or at its border."""
-    (ix, iy, iw, ih), (x, y, w, h) = image, box
-    if min(ix, iy, x, y) < 1 or max(ix, x) > width or max(iy, y) > height:
+    """Diagonal of the depths to which two boxes (x, y, w, h) overlap; 150 if one begins outside of the page or at its border."""
+    if any(not (1 <= b[0] <= width and 1 <= b[1] <= height) for b in (image, box)):
         return 150
-    gap = lambda a, la, b, lb: min(abs(b + lb - a), abs(a + la - b)) if a <= b <= a + la or b <= a <= b + lb else 0
-    return int((gap(ix, iw, x, w) ** 2 + gap(iy, ih, y, h) ** 2) ** 0.5)
+    return int(math.hypot(*(overlap_depth(image[k], image[k + 2], box[k], box[k + 2]) for k in (0, 1))))
 
 
 def _pixels(attrs: dict[str, str], key: str = "data-nv-css-fontsize") -> int | None:

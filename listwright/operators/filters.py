@@ -114,12 +114,24 @@ def per_domain_limit(df: DataFrame, limit: Column, total: int, *order) -> DataFr
 
 
 class FullText:
-    """A boolean query (OR, AND, NOT, parentheses; words next to each other are AND) as a predicate over an array of tokens."""
+    """A boolean query (OR, AND, NOT, parentheses; words next to each other are AND) as a predicate over an array of tokens. The four methods below say what it is made of."""
 
     def __init__(self, text: str):
         self.tokens = re.findall(r"\(|\)|[^\s()]+", text)
         self.at = 0
 
+    def either(self, a: Column, b: Column) -> Column:
+        return a | b
+
+    def both(self, a: Column, b: Column) -> Column:
+        return a & b
+
+    def negated(self, a: Column, tokens: Column) -> Column:
+        return ~a
+
+    def word(self, word: str, tokens: Column) -> Column:
+        return F.array_contains(tokens, word)
+
     def column(self, tokens: Column) -> Column:
         out = self._or(tokens)
         if self.at < len(self.tokens):
@@ -133,7 +145,7 @@ class FullText:
         out = self._and(tokens)
         while (self._next() or "").upper() == "OR":
             self.at += 1
-            out = out | self._and(tokens)
+            out = self.either(out, self._and(tokens))
         return out
 
     def _and(self, tokens: Column) -> Column:
@@ -141,7 +153,7 @@ class FullText:
         while (t := self._next()) and t != ")" and t.upper() != "OR":
             if t.upper() == "AND":
                 self.at += 1
-            out = out & self._not(tokens)
+            out = self.both(out, self._not(tokens))
         return out
 
     def _not(self, tokens: Column) -> Column:
@@ -150,14 +162,14 @@ class FullText:
             raise ValueError("a word is missing")
         self.at += 1
         if t.upper() == "NOT":
-            return ~self._not(tokens)
+            return self.negated(self._not(tokens), tokens)
         if t == "(":
             out = self._or(tokens)
             if self._next() != ")":
                 raise ValueError("a parenthesis is not closed")
             self.at += 1
             return out
-        return F.array_contains(tokens, t.lower())
+        return self.word(t.lower(), tokens)
 
 
 def full_text(df: DataFrame, query: str, columns: tuple[str, ...] = ("title", "description")) -> DataFrame:

@@ -339,11 +339,12 @@ def f19(spark, sf):
     return table(spark, sf, "customer").select(back.alias("b")).select("b.id", "b.poster.name", "b.poster.deep.segment")
 
 
-#: Words that are cut up, decorated or run together, to be found or not to be found again.
-ADVERSARIAL = [
-    "nice gucci bag", "#gucci #bag", "newgucci", "new guc ci", "gucci99", "gucci-bag", "nice g-u-cci bag", "nice gu cci bag", "nice g.u.c.c.i bag", "nice g u c c i bag", "dior model7", "dior model 7", "gucci fen di", "Hugo Boss",
-    "H.u.g.o B.o.s.s", "H.u.g.o abc B.o.s.s", "Hermès pochette", "H-ERMES 2021 花 bag", "F-en-di shoes,shoes for men,boots", "FENDI ダイヤ (0.5ct) 9号 100", "名牌 Guc*i 包 免運✨ 100%",
+#: Ways to write a word so that it is missed: cut in two or into letters by each separator, with digits, run on, in capitals, with an accent.
+DISGUISES = [
+    *(lambda w, s=s: s.join((w[: len(w) // 2], w[len(w) // 2 :])) for s in " .-_*"), *(lambda w, s=s: s.join(w) for s in " .-*"), *(lambda w, d=d: w + d for d in ("8", " 8", "80x")),
+    lambda w: f"my{w}", lambda w: f"{w}shop", str.upper, str.title, lambda w: w.replace("e", "é").replace("u", "ü"), lambda w: f"#{w}!",
 ]
+ADVERSARIAL = [f"one {f(w)} two" for w in ("celine", "gucci", "hermes") for f in DISGUISES]
 
 
 @query("x8_adversarial_strings", f"SELECT doc_id AS id, CAST(len(t) AS INT) AS n, array_to_string(t, ' ') AS tokens FROM (SELECT doc_id, {SQL_TOKENS['x7']} AS t FROM (SELECT doc_id, split_part(coalesce(text, ''), ' ', 1) || ' ' || [{', '.join(q(x) for x in ADVERSARIAL)}][CAST(doc_id % {len(ADVERSARIAL)} AS INT) + 1] AS text FROM documents))")
