@@ -40,11 +40,11 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir[0]
 
 
-def shared_table(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors, has known size."""
+def shared_table(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write df as Parquet (with a writer's options) in the shared folder and read it back: cuts lineage, survives lost executors, has known size."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     _tables.append((spark, path, threading.get_ident()))
     return spark.read.schema(df.schema).parquet(path)
 
