@@ -86,7 +86,7 @@ def index(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, POSTINGS)
     rows = rows.withColumn("bucket", _bucket("term"))
     dealt = rows.repartition("bucket", F.floor(F.col("block") % (1 << 33) / SPREAD), F.shiftright("block", 33) % SPREAD)
-    return shared_table(dealt.sortWithinPartitions("bucket", "term"), "postings")
+    return shared_table(dealt.sortWithinPartitions("bucket", "term"), "postings", compression="zstd")
 
 
 def _bucket(term) -> F.Column:
