@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections.abc import Iterable
 
 import ahocorasick
 import regex
@@ -47,6 +48,8 @@ class Bpe:
         self.compatible: dict[tuple[int, int], bool] = {}
         self.chunks: dict[str, str] = {}  # by the text after a leading space
         self.older: dict[str, str] = {}  # those before the last time that CACHE was reached
+        self.spelled: dict[str, bytes] = {}  # by ids as text
+        self.spelled_before: dict[str, bytes] = {}
         self.merged: dict[tuple[int, int], int] = {}
         for i in sorted(self.text_of):
             if pair := self._last_merge(i):
@@ -142,15 +145,11 @@ class Bpe:
     def encode(self, text: str) -> list[int]:
         return [i for p in self.pieces(text) for i in self.encode_piece(p)]
 
-    def decode(self, ids: list[int]) -> bytes:
+    def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
     def chunk(self, text: str) -> str:
-        """Ids joined by spaces of a space and a text without one; short ones are remembered.
-
-        The ids are decoded here, and must give the chunk's bytes: so what is remembered needs no second copy of them. Letters alone are one match
-        of the pattern, and so is a mark after them.
-        """
+        """Ids joined by spaces of a space and a text without one; short ones are remembered. Letters alone are one match of the pattern, and so is a mark after them."""
         x = self.older.get(text)
         if x is None:
             if text.isalpha():
@@ -159,8 +158,6 @@ class Bpe:
                 ids = self.encode_piece(" " + text[:-1]) + self.encode_piece(text[-1])
             else:
                 ids = self.encode(" " + text)
-            if self.decode(ids) != b" " + text.encode():
-                raise ValueError("the vocabulary cannot decode what it encodes")
             x = " ".join(map(str, ids))
         if len(text) < 60:
             if len(self.chunks) > CACHE:
@@ -168,10 +165,20 @@ class Bpe:
             self.chunks[text] = x
         return x
 
+    def spell(self, ids: str) -> bytes:
+        """Bytes that ids (joined by spaces) decode to; those of short ones are remembered."""
+        x = self.spelled_before.get(ids)
+        if x is None:
+            x = self.decode(map(int, ids.split()))
+        if len(ids) < 120:
+            if len(self.spelled) > CACHE:
+                self.spelled, self.spelled_before = {}, self.spelled
+            self.spelled[ids] = x
+        return x
+
     def digest(self, text: str | None) -> tuple[int, str, str]:
-        """Number of ids, SHA-256 of the ids as text, SHA-256 of the bytes they decode to."""
+        """Number of ids, SHA-256 of the ids as text, SHA-256 of the bytes that these ids decode to."""
         found: list[str] = []
-        decoded = b""
         if text:
             first, *rest = text.split(" ")
             found = list(map(self.chunks.get, rest))
@@ -184,13 +191,12 @@ class Bpe:
                 known = self.chunks.get
                 found = [new.get(p) or known(p) or self.chunk(p) for p in rest]
             if first:
-                ids = self.encode(first)
-                found.insert(0, " ".join(map(str, ids)))
-                decoded = self.decode(ids)
-            if rest:  # chunk() has decoded each of them
-                decoded += f" {' '.join(rest)}".encode()
+                found.insert(0, " ".join(map(str, self.encode(first))))
         ids_text = " ".join(found)
-        return ids_text.count(" ") + bool(ids_text), hashlib.sha256(ids_text.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()
+        parts = list(map(self.spelled.get, found))
+        if None in parts:
+            parts = [self.spell(x) if y is None else y for x, y in zip(found, parts, strict=True)]
+        return ids_text.count(" ") + bool(ids_text), hashlib.sha256(ids_text.encode()).hexdigest(), hashlib.sha256(b"".join(parts)).hexdigest()
 
 
 def _tokenizer(broadcast, pattern: str) -> Bpe:
