@@ -62,6 +62,17 @@ def test_bpe_equals_tiktoken_and_decodes():
         assert own.digest(t) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest())
 
 
+def test_bpe_decodes_the_ids_it_gives():
+    """What the decoded column holds comes from each row's ids: wrong ids in the cache show in it."""
+    own = op10_bpe.Bpe(open(RANKS, "rb").read(), PATTERN)
+    text = "The quick brown fox"
+    good = own.digest(text)
+    assert own.digest(text) == good and good[2] == hashlib.sha256(text.encode()).hexdigest()
+    own.chunks["brown"] = " ".join(map(str, own.encode(" green")))
+    n, ids, decoded = own.digest(text)
+    assert ids != good[1] and decoded == hashlib.sha256(b"The quick green fox").hexdigest()
+
+
 def test_bpe_odd_rows(odd):
     rows = op10_bpe.digest_documents(odd, RANKS, PATTERN).collect()
     assert len(rows) == len(ODD)
@@ -253,7 +264,46 @@ def test_html_marks_are_a_weight():
         assert op5_html.main_text(f"<body><article>{body}</article><article class='{c}'>{body.replace('story', 'other')}</article></body>") == want
     linked = "<p>See <a href=x>the long report on all of this matter</a> too.</p>"
     assert op5_html.main_text(f"<body><div>{body}{linked}<p>{story[0]}</p></div></body>") == f"{want}\nSee the long report on all of this matter too.\n{story[0].strip()}"
-    assert op5_html.main_text(f"<body><article>{body}<p><a href=x>Next of the stories</a></p></article></body>") == want
+    assert op5_html.main_text(f"<body><article>{body}<p><a href=x>Read the full report</a></p></article></body>") == f"{want}\nRead the full report"
+
+
+def test_html_keeps_what_lies_between_surge_and_dive():
+    story = ["A paragraph of the story that has a good number of words in it, so that it counts. " * 3 + f"Number {i}." for i in range(10)]
+    links = "<ul>" + "".join(f"<li><a href={i}>Further reading number {i}</a></li>" for i in range(5)) + "</ul>"
+    p = lambda xs: "".join(f"<p>{x}</p>" for x in xs)
+    want = "\n".join([*story[:8], *(f"Further reading number {i}" for i in range(5)), *story[8:]])
+    menu = "<div>" + "".join(f"<a href=m{i}>Menu {i}</a> " for i in range(9)) + "</div>"
+    for begin, end in (("<body><div>", "</div></body>"), ("<body><article>", "</article></body>"), ("<body><main>", "</main></body>")):
+        assert op5_html.main_text(begin + p(story[:8]) + links + p(story[8:]) + end) == want, begin
+    assert op5_html.main_text(f"<body>{menu}<div>{p(story)}</div>{menu}{menu}<div>Copyright of somebody</div></body>") == "\n".join(story)
+    assert op5_html.main_text(f"<body><main><div><a href=1>Home</a></div><article><h1>T</h1>{p(story)}</article><div><a href=2>More</a></div></main></body>") == "\n".join(["T", *story])
+
+
+def test_html_comments_by_name_and_structure():
+    story = "".join(f"<p>{'The story goes on with many words of its own here. ' * 4}{i}</p>" for i in range(5))
+    want = op5_html.main_text(f"<article>{story}</article>")
+    said = "".join(f"<div class=item><span class=author>Reader {i}</span> <time>{i} May</time><p>{'I think that this is not at all how it was. ' * 5}</p></div>" for i in range(4))
+    for c in ("discussion", "reader-responses", "comments", "user-feedback", "reactions"):
+        assert op5_html.main_text(f"<body><article>{story}<section class='{c}'>{said}</section></article></body>") == want, c
+        assert op5_html.main_text(f"<body><article>{story}</article><section id='{c}'>{said}</section></body>") == want, c
+    plain = "".join(f"<p>Reader {i}</p><p>{i + 1} hours ago</p><p>{'I think that this is not at all how it was. ' * 5}</p>" for i in range(4))
+    assert op5_html.main_text(f"<body><article>{story}<h3>4 comments</h3>{plain}</article></body>") == want
+    section = "<section id=discussion><h2>Discussion</h2>" + story + "</section>"  # of a paper
+    assert op5_html.main_text(f"<body><article>{story}{section}</article></body>").count("\n") == 10
+
+
+def test_html_windows_by_brute_force():
+    rng = np.random.default_rng(2)
+    for _ in range(400):
+        size = (rng.integers(0, 60, rng.integers(0, 25)) * (rng.random() < 0.5 + rng.random(1)[0] / 2)).tolist()
+        size = [s if rng.random() < 0.6 else 0 for s in size]
+        padded, least = [*size, 0, 0], int(rng.integers(1, 100))
+        inside, state = [], False
+        for k in range(len(size)):  # state by state, line by line
+            window = padded[k] + padded[k + 1] + padded[k + 2]
+            state = (size[k] > 0 and window >= least) if not state else window > 0
+            inside.append(state)
+        assert [any(a <= k < b for a, b in op5_html._stretches(size, least)) for k in range(len(size))] == inside
 
 
 def test_language_on_held_out_rows(docs, odd):
@@ -591,9 +641,11 @@ def test_license_by_dense_cosine(spark, docs):
 
     templates = np.stack([vector(r.terms) for r in model])
     best = {}
+    rules = [op2_license.rule(*t) for t in op2_license.templates()]
+    agrees = lambda k, ts: all(set(x) & set(ts) for x in rules[k][0]) and not set(rules[k][1]) & set(ts)
     for r in units:
-        for c, name in zip(np.round(templates @ vector(r.terms), 6), (m.name for m in model), strict=True):
-            if c >= op2_license.MIN_COSINE:
+        for k, (c, name) in enumerate(zip(np.round(templates @ vector(r.terms), 6), (m.name for m in model), strict=True)):
+            if c >= op2_license.MIN_COSINE and agrees(k, r.terms):
                 best[r.key] = min(best.get(r.key, (0, "")), (-c, name))
     got = {r.key: (r.own_license, r.own_score) for r in op2_license.scan(files.withColumn("path", F.lit(None).cast("string")), "key", "path", "text").where("own_license is not null").collect()}
     assert got.keys() == best.keys() and len(got) > 30
@@ -628,6 +680,18 @@ def test_license_of_wrapped_headers_and_whole_files(spark):
     assert [got[i].is_license_file for i in range(len(rows))] == [r[1].endswith("TERMS") for r in rows]
 
 
+def test_license_versions_restrictions_and_choices(spark):
+    free = "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation; {} of the License{}.\n"
+    rows = [
+        (free.format("version 2", ""), ["GPL-2.0-only"]), (free.format("either version 2", ", or\n(at your option) any later version"), ["GPL-2.0"]), (free.format("version 3", ""), ["GPL-3.0-only"]),
+        ("Licensed under the Apache License, Version 1.1", ["Apache-1.1"]), ("Licensed under the Apache License, Version 2.0", ["Apache-2.0"]), ("Licensed under CC BY-ND 4.0.", ["CC-BY-ND-4.0"]), ("Licensed under CC BY 4.0.", ["CC-BY-4.0"]), ("Licensed under CC BY-NC-SA 4.0.", ["CC-BY-NC-SA-4.0"]),
+        ("// SPDX-License-Identifier: MIT OR Apache-2.0", ["Apache-2.0", "MIT"]), ("# SPDX-License-Identifier: (GPL-2.0-only AND MIT)", ["GPL-2.0-only", "MIT"]), ("# SPDX-License-Identifier: AGPL-3.0-only", ["AGPL-3.0-only"]), ("Released under the MIT License.\nAlso licensed under CC BY 4.0.", ["CC-BY-4.0", "MIT"]), ("Licensed under the Apache License, Version 7.5", None),
+    ]
+    df = spark.createDataFrame([(i, f"d{i}/x", t) for i, (t, _) in enumerate(rows)], "id long, path string, text string")
+    got = {r.key: r.licenses for r in op2_license.scan(df, "id", "path", "text").collect()}
+    assert [got[i] for i in range(len(rows))] == [w for _, w in rows]
+
+
 def test_queries_have_contract_columns():
-    assert list(queries.queries()) == [f"op{k}_{n}" for k, n in enumerate("quality_rules license_scans sharding_tree toxicity_scores html_extraction language_id embedding_dedup source_mixing minhash_dedup byte_bpe".split(), 1)]
+    assert list(queries.queries()) == [f"op{k}_{n}" for k, n in enumerate("quality_rules license_scans sharding_tree toxicity_scores html_extraction language_id embedding_dedup source_mixing minhash_dedup byte_bpe lm_scores ranked_search window_panes".split(), 1)]
     assert set(queries.oracle_sql()) <= set(queries.queries())
