@@ -52,7 +52,20 @@ def field(html: Column, config: dict) -> Column:
     return _finish(value, config)
 
 
+# The character references that markup itself needs.
+REFERENCES = (("&nbsp;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"))
+
+
+def unescaped(c: Column) -> Column:
+    """Without the references of REFERENCES; other ones stay."""
+    for name, char in REFERENCES:
+        c = F.replace(c, F.lit(name), F.lit(char))
+    return c
+
+
 def _finish(value: Column, config: dict) -> Column:
+    if config.get("unescape"):
+        value = unescaped(value)
     if config.get("regex"):
         group = 1 if "(" in config["regex"].replace("(?:", "").replace(r"\(", "") else 0
         value = F.when(value.rlike(config["regex"]), F.regexp_extract(value, config["regex"], group))
@@ -171,3 +184,19 @@ def links(html: Column) -> Column:
 def alternates(html: Column) -> Column:
     """Canonical and alternate addresses of a page."""
     return F.array_distinct(F.regexp_extract_all(html, F.lit(r'(?is)<link\b(?=[^>]*\brel="(?:canonical|alternate)")[^>]*?\bhref="([^"]*)"'), F.lit(1)))
+
+
+def picture_urls(json: Column, names: list[str]) -> Column:
+    """Pictures given as a JSON list of addresses, or of objects that have one under the first of some names, as an array of addresses."""
+    each = F.from_json(json, "array<string>")
+    return F.transform(each, lambda x: F.coalesce(*(F.get_json_object(x, f"$.{n}") for n in names), x))
+
+
+def any_flag(flags: Column) -> Column:
+    """Whether one of an array of booleans holds; null if none does and some are unknown, and for no array."""
+    return F.exists(flags, lambda x: x)
+
+
+def post_type(children: Column, product: Column, video: Column, clips: str = "clips") -> Column:
+    """carousel (several children), clip (by the product), video (an address of one), or image."""
+    return F.when(children > 1, "carousel").when(product == clips, "clip").when(video.isNotNull(), "video").otherwise("image")

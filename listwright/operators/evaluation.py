@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from listwright.operators.rows import sums_before
+
 
 def curve(df: DataFrame, by: list[str], score: str = "score", label: str = "label") -> DataFrame:
-    """by, threshold, precision, recall, rejected: one row for each distinct score.
+    """by, threshold, precision, recall, rejected, gain (precision times what the threshold adds to recall): one row for each distinct score.
 
-    Rows are aggregated by score first, so windows see one row for each distinct score of a group.
+    Rows are aggregated by score first; what lies above a score is summed up over ranges of scores, so that no task sees all scores of a group.
     """
-    g = df.groupBy(*by, F.col(score).alias("threshold")).agg(F.count("*").alias("_n"), F.sum(label).alias("_p"))
-    down = Window.partitionBy(*by).orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    every = Window.partitionBy(*by)
-    g = g.withColumn("_cn", F.sum("_n").over(down)).withColumn("_cp", F.sum("_p").over(down)).withColumn("_all", F.sum("_n").over(every)).withColumn("_pos", F.sum("_p").over(every))
-    return g.select(*by, "threshold", (F.col("_cp") / F.col("_cn")).alias("precision"), F.when(F.col("_pos") > 0, F.col("_cp") / F.col("_pos")).otherwise(F.lit(0.0)).alias("recall"), ((F.col("_all") - F.col("_cn")) / F.col("_all")).alias("rejected"))
+    g = df.groupBy(*by, F.col(score).alias("threshold")).agg(F.count("*").alias("n_"), F.sum(label).alias("p_"))
+    g = sums_before(g, by, [F.desc("threshold")], {"bn_": "n_", "bp_": "p_"})
+    whole = df.groupBy(*(F.col(c).alias(f"by_{k}") for k, c in enumerate(by))).agg(F.count("*").alias("all_"), F.sum(label).alias("pos_"))
+    on = F.lit(True)
+    for k, c in enumerate(by):
+        on = on & F.col(c).eqNullSafe(F.col(f"by_{k}"))
+    g = g.join(whole if by else F.broadcast(whole), on).withColumns({"cn_": F.col("bn_") + F.col("n_"), "cp_": F.col("bp_") + F.col("p_")})  # one row without groups
+    precision, share = F.col("cp_") / F.col("cn_"), lambda n: F.when(F.col("pos_") > 0, F.col(n) / F.col("pos_")).otherwise(F.lit(0.0))
+    return g.select(*by, "threshold", precision.alias("precision"), share("cp_").alias("recall"), ((F.col("all_") - F.col("cn_")) / F.col("all_")).alias("rejected"), ((share("cp_") - share("bp_")) * precision).alias("gain"))
 
 
 def at_recall(df: DataFrame, by: str, recall: float = 0.98) -> DataFrame:
@@ -42,11 +48,9 @@ def confusion(df: DataFrame) -> DataFrame:
     return df.groupBy("label").agg(F.count_if(F.bround("score") == 0).alias("p0"), F.count_if(F.bround("score") == 1).alias("p1"))
 
 
-def average_precision(df: DataFrame, by: str) -> DataFrame:
-    c = curve(df, [by])
-    w = Window.partitionBy(by).orderBy(F.desc("threshold"))
-    step = (F.col("recall") - F.coalesce(F.lag("recall").over(w), F.lit(0.0))) * F.col("precision")
-    return c.withColumn("_s", step).groupBy(by).agg(F.sum("_s").alias("ap"))
+def average_precision(df: DataFrame, *by: str) -> DataFrame:
+    """by, ap: over all rows without groups."""
+    return curve(df, list(by)).groupBy(*by).agg(F.sum("gain").alias("ap"))
 
 
 def node_evaluation(df: DataFrame, by: str, threshold: float = 0.5) -> DataFrame:
@@ -59,7 +63,7 @@ def node_evaluation(df: DataFrame, by: str, threshold: float = 0.5) -> DataFrame
     best = best.select(by, ((F.col("any") > 0) & (F.col("l.col2") == F.col("s.col2"))).cast("double").alias("good"), "any")
     ap = average_precision(df, by).withColumnRenamed(by, "_by")
     per = best.join(ap, best[by].eqNullSafe(ap["_by"])).agg(F.avg("good").alias("acc"), F.avg(F.when(F.col("any") > 0, F.col("ap")).otherwise(0.0)).alias("macro_ap"))
-    micro = average_precision(df.withColumn("_all", F.lit(0)), "_all").select(F.col("ap").alias("micro_ap"))
+    micro = average_precision(df).select(F.col("ap").alias("micro_ap"))
     hit = (F.col("score") > threshold).cast("int")
     nodes = df.agg(F.sum(F.col("label") * hit).alias("tp"), F.sum(hit).alias("p"), F.sum("label").alias("l"))
     rate = lambda n: F.when(F.col(n) > 0, F.col("tp") / F.col(n)).otherwise(0.0)

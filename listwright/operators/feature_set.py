@@ -42,6 +42,12 @@ class Feature:
         return bool(self.tags & set(include)) and not self.tags & set(exclude)
 
 
+def tags_selected(tags: Column, include: set[str], exclude: set[str]) -> Column:
+    """Whether an array of tags has one of some and none of others; false for null."""
+    some = lambda s: F.arrays_overlap(tags, F.array(*map(F.lit, sorted(s))).cast("array<string>"))
+    return F.coalesce(some(include) & ~some(exclude), F.lit(False))
+
+
 class Registry:
     def __init__(self):
         self.features: dict[str, Feature] = {}

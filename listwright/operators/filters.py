@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from listwright.functions.constants import DEFAULT_THRESHOLD, ORG_THRESHOLDS, SAMPLE_PERCENT
-from listwright.functions.text import bound, contains_any
+from listwright.functions.text import contains_any
+from listwright.operators.rows import numbered_within
 from listwright.session import shared_table
 
 
@@ -56,50 +57,60 @@ def best_score_passes(scores: Column, threshold: Column) -> Column:
     return F.size(scores).isNotNull() & (F.size(scores) > 0) & (threshold.isNull() | (F.array_max(F.map_values(scores)) > threshold))
 
 
-def dispatch(df: DataFrame, keywords: DataFrame, id_col: str = "id") -> DataFrame:
-    """id, organisations: each listing's organisations by keyword containment, the last row of a repeated keyword naming it.
+#: Bytes of a keyword's gram; places of the filter that tells which grams some keyword has chosen; one row of so many is looked at to choose rare ones.
+GRAM, FILTER, SAMPLED = 4, 1 << 16, 16
 
-    keywords (keyword, organisation, pos) is a small table; beyond MAX_KEYWORDS rows use dispatch_by_join.
-    """
-    rows = keywords.groupBy(F.lower("keyword").alias("keyword")).agg(F.max_by("organisation", "pos").alias("organisation")).orderBy("keyword").limit(MAX_KEYWORDS + 1).collect()
-    if len(rows) > MAX_KEYWORDS:
-        return dispatch_by_join(df, keywords, id_col)
-    title, rest = F.lower(F.coalesce("title", F.lit(""))), F.lower(F.coalesce("description", F.lit("")))
-    hits = F.array_compact(F.array(*(F.when(F.contains(title, F.lit(r["keyword"])) | F.contains(rest, F.lit(r["keyword"])), F.lit(r["organisation"])) for r in rows)))
-    return df.select(id_col, F.array_sort(F.array_distinct(hits)).alias("organisations")).where(F.size("organisations") > 0)
 
+def _grams(b: Column, width: int) -> Column:
+    """All grams of so many bytes of a binary."""
+    return F.transform(F.sequence(F.lit(1), F.length(b) - (width - 1)), lambda i: F.substring(b, i, F.lit(width)))
 
-MAX_KEYWORDS = 200
 
+def _place(gram: Column) -> Column:
+    return F.pmod(F.xxhash64(gram), F.lit(FILTER)).cast("int")
 
-def _grams(width: int):
-    """All grams of up to width characters of an array of characters. (A place in a text is only found by reading the text from its start.)"""
 
-    def of(chars: Column) -> Column:
-        def wide(w: int) -> Column:
-            return F.transform(chars, lambda x, i: F.concat(x, *(F.coalesce(F.get(chars, i + k), F.lit("")) for k in range(1, w))))
+def _hits(texts: Column, widths: list[int], places: list[int]) -> Column:
+    """Distinct grams of an array of binaries whose places are in a filter."""
+    one = lambda w: lambda b: F.when(F.length(b) >= w, F.filter(_grams(b, w), lambda g: _place(g).isin(places))).otherwise(F.array().cast("array<binary>"))
+    return F.array_distinct(F.flatten(F.concat(*(F.transform(texts, one(w)) for w in widths))))
 
-        return F.concat(chars, *(wide(w) for w in range(2, width + 1)))
 
-    return of
+def _filter_of(grams: DataFrame) -> tuple[list[int], list[int]]:
+    """(widths, places) of a table of grams; at most GRAM + FILTER numbers come to the driver, however many grams there are."""
+    rows = grams.select(F.explode(F.array(-F.length("gram"), _place(F.col("gram")))).alias("x")).distinct().collect()
+    return sorted(-r.x for r in rows if r.x < 0), sorted(r.x for r in rows if r.x >= 0)
 
 
-def dispatch_by_join(df: DataFrame, keywords: DataFrame, id_col: str = "id", width: int = 3) -> DataFrame:
-    """As dispatch, for many keywords: listings and keywords meet on character trigrams, and containment is checked on what meets.
+def dispatch(df: DataFrame, keywords: DataFrame, id_col: str = "id") -> DataFrame:
+    """id, organisations: each listing's organisations by keyword containment, the last row of a repeated keyword naming it.
 
-    Keywords shorter than a trigram meet the listings that have them as a shorter gram; the empty one meets all.
+    keywords (keyword, organisation, pos) may be many: each has one gram of its bytes, the rarest of its grams in a sample of the listings (which only
+    makes it fast). A listing's grams pass a filter of the chosen ones before they are joined, and containment is checked on what meets.
+    A keyword shorter than a gram is its own gram; the empty one meets all.
     """
     kw = keywords.groupBy(F.lower("keyword").alias("keyword")).agg(F.max_by("organisation", "pos").alias("organisation"))
+    kw = shared_table(kw.withColumn("b", F.col("keyword").cast("binary")), "keywords")
     text = df.select(id_col, F.lower(F.coalesce("title", F.lit(""))).alias("t"), F.lower(F.coalesce("description", F.lit(""))).alias("d"))
-
-    all_grams = F.array_distinct(F.concat(F.array(F.lit("")), *(bound(F.split(F.col(c), ""), _grams(width)) for c in ("t", "d"))))
-    gram = text.select(id_col, F.explode(all_grams).alias("gram"))  # without the texts
-    key = shared_table(kw.withColumn("gram", F.substring("keyword", 1, width)), "keywords")
-    met = shared_table(gram.join(key, "gram").select(id_col, "keyword", "organisation"), "met")
-    found = met.join(text, id_col).where(F.contains("t", F.col("keyword")) | F.contains("d", F.col("keyword"))).select(id_col, "organisation")
+    texts = F.array(F.col("t").cast("binary"), F.col("d").cast("binary"))
+    own = kw.where("length(b) > 0").select("keyword", F.explode(F.array_distinct(F.when(F.length("b") < GRAM, F.array("b")).otherwise(_grams(F.col("b"), GRAM)))).alias("gram"))
+    widths, words = _filter_of(own.select("gram").distinct())
+    key = kw.where("length(b) = 0").select("keyword", F.lit(b"").alias("gram"))
+    if widths:
+        seen = text.where(F.pmod(F.xxhash64(id_col), F.lit(SAMPLED)) == 0).select(F.explode(_hits(texts, widths, words)).alias("gram")).groupBy("gram").agg(F.count("*").alias("df"))
+        rare = own.join(seen, "gram", "left").groupBy("keyword").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram")).alias("x")).select("keyword", "x.gram")
+        key = shared_table(rare.unionByName(key), "keyword-grams")
+        widths, words = _filter_of(key.where("length(gram) > 0"))
+    grams = F.concat(F.array(F.lit(b"")), _hits(texts, widths, words)) if widths else F.array(F.lit(b""))
+    met = text.select(id_col, "t", "d", F.explode(grams).alias("gram")).join(key.join(kw.drop("b"), "keyword"), "gram")
+    found = met.where(F.contains("t", F.col("keyword")) | F.contains("d", F.col("keyword"))).select(id_col, "organisation")
     return found.groupBy(id_col).agg(F.array_sort(F.collect_set("organisation")).alias("organisations"))
 
 
+#: The same for tables of keywords of any size; kept for those who call it by this name.
+dispatch_by_join = dispatch
+
+
 def by_organisation(df: DataFrame, column: str = "organisations") -> DataFrame:
     """One row for each organisation of a listing; those without any go to `no_organisation`."""
     some = F.when(F.size(column) > 0, F.col(column)).otherwise(F.array(F.lit("no_organisation")))
@@ -107,10 +118,11 @@ def by_organisation(df: DataFrame, column: str = "organisations") -> DataFrame:
 
 
 def per_domain_limit(df: DataFrame, limit: Column, total: int, *order) -> DataFrame:
-    """Rows in scheduler order with at most `limit` for a domain, and `total` over all; aliases of a domain count together."""
+    """Rows in scheduler order (without ties) with at most `limit` for a domain, and `total` over all; aliases of a domain count together. No task sees a whole domain."""
     domain = F.when(F.contains("domain", F.lit("shopee")), "shopee").otherwise(F.col("domain"))
-    kept = df.withColumn("_n", F.row_number().over(Window.partitionBy(domain).orderBy(*order))).where(F.col("_n") <= limit).drop("_n")
-    return kept.orderBy(*order).limit(total)
+    by = [F.col(o) if isinstance(o, str) else o for o in order]
+    kept = numbered_within(df.withColumn("_domain", domain), ["_domain"], by, "_n").where(F.col("_n") <= limit)
+    return kept.select(*df.columns).orderBy(*order).limit(total)
 
 
 class FullText:

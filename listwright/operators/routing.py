@@ -129,3 +129,11 @@ def fail_open(df: DataFrame, step: Callable[[DataFrame], DataFrame]) -> tuple[Da
         return shared_table(step(df), "step"), None
     except Exception as e:  # whatever a step may raise
         return df, getattr(e, "getCondition", lambda: None)() or type(e).__name__
+
+
+def result_routes(rows: DataFrame, has_pictures: Column, url: Column, blacklist: list[str], tracked: DataFrame, domain: str) -> DataFrame:
+    """rows with `route`: no_pictures, blacklisted (the address has one of some patterns), recrawl (of a tracked domain), insertion. tracked: a column of domains."""
+    known = tracked.select(F.col(domain).alias("_domain")).distinct().withColumn("_tracked", F.lit(True))
+    bad = F.coalesce(url.rlike("|".join(f"(?:{p})" for p in blacklist)), F.lit(False)) if blacklist else F.lit(False)
+    route = F.when(~F.coalesce(has_pictures, F.lit(False)), "no_pictures").when(bad, "blacklisted").when(F.col("_tracked"), "recrawl").otherwise("insertion")
+    return rows.join(known, F.col(domain) == F.col("_domain"), "left").withColumn("route", route).drop("_domain", "_tracked")

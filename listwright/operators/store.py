@@ -51,9 +51,9 @@ def changed(store: DataFrame, new: DataFrame, keys: list[str], columns: list[str
 def bulk_write(store: DataFrame, new: DataFrame, keys: list[str], columns: list[str], fine: Column) -> tuple[DataFrame, DataFrame]:
     """(the store after the write with `result`: kept, updated or inserted; rows that are not fine, put aside).
 
-    One row of each key is written. A bad row does not hold up the others.
+    One row of each key is written: of several the greatest by its columns. A bad row does not hold up the others.
     """
-    good = new.where(F.coalesce(fine, F.lit(False))).dropDuplicates(keys)
+    good = new.where(F.coalesce(fine, F.lit(False))).groupBy(*keys).agg(F.max(F.struct(*columns)).alias("_x")).select(*keys, "_x.*")
     s, n = store.select(*keys, *columns).withColumn("_s", F.lit(True)), good.select(*keys, *(F.col(c).alias(f"_{c}") for c in columns)).withColumn("_n", F.lit(True))
     both = s.join(n, keys, "full")
     result = F.when(F.col("_n").isNull(), "kept").when(F.col("_s").isNull(), "inserted").otherwise("updated")

@@ -279,13 +279,6 @@ def g19(spark, sf):
     return kept.withColumn("moved", F.lit(False)).unionByName(moved.drop("address").withColumn("moved", F.lit(True))).select("id", "moved", "lang", "title", "price")
 
 
-@query("g21_result_routing", "SELECT CASE WHEN d.source IN ('src0', 'src1') THEN 'recrawl' ELSE 'insertion' END AS queue, count(*) AS n FROM documents d WHERE doc_id % 4 <> 0 AND NOT regexp_matches(text, 'licens') GROUP BY 1")
-def g21(spark, sf):
-    tracked = spark.createDataFrame([("src0",), ("src1",)], "source string").withColumn("tracked", F.lit(True))
-    d = table(spark, sf, "documents").where("doc_id % 4 <> 0").where(~F.col("text").rlike("licens")).join(F.broadcast(tracked), "source", "left")
-    return d.groupBy(F.when(F.col("tracked"), "recrawl").otherwise("insertion").alias("queue")).agg(F.count("*").alias("n"))
-
-
 _MOVES = """i AS (SELECT o_orderkey AS img, o_custkey AS post, CASE WHEN o_orderkey % 3 = 0 THEN 'l' || (o_custkey + o_orderkey % 5 * 1000000) ELSE 'l' || o_custkey END AS link FROM orders), s AS (SELECT DISTINCT o_custkey AS post, 'l' || o_custkey AS link FROM orders WHERE o_custkey % 10 <> 1),
 m AS (SELECT img, i.post AS old, i.link, s.post AS known FROM i LEFT JOIN s USING (link))"""
 

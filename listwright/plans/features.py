@@ -105,12 +105,6 @@ def features_rebuilt(spark, sf):
     return FS.materialise(FS.prepared(full_posts(spark, sf)), _REBUILT, "id")
 
 
-@query("p21_z6_tag_algebra", "SELECT * FROM (VALUES ('a', TRUE), ('b', FALSE), ('c', FALSE)) t(name, chosen)")
-def p21(spark, sf):
-    cases = [("a", {"tg_x", "tg_y"}, {"tg_x"}, {"tg_z"}), ("b", {"tg_x", "tg_z"}, {"tg_x"}, {"tg_z"}), ("c", {"tg_y"}, {"tg_x"}, set())]
-    return spark.createDataFrame([(n, FS.Feature(f"f_num_post__{n}", lambda: F.lit(1), frozenset(t)).selected(i, e)) for n, t, i, e in cases], "name string, chosen boolean")
-
-
 @query("history_features", "SELECT c_custkey AS id, CAST(coalesce(n, 0) AS BIGINT) AS n, CAST(coalesce(p, 0) AS BIGINT) AS pos, round(CASE WHEN n > 0 THEN p / n ELSE -1 END, 9) AS share, cn AS cluster_n FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, count(CASE WHEN o_orderstatus = 'F' THEN 1 END) AS p FROM orders GROUP BY 1) ON o_custkey = c_custkey LEFT JOIN (SELECT c_nationkey AS k, count(*) AS cn FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1) ON k = c_nationkey")
 def history(spark, sf):
     c, o = table(spark, sf, "customer"), table(spark, sf, "orders")
@@ -137,7 +131,7 @@ def m2(spark, sf):
 
     d = table(spark, sf, "documents").join(table(spark, sf, "labels").where("toxic is not null"), "doc_id")
     x = d.select(F.col("doc_id").alias("id"), F.length("text").cast("double").alias("n"), F.regexp_count("text", F.lit("idiot|trash|scum")).cast("double").alias("hits"), F.col("toxic").cast("double").alias("label"), F.lit(1.0).alias("weight"))
-    best = models.search(x, ["n", "hits"], "label", [(2, 0.1), (3, 0.3)])
+    best = models.search(x, ["n", "hits"], "label")
     return models.importance(best, spark, ["n", "hits"])
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -14,7 +12,7 @@ from listwright.operators import store as K
 from listwright.operators.rows import numbered, numbered_within
 from listwright.plans.registry import query
 from listwright.plans.views import POSTS, TASKS, posts, table, tasks
-from listwright.session import shared_dir
+from listwright.session import shared_folder
 
 DRAW = "(({k} * 1103515245 + 2469000) % 2147483647)"
 
@@ -249,7 +247,7 @@ def t11(spark, sf):
 def t12(spark, sf):
     """A share of the documents, those of a list of ids, and those of a file of ids."""
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"))
-    path = f"{shared_dir(spark)}/ids-{uuid.uuid4().hex}"
+    path = shared_folder(spark, "ids")
     table(spark, sf, "benchmark").select(F.col("item_id").cast("string")).write.text(path)
     ids = spark.read.text(path).select(F.col("value").cast("long").alias("id"))
     parts = {"fraction": S.subsample(d, "id", fraction=0.25), "ids": S.subsample(d, "id", ids=[3, 5, 8]), "file": S.subsample(d, "id", ids=ids)}

@@ -47,8 +47,8 @@ def over(columns: str, empty: str = "NULL") -> str:
 @query("e1_attribute_values", f"SELECT page_id AS id, {CLEAN_H1} AS title, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) AS lang, nullif(regexp_extract(html, '<div class=\"(ad)\"', 1), '') AS ad FROM pages")
 def e1(spark, sf):
     """The first element of plain selectors."""
-    p = pages(spark, sf).select(F.col("page_id").alias("id"), "html")
-    return G.fields(p, {"title": {"css_selector": "h1"}, "lang": {"css_selector": "html", "attribute_name": "lang"}, "ad": {"css_selector": "div.ad", "attribute_name": "class"}})
+    wanted = {"title": {"css_selector": "h1", "unescape": True}, "lang": {"css_selector": "html", "attribute_name": "lang"}, "ad": {"css_selector": "div.ad", "attribute_name": "class"}}
+    return pages(spark, sf).select(F.col("page_id").alias("id"), *(X.field(F.col("html"), c).alias(n) for n, c in wanted.items()))
 
 
 @query(

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
-MODULES = ("text", "store", "sinks", "checks", "joins", "aggregates", "extraction", "records", "features", "dom", "streams", "sources", "keyed")
+MODULES = ("text", "store", "sinks", "checks", "joins", "aggregates", "extraction", "records", "features", "dom", "streams", "sources", "keyed", "fields", "learned", "flows")
 
 
 def query(name: str, sql: str | None = None):

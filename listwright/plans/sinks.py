@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from listwright.functions import extraction as X
@@ -13,7 +11,7 @@ from listwright.operators import store as K
 from listwright.plans.registry import query
 from listwright.plans.store import STORE, _stores
 from listwright.plans.views import POSTS, posts, table
-from listwright.session import shared_dir, shared_table
+from listwright.session import shared_folder, shared_table
 
 NOW = "2024-05-06 07:08:09"
 
@@ -30,7 +28,7 @@ def k5(spark, sf):
 @query("k7_event_log", "SELECT event_type, count(*) AS n, max(event_id) AS latest FROM events GROUP BY event_type")
 def k7(spark, sf):
     """An append-only log that three batches are appended to."""
-    path = f"{shared_dir(spark)}/event-log-{uuid.uuid4().hex}"
+    path = shared_folder(spark, "event-log")
     for k in range(3):
         table(spark, sf, "events").where(F.col("event_id") % 3 == k).write.mode("append").parquet(path)
     return spark.read.parquet(path).groupBy("event_type").agg(F.count("*").alias("n"), F.max("event_id").alias("latest"))
@@ -97,7 +95,7 @@ def k11(spark, sf):
 @query("k12_url_log", 'WITH e AS (SELECT \'u\' || user_id AS url, ts, event_type AS payload FROM events), n AS (SELECT url, max(ts) AS ts FROM e GROUP BY url) SELECT url, ts AS "at", max(payload) AS payload FROM e JOIN n USING (url, ts) WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR GROUP BY url, ts')
 def k12(spark, sf):
     """A log of answers that is appended to, and the pointer to the newest entry of each address, which lives for two hours."""
-    path = f"{shared_dir(spark)}/url-log-{uuid.uuid4().hex}"
+    path = shared_folder(spark, "url-log")
     e = table(spark, sf, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("url"), F.col("ts").alias("at"), F.col("event_type").alias("payload"), "event_id")
     for k in range(2):
         e.where(F.col("event_id") % 2 == k).drop("event_id").write.mode("append").parquet(path)
@@ -154,7 +152,7 @@ def x27(spark, sf):
 @query("g20_resumable_map", "SELECT page_id AS id, CAST(length(html) AS INT) AS n FROM pages")
 def g20(spark, sf):
     """A step over pages that breaks off after some parts and goes on with the others."""
-    path = f"{shared_dir(spark)}/resumable-{uuid.uuid4().hex}"
+    path = shared_folder(spark, "resumable")
     p = table(spark, sf, "pages").select(F.col("page_id").alias("id"), "html")
     step = lambda x: x.select("id", F.length("html").alias("n"))
     if K.resumable(p, "id", step, path, 4, at_most=2) is not None:

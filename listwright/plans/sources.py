@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import json
-import uuid
-
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -12,13 +10,13 @@ from listwright.operators import pages as G
 from listwright.plans.dom import COUNT
 from listwright.plans.registry import query
 from listwright.plans.views import table
-from listwright.session import shared_dir
+from listwright.session import shared_folder
 from listwright.sources import files
 from listwright.streaming import jobs
 
 
 def place(spark, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return shared_folder(spark, name)
 
 
 @query("s6_stored_table", "SELECT o_orderkey AS id, o_custkey AS organisation_id, o_orderstatus AS scraping_status FROM orders")

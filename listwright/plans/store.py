@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from listwright.operators import filters as P
 from listwright.operators import store as K
 from listwright.plans.registry import query
 from listwright.plans.views import KEYWORD_SQL, POSTS, TASKS, keyword_table, labelled, LABELLED, posts, table, tasks
-from listwright.session import shared_dir, shared_table
+from listwright.session import shared_folder, shared_table
 from listwright.sources import files
 
 D = "coalesce(title, '') AS t, coalesce(description, '') AS d"
@@ -19,7 +17,7 @@ D = "coalesce(title, '') AS t, coalesce(description, '') AS d"
 @query("s1_snapshot_roundtrip", "SELECT c_custkey AS id, c_name AS name FROM customer")
 def s1(spark, sf):
     c = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
-    path = f"{shared_dir(spark)}/snapshots-{uuid.uuid4().hex}"
+    path = shared_folder(spark, "snapshots")
     files.write_snapshot(c, path, "2024-01-02", {"organisation": "A"})
     return files.read_snapshot(spark, path, "2024-01-02", {"organisation": "A"})
 
@@ -27,8 +25,8 @@ def s1(spark, sf):
 @query("s2_s3_latest_snapshot", "SELECT 'A:' || c_custkey AS id, c_name AS name, 'A' AS organisation, DATE '2024-03-05' AS date FROM customer")
 def s2(spark, sf):
     c = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
-    path = f"{shared_dir(spark)}/snapshots-{uuid.uuid4().hex}"
-    files.write_snapshot(c.limit(5), path, "2024-01-02", {"organisation": "A"})
+    path = shared_folder(spark, "snapshots")
+    files.write_snapshot(c.withColumn("name", F.lit("old")), path, "2024-01-02", {"organisation": "A"})
     files.write_snapshot(c, path, "2024-03-05", {"organisation": "A"})
     return files.latest_snapshot(spark, path, organisation="A").select(F.concat_ws(":", "organisation", F.col("id").cast("string")).alias("id"), "name", "organisation", "date")
 
@@ -43,7 +41,7 @@ def s4(spark, sf):
 
 @query("s5_delimited_files", "SELECT p_partkey AS id, p_name AS name, p_size AS size FROM part")
 def s5(spark, sf):
-    path = f"{shared_dir(spark)}/part-{uuid.uuid4().hex}.tsv"
+    path = shared_folder(spark, "part")
     p = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_size").alias("size"), F.lit(1).alias("Unnamed: 0"))
     files.write_delimited(p, path)
     return files.read_delimited(spark, path, "id long, name string, size int, `Unnamed: 0` int")
@@ -107,7 +105,7 @@ def k15(spark, sf):
     """The description of a training table's columns, written as a text file and read back."""
     from listwright.operators.feature_set import columns_description
 
-    path = f"{shared_dir(spark)}/columns-{uuid.uuid4().hex}"
+    path = shared_folder(spark, "columns")
     text = columns_description(FEATURE_NAMES)
     spark.createDataFrame([(line,) for line in text.splitlines()], "value string").coalesce(1).write.text(path)
     return spark.read.text(path).withColumnRenamed("value", "line")

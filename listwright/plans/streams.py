@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from listwright.plans.registry import query
 from listwright.plans.views import table
-from listwright.session import shared_dir
+from listwright.session import shared_folder
 from listwright.streaming import jobs
+from listwright.streaming.ledger import Ledger
 
 
 @query("r4_tumbling_counts", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
@@ -26,24 +27,26 @@ def r10(spark, sf):
     return jobs.run(s, "complete").withColumn("month", F.col("month").cast("timestamp_ntz"))
 
 
-@query("r5_seen_set", "SELECT count(DISTINCT user_id) AS users FROM events")
+@query("r5_seen_set", "SELECT DISTINCT user_id FROM events")
 def r5(spark, sf):
-    """Duplicates within the horizon are dropped from the stream; users seen at all are the same."""
-    return jobs.run(jobs.deduplicated(jobs.events(spark, sf), ["user_id"], "365 days").select("user_id")).agg(F.countDistinct("user_id").alias("users"))
+    """Each user once: later events within the horizon are dropped from the stream."""
+    return jobs.run(jobs.deduplicated(jobs.events(spark, sf), ["user_id"], "365 days").select("user_id"))
 
 
 @query("r1_s10_micro_batches", "SELECT event_type, count(*) AS n FROM events WHERE event_type <> 'error' GROUP BY event_type")
 def r1(spark, sf):
     """Messages handled in micro-batches; a failed one is consumed as well, and logged apart."""
-    out = f"{shared_dir(spark)}/handled-{__import__('uuid').uuid4().hex}"
+    out = shared_folder(spark, "handled")
+
+    done, failed = Ledger(spark, f"{out}/done"), Ledger(spark, f"{out}/failed")
 
     def each(df, batch):
-        df.where("event_type <> 'error'").write.mode("append").parquet(f"{out}/done")
-        df.where("event_type = 'error'").write.mode("append").parquet(f"{out}/failed")
+        done.write(df.where("event_type <> 'error'"), batch)
+        failed.write(df.where("event_type = 'error'"), batch)
 
     s = jobs.events(spark, sf)
     s.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{out}/checkpoint").foreachBatch(each).start().awaitTermination()
-    return spark.read.parquet(f"{out}/done").groupBy("event_type").agg(F.count("*").alias("n"))
+    return done.read(s.schema).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
 @query("r2_status_machine", "SELECT user_id, max(CASE event_type WHEN 'purchase' THEN 3 WHEN 'click' THEN 2 WHEN 'error' THEN 1 ELSE 0 END) AS rank FROM events GROUP BY user_id")
@@ -126,4 +129,4 @@ def r7t(spark, sf):
     """Tasks that were started and never ended, when the day that they may take is over; the end of the stream lets all timers run out."""
     t = F.col("event_type")
     s = jobs.events(spark, sf).where(t.isin("view", "purchase")).select("ts", "user_id", F.when(t == "purchase", "ended").otherwise("started").alias("status"))
-    return jobs.run(jobs.overdue(jobs.ended(s, ["ts", "user_id", "status"]))).where(F.col("user_id") != jobs.LAST)
+    return jobs.run(jobs.overdue(jobs.ended(s, ["ts", "user_id", "status"])), conf=jobs.ROCKS).where(F.col("user_id") != jobs.LAST)

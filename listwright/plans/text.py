@@ -137,13 +137,6 @@ def x19(spark, sf):
     return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), T.currency(t).alias("currency"), T.price(t).alias("price"), T.currency_visible(t).alias("currency_visible"), F.round(T.digit_ratio(t), 9).alias("digits"), F.round(T.capital_share(t), 9).alias("capitals"))
 
 
-@query("x25_rgba", "SELECT css, CAST(r AS DOUBLE) AS r, CAST(b AS DOUBLE) AS b, CAST(a AS DOUBLE) AS a FROM (VALUES ('rgb(255, 0, 51)', 1.0, 0.2, 1.0), ('rgba(51, 102, 0, 0.5)', 0.2, 0.0, 0.5), ('red', NULL, NULL, NULL)) t(css, r, b, a)")
-def x25(spark, sf):
-    c = spark.createDataFrame([("rgb(255, 0, 51)",), ("rgba(51, 102, 0, 0.5)",), ("red",)], "css string")
-    x = c.select("css", T.rgba(F.col("css")).alias("v"))
-    return x.select("css", F.col("v")[0].alias("r"), F.col("v")[2].alias("b"), F.col("v")[3].alias("a"))
-
-
 @query(
     "x32_big_count",
     """SELECT o_orderkey AS id, CASE WHEN n < 10000 THEN format('{:,}', n) WHEN n < 100000 THEN x(n / 1e3, 4) || 'k' WHEN n < 1000000 THEN x(n / 1e3, 3) || 'k' ELSE x(n / 1e6, 4) || 'm' END AS shown
@@ -167,13 +160,6 @@ def x35(spark, sf):
     return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.md5(T.caption_html(F.col("text")).cast("binary")).alias("html"))
 
 
-@query("x36_post_type", "SELECT event_id AS id, CASE WHEN event_type = 'view' AND k % 2 = 0 THEN 'carousel' WHEN event_type = 'click' THEN 'clip' WHEN event_type = 'purchase' THEN 'video' ELSE 'image' END AS kind FROM (SELECT *, CAST(props->>'$.k' AS BIGINT) AS k FROM events)")
-def x36(spark, sf):
-    k = F.get_json_object("props", "$.k").cast("long")
-    t = F.col("event_type")
-    return table(spark, sf, "events").select(F.col("event_id").alias("id"), F.when((t == "view") & (k % 2 == 0), "carousel").when(t == "click", "clip").when(t == "purchase", "video").otherwise("image").alias("kind"))
-
-
 @query("x39_biography", "SELECT c_custkey AS id, concat_ws(chr(10), c_name, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment END, 'x') AS bio FROM customer")
 def x39(spark, sf):
     return table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), T.biography(F.col("c_name"), F.when(F.col("c_custkey") % 3 == 0, F.col("c_mktsegment")), F.lit("x")).alias("bio"))
@@ -295,12 +281,6 @@ def f11(spark, sf):
     return m.select("id", F.size("m").cast("long").alias("n"), F.try_element_at("m", F.lit("N")).alias("n_last"))
 
 
-@query("f12_f8_images", "SELECT doc_id AS id, 'https://img.example.com/' || doc_id || '.png' AS picture, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE doc_id % 2 = 0 END AS logo FROM documents")
-def f12(spark, sf):
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.array(F.struct(F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("https://img.example.com/"), F.col("doc_id").cast("string"), F.lit(".png"))).alias("s3_url"), F.concat(F.lit("https://img.example.com/"), F.col("doc_id").cast("string"), F.lit(".png")).alias("picture_url"), F.when(F.col("doc_id") % 3 != 0, F.col("doc_id") % 2 == 0).alias("logo_detected"))).alias("images"))
-    return d.select("id", F.transform("images", lambda i: F.coalesce(i["s3_url"], i["picture_url"]))[0].alias("picture"), F.exists("images", lambda i: i["logo_detected"]).alias("logo"))
-
-
 @query("f13_lock_ids", "SELECT p_partkey AS id, CAST(CASE WHEN h >= 9223372036854775808 THEN h - 18446744073709551616 ELSE h END AS BIGINT) AS lock FROM (SELECT p_partkey, CAST(CAST('0x' || substr(sha256(p_name), 1, 16) AS UBIGINT) AS HUGEINT) AS h FROM part)")
 def f13(spark, sf):
     h = F.conv(F.substring(F.sha2("p_name", 256), 1, 16), 16, 10).cast("decimal(20,0)")

@@ -57,11 +57,10 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 
 @contextlib.contextmanager
-def settings(spark: SparkSession, **values: str) -> Iterator[None]:
-    """Settings of the session within it, as they were after it; dots are written as __."""
-    names = {k.replace("__", "."): v for k, v in values.items()}
-    before = {k: spark.conf.get(k, None) for k in names}
-    for k, v in names.items():
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Settings of the session within it; after it they are as they were."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
         spark.conf.set(k, v)
     try:
         yield

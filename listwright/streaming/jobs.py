@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -10,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from listwright.session import shared_dir
+from listwright.session import settings, shared_folder
+from listwright.streaming.ledger import Ledger
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -26,14 +26,19 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def run(stream: DataFrame, mode: str = "append", each: Callable | None = None) -> DataFrame:
-    """Start, wait for the end of the input, and read the sink back. Checkpoint and sink are in the shared folder."""
+#: State in RocksDB, for jobs with state of their own.
+ROCKS = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+
+
+def run(stream: DataFrame, mode: str = "append", each: Callable | None = None, conf: dict[str, str] | None = None) -> DataFrame:
+    """Start, wait for the end of the input, and read the sink back. Checkpoint and sink are in the shared folder. conf: settings that the stream takes when it starts."""
     spark = stream.sparkSession
-    place = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    place = shared_folder(spark, "stream")
     if each is None and mode == "complete":
         each = lambda df, _: df.write.mode("overwrite").parquet(f"{place}/out")  # noqa: E731  the last batch holds everything
     w = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{place}/checkpoint").outputMode(mode)
-    q = (w.foreachBatch(each) if each else w.format("parquet").option("path", f"{place}/out")).start()
+    with settings(spark, conf or {}):
+        q = (w.foreachBatch(each) if each else w.format("parquet").option("path", f"{place}/out")).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{place}/out")
 
@@ -47,10 +52,10 @@ def window_counts(s: DataFrame, length: str, slide: str | None = None, late: str
 def run_counts(counts: DataFrame, keys: list[str], count: str = "n") -> DataFrame:
     """Run a stream of growing counts in update mode, with state only for what can still change, and read each key's last count back."""
     spark = counts.sparkSession
-    place = f"{shared_dir(spark)}/counts-{uuid.uuid4().hex}"
-    each = lambda df, _: df.write.mode("append").parquet(f"{place}/out")
-    counts.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{place}/checkpoint").outputMode("update").foreachBatch(each).start().awaitTermination()
-    return spark.read.schema(counts.schema).parquet(f"{place}/out").groupBy(*keys).agg(F.max(count).alias(count))
+    place = shared_folder(spark, "counts")
+    sink = Ledger(spark, f"{place}/out")
+    counts.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{place}/checkpoint").outputMode("update").foreachBatch(sink.write).start().awaitTermination()
+    return sink.read(counts.schema).groupBy(*keys).agg(F.max(count).alias(count))
 
 
 def sessions(s: DataFrame, gap: str) -> DataFrame:
@@ -64,7 +69,7 @@ LAST = -1
 def ended(s: DataFrame, columns: list[str]) -> DataFrame:
     """The columns of a stream (ts and user_id among them) with an event of user LAST in the far future, which closes what would stay open until a later event came."""
     spark = s.sparkSession
-    path = f"{shared_dir(spark)}/end-{uuid.uuid4().hex}"
+    path = shared_folder(spark, "end")
     schema = s.select(*columns).schema
     kinds = {"ts": F.lit("2200-01-01").cast("timestamp"), "user_id": F.lit(LAST).cast("long")}
     spark.range(1).select(*(kinds.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schema)).write.parquet(path)
@@ -74,11 +79,11 @@ def ended(s: DataFrame, columns: list[str]) -> DataFrame:
 def consumed(spark: SparkSession, path: str, schema: str, pattern: str) -> DataFrame:
     """Rows of a folder's files whose key matches a pattern, read once: files that were read are deleted."""
     s = spark.readStream.schema(schema).option("cleanSource", "delete").parquet(path).where(F.col("key").rlike(pattern))
-    place = f"{shared_dir(spark)}/consumed-{uuid.uuid4().hex}"
-    each = lambda df, _: df.write.mode("append").parquet(f"{place}/out")
+    place = shared_folder(spark, "consumed")
+    sink = Ledger(spark, f"{place}/out")
     for _ in range(2):  # files go once a later batch has been committed
-        s.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{place}/checkpoint").foreachBatch(each).start().awaitTermination()
-    return spark.read.schema(schema).parquet(f"{place}/out")
+        s.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{place}/checkpoint").foreachBatch(sink.write).start().awaitTermination()
+    return sink.read(schema)
 
 
 def deduplicated(s: DataFrame, keys: list[str], horizon: str) -> DataFrame:
@@ -126,22 +131,23 @@ def furthest_status(s: DataFrame) -> DataFrame:
 
 
 def statuses(s: DataFrame, ttl_hours: int = 48) -> DataFrame:
-    """user_id, rank of the furthest status, ms of the last news, by rows (user_id, ts, status); state is kept in RocksDB for ttl_hours of the stream's time.
+    """user_id, rank of the furthest status, ms of the last news, by rows (user_id, ts, status); state is kept for ttl_hours of the stream's time; start it with ROCKS.
 
     A call to Python's state server for each key: much slower than furthest_status, for jobs that need the time to live.
     """
-    s.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     return s.withWatermark("ts", "1 hour").groupBy("user_id").transformWithStateInPandas(statefulProcessor=Status(ttl_hours * 3_600_000), outputStructType="user_id long, rank int, ms long", outputMode="Update", timeMode="EventTime")
 
 
 def latest_statuses(s: DataFrame, ttl_hours: int = 48) -> DataFrame:
     """user_id, rank, ms: the last answer of statuses() for each key, read back from its updates."""
     spark = s.sparkSession
-    place = f"{shared_dir(spark)}/statuses-{uuid.uuid4().hex}"
+    place = shared_folder(spark, "statuses")
     out = statuses(s, ttl_hours)
-    each = lambda df, _: df.write.mode("append").parquet(f"{place}/out")
-    out.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{place}/checkpoint").outputMode("update").foreachBatch(each).start().awaitTermination()
-    return spark.read.schema(out.schema).parquet(f"{place}/out").groupBy("user_id").agg(F.max(F.struct("ms", "rank")).alias("x")).select("user_id", "x.rank", "x.ms")
+    sink = Ledger(spark, f"{place}/out")
+    with settings(spark, ROCKS):
+        q = out.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{place}/checkpoint").outputMode("update").foreachBatch(sink.write).start()
+    q.awaitTermination()
+    return sink.read(out.schema).groupBy("user_id").agg(F.max(F.struct("ms", "rank")).alias("x")).select("user_id", "x.rank", "x.ms")
 
 
 class Overdue(StatefulProcessor):
@@ -177,6 +183,5 @@ class Overdue(StatefulProcessor):
 
 
 def overdue(s: DataFrame, age_hours: int = 24) -> DataFrame:
-    """user_id, started_ms of tasks that are open for longer than an age, by rows (user_id, ts, status); by the stream's own time."""
-    s.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    """user_id, started_ms of tasks that are open for longer than an age, by rows (user_id, ts, status); by the stream's own time. Start it with ROCKS."""
     return s.withWatermark("ts", "1 hour").groupBy("user_id").transformWithStateInPandas(statefulProcessor=Overdue(age_hours * 3_600_000), outputStructType="user_id long, started_ms long", outputMode="Append", timeMode="EventTime")

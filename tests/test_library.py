@@ -330,7 +330,7 @@ def test_models_read_texts_and_rank_features(spark):
     df = spark.createDataFrame(rows, "id long, n double, words string, label double, weight double, valid boolean")
     got = models.predict(models.train(df, ["n"], [], "label", "weight", "valid", texts=["words"]), df).select("label", "prediction").collect()
     assert all(abs(r.label - r.prediction) < 0.2 for r in got)
-    best = models.search(df.withColumn("m", F.col("label") * 3), ["n", "m"], "label", [(2, 0.3)])
+    best = models.search(df.withColumn("m", F.col("label") * 3), ["n", "m"], "label", {"maxDepth": (2, 2), "stepSize": (0.3, 0.3), "maxIter": (5, 5)}, 1)
     names = {r.feature: r.importance for r in models.importance(best, spark, ["n", "m"]).collect()}
     assert names["m"] > 0.9 > names["n"]
 
