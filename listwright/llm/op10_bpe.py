@@ -186,10 +186,10 @@ class Bpe:
                 todo = {p for p, x in zip(rest, found, strict=True) if x is None}
                 if any(not p or p[0].isspace() or p[-1].isspace() for p in todo):
                     first, *rest = self.cut(text)
-                    todo = {p for p in rest if p not in self.chunks}
+                    found = list(map(self.chunks.get, rest))
+                    todo = {p for p, x in zip(rest, found, strict=True) if x is None}
                 new = {p: self.chunk(p) for p in todo}
-                known = self.chunks.get
-                found = [new.get(p) or known(p) or self.chunk(p) for p in rest]
+                found = [new[p] if x is None else x for p, x in zip(rest, found, strict=True)]
             if first:
                 found.insert(0, " ".join(map(str, self.encode(first))))
         ids_text = " ".join(found)
