@@ -109,7 +109,8 @@ def pane_records(clicks: DataFrame) -> DataFrame:
     path = spark._jvm.org.apache.hadoop.fs.Path
     fs = path(place).getFileSystem(spark._jsc.hadoopConfiguration())
     fs.mkdirs(path(f"{place}/in"))
-    watermark = None
+    # panes are much fewer than rows: some of a batch's small partitions are written as one file
+    watermark, files = None, -(-int(own.conf.get("spark.sql.shuffle.partitions")) // 8)
     for b in range(BATCHES):
         if b in newest:
             fs.rename(path(f"{place}/cut/batch={b}"), path(f"{place}/in/{b}"))
@@ -119,7 +120,7 @@ def pane_records(clicks: DataFrame) -> DataFrame:
 
         def each(changes: DataFrame, _: int, b=b, watermark=watermark) -> None:
             panes = own.read.schema(PANES).parquet(f"{place}/panes-{b}")
-            publish(changes, panes, b, watermark, b == BATCHES - 1).write.mode("overwrite").parquet(f"{place}/panes-{b + 1}")
+            publish(changes, panes, b, watermark, b == BATCHES - 1).coalesce(files).write.mode("overwrite").parquet(f"{place}/panes-{b + 1}")
             late(own.read.schema(schema).parquet(f"{place}/in/{b}"), b, watermark).write.mode("overwrite").parquet(f"{place}/late/{b}")
 
         stream.writeStream.outputMode("update").option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).foreachBatch(each).start().awaitTermination()
