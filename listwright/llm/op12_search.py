@@ -120,8 +120,8 @@ def ranked(postings: DataFrame, items: DataFrame, top: int) -> DataFrame:
     weight = F.floor(1000 * F.log(F.lit(2.0 * number + 2) / (2 * F.col("df") + 1)))
     weights = shared_table(terms.join(df, "term").select("term", "item_id", weight.alias("w")).where("w > 0"), "weights")
     each = found.select("term", "block", F.explode(F.arrays_zip("at", "tf")).alias("p")).select("term", "block", "p.at", F.col("p.tf").cast("long").alias("tf"))
-    # by the same key as the sums below: each document's postings meet once
-    each = each.join(docs, ["block", "at"])
+    # by the same key as the sums below, so that each document's postings meet once; a broadcast of few documents would leave them where their terms are
+    each = each.join(docs.hint("merge"), ["block", "at"])
     score = F.expr(f"(1000000000 * tf) div (1000 * tf + 8 * (10 + (90 * cast(n AS bigint) * {number}) div {length}))")
     each = each.select("term", "block", "at", "doc_id", score.alias("s")).join(weights, "term")
     sums = each.groupBy("block", "at", "item_id").agg(F.sum(F.col("w") * F.col("s")).alias("score"), F.any_value("doc_id").alias("doc_id")).where("score > 0")
