@@ -46,10 +46,8 @@ class Bpe:
         self.shorter: dict[int, int | None] = {}
         self.split: dict[int, tuple[int, int]] = {}
         self.compatible: dict[tuple[int, int], bool] = {}
-        self.chunks: dict[str, str] = {}  # by the text after a leading space
-        self.older: dict[str, str] = {}  # those before the last time that CACHE was reached
-        self.spelled: dict[str, bytes] = {}  # by ids as text
-        self.spelled_before: dict[str, bytes] = {}
+        self.chunks: dict[str, tuple[str, bytes]] = {}  # entries by the text after a leading space
+        self.older: dict[str, tuple[str, bytes]] = {}  # those before the last time that CACHE was reached
         self.merged: dict[tuple[int, int], int] = {}
         for i in sorted(self.text_of):
             if pair := self._last_merge(i):
@@ -148,37 +146,28 @@ class Bpe:
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
-    def chunk(self, text: str) -> str:
-        """Ids joined by spaces of a space and a text without one; short ones are remembered. Letters alone are one match of the pattern, and so is a mark after them."""
+    def entry(self, ids: list[int]) -> tuple[str, bytes]:
+        """Ids joined by spaces, and the bytes that these ids decode to."""
+        return " ".join(map(str, ids)), self.decode(ids)
+
+    def chunk(self, text: str) -> tuple[str, bytes]:
+        """The entry of a space and a text without one; short ones are remembered. Letters alone are one match of the pattern, and so is a mark after them."""
         x = self.older.get(text)
         if x is None:
-            if text.isalpha():
-                ids = self.encode_piece(" " + text)
-            elif text[-1] in ",.;:!?" and text[:-1].isalpha():
-                ids = self.encode_piece(" " + text[:-1]) + self.encode_piece(text[-1])
+            if text[-1] in ",.;:!?" and text[:-1].isalpha():
+                word, mark = self.chunks.get(text[:-1]) or self.chunk(text[:-1]), self.encode_piece(text[-1])[0]
+                x = f"{word[0]} {mark}", word[1] + self.bytes_of[mark]
             else:
-                ids = self.encode(" " + text)
-            x = " ".join(map(str, ids))
+                x = self.entry(self.encode_piece(" " + text) if text.isalpha() else self.encode(" " + text))
         if len(text) < 60:
             if len(self.chunks) > CACHE:
                 self.chunks, self.older = {}, self.chunks
             self.chunks[text] = x
         return x
 
-    def spell(self, ids: str) -> bytes:
-        """Bytes that ids (joined by spaces) decode to; those of short ones are remembered."""
-        x = self.spelled_before.get(ids)
-        if x is None:
-            x = self.decode(map(int, ids.split()))
-        if len(ids) < 120:
-            if len(self.spelled) > CACHE:
-                self.spelled, self.spelled_before = {}, self.spelled
-            self.spelled[ids] = x
-        return x
-
     def digest(self, text: str | None) -> tuple[int, str, str]:
         """Number of ids, SHA-256 of the ids as text, SHA-256 of the bytes that these ids decode to."""
-        found: list[str] = []
+        found: list[tuple[str, bytes]] = []
         if text:
             first, *rest = text.split(" ")
             found = list(map(self.chunks.get, rest))
@@ -191,12 +180,10 @@ class Bpe:
                 new = {p: self.chunk(p) for p in todo}
                 found = [new[p] if x is None else x for p, x in zip(rest, found, strict=True)]
             if first:
-                found.insert(0, " ".join(map(str, self.encode(first))))
-        ids_text = " ".join(found)
-        parts = list(map(self.spelled.get, found))
-        if None in parts:
-            parts = [self.spell(x) if y is None else y for x, y in zip(found, parts, strict=True)]
-        return ids_text.count(" ") + bool(ids_text), hashlib.sha256(ids_text.encode()).hexdigest(), hashlib.sha256(b"".join(parts)).hexdigest()
+                found.insert(0, self.entry(self.encode(first)))
+        ids, decoded = zip(*found, strict=True) if found else ((), ())
+        ids_text = " ".join(ids)
+        return ids_text.count(" ") + bool(ids_text), hashlib.sha256(ids_text.encode()).hexdigest(), hashlib.sha256(b"".join(decoded)).hexdigest()
 
 
 def _tokenizer(broadcast, pattern: str) -> Bpe:
