@@ -68,7 +68,7 @@ def test_bpe_decodes_the_ids_it_gives():
     text = "The quick brown fox"
     good = own.digest(text)
     assert own.digest(text) == good and good[2] == hashlib.sha256(text.encode()).hexdigest()
-    own.chunks["brown"] = " ".join(map(str, own.encode(" green")))
+    own.chunks["brown"] = own.entry(own.encode(" green"))
     n, ids, decoded = own.digest(text)
     assert ids != good[1] and decoded == hashlib.sha256(b"The quick green fox").hexdigest()
 
