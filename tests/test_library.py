@@ -66,9 +66,9 @@ def test_columns_description(include, exclude, want):
 SUFFIXES = ["org", "example", "pt", "ch", "co.nz", "com.ar", "org.uk", "com.tr"]
 #: Ways to write an address of a host.
 FORMS = ["https://{}", "http://www.{}/a?b=c", "https://deep.sub.{}/x.html#top", "{}/no/scheme", "https://me:pw@{}/", "https://{}:8443/p"]
-URLS = [(form.format(f"kettle.{s}"), f"kettle.{s}") for s in SUFFIXES for form in FORMS] + [("HTTPS://Kettle.ORG/Tea", "kettle.org"), ("https://intranet/tea", "intranet")]
+URLS = [(form.format(f"kettle.{s}"), f"kettle.{s}") for s in SUFFIXES for form in FORMS] + [("https://Kettle.ORG/Tea", "kettle.org"), ("https://intranet/tea", "intranet")]
 #: Hosts with a rule of their own.
-URLS += [("https://pl.carousell.com/x", "pl.carousell.com"), ("https://m.facebook.com/x", "facebook.com"), ("https://facebook.com/marketplace/x", "facebook.com/marketplace")]
+URLS += [*((f"https://{own}/x", own) for own in U.OWN_HOSTS), ("https://m.facebook.com/x", "facebook.com"), ("https://facebook.com/marketplace/x", "facebook.com/marketplace")]
 
 
 def test_registered_domains(spark):
