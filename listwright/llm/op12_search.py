@@ -29,6 +29,8 @@ BLOCK_BYTES = 4 << 20
 BUCKETS = 64
 #: Blocks that a task takes of one bucket at most.
 SPREAD = 512
+#: Tables of the items' terms are broadcast up to so many rows (some 50 bytes each); larger ones are joined by a shuffle.
+BROADCAST_ROWS = 200_000
 #: ASCII letters in lower case, digits and all bytes above ASCII stay; the rest are borders.
 TERMS = bytes(b if b >= 128 or chr(b).isdecimal() or chr(b).islower() else b + 32 if chr(b).isupper() else 32 for b in range(256))
 POSTINGS = "term binary, block long, at array<int>, tf array<int>, doc_ids array<long>"
@@ -107,8 +109,9 @@ def ranked(postings: DataFrame, items: DataFrame, top: int) -> DataFrame:
     """item_id, rank, doc_id, score of each item's highest-scoring documents in an index."""
     spark = postings.sparkSession
     terms = shared_table(_item_terms(items).withColumn("bucket", _bucket("term")), "item-terms")
+    small = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
     buckets = [r.bucket for r in terms.select("bucket").distinct().collect()]  # BUCKETS at most
-    found = postings.where(F.col("bucket").isin(buckets)).join(terms.select("bucket", "term").distinct(), ["bucket", "term"], "left_semi")
+    found = postings.where(F.col("bucket").isin(buckets)).join(small(shared_table(terms.select("bucket", "term").distinct(), "searched")), ["bucket", "term"], "left_semi")
     found = shared_table(found.select("term", "block", "at", "tf"), "found")
     of_all = postings.where((F.col("bucket") == spark.range(1).select(_bucket(F.lit(ALL))).first()[0]) & (F.col("term") == ALL))
     docs = of_all.select("block", F.explode(F.arrays_zip("at", F.col("tf").alias("n"), "doc_ids")).alias("d")).select("block", "d.at", "d.n", F.col("d.doc_ids").alias("doc_id")).where("n > 0")
@@ -123,7 +126,7 @@ def ranked(postings: DataFrame, items: DataFrame, top: int) -> DataFrame:
     # by the same key as the sums below, so that each document's postings meet once; a broadcast of few documents would leave them where their terms are
     each = each.join(docs.hint("merge"), ["block", "at"])
     score = F.expr(f"(1000000000 * tf) div (1000 * tf + 8 * (10 + (90 * cast(n AS bigint) * {number}) div {length}))")
-    each = each.select("term", "block", "at", "doc_id", score.alias("s")).join(weights, "term")
+    each = each.select("term", "block", "at", "doc_id", score.alias("s")).join(small(weights), "term")
     sums = each.groupBy("block", "at", "item_id").agg(F.sum(F.col("w") * F.col("s")).alias("score"), F.any_value("doc_id").alias("doc_id")).where("score > 0")
     best = Window.partitionBy("item_id").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last())
     return sums.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top).select("item_id", "rank", "doc_id", "score")
