@@ -113,7 +113,7 @@ def test_dispatch_of_short_keywords(spark):
     few = [("lv", "A", 1), ("CK", "B", 2), ("x", "C", 3), ("brand 17", "D", 4), ("bags", "E", 5)]
     for extra in ([], [("", "F", 6)]):
         words = spark.createDataFrame(few + extra, "keyword string, organisation string, pos int")
-        many = words.unionByName(spark.createDataFrame([(f"none such {i}", "N", 100 + i) for i in range(P.MAX_KEYWORDS)], words.schema))
+        many = words.unionByName(spark.createDataFrame([(f"none such {i}", "N", 100 + i) for i in range(200)], words.schema))
         want = sorted(map(tuple, P.dispatch(posts, words).collect()))
         assert [r[0] for r in want] == ([1, 2, 3, 4, 5, 6] if extra else [1, 2, 3, 5, 6])
         assert sorted(map(tuple, P.dispatch_by_join(posts, words).collect())) == want
