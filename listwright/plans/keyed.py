@@ -17,6 +17,8 @@ from listwright.streaming import jobs
 from listwright.streaming.ledger import Ledger
 
 COLUMNS = ["source", "segment", "city", "balance"]
+#: Which of a client's changes is the last one.
+ORDER = ["seq", *COLUMNS, "op"]
 WEB = "'web'"
 _last = lambda t, by: f"SELECT * FROM {t} QUALIFY row_number() OVER (PARTITION BY client_id ORDER BY {', '.join(f'{c} DESC NULLS LAST' for c in by)}) = 1"
 _st = f"st AS ({_last('(SELECT client_id, updated_at, ' + ', '.join(COLUMNS) + ' FROM clients WHERE source IS DISTINCT FROM ' + WEB + ')', ['updated_at', *COLUMNS])})"
@@ -39,7 +41,7 @@ def _changes(spark, sf):
 def k3(spark, sf):
     """The store after its last changes by client were merged into the buckets that they touch."""
     store = _clients(spark, sf)
-    store.merge(_changes(spark, sf), order=["seq"], delete="gone")
+    store.merge(_changes(spark, sf), order=ORDER, delete="gone")
     return store.read().select("client_id", *COLUMNS)
 
 
@@ -47,7 +49,7 @@ def k3(spark, sf):
 def k5(spark, sf):
     """What became of each key of a bulk write; rows without a key are put aside."""
     store, changes = _clients(spark, sf), _changes(spark, sf)
-    return store.merge(changes, order=["seq"], delete="gone").unionByName(store.refused(changes).select("client_id", F.lit("refused").alias("result")))
+    return store.merge(changes, order=ORDER, delete="gone").unionByName(store.refused(changes).select("client_id", F.lit("refused").alias("result")))
 
 
 _S = "['SEARCHED', 'FILTERED_IN', 'FILTERED_OUT', 'SCRAPED', 'SENT']"

@@ -46,3 +46,12 @@ def test_missing_fields_from_unfinished_references(spark, tmp_path):
     pages = spark.createDataFrame([(5, "https://a.example.com/en/5/", PAGE.format("abcdefgh&amp"))], "page_id long, url string, html string")
     documents = spark.createDataFrame([(5, "x", None, None, 1)], "doc_id long, text string, lang string, source string, n_chars long")
     assert same(spark, str(tmp_path), "g19_fill_missing_fields", documents=documents, pages=pages)
+
+
+@pytest.mark.parametrize("name", ["k3_keyed_merge", "k5_keyed_results"])
+def test_changes_that_differ_in_what_they_do_alone(spark, tmp_path, name):
+    read = lambda t: spark.read.parquet(f"{SF}/{t}.parquet")
+    c = read("client_changes").limit(1)
+    at = lambda op, city: c.withColumns({"client_id": F.lit(7).cast(c.schema["client_id"].dataType), "op": F.lit(op), "city": F.lit(city)})
+    other = c.withColumns({"client_id": F.lit(8).cast(c.schema["client_id"].dataType), "op": F.lit("D")})
+    assert same(spark, str(tmp_path), name, clients=read("clients").limit(5), client_changes=at("D", "x").unionByName(at("I", "x")).unionByName(at("U", "a")).unionByName(other))
