@@ -121,11 +121,17 @@ def searched(df: DataFrame, numbers: list[str], label: str, ranges: dict[str, tu
 def feature_statistics(df: DataFrame, features: list[str], label: str, prediction: str, bins: int = 10) -> DataFrame:
     """feature, bin, n, least, most, mean_label, mean_prediction: rows by quantiles of each numeric feature (borders belong to the bin below; null is bin -1).
 
-    One pass of quantile sketches for all features, then one over the rows.
+    Quantiles are values of the feature and exact: distinct values are counted, and the counts summed up over ranges of values; then one pass over the rows.
     """
-    shares = [k / bins for k in range(1, bins)]
-    row = df.agg(*(F.percentile_approx(c, shares, 10_000).alias(c) for c in features)).first()  # a few numbers for each feature
-    borders = {c: sorted(set(row[c] or [])) for c in features}
+    every = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in features))).alias("f")).select("f.*").where("x is not null")
+    values = sums_before(every.groupBy("feature", "x").agg(F.count("*").alias("n")), ["feature"], [F.col("x")], {"before": "n"})
+    total = F.broadcast(every.groupBy("feature").agg(F.count("*").alias("total")))  # a row for each feature
+    rank = F.explode(F.transform(F.sequence(F.lit(1), F.lit(bins - 1)), lambda k: F.col("total") * k)).alias("k")
+    ranks = values.join(total, "feature").select("*", rank).withColumn("rank", F.expr(f"(k + {bins - 1}) div {bins}")).where("before < rank and rank <= before + n")
+    borders = {c: [] for c in features}
+    for r in ranks.select("feature", "x").distinct().collect():  # a few numbers for each feature
+        borders[r.feature].append(r.x)
+    borders = {c: sorted(b) for c, b in borders.items()}
     bin_of = lambda c: F.when(F.col(c).isNull(), -1).otherwise(F.size(F.filter(F.array(*map(F.lit, borders[c])).cast("array<double>"), lambda b: F.col(c) > b)))
     each = df.select(label, prediction, F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), bin_of(c).alias("bin"), F.col(c).cast("double").alias("x")) for c in features))).alias("f"))
     return each.groupBy("f.feature", "f.bin").agg(F.count("*").alias("n"), F.min("f.x").alias("least"), F.max("f.x").alias("most"), F.avg(label).alias("mean_label"), F.avg(prediction).alias("mean_prediction"))

@@ -55,3 +55,11 @@ def test_changes_that_differ_in_what_they_do_alone(spark, tmp_path, name):
     at = lambda op, city: c.withColumns({"client_id": F.lit(7).cast(c.schema["client_id"].dataType), "op": F.lit(op), "city": F.lit(city)})
     other = c.withColumns({"client_id": F.lit(8).cast(c.schema["client_id"].dataType), "op": F.lit("D")})
     assert same(spark, str(tmp_path), name, clients=read("clients").limit(5), client_changes=at("D", "x").unionByName(at("I", "x")).unionByName(at("U", "a")).unionByName(other))
+
+
+def test_quantiles_of_many_values_are_exact(spark):
+    n = 60_013
+    x = spark.range(n).select((F.col("id") * 7919 % n).alias("x"), F.lit(1.0).alias("y"), F.lit(0.5).alias("p")).unionByName(spark.range(3).select(F.lit(None).cast("long"), F.lit(0.0), F.lit(0.5)).toDF("x", "y", "p"))
+    rows = {r.bin: r for r in models.feature_statistics(x, ["x"], "y", "p").collect()}
+    borders = [-(-k * n // 10) - 1 for k in range(1, 10)]
+    assert [rows[b].most for b in range(9)] == borders and rows[-1].n == 3 and sum(r.n for r in rows.values()) == n + 3
