@@ -21,8 +21,16 @@ def without_keywords(df: DataFrame, words: list[str], columns: tuple[str, ...] =
     return df.where(~contains_any(text_of(*columns), F.array(*map(F.lit, words)).cast("array<string>")))
 
 
-def with_keywords(df: DataFrame, words: list[str], columns: tuple[str, ...] = ("title", "description")) -> DataFrame:
-    return df.where(contains_any(text_of(*columns), F.array(*map(F.lit, words)).cast("array<string>")))
+def has_keyword(words: list[str], columns: tuple[str, ...] = ("title", "description")) -> Column:
+    return contains_any(text_of(*columns), F.array(*map(F.lit, words)).cast("array<string>"))
+
+
+def with_keywords(df: DataFrame, words: list[str], columns: tuple[str, ...] = ("title", "description"), translated: dict[str, list[str]] | None = None) -> DataFrame:
+    """Rows with a keyword in one of the columns. translated: for columns of translations, the keywords that are looked for in them alone."""
+    found = has_keyword(words, columns)
+    for column, own in (translated or {}).items():
+        found = found | has_keyword(own, (column,))
+    return df.where(found)
 
 
 def threshold_of(org: Column, active: Column) -> Column:

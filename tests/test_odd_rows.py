@@ -63,3 +63,8 @@ def test_quantiles_of_many_values_are_exact(spark):
     rows = {r.bin: r for r in models.feature_statistics(x, ["x"], "y", "p").collect()}
     borders = [-(-k * n // 10) - 1 for k in range(1, 10)]
     assert [rows[b].most for b in range(9)] == borders and rows[-1].n == 3 and sum(r.n for r in rows.values()) == n + 3
+
+
+def test_keywords_of_translations_are_not_looked_for_in_texts(spark, tmp_path):
+    rows = [(1, "key c1f", "de", "shop", 7), (2, "x", "de", "c1.org", 1), (3, "x", "en", "c1.org", 1), (4, "The\nand", "en", None, 7), (5, "x", "fr", "elle.fr", 1)]
+    assert same(spark, str(tmp_path), "p2_must_have_keywords", documents=spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")) == ["(2,)", "(4,)"]
