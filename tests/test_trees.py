@@ -4,6 +4,7 @@ import unicodedata
 
 import pytest
 
+from listwright.functions import dom as DOM
 from listwright.functions import tree as TR
 from listwright.plans import registry
 
@@ -26,3 +27,14 @@ def test_pages_are_taken_apart_once_for_all_fits(spark):
     plan = f._jdf.queryExecution().toString()
     assert "MapInArrow" not in plan and "node-features" in " ".join(f.inputFiles())
     assert f.count() > 0
+
+
+def test_nodes_are_made_of_a_few_pages_at_a_time(spark):
+    import pyarrow as pa
+
+    pages = pa.RecordBatch.from_pydict({"page_id": list(range(1000)), "html": ["<p a='b'>x<b>y</b></p>", None] * 500})
+    schema = pa.schema([("page_id", pa.int64()), ("tag", pa.string())])
+    made = list(DOM.node_batches(iter([pages]), schema))
+    assert max(len(set(b.column(0).to_pylist())) for b in made) <= DOM.PAGES and sum(b.num_rows for b in made) == 1000
+    whole = DOM.node_table(spark.createDataFrame([(1, "<p a='b'>x <b>y</b></p>")], "page_id long, html string"))
+    assert [tuple(r) for r in whole.collect()] == [(1, 0, -1, "/p[1]", "p", {"a": "b"}, "x", 0, 1, 2), (1, 1, 0, "/p[1]/b[1]", "b", {}, "y", 1, 0, 2)]
