@@ -182,18 +182,27 @@ CURRENCY_SYMBOLS = [
 
 def currency_visible(c: Column) -> Column:
     """Whether a text shows a currency: one of the fixed symbols, or one of the Unicode class."""
-    return c.rlike("\\p{Sc}|" + "|".join(rf"\Q{s}\E" for s in CURRENCY_SYMBOLS))
+    # symbols that hold another one add nothing; others of several characters are tried only where one of them may begin
+    own = [s for s in dict.fromkeys(CURRENCY_SYMBOLS) if not any(x != s and x in s for x in CURRENCY_SYMBOLS)]
+    one, more = "".join(rf"\x{{{ord(s):x}}}" for s in own if len(s) == 1), [s for s in own if len(s) > 1]
+    first = "".join(sorted({rf"\x{{{ord(s[0]):x}}}" for s in more}))
+    return c.rlike(rf"[\p{{Sc}}{one}]|(?=[{first}])(?:" + "|".join(rf"\Q{s}\E" for s in more) + ")")
+
+
+def _times(c: Column, others: str) -> Column:
+    """Number of the characters that a pattern of others leaves: without a string for each one, as regexp_count has it."""
+    return F.length(F.regexp_replace(c, others, ""))
 
 
 def digit_ratio(c: Column) -> Column:
     """Digits among the characters that are not white space; 0 without any."""
     n = F.length(F.regexp_replace(c, r"\s", ""))
-    return F.when(n > 0, F.regexp_count(c, F.lit(r"\d")) / n).otherwise(F.lit(0.0))
+    return F.when(n > 0, _times(c, r"\D+") / n).otherwise(F.lit(0.0))
 
 
 def capital_share(c: Column, css_upper: Column | None = None) -> Column:
-    n = F.regexp_count(c, F.lit(r"\p{L}"))
-    share = F.when(n > 0, F.regexp_count(c, F.lit(r"\p{Lu}")) / n).otherwise(F.lit(0.0))
+    n = _times(c, r"\P{L}+")
+    share = F.when(n > 0, _times(c, r"\P{Lu}+") / n).otherwise(F.lit(0.0))
     return share if css_upper is None else F.when(css_upper, F.lit(1.0)).otherwise(share)
 
 

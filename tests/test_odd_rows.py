@@ -68,3 +68,20 @@ def test_quantiles_of_many_values_are_exact(spark):
 def test_keywords_of_translations_are_not_looked_for_in_texts(spark, tmp_path):
     rows = [(1, "key c1f", "de", "shop", 7), (2, "x", "de", "c1.org", 1), (3, "x", "en", "c1.org", 1), (4, "The\nand", "en", None, 7), (5, "x", "fr", "elle.fr", 1)]
     assert same(spark, str(tmp_path), "p2_must_have_keywords", documents=spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")) == ["(2,)", "(4,)"]
+
+
+def test_currencies_and_ratios_of_odd_texts(spark):
+    from listwright.functions import text as T
+
+    texts = [None, "", " \t", "12 Ab ²", "ÀÉa 3ｅ٣", "zl", "دa", "Rp", "Dinar", "EU R", *T.CURRENCY_SYMBOLS, *(f"x{s[:-1]}" for s in T.CURRENCY_SYMBOLS)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    t = F.col("t")
+    old = t.rlike("\\p{Sc}|" + "|".join(rf"\Q{s}\E" for s in T.CURRENCY_SYMBOLS))
+    share = lambda part, whole: F.coalesce(F.when(whole > 0, part / whole), F.lit(0.0))
+    capitals = share(F.regexp_count(t, F.lit(r"\p{Lu}")), F.regexp_count(t, F.lit(r"\p{L}")))
+    digits = share(F.regexp_count(t, F.lit(r"\d")), F.length(F.regexp_replace(t, r"\s", "")))
+    made = df.select(T.currency_visible(t).alias("c"), T.digit_ratio(t).alias("d"), T.capital_share(t).alias("u"))
+    assert made.collect() == df.select(old.alias("c"), digits.alias("d"), capitals.alias("u")).collect()
+    # no string is made for each letter, and not each symbol is tried at each place
+    plan = made._jdf.queryExecution().toString().lower()
+    assert "regexp_count" not in plan and "regexp_extract_all" not in plan and "bds$" not in plan
