@@ -6,7 +6,7 @@ language's labelled texts, n all trigrams of them, v the number of different one
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from listwright.session import shared_table
@@ -37,12 +37,21 @@ def weights(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Data
 def scores(texts: DataFrame, model: DataFrame, key: str, text: str = "text") -> DataFrame:
     """key, lang, p: probability of each language for texts (keys are unique) with a trigram that the model knows."""
     words = shared_table(words_of(texts, [key], text), "words")
+    model = shared_table(model, "model")
+    langs = sorted(r.lang for r in model.select("lang").distinct().collect())  # a row for each language
+    if not langs:
+        return words.select(key, F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("p")).where("false")
+    # a column for each language: a text's words meet one row each, and no row goes through a shuffle once for each language
+    of = [f"w_{k}" for k in range(len(langs))]
+    wide = model.groupBy("gram").agg(*(F.sum(F.when(F.col("lang") == l, F.col("w"))).alias(c) for l, c in zip(langs, of, strict=True)))
     grams = words.select("word").distinct().select("word", F.explode(trigrams(F.col("word"))).alias("gram"))
-    each = shared_table(grams.join(model, "gram").groupBy("word", "lang").agg(F.sum("w").alias("w")), "word-weights")
-    total = words.join(each, "word").groupBy(key, "lang").agg(F.sum(F.col("n") * F.col("w")).alias("w"))
-    of = Window.partitionBy(key)  # a row for each language
-    e = F.exp((F.col("w") - F.max("w").over(of)) / 1000.0)
-    return total.withColumn("e", e).select(key, "lang", (F.col("e") / F.sum("e").over(of)).alias("p"))
+    each = shared_table(grams.join(wide, "gram").groupBy("word").agg(*(F.sum(c).alias(c) for c in of)), "word-weights")
+    total = words.join(each, "word").groupBy(key).agg(*(F.sum(F.col("n") * F.col(c)).alias(c) for c in of))
+    w = total.select(key, F.array(*of).alias("w"))
+    w = w.select(key, F.transform("w", lambda x: F.exp((x - F.array_max("w")) / 1000.0)).alias("e"))
+    w = w.select(key, "e", F.aggregate("e", F.lit(0.0), lambda s, x: s + x).alias("sum"))
+    each = F.explode(F.arrays_zip(F.array(*map(F.lit, langs)).alias("lang"), F.transform("e", lambda x: x / F.col("sum")).alias("p")))
+    return w.select(key, each.alias("x")).select(key, "x.lang", "x.p")
 
 
 def foreign(texts: DataFrame, model: DataFrame, key: str, text: str = "text", own: str = "en", least: float = 0.5) -> DataFrame:

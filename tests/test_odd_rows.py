@@ -85,3 +85,17 @@ def test_currencies_and_ratios_of_odd_texts(spark):
     # no string is made for each letter, and not each symbol is tried at each place
     plan = made._jdf.queryExecution().toString().lower()
     assert "regexp_count" not in plan and "regexp_extract_all" not in plan and "bds$" not in plan
+
+
+def test_language_scores_have_one_row_for_each_text_until_the_end(spark):
+    from listwright.functions import language as L
+
+    texts = spark.createDataFrame([(1, "the and the"), (2, "der und"), (3, "12"), (4, None)], "k long, text string")
+    model = spark.createDataFrame([(g, l, w) for g, a, b in (("the", -1000, -3000), (" de", -4000, -1000), ("und", -5000, -2000)) for l, w in (("en", a), ("de", b))], "gram string, lang string, w long")
+    s = L.scores(texts, model, "k")
+    got = {(r.k, r.lang): r.p for r in s.collect()}
+    assert set(got) == {(1, "en"), (1, "de"), (2, "en"), (2, "de")}
+    e = 2.718281828459045
+    assert got[1, "en"] == pytest.approx(1 / (1 + e**-4)) and got[2, "de"] == pytest.approx(1 / (1 + e**-6))
+    assert "Window" not in s._jdf.queryExecution().optimizedPlan().toString()
+    assert L.scores(texts, model.where("false"), "k").count() == 0
