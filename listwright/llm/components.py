@@ -29,12 +29,18 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         for x in (e, large):
             drop_shared(x)
         e, old, state = new, state, _state(new)
-        if state == old:
+        if state == old or _stars(e):
             break
     roots = e.select("v").distinct()
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots.select(F.col("v").alias("id"), F.col("v").alias("component")))
 
 
+def _stars(e: DataFrame) -> bool:
+    """Whether each node hangs from one node, which hangs from none: another round would change nothing."""
+    ends = e.select(F.col("u").alias("x"), F.lit(1).alias("n")).unionByName(e.select(F.col("v").alias("x"), F.lit(0).alias("n")).distinct())
+    return ends.groupBy("x").agg(F.count("*").alias("n"), F.sum("n").alias("up")).where("up > 1 or (up = 1 and n > 1)").isEmpty()
+
+
 def _state(e: DataFrame) -> tuple:
     """Equal for equal sets of edges: their number and a sum of hashes."""
     return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
