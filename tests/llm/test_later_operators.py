@@ -64,6 +64,26 @@ def test_scores_of_held_out_texts(docs):
     assert got[0] > got[1] * 1.05 and got[0] / got[2] > -4.4
 
 
+def test_all_training_windows_are_learned(docs, monkeypatch):
+    """More than 20,000 windows, each seen once in every pass, by several blocks; every id of a training document has a row of its own."""
+    seen, train = [], op11_lm.train
+    monkeypatch.setattr(op11_lm, "BLOCK_BYTES", 100_000)
+    monkeypatch.setattr(op11_lm, "train", lambda *a: seen.extend((train(*a), op11_lm.rounds_of(*a[3:]), a[2].value)))
+    op11_lm.score_documents(docs, RANKS)
+    subwords, windows, every = op11_lm.Subwords(op11_lm.read_ranks(RANKS)), 0, set()
+    for d, t in docs.select("doc_id", "text").collect():
+        if not held_out(d):
+            found, _ = subwords.encode(op11_lm.words_of((t or "").encode()))
+            windows += -(-(len(found) + 1) // op11_lm.STEP)
+            every.update(found.tolist())
+    passes = collections.Counter()
+    for n, (k, _, _) in zip(*seen[:2], strict=True):
+        passes[k] += n
+    assert windows > 20_000 and len(seen[0]) > len(passes) and set(passes.values()) == {windows}
+    ids = seen[2]
+    assert set(np.flatnonzero(ids.row[: ids.boundary] < ids.own).tolist()) == every
+
+
 def test_no_training_documents_and_no_documents(spark, odd):
     assert op11_lm.score_documents(odd.where("false"), RANKS).count() == 0
     out = next(d for d in range(100) if held_out(d))
