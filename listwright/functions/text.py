@@ -22,14 +22,15 @@ def fold_tables() -> tuple[str, str]:
 
 
 def fold(c: Column) -> Column:
-    """Latin letters without accents; ß, æ and œ as two letters."""
+    """Latin letters without accents; ß, æ and œ as two letters. ASCII texts, which have as many bytes as characters, stay as they are."""
+    plain, ascii = c, F.octet_length(c) == F.char_length(c)
     for a, b in (("ß", "ss"), ("æ", "ae"), ("œ", "oe"), ("Æ", "AE"), ("Œ", "OE")):
         c = F.replace(c, F.lit(a), F.lit(b))
-    return F.translate(c, *fold_tables())
+    return F.when(ascii, plain).otherwise(F.translate(c, *fold_tables()))
 
 
 def _some(a: Column) -> Column:
-    return F.filter(a, lambda x: x != "")
+    return F.array_remove(a, "")  # in compiled code, where a filter's function is called token by token
 
 
 def tokens_ws(c: Column) -> Column:
@@ -37,16 +38,17 @@ def tokens_ws(c: Column) -> Column:
 
 
 def tokens_drop_marks(c: Column) -> Column:
-    return tokens_ws(F.regexp_replace(c, r"[^a-zA-Z0-9\s]", ""))
+    return tokens_ws(F.regexp_replace(c, r"[^\p{Alnum}\s]+", ""))
 
 
 def tokens_split_marks(c: Column) -> Column:
-    return _some(F.split(c, "[^a-zA-Z0-9]"))
+    """Split at what is no ASCII letter or digit; \\P{Alnum} is one look-up a character in Java, [^a-zA-Z0-9] a chain of comparisons."""
+    return _some(F.split(c, r"\P{Alnum}+"))
 
 
 def tokens_borders(c: Column) -> Column:
     """As tokens_split_marks, split again between digits and other characters."""
-    return F.regexp_extract_all(F.regexp_replace(c, "[^a-zA-Z0-9]+", " "), F.lit(r"(\d+|[^\d ]+)"), F.lit(1))
+    return F.regexp_extract_all(F.regexp_replace(c, r"\P{Alnum}+", " "), F.lit(r"(\d+|[^\d ]+)"), F.lit(1))
 
 
 def brand_words() -> list[str]:

@@ -84,7 +84,8 @@ def prepared(posts: DataFrame) -> DataFrame:
     text = F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce("description", F.lit("")))
     other = F.concat(F.coalesce("translated_title", F.lit("")), F.lit("\n"), F.coalesce("translated_description", F.lit("")))
     p = posts.withColumns({"original_text": T.without_hashtags(text), "translated_text": T.without_hashtags(other), "hashtags": T.hashtags(text)})
-    return p.withColumns({f"tok_{side}_{name}": make(F.lower(T.fold(F.col(f"{side}_text")))) for side in ("original", "translated") for name, make in T.TOKENIZERS.items()})
+    p = p.withColumns({f"folded_{side}": F.lower(T.fold(F.col(f"{side}_text"))) for side in ("original", "translated")})
+    return p.withColumns({f"tok_{side}_{name}": make(F.col(f"folded_{side}")) for side in ("original", "translated") for name, make in T.TOKENIZERS.items()})
 
 
 def history(orders: DataFrame, keys: list[str], positive: Column, prefix: str) -> DataFrame:

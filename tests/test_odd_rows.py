@@ -1,9 +1,12 @@
 """Queries against their SQL on odd rows that the given tables have only at larger sizes."""
 
+import re
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from listwright.functions import text as T
 from listwright.functions import tree as TR
 from listwright.operators import models
 from listwright.plans import registry
@@ -99,3 +102,16 @@ def test_language_scores_have_one_row_for_each_text_until_the_end(spark):
     assert got[1, "en"] == pytest.approx(1 / (1 + e**-4)) and got[2, "de"] == pytest.approx(1 / (1 + e**-6))
     assert "Window" not in s._jdf.queryExecution().optimizedPlan().toString()
     assert L.scores(texts, model.where("false"), "k").count() == 0
+
+
+def test_tokens_of_odd_characters(spark):
+    """Only ASCII letters and digits count as such, whatever else is a letter or digit; runs of others leave no empty tokens; a null text has no tokens."""
+    texts = ["", " ", "--", "a--b", "-a1-2b-", "é x٠yKz", "\U0001d4d0b\U0001f600c 12é3", "İi\x0b\x85q", "Ærøß ſt", "_a_b\n\tc"]
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "t string")
+    got = {r.t: r for r in df.select("t", T.tokens_ws(F.col("t")).alias("a"), T.tokens_drop_marks(F.col("t")).alias("b"), T.tokens_split_marks(F.col("t")).alias("c"), T.tokens_borders(F.col("t")).alias("d"), T.fold(F.col("t")).alias("e")).collect()}
+    for t in texts:
+        ws = lambda s: [x for x in re.split(r"[ \t\n\x0b\f\r]+", s) if x]
+        parts = [x for x in re.split("[^a-zA-Z0-9]", t) if x]
+        assert (got[t].a, got[t].b, got[t].c) == (ws(t), ws(re.sub(r"[^a-zA-Z0-9 \t\n\x0b\f\r]", "", t)), parts)
+        assert got[t].d == [y for x in parts for y in re.findall("[0-9]+|[^0-9]+", x)]
+    assert [got[None][k] for k in "abcde"] == [None] * 5 and got["Ærøß ſt"].e == "AErøss ſt" and got["a--b"].e == "a--b"
