@@ -1,8 +1,10 @@
 """Queries against their SQL on odd rows that the given tables have only at larger sizes."""
 
 import re
+from types import SimpleNamespace
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from listwright.functions import text as T
 from listwright.functions import tree as TR
 from listwright.operators import models
 from listwright.plans import registry
+from listwright.streaming import jobs
 
 SF = "/root/testdata/sf0.001"
 
@@ -115,3 +118,17 @@ def test_tokens_of_odd_characters(spark):
         assert (got[t].a, got[t].b, got[t].c) == (ws(t), ws(re.sub(r"[^a-zA-Z0-9 \t\n\x0b\f\r]", "", t)), parts)
         assert got[t].d == [y for x in parts for y in re.findall("[0-9]+|[^0-9]+", x)]
     assert [got[None][k] for k in "abcde"] == [None] * 5 and got["Ærøß ſt"].e == "AErøss ſt" and got["a--b"].e == "a--b"
+
+
+def test_overdue_reads_and_writes_its_state_once():
+    """However many rows a key has, the state server is called a few times; the timer is that of the task that is open at the end."""
+    calls, held, timers = [], [], set()
+    state = SimpleNamespace(exists=lambda: calls.append("exists") or bool(held), get=lambda: calls.append("get") or held[0], update=lambda x: calls.append("update") or held.__setitem__(slice(None), [x]), clear=lambda: calls.append("clear") or held.clear())
+    handle = SimpleNamespace(getValueState=lambda *_: state, registerTimer=lambda x: calls.append("register") or timers.add(x), deleteTimer=lambda x: calls.append("delete") or timers.remove(x))
+    p = jobs.Overdue(1000)
+    p.init(handle)
+    at = lambda *rows: iter([pd.DataFrame({"ts": pd.to_datetime([ms for ms, _ in rows], unit="ms").astype("datetime64[ns]"), "status": [s for _, s in rows]})])
+    for rows, want in (([(k, "started" if k % 2 else "ended") for k in range(100)], [99]), ([(101, "started")], [99]), ([(102, "ended"), (103, "started")], [103]), ([(104, "ended")], [])):
+        calls.clear()
+        assert list(p.handleInputRows((1,), at(*rows), None)) == []
+        assert [h[0] for h in held] == want and timers == {w + 1000 for w in want} and len(calls) <= 5
