@@ -172,6 +172,52 @@ def test_windows_score_each_id_once():
     assert scored.tolist() == [3, 65] and some[begins[1] : begins[1] + op11_lm.CONTEXT + 2].tolist() == [21] * op11_lm.CONTEXT + [20, 7]
 
 
+def test_words_by_columns():
+    """Different words in order of appearance, places and sizes as of texts split one by one; bytes that are no UTF-8 and white space beyond ASCII stay."""
+    odd = [b" A\x0b\x1cb\xc2\xa0C  \xff\xfeZ a\x1cB ", None, b"", b" \t", b"\xc3\x84 a \xe2\x80\x83x\x85y A"]
+    for texts in ([], [None], [b""], odd, [b"x", b"x"]):
+        words, places, sizes = op11_lm.split(texts)
+        plain = [op11_lm.words_of(t) for t in texts]
+        assert sizes.tolist() == list(map(len, plain)) and [words[int(p)].as_py() for p in places] == [w for p in plain for w in p]
+        assert words.to_pylist() == list(dict.fromkeys(w for p in plain for w in p))
+
+
+def test_counts_of_ids_and_pairs_by_brute_force(spark):
+    """Ids and pairs of neighbours are counted in the blocks, without the words: several blocks share words, some have held-out documents alone."""
+    texts = ["alpha beta alpha", None, "unbelievably alpha", "", "beta gammaray beta beta"]
+    rows = [(d, texts[d % 5]) for d in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7, "doc_id")
+    rank_file = op11_lm.read_ranks(RANKS)
+    subwords, boundary = op11_lm.Subwords(rank_file), op11_lm.Subwords(rank_file).size
+    ids, pairs = collections.Counter(), collections.Counter()
+    line = [boundary]
+    for d, t in rows:
+        if not held_out(d):
+            own = subwords.encode(op11_lm.words_of((t or "").encode()))[0].tolist()
+            ids.update(own)
+            line += [*own, boundary]
+    pairs.update(zip(line, line[1:], strict=False))
+    blocks = op11_lm.shared_table(op11_lm.blocks_of(df, spark.sparkContext.broadcast(rank_file)), "blocks")
+    assert blocks.count() > 1
+    got = op11_lm.id_counts(blocks, boundary)
+    assert {int(k): int(got[k]) for k in np.flatnonzero(got)} == dict(ids)
+    size = boundary + 1
+    at, n = op11_lm.adjacent(blocks, boundary, lambda left, right, times: (left.astype(np.int64) * size + right, times), size * size)
+    assert {(k // size, k % size): m for k, m in zip(at.tolist(), n.tolist(), strict=True)} == dict(pairs)
+
+
+def test_steps_of_all_weights_at_once():
+    """The learner's steps are Adam's, weight by weight."""
+    model, sample = _model()
+    before = {k: x.astype(np.float64) for k, x in model.w.items()}
+    plain = op11_lm.Attention(model.ids, {k: x.copy() for k, x in model.w.items()})
+    model.learner(0.5, 1)(sample.ravel(), sample.shape[1] * np.arange(len(sample)))
+    _, g = plain.gradients(model.row[sample[:, :-1]], model.group[sample[:, op11_lm.CONTEXT + 1 :]], sample[:, op11_lm.CONTEXT + 1 :] != model.pad)
+    for k, x in g.items():  # after one step means and squares without bias are the derivative and its square
+        want = before[k] - op11_lm.RATE * 0.5**0.5 * x / (np.abs(x) + 1e-6)
+        assert model.w[k] == pytest.approx(want, abs=1e-4), k
+
+
 def test_packed_numbers():
     for x in ([], [0, 255], [256], [70_000, 3]):
         assert op11_lm.unpack(op11_lm.pack(np.array(x, np.int64))).tolist() == x
