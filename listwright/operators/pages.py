@@ -63,9 +63,22 @@ def merged_nodes(pages: DataFrame, flavours: Iterable[str] = ("image", "title",
     return over_pages(pages.select("page_id", "html", *(["n_nodes"] if "n_nodes" in pages.columns else [])), "page_id long, node_id int, parent_id int, path string, tag string, attrs map<string,string>, text string, n_before int, n_after int, problems array<string>", rows)
 
 
-def node_features(pages: DataFrame) -> DataFrame:
-    """page_id and T.FEATURES of each node of the pages that have a node of flavour image."""
-    return over_pages(pages.select("page_id", "html"), f"page_id long, {T.FEATURES}", lambda tree, page_id: [{"page_id": page_id, **f} for f in T.features(tree) or ()])
+def node_features(pages: DataFrame, texts: bool = False) -> DataFrame:
+    """page_id and T.FEATURES of each node of the pages that have a node of flavour image.
+
+    With texts also page_row (a number of the row of pages) and T.TEXTS: a page's text once, from which node_texts takes its nodes' texts.
+    """
+    if not texts:
+        return over_pages(pages.select("page_id", "html"), f"page_id long, {T.FEATURES}", lambda tree, page_id: [{"page_id": page_id, **f} for f in T.features(tree) or ()])
+    rows = lambda tree, page_id, page_row: [{"page_id": page_id, "page_row": page_row, **f} for f in T.features(tree, True) or ()]
+    return over_pages(pages.select("page_id", "html", F.monotonically_increasing_id().alias("page_row")), f"page_id long, page_row long, {T.FEATURES}, {T.TEXTS}", rows)
+
+
+def node_texts(nodes: DataFrame, features: DataFrame) -> DataFrame:
+    """nodes (page_row, text_at, len_text_content and others) with their text in place of the three. features: of node_features with texts, as they were written."""
+    pages = features.where("page_text is not null").select("page_row", "page_text")
+    text = F.coalesce(F.substr("page_text", F.col("text_at") + 1, F.col("len_text_content")), F.lit(""))
+    return nodes.join(pages, "page_row", "left").withColumn("text", text).drop("page_row", "text_at", "len_text_content", "page_text")
 
 
 def feature_vector(group: str) -> Column:
@@ -79,14 +92,18 @@ def large_boxes(nodes: DataFrame, least: float = 4) -> DataFrame:
     return nodes.where((F.col("w_orig") >= least) & (F.col("h_orig") >= least))
 
 
-def best_nodes(scored: DataFrame, poster_score: float = 0.45, poster_chars: int = 20) -> DataFrame:
+def best_nodes(scored: DataFrame, poster_score: float = 0.45, poster_chars: int = 20, features: DataFrame | None = None) -> DataFrame:
     """page_id, flavour, node_id, text, proba: of each page and flavour the node with the highest probability (the first of several).
 
     A poster is only taken if its probability is over poster_score and its text has at most poster_chars characters.
-    scored: page_id, flavour, node_id, text, proba.
+    scored: page_id, flavour, node_id, text, proba; with features (see node_texts) page_row, text_at and len_text_content in place of text,
+    so that texts are read of the best nodes only.
     """
-    best = scored.groupBy("page_id", "flavour").agg(F.max(F.struct("proba", (-F.col("node_id")).alias("first"), "text")).alias("b"))
-    best = best.select("page_id", "flavour", (-F.col("b.first")).alias("node_id"), "b.text", "b.proba")
+    told = ("text",) if features is None else ("page_row", "text_at", "len_text_content")
+    best = scored.groupBy("page_id", "flavour").agg(F.max(F.struct("proba", (-F.col("node_id")).alias("first"), *told)).alias("b"))
+    best = best.select("page_id", "flavour", (-F.col("b.first")).alias("node_id"), *(f"b.{c}" for c in told), "b.proba")
+    if features is not None:
+        best = node_texts(best, features).select("page_id", "flavour", "node_id", "text", "proba")
     return best.where((F.col("flavour") != "poster") | ((F.col("proba") > poster_score) & (F.length("text") <= poster_chars)))
 
 
